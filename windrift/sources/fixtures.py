@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# Stable row identity of a Parquet row: hash of its file and its position in
+# the file.  Unlike ``monotonically_increasing_id`` it does not change when a
+# task is recomputed, so hash-seeded choices stay the same after a retry.
+ROW_KEY = ["rid_file", "rid_row"]
+
+
+def row_key_columns() -> list:
+    return [F.xxhash64(F.col("_metadata.file_path")).alias("rid_file"),
+            F.col("_metadata.row_index").alias("rid_row")]
+
+
 def kpi_from_events(spark: SparkSession, sf_dir: str, n_cells: int = N_CELLS) -> DataFrame:
     """B1: events → KPI rows with the reference column names."""
     ev = table(spark, sf_dir, "events")
@@ -77,7 +88,7 @@ def lineitem_features(spark: SparkSession, sf_dir: str, with_keys: bool = True)
     ]
     keys = []
     if with_keys:
-        keys = [F.col("l_orderkey"), F.col("l_linenumber"),
+        keys = [*row_key_columns(), F.col("l_orderkey"), F.col("l_linenumber"),
                 (F.col("l_shipdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz")).alias("is_ref"),
                 F.year("l_shipdate").alias("batch")]
     return li.select(*keys, *cols)
@@ -86,7 +97,7 @@ def lineitem_features(spark: SparkSession, sf_dir: str, with_keys: bool = True)
 def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3 row 2: four raw lineitem columns (nearly uncorrelated, k = d)."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber",
+    return li.select(*row_key_columns(), "l_orderkey", "l_linenumber",
                      (F.col("l_shipdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz")).alias("is_ref"),
                      *LINEITEM_RAW_FEATURES)
 
