@@ -13,13 +13,13 @@ reconstructs the permuted data.  On Spark:
    values).  Because all ten levels are prefixes of one order, one ranking
    per repetition serves every level;
 4. cells are put back into rows (one shuffle by row key) and each task sums
-   ``uᵀu``, ``uᵀQw`` and ``wᵀQw`` per level with ``Q = PᵀP`` broadcast, so
-   only ``reps × levels`` scalars per task leave the executors.
+   the squared reconstruction error per (repetition, level), so only
+   ``reps × levels`` scalars per task leave the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,28 +77,37 @@ def permute_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pct:
     return moved.groupBy(*keys).agg(*aggs)
 
 
-def calibration_table(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str], components: np.ndarray,
-                      pca_mean: np.ndarray, repetitions: int = 10, seed: int = 42,
-                      levels: Sequence[float] = LEVELS) -> DataFrame:
-    """M8: ``(rep, perm_pct, mse)``: error between the original scaled rows and
-    the reference-PCA reconstruction of their permuted version, for every
-    repetition and level, over the whole reference."""
-    spark = scaled.sparkSession
+def _moved_rows(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str], repetitions: int, seed: int,
+                levels: Sequence[float]) -> DataFrame:
+    """Rows ``(rep, u0…, w{level}_{j}…)``: original scaled cells and their
+    permuted values at every level, one row per (repetition, data row)."""
     d = len(cols)
     long = _long_cells(scaled, cols, keys)
     ranked, n_cells = _ranked(long, keys, repetitions, seed)
     withs, first_by_rep = _with_successor(ranked)
     ms = [int(n_cells * p) for p in levels]
-    lv = {f"p{i}": _level_value(m, first_by_rep) for i, m in enumerate(ms)}
-    moved = withs.withColumns(lv)
+    moved = withs.withColumns({f"p{i}": _level_value(m, first_by_rep) for i, m in enumerate(ms)})
     aggs = [F.first(F.when(F.col("j") == j, F.col("v")), ignorenulls=True).alias(f"u{j}") for j in range(d)]
     for i in range(len(ms)):
         aggs += [F.first(F.when(F.col("j") == j, F.col(f"p{i}")), ignorenulls=True).alias(f"w{i}_{j}")
                  for j in range(d)]
-    rows = moved.groupBy("rep", *keys).agg(*aggs).drop(*keys)
-    q = components.T @ components
-    mu = np.asarray(pca_mean, dtype=float)
-    n_lv = len(ms)
+    return moved.groupBy("rep", *keys).agg(*aggs).drop(*keys)
+
+
+_SUM_SCHEMA = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("level", T.IntegerType()),
+                            T.StructField("sse", T.DoubleType()), T.StructField("cells", T.DoubleType())])
+
+
+def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str],
+                              reconstruct: Callable[[np.ndarray], np.ndarray], repetitions: int = 10,
+                              seed: int = 42, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """``(rep, perm_pct, mse)`` for any row-wise reconstruction
+    (PCA or autoencoder): error between the original scaled rows and the
+    reconstruction of their permuted version, over the whole reference.
+    Each task returns one ``(rep, level, sse, cells)`` row per pair."""
+    d = len(cols)
+    rows = _moved_rows(scaled, cols, keys, repetitions, seed, levels)
+    n_lv = len(levels)
 
     def sums(batches):
         acc: dict[tuple[int, int], np.ndarray] = {}
@@ -106,24 +115,29 @@ def calibration_table(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str
             if pdf.empty:
                 continue
             for rep, grp in pdf.groupby("rep"):
-                u = grp[[f"u{j}" for j in range(d)]].to_numpy(dtype=float) - mu
-                s1 = float(np.einsum("ij,ij->", u, u))
+                u = grp[[f"u{j}" for j in range(d)]].to_numpy(dtype=float)
                 for i in range(n_lv):
-                    w = grp[[f"w{i}_{j}" for j in range(d)]].to_numpy(dtype=float) - mu
-                    qw = w @ q
-                    vec = np.array([s1, float(np.einsum("ij,ij->", u, qw)), float(np.einsum("ij,ij->", w, qw)),
-                                    float(len(grp))])
+                    w = grp[[f"w{i}_{j}" for j in range(d)]].to_numpy(dtype=float)
+                    err = float(np.sum((u - reconstruct(w)) ** 2))
                     key = (int(rep), i)
-                    acc[key] = acc.get(key, 0) + vec
+                    acc[key] = acc.get(key, 0) + np.array([err, float(u.size)])
         if acc:
-            yield pd.DataFrame([(k[0], k[1], *v) for k, v in acc.items()],
-                               columns=["rep", "level", "s1", "s2", "s3", "n"])
-
-    schema = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("level", T.IntegerType()),
-                           T.StructField("s1", T.DoubleType()), T.StructField("s2", T.DoubleType()),
-                           T.StructField("s3", T.DoubleType()), T.StructField("n", T.DoubleType())])
-    part = rows.mapInPandas(sums, schema)
-    tot = part.groupBy("rep", "level").agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "s3", "n")])
+            yield pd.DataFrame([(k[0], k[1], *v) for k, v in acc.items()], columns=["rep", "level", "sse", "cells"])
+
+    tot = rows.mapInPandas(sums, _SUM_SCHEMA).groupBy("rep", "level") \
+        .agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells"))
     pct_map = F.element_at(F.array(*[F.lit(float(p * 100)) for p in levels]), F.col("level") + 1)
-    return tot.select("rep", pct_map.alias("perm_pct"),
-                      ((F.col("s1") - 2 * F.col("s2") + F.col("s3")) / (F.col("n") * F.lit(float(d)))).alias("mse"))
+    return tot.select("rep", pct_map.alias("perm_pct"), (F.col("sse") / F.col("cells")).alias("mse"))
+
+
+def calibration_table(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str], components: np.ndarray,
+                      pca_mean: np.ndarray, repetitions: int = 10, seed: int = 42,
+                      levels: Sequence[float] = LEVELS) -> DataFrame:
+    """M8 for the reference PCA: reconstruction ``(w − μ)·PᵀP + μ``."""
+    q = components.T @ components
+    mu = np.asarray(pca_mean, dtype=float)
+
+    def rec(w: np.ndarray) -> np.ndarray:
+        return (w - mu) @ q + mu
+
+    return calibration_table_generic(scaled, cols, keys, rec, repetitions, seed, levels)

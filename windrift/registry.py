@@ -3,7 +3,7 @@ per-area registries."""
 
 from __future__ import annotations
 
-from windrift import registry_drift, registry_prep
+from windrift import registry_drift, registry_jobs, registry_prep
 
 
 def all_queries() -> dict:
@@ -21,5 +21,5 @@ def all_oracles() -> dict:
 
 
 def _modules():
-    mods = [registry_prep, registry_drift]
+    mods = [registry_prep, registry_drift, registry_jobs]
     return mods

@@ -38,7 +38,11 @@ def row_key_columns() -> list:
 
 def kpi_from_events(spark: SparkSession, sf_dir: str, n_cells: int = N_CELLS) -> DataFrame:
     """B1: events → KPI rows with the reference column names."""
-    ev = table(spark, sf_dir, "events")
+    return kpi_rows(table(spark, sf_dir, "events"), n_cells)
+
+
+def kpi_rows(ev: DataFrame, n_cells: int = N_CELLS) -> DataFrame:
+    """B1 mapping of any events frame (batch or stream)."""
     drop = (F.when(F.col("event_type") == "error", F.lit(100).cast("double"))
             .when(F.col("event_type") != "view", F.lit(0).cast("double")))
     return ev.select(
@@ -76,7 +80,11 @@ LINEITEM_RAW_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def lineitem_features(spark: SparkSession, sf_dir: str, with_keys: bool = True) -> DataFrame:
     """B3 row 1: seven numeric features from lineitem plus keys and split flag."""
-    li = table(spark, sf_dir, "lineitem")
+    return lineitem_feature_rows(table(spark, sf_dir, "lineitem"), with_keys, with_keys)
+
+
+def lineitem_feature_rows(li: DataFrame, with_keys: bool = True, with_row_key: bool = False) -> DataFrame:
+    """B3 row 1 mapping of any lineitem frame (batch or stream)."""
     ext, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     cols = [
         F.col("l_quantity"), ext.alias("l_extendedprice"),
@@ -88,7 +96,7 @@ def lineitem_features(spark: SparkSession, sf_dir: str, with_keys: bool = True)
     ]
     keys = []
     if with_keys:
-        keys = [*row_key_columns(), F.col("l_orderkey"), F.col("l_linenumber"),
+        keys = [*(row_key_columns() if with_row_key else []), F.col("l_orderkey"), F.col("l_linenumber"),
                 (F.col("l_shipdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz")).alias("is_ref"),
                 F.year("l_shipdate").alias("batch")]
     return li.select(*keys, *cols)
