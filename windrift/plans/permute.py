@@ -6,7 +6,8 @@ reconstructs the permuted data.  On Spark:
 
 1. cells go to long form ``(rep, keys…, j, v)``;
 2. each repetition orders its cells by a seeded hash and numbers them
-   exactly (``global_rank``: range partitioning + per-partition offsets);
+   exactly: hash-prefix bucket offsets from one small grouped count plus a
+   row number inside each bucket (a window over one bucket);
 3. the first ``m = int(N·p)`` cells of that random order are the chosen ones;
    chosen cell number ``r`` takes the value of chosen cell ``r+1`` and the
    last takes the first (a uniformly random cyclic permutation of the chosen
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
-from windrift.operators.ordering import global_rank, row_hash
+from pyspark.sql import Window
+
+from windrift.operators.ordering import HASH_BITS, row_hash
+from windrift.operators.prep import bounded_broadcast
 
 LEVELS = [0.01 + 0.1 * i for i in range(10)]
 
@@ -38,26 +42,69 @@ def _long_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> Data
     return df.select(*[qcol(k) for k in keys], F.inline(cells))
 
 
-def _ranked(long: DataFrame, keys: Sequence[str], reps: int, seed: int) -> tuple[DataFrame, int]:
-    """Per-repetition 0-based rank of every cell in seeded hash order."""
+def _bucket_bits(n_cells: int, target: int = 1 << 20) -> int:
+    """Hash-prefix buckets per repetition so one bucket holds about
+    ``target`` cells (at least 64 buckets)."""
+    bits = 6
+    while (n_cells >> bits) > target and bits < 40:
+        bits += 1
+    return bits
+
+
+def _ranked_moves(long: DataFrame, keys: Sequence[str], reps: int, seed: int,
+                  levels: Sequence[float], with_levels: bool = True) -> tuple[DataFrame, int, dict[int, float]]:
+    """Cells with their permuted value at every level: ``(rep, keys…, j, v,
+    p0…)``, plus the cell count per repetition.
+
+    The rank of a cell in its repetition's hash order is the number of cells
+    in earlier hash-prefix buckets (a small grouped count) plus its row number
+    inside its bucket (a window over one bucket, sorted by hash).  Its
+    successor is the next cell in the bucket (``lead``) or, for the last cell
+    of a bucket, the first cell of the next non-empty bucket (from the same
+    small aggregate).  No global sort, no self-join.
+    """
+    spark = long.sparkSession
+    n_cells = long.count()
+    bits = _bucket_bits(n_cells)
     lr = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    lr = lr.withColumn("h1", row_hash(seed, "rep", *keys, "j"))
-    ranked = global_rank(lr, ["rep", "h1"], "_g")
-    per_rep = {r["rep"]: r["n"] for r in ranked.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_cells = per_rep.get(0, 0)
-    # ranks restart at each repetition: subtract rep × cells-per-rep
-    return ranked.withColumn("r", F.col("_g") - F.col("rep") * F.lit(n_cells)).drop("_g", "h1"), n_cells
+    lr = lr.withColumn("h1", row_hash(seed, "rep", *keys, "j")) \
+        .withColumn("b", F.shiftright(F.col("h1"), HASH_BITS - bits))
+    stats = lr.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", "h1").alias("first_v")) \
+        .orderBy("rep", "b").collect()
+    rows, acc, prev = [], {}, {}
+    for r in stats:
+        off = acc.get(r["rep"], 0)
+        acc[r["rep"]] = off + r["n"]
+        rows.append([r["rep"], r["b"], off, None])
+        if r["rep"] in prev:
+            prev[r["rep"]][3] = r["first_v"]   # successor of the previous bucket's last cell
+        prev[r["rep"]] = rows[-1]
+    first_by_rep = {r["rep"]: r["first_v"] for r in stats if r["b"] == min(x["b"] for x in stats if x["rep"] == r["rep"])}
+    offsets = spark.createDataFrame([tuple(x) for x in rows], "rep int, b long, off long, next_first double")
+    w = Window.partitionBy("rep", "b").orderBy("h1")
+    ranked = (lr.withColumn("_i", F.row_number().over(w) - 1)
+              .withColumn("_lead", F.lead("v").over(w))
+              .join(bounded_broadcast(offsets), ["rep", "b"], "left")
+              .withColumn("r", F.col("off") + F.col("_i"))
+              .withColumn("v_next", F.coalesce(F.col("_lead"), F.col("next_first"))))
+    ranked = ranked.drop("_i", "_lead", "off", "next_first", "h1", "b")
+    if not with_levels:
+        return ranked, n_cells, first_by_rep
+    ms = [int(n_cells * p) for p in levels]
+    v0 = _rep_value(first_by_rep)
+    return ranked.withColumns({f"p{i}": _level_value(m, v0) for i, m in enumerate(ms)}), n_cells, first_by_rep
 
 
-def _with_successor(ranked: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    succ = ranked.select("rep", (F.col("r") - 1).alias("r"), F.col("v").alias("v_next"))
-    first = {r["rep"]: r["v"] for r in ranked.filter(F.col("r") == 0).select("rep", "v").collect()}
-    return ranked.join(succ, ["rep", "r"], "left"), first
+def _rep_value(by_rep: dict[int, float]) -> F.Column:
+    if not by_rep:
+        return F.lit(None).cast("double")
+    return F.element_at(F.create_map(*[x for k, v in by_rep.items() for x in (F.lit(k), F.lit(float(v)))]),
+                        F.col("rep"))
 
 
-def _level_value(m: int, first: dict[int, float]) -> F.Column:
-    v0 = F.element_at(F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(float(v)))]),
-                      F.col("rep")) if first else F.lit(None)
+def _level_value(m: int, v0: F.Column) -> F.Column:
+    """Chosen cells (rank < m) take their successor's value, the last chosen
+    cell takes the first one's: a cyclic shift along the random order."""
     return (F.when(F.col("r") < F.lit(m - 1), F.col("v_next"))
             .when(F.col("r") == F.lit(m - 1), v0)
             .otherwise(F.col("v")))
@@ -67,33 +114,13 @@ def permute_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pct:
     """M7: the frame with exactly ``int(n·d·pct)`` cells moved (same keys, same
     columns); the multiset of cell values is unchanged."""
     long = _long_cells(df, cols, keys)
-    ranked, n_cells = _ranked(long, keys, 1, seed)
-    m = int(n_cells * pct)
-    if m < 2:
+    moved, n_cells, _ = _ranked_moves(long, keys, 1, seed, [pct])
+    if int(n_cells * pct) < 2:
         return df.select(*[qcol(k) for k in keys], *[qcol(c) for c in cols])
-    withs, first = _with_successor(ranked)
-    moved = withs.withColumn("pv", _level_value(m, first))
-    aggs = [F.first(F.when(F.col("j") == j, F.col("pv")), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
+    aggs = [F.first(F.when(F.col("j") == j, F.col("p0")), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
     return moved.groupBy(*keys).agg(*aggs)
 
 
-def _moved_rows(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str], repetitions: int, seed: int,
-                levels: Sequence[float]) -> DataFrame:
-    """Rows ``(rep, u0…, w{level}_{j}…)``: original scaled cells and their
-    permuted values at every level, one row per (repetition, data row)."""
-    d = len(cols)
-    long = _long_cells(scaled, cols, keys)
-    ranked, n_cells = _ranked(long, keys, repetitions, seed)
-    withs, first_by_rep = _with_successor(ranked)
-    ms = [int(n_cells * p) for p in levels]
-    moved = withs.withColumns({f"p{i}": _level_value(m, first_by_rep) for i, m in enumerate(ms)})
-    aggs = [F.first(F.when(F.col("j") == j, F.col("v")), ignorenulls=True).alias(f"u{j}") for j in range(d)]
-    for i in range(len(ms)):
-        aggs += [F.first(F.when(F.col("j") == j, F.col(f"p{i}")), ignorenulls=True).alias(f"w{i}_{j}")
-                 for j in range(d)]
-    return moved.groupBy("rep", *keys).agg(*aggs).drop(*keys)
-
-
 _SUM_SCHEMA = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("level", T.IntegerType()),
                             T.StructField("sse", T.DoubleType()), T.StructField("cells", T.DoubleType())])
 
@@ -104,27 +131,55 @@ def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequ
     """``(rep, perm_pct, mse)`` for any row-wise reconstruction
     (PCA or autoencoder): error between the original scaled rows and the
     reconstruction of their permuted version, over the whole reference.
-    Each task returns one ``(rep, level, sse, cells)`` row per pair."""
+
+    Rows are put back together without an aggregate: cells are hash
+    partitioned by (rep, row key) and sorted by (rep, row key, j), so each
+    row's d cells arrive consecutively and a task reshapes its stream into
+    ``rows × d`` blocks (carrying a split row to the next Arrow batch).  Each
+    task returns one ``(rep, level, sse, cells)`` row per pair.
+    """
     d = len(cols)
-    rows = _moved_rows(scaled, cols, keys, repetitions, seed, levels)
     n_lv = len(levels)
+    long = _long_cells(scaled.dropna(subset=list(cols)), cols, keys)
+    moved, n_cells, first_by_rep = _ranked_moves(long, keys, repetitions, seed, levels, with_levels=False)
+    ms = np.array([int(n_cells * p) for p in levels], dtype=np.int64)
+    v0 = np.array([first_by_rep.get(r, np.nan) for r in range(repetitions)], dtype=float)
+    n_parts = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (moved.select("rep", *keys, "j", "v", "r", "v_next")
+               .repartition(n_parts, "rep", *keys)
+               .sortWithinPartitions("rep", *keys, "j")
+               .select("rep", "v", "r", "v_next"))
 
     def sums(batches):
-        acc: dict[tuple[int, int], np.ndarray] = {}
+        acc = np.zeros((repetitions, n_lv, 2))
+        carry = None
         for pdf in batches:
-            if pdf.empty:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            full = (len(pdf) // d) * d
+            carry = pdf.iloc[full:]
+            if full == 0:
                 continue
-            for rep, grp in pdf.groupby("rep"):
-                u = grp[[f"u{j}" for j in range(d)]].to_numpy(dtype=float)
-                for i in range(n_lv):
-                    w = grp[[f"w{i}_{j}" for j in range(d)]].to_numpy(dtype=float)
-                    err = float(np.sum((u - reconstruct(w)) ** 2))
-                    key = (int(rep), i)
-                    acc[key] = acc.get(key, 0) + np.array([err, float(u.size)])
-        if acc:
-            yield pd.DataFrame([(k[0], k[1], *v) for k, v in acc.items()], columns=["rep", "level", "sse", "cells"])
-
-    tot = rows.mapInPandas(sums, _SUM_SCHEMA).groupBy("rep", "level") \
+            block = pdf.iloc[:full]
+            rep_cells = block["rep"].to_numpy().astype(np.int64)
+            reps = rep_cells[::d]
+            v = block["v"].to_numpy(dtype=float)
+            r = block["r"].to_numpy(dtype=np.int64)
+            nxt = block["v_next"].to_numpy(dtype=float)
+            u = v.reshape(-1, d)
+            for i in range(n_lv):
+                m = ms[i]
+                cell = np.where(r < m - 1, nxt, np.where(r == m - 1, v0[rep_cells], v))
+                w = cell.reshape(-1, d)
+                err = np.sum((u - reconstruct(w)) ** 2, axis=1)
+                acc[:, i, 0] += np.bincount(reps, weights=err, minlength=repetitions)
+                acc[:, i, 1] += np.bincount(reps, minlength=repetitions) * d
+        out = [(r, i, float(acc[r, i, 0]), float(acc[r, i, 1]))
+               for r in range(repetitions) for i in range(n_lv) if acc[r, i, 1] > 0]
+        if out:
+            yield pd.DataFrame(out, columns=["rep", "level", "sse", "cells"])
+
+    tot = ordered.mapInPandas(sums, _SUM_SCHEMA).groupBy("rep", "level") \
         .agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells"))
     pct_map = F.element_at(F.array(*[F.lit(float(p * 100)) for p in levels]), F.col("level") + 1)
     return tot.select("rep", pct_map.alias("perm_pct"), (F.col("sse") / F.col("cells")).alias("mse"))
