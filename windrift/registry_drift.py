@@ -137,6 +137,21 @@ def q_f7_f11(spark, d):
                     bands.band("score", "actions").alias("actions"), bands.band("score", "verdict").alias("verdict"))
 
 
+def _band_query(policy: str, alias: str):
+    def run(spark, d):
+        b = _band_input(spark, d)
+        return b.select("score", "n_rows", bands.band("score", policy).alias(alias))
+    run.__name__ = f"q_band_{policy}"
+    return run
+
+
+def q_f7(spark, d):
+    """band text chosen by metric type, for both metric kinds."""
+    b = _band_input(spark, d)
+    long = b.select("score", "n_rows", F.explode(F.array(F.lit("dP"), F.lit("dE_PCA"))).alias("metric"))
+    return long.select("metric", "score", "n_rows", bands.metric_band("metric", "score").alias("band"))
+
+
 def q_f14(spark, d):
     li = _li(spark, d)
     return li.select(*fx.ROW_KEY, gaussian(SEED, *fx.ROW_KEY).alias("noise"))
@@ -355,7 +370,9 @@ def q_s15(spark, d):
 
 QUERIES = {
     "A10": q_a10, "A11": q_a11, "A12": q_a12, "A13": q_a13, "J3": q_j3, "F2": q_f2, "F3": q_f3, "F4": q_f4,
-    "F5": q_f5, "F6": q_f6, "F7_F11": q_f7_f11, "F12": q_f12, "F14": q_f14,
+    "F5": q_f5, "F6": q_f6, "F7_F11": q_f7_f11, "F7": q_f7, "F8": _band_query("printer", "advice"),
+    "F9": _band_query("guide", "advice"), "F10": _band_query("actions", "actions"),
+    "F11": _band_query("verdict", "verdict"), "F12": q_f12, "F14": q_f14,
     "I1": q_i1, "I2": q_i2, "I3": q_i3, "I4": q_i4, "I5": q_i5,
     "P14": q_p14, "P14_back": q_p14_back, "P15": q_p15, "P16": q_p16, "P17": q_p17, "P18": q_p18, "P19": q_p19,
     "G1": q_g1, "G1_wide": q_g1_wide, "G2": q_g2, "A14": q_a14, "A15": q_a15, "F13": q_f13,
@@ -458,3 +475,12 @@ z AS (SELECT l.vec_id, CAST(l.is_ref AS VARCHAR) AS grp, l.i,
       UNION ALL SELECT vec_id, CAST(is_ref AS VARCHAR) AS grp, 0 AS i, 1.0 AS z FROM e)
 SELECT a.grp AS grp, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, ROUND(SUM(a.z * b.z), 6) + 0.0 AS v
 FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.grp, a.i, b.i"""
+
+_B_IN = "WITH b AS (SELECT l_discount * 1000 AS score, COUNT(*) AS n_rows FROM lineitem GROUP BY 1) "
+ORACLE["F7"] = (_B_IN + ", m AS (SELECT * FROM b, (VALUES ('dP'), ('dE_PCA')) t(metric)) "
+                "SELECT metric, score, n_rows, CASE WHEN metric = 'dP' THEN " + bands.policy_sql("score", "dp")
+                + " ELSE " + bands.policy_sql("score", "de") + " END AS band FROM m")
+ORACLE["F8"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'printer')} AS advice FROM b"
+ORACLE["F9"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'guide')} AS advice FROM b"
+ORACLE["F10"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'actions')} AS actions FROM b"
+ORACLE["F11"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'verdict')} AS verdict FROM b"

@@ -275,6 +275,7 @@ def q_m13(spark, d):
 QUERIES = {
     "M18": q_m18, "M19": q_m19, "M20": q_m20, "M21": q_m21, "S14": q_s14,
     "M1": q_m1, "M2": q_m2, "M3": q_m3, "M4": q_m4,
+    "S6": q_s7, "S8": q_s6_s8,
     "S1": q_s1, "S2": q_s2, "S3": q_s3, "S4": q_s4, "S5": q_s5, "S6_S8": q_s6_s8, "S7": q_s7, "S9": q_s9,
     "S10": q_s10, "S12": q_s12, "S13": q_s13, "O1": q_o1, "O2": q_o2, "O3": q_o3,
     "X1": q_x1, "X2": q_x2, "M11": q_m11, "M12": q_m12, "M13": q_m13,
@@ -317,6 +318,7 @@ def _more_oracles() -> dict:
                     for i in range(fx.N_CELLS))
     out["S5"] = f"{BASE} SELECT CAST(DATETIME AS DATE) AS date, {piv} FROM kpi GROUP BY 1"
     out["S7"] = _P6_SQL
+    out["S6"] = _P6_SQL
     out["S9"] = (f'{BASE} SELECT N_CELL, ROUND(AVG("Overlap_Alan%"), 6) AS avg_overlap_pct FROM overlap GROUP BY N_CELL '
                  f'ORDER BY avg_overlap_pct DESC, N_CELL ASC LIMIT 10')
     out["S10"] = ("SELECT n_nationkey AS id, n_name AS name, n_nationkey * 1.5 AS value FROM nation "

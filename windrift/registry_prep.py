@@ -211,7 +211,29 @@ def q_p13(spark, d):
     return prep.drop_first_column(_kpi(spark, d))
 
 
+def q_p8(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    from windrift.operators.features import assemble
+    li = fx.table(spark, d, "lineitem")
+    feats, label = prep.numeric_columns(li)
+    v = prep.project_features_label(assemble(li, feats, "features"), "features", label)
+    return v.select(vector_to_array("features").alias("features"), label)
+
+
+def q_p12(spark, d):
+    w = prep.add_time_bucket(_kpi(spark, d).filter(F.col("ERAB_Drop_PC").isNull() | (F.col("CELL") % 3 == 0)),
+                             "DATETIME", WIDTH)
+    return w.groupBy("window_start", "CELL").agg(or_zero(F.avg("ERAB_Drop_PC")).alias("avg_drop_rate"))
+
+
+def q_f1(spark, d):
+    from windrift.functions.columns import parse_timestamp
+    k = _kpi(spark, d).select("CELL", F.date_format("DATETIME", "yyyy-MM-dd HH:mm:ss").alias("txt"))
+    return k.select("CELL", parse_timestamp("txt").cast("timestamp_ntz").alias("DATETIME"))
+
+
 QUERIES = {
+    "P8": q_p8, "P12": q_p12, "F1": q_f1,
     "A1": q_a1, "A2": q_a2, "A2_literal": q_a2_literal, "P6": q_p6, "P3": q_p3, "P4": q_p4,
     "J1": q_j1, "J2": q_j2, "W1": q_w1, "A3": q_a3, "A3_unjoined": q_a3_unjoined, "A4": q_a4,
     "A5": q_a5, "T1": q_t1, "A6": q_a6, "A7": q_a7, "A8": q_a8, "A9": q_a9,
@@ -259,6 +281,11 @@ SELECT CAST(SUM(CAST(Traffic_Volume_Gbyte AS DECIMAL(18,2))) AS DOUBLE) AS total
   COUNT(ERAB_Drop_PC) AS n_prb_util, MAX(Nof_Avg_SimRRC_ConnUsr) AS max_setup_rate FROM kpi GROUP BY CELL""",
     "P9": "SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
     "P13": f"{BASE} SELECT CELL, Traffic_Volume_Gbyte, ERAB_Drop_PC, Nof_Avg_SimRRC_ConnUsr FROM kpi",
+    "P8": "SELECT [CAST(l_linenumber AS DOUBLE), l_quantity, l_extendedprice, l_discount] AS features, l_tax FROM lineitem",
+    "P12": f"""{BASE} SELECT time_bucket(INTERVAL '8 hours', DATETIME, TIMESTAMP '1970-01-01') AS window_start, CELL,
+  COALESCE(AVG(ERAB_Drop_PC), 0.0) AS avg_drop_rate FROM kpi
+  WHERE DATETIME IS NOT NULL AND (ERAB_Drop_PC IS NULL OR CELL % 3 = 0) GROUP BY 1, 2""",
+    "F1": f"{BASE} SELECT CELL, date_trunc('second', DATETIME) AS DATETIME FROM kpi",
 }
 # A4 needs its own aggregate over the filled windows
 ORACLE["A4"] = (f"WITH w AS ({_P6_SQL}) SELECT ROUND(COALESCE(AVG(avg_traffic_volume_gbyte_8h), 0), 6) AS traffic, "
