@@ -2,10 +2,11 @@
 
 G1 is the one pass over the data every drift score needs.  Each task turns
 its Arrow batches into NumPy blocks and accumulates ``[1, x]ᵀ[1, x]`` per
-group key (count, sums and cross products together); the partial matrices
-leave the task as ``(group, i, j, value)`` rows, upper triangle only, and a
-grouped sum merges them.  The shuffle carries ``tasks × groups × d²/2`` small
-rows, never data rows, so a hot group costs nothing extra.
+group key (count, sums and cross products together); the partial matrix
+leaves the task as one packed upper-triangle array per group, is summed in a
+second, salted level, and only then spread to ``(group, i, j, value)`` rows.
+No data row is ever shuffled, so a group holding a third of all rows costs
+no more than any other: its rows are reduced inside the tasks that read them.
 """
 
 from __future__ import annotations
@@ -24,29 +25,44 @@ from windrift.functions.columns import qcol
 GROUP_ALL = "__all__"
 
 
-def _gram_partitions(d: int, has_group: bool):
+def _partial_grams(d: int, has_group: bool):
+    """Task side: accumulate ``[1, x]ᵀ[1, x]`` per group over the task's Arrow
+    batches; emit one row per group with the packed upper triangle."""
     iu, ju = np.triu_indices(d + 1)
 
     def run(batches):
         acc: dict[str, np.ndarray] = {}
+        salt = 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = pdf.iloc[:, 1:].to_numpy(dtype=np.float64, copy=False) if has_group else \
-                pdf.to_numpy(dtype=np.float64, copy=False)
-            keys = pdf.iloc[:, 0].astype(str).to_numpy() if has_group else None
+            salt = int(pdf["_pid"].iloc[0])
+            x = pdf.iloc[:, 2:].to_numpy(dtype=np.float64, copy=False) if has_group else \
+                pdf.iloc[:, 1:].to_numpy(dtype=np.float64, copy=False)
             if has_group:
+                keys = pdf["grp"].astype(str).to_numpy()
                 for g in pd.unique(keys):
-                    block = x[keys == g]
-                    _accumulate(acc, g, block)
+                    _accumulate(acc, g, x[keys == g])
             else:
                 _accumulate(acc, GROUP_ALL, x)
-        for g, m in acc.items():
-            yield pd.DataFrame({"grp": g, "i": iu.astype(np.int32), "j": ju.astype(np.int32), "v": m[iu, ju]})
+        if acc:
+            yield pd.DataFrame({"grp": list(acc), "salt": salt,
+                                "g": [m[iu, ju] for m in acc.values()]})
 
     return run
 
 
+def _merge_packed(batches):
+    """Second level: sum the packed partials of one shuffle partition per group."""
+    acc: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        for g, vec in zip(pdf["grp"], pdf["g"]):
+            v = np.asarray(vec, dtype=np.float64)
+            acc[g] = acc[g] + v if g in acc else v.copy()
+    if acc:
+        yield pd.DataFrame({"grp": list(acc), "g": list(acc.values())})
+
+
 def _accumulate(acc: dict, g: str, block: np.ndarray) -> None:
     ones = np.ones((block.shape[0], 1))
     xb = np.hstack([ones, block])
@@ -57,20 +73,35 @@ def _accumulate(acc: dict, g: str, block: np.ndarray) -> None:
         acc[g] = part
 
 
-def gram(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+def gram(df: DataFrame, cols: Sequence[str], group: str | None = None, merge_width: int | None = None) -> DataFrame:
     """G1: ``(grp, i, j, v)`` with index 0 the constant column: ``v(0,0)=n``,
     ``v(0,j)=Σx_j``, ``v(i,j)=Σx_i·x_j`` (1-based feature indices, i ≤ j).
 
-    Rows with a NULL feature are left out (complete cases), as a dense matrix
-    cannot hold them.
+    Two-level merge: every task emits one packed upper triangle per group it
+    saw (``(d+1)(d+2)/2`` doubles in one array, not one row per entry); those
+    arrays are hash-partitioned by (group, task-id salt) into ``merge_width``
+    partitions and summed there, so the final grouped sum sees at most
+    ``merge_width × groups`` arrays whatever the number of input tasks.
+    Rows with a NULL feature are left out (complete cases).
     """
     d = len(cols)
+    spark = df.sparkSession
+    width = merge_width or int(spark.conf.get("spark.sql.shuffle.partitions"))
     feats = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
-    sel = df.select(*([F.col(group).cast("string").alias("grp")] if group else []), *feats).dropna()
-    schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("i", T.IntegerType()),
-                           T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    parts = sel.mapInPandas(_gram_partitions(d, group is not None), schema)
-    return parts.groupBy("grp", "i", "j").agg(F.sum("v").alias("v"))
+    sel = df.select(F.spark_partition_id().alias("_pid"),
+                    *([F.col(group).cast("string").alias("grp")] if group else []), *feats).dropna()
+    packed = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
+                           T.StructField("g", T.ArrayType(T.DoubleType()))])
+    parts = sel.mapInPandas(_partial_grams(d, group is not None), packed)
+    merged = parts.repartition(width, "grp", F.pmod(F.col("salt"), F.lit(width))) \
+        .mapInPandas(_merge_packed, "grp string, g array<double>")
+    iu, ju = np.triu_indices(d + 1)
+    i_arr = F.array(*[F.lit(int(x)) for x in iu])
+    j_arr = F.array(*[F.lit(int(x)) for x in ju])
+    long = merged.select("grp", F.posexplode("g").alias("pos", "v"))
+    tot = long.groupBy("grp", "pos").agg(F.sum("v").alias("v"))
+    return tot.select("grp", F.element_at(i_arr, F.col("pos") + 1).alias("i"),
+                      F.element_at(j_arr, F.col("pos") + 1).alias("j"), "v")
 
 
 @dataclass
