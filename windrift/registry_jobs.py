@@ -230,7 +230,7 @@ def q_x1(spark, d):
     ev = sj.file_stream(spark, d, "events.parquet")
     kpi = fx.kpi_rows(ev)
     nb = prep.neighbour_pairs(prep.filter_overlap(fx.overlap_from_events(spark, d), THRESHOLD))
-    out = sj.windowed_stream(kpi, nb, prep.BASIC_SPEC, WIDTH, "8 hours")
+    out = sj.windowed_stream(kpi, nb, prep.BASIC_SPEC, WIDTH, "8 hours", exact_scale=EXACT)
     sj.run_to_parquet(out, os.path.join(base, "sink"), os.path.join(base, "ckpt"))
     return spark.read.parquet(os.path.join(base, "sink"))
 
@@ -318,6 +318,9 @@ def _more_oracles() -> dict:
                     for i in range(fx.N_CELLS))
     out["S5"] = f"{BASE} SELECT CAST(DATETIME AS DATE) AS date, {piv} FROM kpi GROUP BY 1"
     out["S7"] = _P6_SQL
+    from windrift.registry_prep import _BASIC_ROWS, _windowed_sql
+    out["X1"] = (f"WITH w AS ({_windowed_sql(_BASIC_ROWS, fill=False)}) SELECT * FROM w "
+                 f"WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '8 hours'")
     out["S6"] = _P6_SQL
     out["S9"] = (f'{BASE} SELECT N_CELL, ROUND(AVG("Overlap_Alan%"), 6) AS avg_overlap_pct FROM overlap GROUP BY N_CELL '
                  f'ORDER BY avg_overlap_pct DESC, N_CELL ASC LIMIT 10')

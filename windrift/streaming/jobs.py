@@ -39,9 +39,12 @@ def file_stream(spark: SparkSession, folder: str, glob: str | None = None, max_f
 
 
 def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: Sequence[prep.FeatureSpec],
-                    width: str = "8 hours", watermark: str = "8 hours", ts: str = "DATETIME") -> DataFrame:
+                    width: str = "8 hours", watermark: str = "8 hours", ts: str = "DATETIME",
+                    exact_scale: int | None = None, ntz_output: bool = True) -> DataFrame:
     """Streaming form of the windowed features.  ``ts`` is cast to
-    ``timestamp`` (watermarks reject ``timestamp_ntz``)."""
+    ``timestamp`` (watermarks reject ``timestamp_ntz``); window bounds go out
+    as ``timestamp_ntz`` again so batch and stream results have one type.
+    ``exact_scale`` sums fixed-point values as decimals, as the batch job."""
     present, _ = prep.resolve_spec(kpi_stream, spec)
     suffix = prep.width_suffix(width)
     s = kpi_stream.withColumn(ts, qcol(ts).cast("timestamp")).withWatermark(ts, watermark)
@@ -49,13 +52,22 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
         s = s.join(prep.bounded_broadcast(prep.neighbour_pairs(neighbours)), "CELL", "left")
     else:
         s = s.withColumn("N_CELL", F.lit(None).cast("string"))
+    sources = sorted({sp.source for sp in present})
     aggs = []
-    for sp in present:
-        fn = F.avg if sp.agg == "avg" else F.sum
-        aggs.append(fn(qcol(sp.source)).alias(sp.alias(suffix)))
+    for i, src in enumerate(sources):
+        aggs.append(prep._sum_expr(src, exact_scale).alias(f"_s{i}"))
+        aggs.append(F.count(qcol(src)).alias(f"_c{i}"))
     g = s.groupBy(F.window(qcol(ts), width).alias("w"), "CELL", "N_CELL").agg(*aggs)
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "CELL", "N_CELL",
-                    *[sp.alias(suffix) for sp in present])
+    idx = {src: i for i, src in enumerate(sources)}
+    outs = []
+    for sp in present:
+        tot = F.col(f"_s{idx[sp.source]}").cast("double")
+        val = tot if sp.agg == "sum" else tot / F.nullif(F.col(f"_c{idx[sp.source]}"), F.lit(0))
+        outs.append(val.alias(sp.alias(suffix)))
+    start, end = F.col("w.start"), F.col("w.end")
+    if ntz_output:
+        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+    return g.select(start.alias("window_start"), end.alias("window_end"), "CELL", "N_CELL", *outs)
 
 
 def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
