@@ -1,10 +1,11 @@
 """Drift detector on Spark.
 
-Data never leaves the executors: a fit is one aggregate pass (A12: mean and
-population std) plus one G1 pass over the scaled reference; a score is one G1
-pass over the scaled current data, grouped by batch or scenario key.  The
-driver only sees d-vectors and d×d matrices, does the eigen decomposition,
-and evaluates the ten 10-point calibration curves.
+Data never leaves the executors: a fit is one G1 pass over the reference
+(count, mean and centred scatter, from which the scaler and the scaled
+covariance follow on the driver); a score is one G1 pass over the current
+data, grouped by batch or scenario key.  The driver only sees d-vectors and
+d×d matrices, does the eigen decomposition, and evaluates the ten 10-point
+calibration curves.
 
 Scores follow the loading-based (dP) and reconstruction-based (dE) metrics:
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
 from windrift.functions.scalar import standardize
-from windrift.plans.moments import GROUP_ALL, Moments, collect_moments, gram, reconstruction_mse
+from windrift.plans.moments import GROUP_ALL, Moments, collect_moments, gram, group_moments, reconstruction_mse
 from windrift.plans.spline import fit_not_a_knot, make_increasing
 
 # Calibration levels 1 %, 11 %, …, 91 % (ten levels, D24) and
@@ -214,7 +215,8 @@ class DriftModel:
 def fit(reference: DataFrame, cols: Sequence[str], fraction: float | int = 0.90,
         calibration: str = "expected", repetitions: int = REPETITIONS, seed: int = 42,
         row_key: Sequence[str] | None = None, build_ae: bool = False, ae_params: dict | None = None) -> DriftModel:
-    """M5: scaler (A12) → G1 → PCA by fraction (M6) → calibration curves (M8).
+    """M5: one G1 pass → scaler (A12) and scaled covariance → PCA by fraction
+    (M6) → calibration curves (M8).
 
     ``calibration="expected"`` uses the closed form (no extra pass; one curve,
     since all repetitions share its expectation).  ``"permute"`` permutes the
@@ -222,9 +224,12 @@ def fit(reference: DataFrame, cols: Sequence[str], fraction: float | int = 0.90,
     reference does, and needs a stable ``row_key``.
     """
     cols = list(cols)
-    mean, std, n = scaler_stats(reference, cols)
+    # one pass: raw moments give the scaler (mean, population std) and, scaled
+    # on the driver, the covariance of the standardised reference
+    raw = group_moments(reference, cols)[GROUP_ALL]
+    mean, std, n = raw.mean, raw.std_pop, int(round(raw.n))
+    mom = raw.scaled(mean, std)
     scaled = scale_columns(reference, cols, mean, std, keep=list(row_key or []))
-    mom = collect_moments(gram(scaled, cols), len(cols))[GROUP_ALL]
     pca = pca_by_fraction(mom, fraction)
     m2 = mom.second_moment_about(pca.mean)
     s2 = float(np.trace(mom.second_moment_about(np.zeros(len(cols)))) / len(cols))
@@ -308,15 +313,17 @@ def score_moments(model: DriftModel, moments: dict[str, Moments], ae_mse: dict[s
 def score(model: DriftModel, current: DataFrame, group: str | None = None, compat_zero: bool = False) -> DataFrame:
     """All metrics for the current data, one row per group.
 
-    One G1 pass over the scaled current data gives every group's moments;
-    the autoencoder error, when a model has one, is a second pass.
+    One G1 pass over the current data gives every group's raw moments, which
+    the reference scaler standardises on the driver; the autoencoder error,
+    when a model has one, is a second pass.
     """
     spark = current.sparkSession
     keep = [group] if group else []
-    scaled = scale_columns(current, model.features, model.mean, model.std, keep=keep)
-    moments = collect_moments(gram(scaled, model.features, group), model.d)
+    raw = group_moments(current, model.features, group)
+    moments = {g: m.scaled(model.mean, model.std) for g, m in raw.items()}
     ae_mse = None
     if model.ae is not None:
+        scaled = scale_columns(current, model.features, model.mean, model.std, keep=keep)
         from windrift.plans.autoencoder import reconstruction_mse_by_group
         ae_mse = reconstruction_mse_by_group(scaled, model, group)
     rows = score_moments(model, moments, ae_mse, compat_zero)
@@ -324,9 +331,21 @@ def score(model: DriftModel, current: DataFrame, group: str | None = None, compa
 
 
 def gram_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
-               mean: np.ndarray | None = None, std: np.ndarray | None = None) -> DataFrame:
-    """G1 as a table over scaled features (scaler from ``df`` unless given)."""
+               mean: np.ndarray | None = None, std: np.ndarray | None = None,
+               ref_group: str | None = None) -> DataFrame:
+    """G1 as a table ``(grp, i, j, v)`` of sums over standardised features.
+
+    One grouped moments pass over the raw data; the scaler is either given,
+    or taken from the ``ref_group`` group of that same pass (so a reference
+    inside the table costs no extra pass), and applied on the driver."""
+    spark = df.sparkSession
+    d = len(cols)
+    raw = group_moments(df, cols, group)
     if mean is None or std is None:
-        mean, std, _ = scaler_stats(df, cols)
-    keep = [group] if group else []
-    return gram(scale_columns(df, cols, mean, std, keep=keep), cols, group)
+        base = raw[ref_group] if ref_group is not None else raw[GROUP_ALL]
+        mean, std = base.mean, base.std_pop
+    rows = []
+    for g, m in sorted(raw.items()):
+        sums = m.scaled(mean, std).raw_sums()
+        rows += [(g, i, j, float(sums[i, j])) for i in range(d + 1) for j in range(i, d + 1)]
+    return spark.createDataFrame(rows, "grp string, i int, j int, v double")

@@ -1,16 +1,26 @@
-"""Grouped second moments (G1) and reconstruction error from moments.
+"""Grouped moments (G1) and reconstruction error from moments.
 
 G1 is the one pass over the data every drift score needs.  Each task turns
-its Arrow batches into NumPy blocks and accumulates ``[1, x]ᵀ[1, x]`` per
-group key (count, sums and cross products together); the partial matrix
-leaves the task as one packed upper-triangle array per group, is summed in a
-second, salted level, and only then spread to ``(group, i, j, value)`` rows.
-No data row is ever shuffled, so a group holding a third of all rows costs
-no more than any other: its rows are reduced inside the tasks that read them.
+its Arrow batches into NumPy blocks and keeps, per group key, the count, the
+mean and the centred scatter ``M2 = Σ(x-mean)(x-mean)ᵀ`` of the rows it has
+read.  Partial results are merged with the pairwise formula of Chan, Golub
+and LeVeque (``M2 = M2a + M2b + na·nb/n · δδᵀ``), which stays exact for data
+with large means: no raw cross product of big values is ever formed.
+
+The merge has three levels, none of which moves data rows:
+
+1. inside each task (one packed array per group it saw);
+2. salted: arrays hash-partitioned by (group, task id mod ⌈√tasks⌉);
+3. per group: the ≤ ⌈√tasks⌉ arrays of each group in one task.
+
+So a group holding a third of all rows costs no more than any other: its rows
+are reduced in the tasks that read them.  The driver receives one array of
+``1 + d + d(d+1)/2`` doubles per group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,83 +35,98 @@ from windrift.functions.columns import qcol
 GROUP_ALL = "__all__"
 
 
-def _partial_grams(d: int, has_group: bool):
-    """Task side: accumulate ``[1, x]ᵀ[1, x]`` per group over the task's Arrow
-    batches; emit one row per group with the packed upper triangle."""
-    iu, ju = np.triu_indices(d + 1)
+def _pack(n: float, mean: np.ndarray, m2: np.ndarray, iu, ju) -> np.ndarray:
+    return np.concatenate([[n], mean, m2[iu, ju]])
+
+
+def _unpack(vec: np.ndarray, d: int, iu, ju) -> tuple[float, np.ndarray, np.ndarray]:
+    n = float(vec[0])
+    mean = np.asarray(vec[1:1 + d], dtype=np.float64)
+    m2 = np.zeros((d, d))
+    m2[iu, ju] = vec[1 + d:]
+    m2[ju, iu] = vec[1 + d:]
+    return n, mean, m2
+
+
+def _combine(a, b):
+    """Chan et al. pairwise update of (n, mean, M2)."""
+    na, ma, sa = a
+    nb, mb, sb = b
+    if na == 0:
+        return b
+    if nb == 0:
+        return a
+    n = na + nb
+    delta = mb - ma
+    mean = ma + delta * (nb / n)
+    m2 = sa + sb + np.outer(delta, delta) * (na * nb / n)
+    return n, mean, m2
+
+
+def _block_moments(x: np.ndarray):
+    n = float(x.shape[0])
+    mean = x.mean(axis=0)
+    c = x - mean
+    return n, mean, c.T @ c
+
+
+def _task_moments(d: int, has_group: bool):
+    iu, ju = np.triu_indices(d)
 
     def run(batches):
-        acc: dict[str, np.ndarray] = {}
+        acc: dict[str, tuple] = {}
         salt = 0
         for pdf in batches:
             if pdf.empty:
                 continue
             salt = int(pdf["_pid"].iloc[0])
-            x = pdf.iloc[:, 2:].to_numpy(dtype=np.float64, copy=False) if has_group else \
-                pdf.iloc[:, 1:].to_numpy(dtype=np.float64, copy=False)
+            x = pdf.iloc[:, 2 if has_group else 1:].to_numpy(dtype=np.float64, copy=False)
             if has_group:
                 keys = pdf["grp"].astype(str).to_numpy()
                 for g in pd.unique(keys):
-                    _accumulate(acc, g, x[keys == g])
+                    part = _block_moments(x[keys == g])
+                    acc[g] = _combine(acc[g], part) if g in acc else part
             else:
-                _accumulate(acc, GROUP_ALL, x)
+                part = _block_moments(x)
+                acc[GROUP_ALL] = _combine(acc[GROUP_ALL], part) if GROUP_ALL in acc else part
         if acc:
             yield pd.DataFrame({"grp": list(acc), "salt": salt,
-                                "g": [m[iu, ju] for m in acc.values()]})
+                                "g": [_pack(*m, iu, ju) for m in acc.values()]})
 
     return run
 
 
-def _merge_packed(batches):
-    """Second level: sum the packed partials of one shuffle partition per group."""
-    acc: dict[str, np.ndarray] = {}
-    for pdf in batches:
-        for g, vec in zip(pdf["grp"], pdf["g"]):
-            v = np.asarray(vec, dtype=np.float64)
-            acc[g] = acc[g] + v if g in acc else v.copy()
-    if acc:
-        yield pd.DataFrame({"grp": list(acc), "g": list(acc.values())})
-
-
-def _accumulate(acc: dict, g: str, block: np.ndarray) -> None:
-    ones = np.ones((block.shape[0], 1))
-    xb = np.hstack([ones, block])
-    part = xb.T @ xb
-    if g in acc:
-        acc[g] += part
-    else:
-        acc[g] = part
-
-
-def gram(df: DataFrame, cols: Sequence[str], group: str | None = None, merge_width: int | None = None) -> DataFrame:
-    """G1: ``(grp, i, j, v)`` with index 0 the constant column: ``v(0,0)=n``,
-    ``v(0,j)=Σx_j``, ``v(i,j)=Σx_i·x_j`` (1-based feature indices, i ≤ j).
-
-    Two-level merge: every task emits one packed upper triangle per group it
-    saw (``(d+1)(d+2)/2`` doubles in one array, not one row per entry); those
-    arrays are hash-partitioned by (group, task-id salt) into ``merge_width``
-    partitions and summed there, so the final grouped sum sees at most
-    ``merge_width × groups`` arrays whatever the number of input tasks.
-    Rows with a NULL feature are left out (complete cases).
-    """
+def _merge(d: int):
+    iu, ju = np.triu_indices(d)
+
+    def run(batches):
+        acc: dict[str, tuple] = {}
+        for pdf in batches:
+            for g, vec in zip(pdf["grp"], pdf["g"]):
+                m = _unpack(np.asarray(vec, dtype=np.float64), d, iu, ju)
+                acc[g] = _combine(acc[g], m) if g in acc else m
+        if acc:
+            yield pd.DataFrame({"grp": list(acc), "g": [_pack(*m, iu, ju) for m in acc.values()]})
+
+    return run
+
+
+def moments_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
+                  merge_width: int | None = None) -> DataFrame:
+    """G1 as ``(grp, g)``: one packed ``(n, mean, upper(M2))`` per group.
+
+    Rows with a NULL feature are left out (complete cases)."""
     d = len(cols)
-    spark = df.sparkSession
-    width = merge_width or int(spark.conf.get("spark.sql.shuffle.partitions"))
     feats = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
     sel = df.select(F.spark_partition_id().alias("_pid"),
                     *([F.col(group).cast("string").alias("grp")] if group else []), *feats).dropna()
+    width = merge_width or max(1, math.ceil(math.sqrt(sel.rdd.getNumPartitions())))
     packed = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
-    parts = sel.mapInPandas(_partial_grams(d, group is not None), packed)
-    merged = parts.repartition(width, "grp", F.pmod(F.col("salt"), F.lit(width))) \
-        .mapInPandas(_merge_packed, "grp string, g array<double>")
-    iu, ju = np.triu_indices(d + 1)
-    i_arr = F.array(*[F.lit(int(x)) for x in iu])
-    j_arr = F.array(*[F.lit(int(x)) for x in ju])
-    long = merged.select("grp", F.posexplode("g").alias("pos", "v"))
-    tot = long.groupBy("grp", "pos").agg(F.sum("v").alias("v"))
-    return tot.select("grp", F.element_at(i_arr, F.col("pos") + 1).alias("i"),
-                      F.element_at(j_arr, F.col("pos") + 1).alias("j"), "v")
+    out = "grp string, g array<double>"
+    level1 = sel.mapInPandas(_task_moments(d, group is not None), packed)
+    level2 = level1.repartition(width, "grp", F.pmod(F.col("salt"), F.lit(width))).mapInPandas(_merge(d), out)
+    return level2.repartition(width, "grp").mapInPandas(_merge(d), out)
 
 
 @dataclass
@@ -115,32 +140,58 @@ class Moments:
     def cov(self) -> np.ndarray:
         return self.scatter / max(self.n - 1.0, 1.0)
 
+    @property
+    def std_pop(self) -> np.ndarray:
+        return np.sqrt(np.clip(np.diag(self.scatter) / self.n, 0.0, None))
+
     def second_moment_about(self, mu: np.ndarray) -> np.ndarray:
         """``(1/n) Σ (x-mu)(x-mu)ᵀ``."""
         delta = self.mean - mu
         return self.scatter / self.n + np.outer(delta, delta)
 
+    def scaled(self, mean: np.ndarray, std: np.ndarray) -> Moments:
+        """Moments of ``(x - mean) / std`` (std 0 → 1), without another pass."""
+        s = np.where(std == 0, 1.0, std)
+        return Moments(self.n, (self.mean - mean) / s, self.scatter / np.outer(s, s))
+
+    def raw_sums(self) -> np.ndarray:
+        """``[1, x]ᵀ[1, x]`` summed over rows: n, Σx and Σxxᵀ."""
+        d = len(self.mean)
+        g = np.zeros((d + 1, d + 1))
+        g[0, 0] = self.n
+        g[0, 1:] = g[1:, 0] = self.n * self.mean
+        g[1:, 1:] = self.scatter + self.n * np.outer(self.mean, self.mean)
+        return g
 
-def collect_moments(gram_df: DataFrame, d: int) -> dict[str, Moments]:
-    """Fold the long G1 result (``groups × (d+1)(d+2)/2`` rows) into matrices."""
-    rows = gram_df.collect()
-    full: dict[str, np.ndarray] = {}
-    for r in rows:
-        m = full.setdefault(r["grp"], np.zeros((d + 1, d + 1)))
-        m[r["i"], r["j"]] = r["v"]
-        m[r["j"], r["i"]] = r["v"]
+
+def collect_moments(table: DataFrame, d: int) -> dict[str, Moments]:
+    """Bring the per-group packed moments to the driver (one small array each)."""
+    iu, ju = np.triu_indices(d)
     out = {}
-    for g, m in full.items():
-        n = m[0, 0]
-        if n <= 0:
-            continue
-        s = m[0, 1:]
-        mean = s / n
-        scatter = m[1:, 1:] - np.outer(s, s) / n
-        out[g] = Moments(n, mean, (scatter + scatter.T) / 2.0)
+    for r in table.collect():
+        n, mean, m2 = _unpack(np.asarray(r["g"], dtype=np.float64), d, iu, ju)
+        if n > 0:
+            out[r["grp"]] = Moments(n, mean, m2)
     return out
 
 
+def group_moments(df: DataFrame, cols: Sequence[str], group: str | None = None) -> dict[str, Moments]:
+    return collect_moments(moments_table(df, cols, group), len(cols))
+
+
+def gram(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+    """G1 in long form ``(grp, i, j, v)``, index 0 the constant column:
+    ``v(0,0)=n``, ``v(0,j)=Σx_j``, ``v(i,j)=Σx_i·x_j`` (i ≤ j).  Built on the
+    driver from the per-group moments (``groups × (d+1)(d+2)/2`` rows)."""
+    spark = df.sparkSession
+    d = len(cols)
+    rows = []
+    for g, m in sorted(group_moments(df, cols, group).items()):
+        s = m.raw_sums()
+        rows += [(g, i, j, float(s[i, j])) for i in range(d + 1) for j in range(i, d + 1)]
+    return spark.createDataFrame(rows, "grp string, i int, j int, v double")
+
+
 def reconstruction_mse(m2: np.ndarray, loadings: np.ndarray) -> float:
     """Mean squared error of projecting onto the ``k×d`` loadings,
     from the second-moment matrix about the PCA mean:

@@ -57,8 +57,7 @@ def curve_values(spark: SparkSession, model: det.DriftModel, scores: DataFrame)
 
 def cosine_table(spark: SparkSession, model: det.DriftModel, current: DataFrame) -> DataFrame:
     """``(component, lambda_ref, abs_cos)`` for rank-paired components."""
-    scaled = det.scale_columns(current, model.features, model.mean, model.std)
-    mom = det.collect_moments(det.gram(scaled, model.features), model.d)[det.GROUP_ALL]
+    mom = det.group_moments(current, model.features)[det.GROUP_ALL].scaled(model.mean, model.std)
     pc = det.pca_by_fraction(mom, model.fraction)
     cos = det.abs_cosines(model.pca.components, pc.components)
     rows = [(a + 1, float(model.pca.eigenvalues[a]), float(cos[a])) for a in range(len(cos))]

@@ -237,9 +237,7 @@ def _fit(spark, d, calibration="expected"):
 
 
 def q_g1(spark, d):
-    li = _li(spark, d)
-    mean, std, _ = det.scaler_stats(li.filter("is_ref"), FEATS)
-    g = det.gram_table(li, FEATS, "is_ref", mean, std)
+    g = det.gram_table(_li(spark, d), FEATS, "is_ref", ref_group="true")
     return g.select("grp", "i", "j", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
@@ -247,9 +245,7 @@ EMB = fx.embedding_names()
 
 
 def q_g1_wide(spark, d):
-    e = fx.embedding_features(spark, d)
-    mean, std, _ = det.scaler_stats(e.filter("is_ref"), EMB)
-    g = det.gram_table(e, EMB, "is_ref", mean, std)
+    g = det.gram_table(fx.embedding_features(spark, d), EMB, "is_ref", ref_group="true")
     return g.select("grp", "i", "j", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
