@@ -133,9 +133,14 @@ class MlReady:
 
 
 def ml_ready(windowed: DataFrame, wanted: Sequence[str] = PCA_FEATURES, k: int = PCA_K,
-             threshold: float = 0.0, strict: bool = False) -> MlReady:
+             threshold: float = 0.0, strict: bool = False, materialize: bool = True) -> MlReady:
     """The second preparation stage: features ∩ available → assemble →
-    variance filter → PCA → ``(window, CELL, N_CELL, features)``."""
+    variance filter → PCA → ``(window, CELL, N_CELL, features)``.
+
+    The variance fit, the PCA fit and the final transform each read the
+    assembled frame; with ``materialize`` it is checkpointed once to the
+    shared folder, so its upstream (e.g. the windowed aggregation over the
+    raw KPI rows) runs once instead of three times."""
     available = set(windowed.columns)
     valid = [c for c in wanted if c in available]
     missing = [c for c in wanted if c not in available]
@@ -143,7 +148,11 @@ def ml_ready(windowed: DataFrame, wanted: Sequence[str] = PCA_FEATURES, k: int =
         raise ValueError(f"missing features: {missing}")
     if not valid:
         raise ValueError("no valid feature found in the input")
-    assembled = assemble(windowed, valid, "temp_features")
+    assembled = assemble(windowed.select("window_start", "window_end", "CELL", "N_CELL", *valid), valid,
+                         "temp_features").select("window_start", "window_end", "CELL", "N_CELL", "temp_features")
+    if materialize:
+        from windrift.session import cut_lineage
+        assembled = cut_lineage(assembled)
     sel = variance_filter(assembled, valid, "temp_features", "vt_features", threshold)
     pca = pca_project(sel.frame, len(sel.kept), k)
     final = pca.frame.select("window_start", "window_end", "CELL", "N_CELL", "features")

@@ -33,6 +33,7 @@ from pyspark.sql import Window
 
 from windrift.operators.ordering import HASH_BITS, row_hash
 from windrift.operators.prep import bounded_broadcast
+from windrift.session import cut_lineage
 
 LEVELS = [0.01 + 0.1 * i for i in range(10)]
 
@@ -63,28 +64,23 @@ def _ranked_moves(long: DataFrame, keys: Sequence[str], reps: int, seed: int,
     of a bucket, the first cell of the next non-empty bucket (from the same
     small aggregate).  No global sort, no self-join.
     """
-    spark = long.sparkSession
     n_cells = long.count()
     bits = _bucket_bits(n_cells)
     lr = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     lr = lr.withColumn("h1", row_hash(seed, "rep", *keys, "j")) \
         .withColumn("b", F.shiftright(F.col("h1"), HASH_BITS - bits))
-    stats = lr.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", "h1").alias("first_v")) \
-        .orderBy("rep", "b").collect()
-    rows, acc, prev = [], {}, {}
-    for r in stats:
-        off = acc.get(r["rep"], 0)
-        acc[r["rep"]] = off + r["n"]
-        rows.append([r["rep"], r["b"], off, None])
-        if r["rep"] in prev:
-            prev[r["rep"]][3] = r["first_v"]   # successor of the previous bucket's last cell
-        prev[r["rep"]] = rows[-1]
-    first_by_rep = {r["rep"]: r["first_v"] for r in stats if r["b"] == min(x["b"] for x in stats if x["rep"] == r["rep"])}
-    offsets = spark.createDataFrame([tuple(x) for x in rows], "rep int, b long, off long, next_first double")
+    # per (rep, bucket): size and first value; reps × 2^bits rows, kept in Spark
+    stats = cut_lineage(lr.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"),
+                                                   F.min_by("v", "h1").alias("first_v")))
+    by_rep = Window.partitionBy("rep").orderBy("b")
+    offsets = stats.select("rep", "b", (F.sum("n").over(by_rep) - F.col("n")).alias("off"),
+                           F.lead("first_v").over(by_rep).alias("next_first"))
+    first_by_rep = {r["rep"]: r["v0"] for r in
+                    stats.groupBy("rep").agg(F.min_by("first_v", "b").alias("v0")).collect()}
     w = Window.partitionBy("rep", "b").orderBy("h1")
     ranked = (lr.withColumn("_i", F.row_number().over(w) - 1)
               .withColumn("_lead", F.lead("v").over(w))
-              .join(bounded_broadcast(offsets), ["rep", "b"], "left")
+              .join(bounded_broadcast(offsets, known_rows=reps << bits), ["rep", "b"], "left")
               .withColumn("r", F.col("off") + F.col("_i"))
               .withColumn("v_next", F.coalesce(F.col("_lead"), F.col("next_first"))))
     ranked = ranked.drop("_i", "_lead", "off", "next_first", "h1", "b")
