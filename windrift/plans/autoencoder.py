@@ -6,14 +6,16 @@ squared error, Adam, mini-batches of 32, input noise 0.1·N(0,1).
 
 Training is parameter mixing: every epoch the driver broadcasts the weights,
 each task runs one epoch of mini-batch Adam over its own rows, and the task
-results are averaged (weighted by rows) with a grouped sum over the flat
-parameter index — so only one parameter vector reaches the driver per epoch.
+results are averaged (weighted by rows): each task emits one packed array,
+summed in two salted levels, so only one parameter vector reaches the driver
+per epoch.
 This is not the single-process trajectory of a Keras fit; only the score
 behaviour (bands over scenarios) can be compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
 from windrift.functions.scalar import gaussian
+from windrift.plans.moments import tree_sum
 
 DEFAULTS = {"hidden_layers": [64, 32], "epochs": 20, "batch_size": 32, "noise_factor": 0.1,
             "learning_rate": 0.001}
@@ -124,9 +127,10 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
     else:
         n_cols = [(qcol(c) + F.lit(cfg["noise_factor"]) * F.randn(seed + j)).alias(f"n{j}")
                   for j, c in enumerate(cols)]
-    train = scaled.select(*x_cols, *n_cols).dropna()
-    schema = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("wsum", T.DoubleType()),
-                           T.StructField("n", T.DoubleType())])
+    train = scaled.select(F.spark_partition_id().alias("_pid"), *x_cols, *n_cols).dropna()
+    width = max(1, math.ceil(math.sqrt(train.rdd.getNumPartitions())))
+    schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
+                           T.StructField("g", T.ArrayType(T.DoubleType()))])
     for epoch in range(cfg["epochs"]):
         flat = flatten(params)
         bc = scaled.sparkSession.sparkContext.broadcast(flat)
@@ -137,22 +141,21 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
             if not pdfs:
                 return
             pdf = pd.concat(pdfs, ignore_index=True)
+            salt = int(pdf["_pid"].iloc[0])
             xc = pdf[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
             xn = pdf[[f"n{j}" for j in range(d)]].to_numpy(dtype=float)
             rng = np.random.default_rng([ep_seed, len(xc)])
             p0 = unflatten(np.asarray(bc.value), sizes)
             p1 = train_epoch(p0, xn, xc, cfg["batch_size"], cfg["learning_rate"], rng)
             w = flatten(p1)
-            yield pd.DataFrame({"idx": np.arange(len(w), dtype=np.int32), "wsum": w * len(xc),
-                                "n": np.full(len(w), float(len(xc)))})
+            # one packed row per task: rows-weighted weights, then the row count
+            yield pd.DataFrame({"grp": ["w"], "salt": [salt], "g": [np.append(w * len(xc), float(len(xc)))]})
 
-        agg = train.mapInPandas(run, schema).groupBy("idx").agg(F.sum("wsum").alias("ws"), F.sum("n").alias("n"))
-        rows = agg.collect()
+        rows = tree_sum(train.mapInPandas(run, schema), width).collect()
         bc.unpersist()
-        new = np.zeros_like(flat)
-        for r in rows:
-            new[r["idx"]] = r["ws"] / r["n"] if r["n"] else flat[r["idx"]]
-        params = unflatten(new, sizes)
+        if rows and rows[0]["g"][-1] > 0:
+            total = np.asarray(rows[0]["g"], dtype=np.float64)
+            params = unflatten(total[:-1] / total[-1], sizes)
     out = {"sizes": sizes, "params": flatten(params).tolist(), "curves": []}
     if keys:
         from windrift.plans.detector import Curve

@@ -199,3 +199,22 @@ def reconstruction_mse(m2: np.ndarray, loadings: np.ndarray) -> float:
     d = m2.shape[0]
     p = np.asarray(loadings)
     return float((np.trace(m2) - np.trace(p @ m2 @ p.T)) / d)
+
+
+def _sum_packed(batches):
+    acc: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        for g, vec in zip(pdf["grp"], pdf["g"]):
+            v = np.asarray(vec, dtype=np.float64)
+            acc[g] = acc[g] + v if g in acc else v.copy()
+    if acc:
+        yield pd.DataFrame({"grp": list(acc), "g": list(acc.values())})
+
+
+def tree_sum(parts: DataFrame, width: int) -> DataFrame:
+    """Element-wise sum of packed ``(grp, salt, g array<double>)`` rows per
+    ``grp`` in two salted levels (no row per element, no single reducer
+    receiving every task's array)."""
+    out = "grp string, g array<double>"
+    level2 = parts.repartition(width, "grp", F.pmod(F.col("salt"), F.lit(width))).mapInPandas(_sum_packed, out)
+    return level2.repartition(width, "grp").mapInPandas(_sum_packed, out)
