@@ -140,9 +140,8 @@ def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequ
     moved, n_cells, first_by_rep = _ranked_moves(long, keys, repetitions, seed, levels, with_levels=False)
     ms = np.array([int(n_cells * p) for p in levels], dtype=np.int64)
     v0 = np.array([first_by_rep.get(r, np.nan) for r in range(repetitions)], dtype=float)
-    n_parts = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (moved.select("rep", *keys, "j", "v", "r", "v_next")
-               .repartition(n_parts, "rep", *keys)
+               .repartition("rep", *keys)          # AQE sizes the partitions
                .sortWithinPartitions("rep", *keys, "j")
                .select("rep", "v", "r", "v_next"))
 

@@ -231,7 +231,7 @@ def q_x1(spark, d):
     kpi = fx.kpi_rows(ev)
     nb = prep.neighbour_pairs(prep.filter_overlap(fx.overlap_from_events(spark, d), THRESHOLD))
     out = sj.windowed_stream(kpi, nb, prep.BASIC_SPEC, WIDTH, "8 hours", exact_scale=EXACT)
-    sj.run_to_parquet(out, os.path.join(base, "sink"), os.path.join(base, "ckpt"))
+    sj.run_to_parquet(out, os.path.join(base, "sink"), os.path.join(base, "ckpt"), state_partitions=8)
     return spark.read.parquet(os.path.join(base, "sink"))
 
 

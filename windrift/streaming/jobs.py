@@ -71,12 +71,23 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
 
 
 def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-                   mode: str = "append"):
+                   mode: str = "append", state_partitions: int | None = None):
     """Start the stream into a Parquet sink and, with ``availableNow``, wait
-    until everything present has been processed."""
+    until everything present has been processed.
+
+    ``state_partitions`` fixes the number of state-store partitions of a new
+    query (it is recorded in the checkpoint and cannot change later); size it
+    to the state volume, not to the batch shuffle setting."""
+    spark = stream.sparkSession
     w = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
         .outputMode(mode)
-    q = w.trigger(availableNow=True).start() if available_now else w.start()
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:  # the stream clones the session conf when it starts
+        q = w.trigger(availableNow=True).start() if available_now else w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     if available_now:
         q.awaitTermination()
     return q
