@@ -6,8 +6,8 @@ stream-static join, the aggregation keeps per-window state bounded by the
 watermark, and append mode emits each window once, after it has closed.
 
 X2 scores each micro-batch against a saved drift model inside
-``foreachBatch``; the history write is idempotent by ``batch_id`` so a
-replayed batch adds nothing.
+``foreachBatch``; each batch overwrites its own ``batch_id`` partition of the
+history, so a replayed batch adds nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from windrift.functions.columns import qcol
 from windrift.operators import prep
@@ -95,22 +94,18 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, available_now:
 
 def scoring_sink(model: det.DriftModel, history_path: str, group: str | None = None
                  ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that scores one micro-batch and appends
-    the result rows with their ``batch_id``; a batch already in the history
-    is skipped (idempotent replay)."""
+    """``foreachBatch`` function that scores one micro-batch and writes
+    its rows to the history partition ``batch_id=<id>`` in overwrite mode.
+
+    A replayed batch rewrites its own partition with the same rows, so the
+    history never holds a batch twice, and no history is read per batch
+    (its cost does not grow with the number of batches seen)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(history_path).filter(F.col("batch_id") == F.lit(batch_id)).limit(1).count()
-        except AnalysisException:  # no history yet
-            seen = 0
-        if seen:
-            return
         if batch.limit(1).count() == 0:
             return
-        res = det.score(model, batch, group).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        res.write.mode("append").parquet(history_path)
+        res = det.score(model, batch, group)
+        res.coalesce(1).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={int(batch_id)}")
 
     return handle
 
