@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windrift.operators import inject
 from windrift.plans import detector as det
-from windrift.plans.moments import group_moments, moments_table, tree_sum
+from windrift.plans.moments import group_moments, tree_sum
 from windrift.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 

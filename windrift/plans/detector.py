@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
 from windrift.functions.scalar import standardize
-from windrift.plans.moments import GROUP_ALL, Moments, collect_moments, gram, group_moments, reconstruction_mse
+from windrift.plans.moments import GROUP_ALL, Moments, group_moments, reconstruction_mse
 from windrift.plans.spline import fit_not_a_knot, make_increasing
 
 # Calibration levels 1 %, 11 %, …, 91 % (ten levels, D24) and

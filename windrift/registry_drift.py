@@ -3,12 +3,9 @@ detector (B3 inputs), with DuckDB oracles where the result is SQL-expressible.""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrift.functions import bands
-from windrift.functions.columns import qcol
 from windrift.functions.scalar import clip, gaussian, signed_cbrt, standardize
 from windrift.operators import inject, ordering, reshape, stats
 from windrift.plans import detector as det
@@ -321,7 +318,6 @@ def q_m15(spark, d):
 def q_m16(spark, d):
     r, _ = _split(spark, d)
     m = det.fit(r, FEATS)
-    cur = _li(spark, d).filter(~F.col("is_ref"))
     return det.score(m, _li(spark, d), "batch")
 
 
