@@ -73,3 +73,30 @@ def test_full_kpi_schema_csv_through_all_features(spark, tmp_dir):
     row = w.agg(*[F.sum(c).alias(c) for c in ("avg_cqi_8h", "avg_traffic_volume_gbyte_8h")]).first()
     assert row["avg_cqi_8h"] == 0.0 and row["avg_traffic_volume_gbyte_8h"] > 0
     assert w.filter(F.col("N_CELL").isNull()).count() > 0   # string keys: NULL neighbour kept
+
+
+def test_stream_windows_in_non_utc_session(spark, tmp_dir):
+    from windrift.streaming import jobs as sj
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Istanbul")
+        ev = sj.file_stream(spark, SF_SMALL, "events.parquet")
+        out = sj.windowed_stream(fx.kpi_rows(ev), None, prep.BASIC_SPEC, "8 hours", "8 hours", exact_scale=2)
+        sj.run_to_parquet(out, os.path.join(tmp_dir, "s"), os.path.join(tmp_dir, "c"), state_partitions=4)
+        streamed = spark.read.parquet(os.path.join(tmp_dir, "s"))
+        hours = {r["h"] for r in streamed.select(F.hour("window_start").alias("h")).distinct().collect()}
+        assert hours <= {0, 8, 16}
+        batch = prep.windowed_features(fx.kpi_from_events(spark, SF_SMALL), None, prep.BASIC_SPEC, exact_scale=2)
+        keys = ["window_start", "CELL"]
+        j = streamed.join(batch.select(*keys, F.col("avg_traffic_8h").alias("b")), keys)
+        assert j.count() == streamed.count() > 0
+        assert j.filter(F.col("avg_traffic_8h") != F.col("b")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_quality_counts(spark):
+    df = spark.createDataFrame([(None, 1), ("2024-01-01 00:00:00", None), ("2024-01-01 01:00:00", 2)],
+                               "t string, CELL int").select(F.col("t").cast("timestamp").alias("DATETIME"), "CELL")
+    r = prep.kpi_quality(df).first()
+    assert (r["n_rows"], r["null_time"], r["null_cell"], r["corrupt"]) == (3, 1, 1, 0)

@@ -333,6 +333,19 @@ def drop_first_column(df: DataFrame) -> DataFrame:
     return df.drop(df.columns[0])
 
 
+# --------------------------------------------------------------------------- quality
+def kpi_quality(kpi: DataFrame, ts: str = "DATETIME", corrupt: str = "_corrupt_record") -> DataFrame:
+    """One row of input counts: all rows, rows without time (dropped by the
+    windowing, D6), rows without cell, and malformed lines kept by a
+    PERMISSIVE read (0 when the read did not keep them)."""
+    aggs = [F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(qcol(ts).isNull()).alias("null_time"),
+            F.count_if(F.col("CELL").isNull()).alias("null_cell")]
+    aggs.append(F.count_if(qcol(corrupt).isNotNull()).alias("corrupt") if corrupt in kpi.columns
+                else F.lit(0).cast("long").alias("corrupt"))
+    return kpi.agg(*aggs)
+
+
 # --------------------------------------------------------------------------- A3-A9, T1
 def totals(kpi: DataFrame) -> DataFrame:
     """A3 without fan-out: global sum of traffic, mean drop rate, mean users."""

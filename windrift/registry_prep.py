@@ -233,7 +233,12 @@ def q_f1(spark, d):
     return k.select("CELL", parse_timestamp("txt").cast("timestamp_ntz").alias("DATETIME"))
 
 
+def q_quality(spark, d):
+    return prep.kpi_quality(_kpi(spark, d))
+
+
 QUERIES = {
+    "D6_quality": q_quality,
     "P8": q_p8, "P12": q_p12, "F1": q_f1,
     "A1": q_a1, "A2": q_a2, "A2_literal": q_a2_literal, "P6": q_p6, "P3": q_p3, "P4": q_p4,
     "J1": q_j1, "J2": q_j2, "W1": q_w1, "A3": q_a3, "A3_unjoined": q_a3_unjoined, "A4": q_a4,
@@ -287,6 +292,8 @@ SELECT CAST(SUM(CAST(Traffic_Volume_Gbyte AS DECIMAL(18,2))) AS DOUBLE) AS total
   COALESCE(AVG(ERAB_Drop_PC), 0.0) AS avg_drop_rate FROM kpi
   WHERE DATETIME IS NOT NULL GROUP BY 1, 2""",
     "F1": f"{BASE} SELECT CELL, date_trunc('second', DATETIME) AS DATETIME FROM kpi",
+    "D6_quality": f"""{BASE} SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE DATETIME IS NULL) AS null_time,
+  COUNT(*) FILTER (WHERE CELL IS NULL) AS null_cell, CAST(0 AS BIGINT) AS corrupt FROM kpi""",
 }
 # A4 needs its own aggregate over the filled windows
 ORACLE["A4"] = (f"WITH w AS ({_P6_SQL}) SELECT ROUND(COALESCE(AVG(avg_traffic_volume_gbyte_8h), 0), 6) AS traffic, "

@@ -46,7 +46,10 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
     ``exact_scale`` sums fixed-point values as decimals, as the batch job."""
     present, _ = prep.resolve_spec(kpi_stream, spec)
     suffix = prep.width_suffix(width)
-    s = kpi_stream.withColumn(ts, qcol(ts).cast("timestamp")).withWatermark(ts, watermark)
+    tz = kpi_stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    # wall-clock time as a UTC instant, so windows align as in the batch job
+    # whatever the session zone
+    s = kpi_stream.withColumn(ts, F.from_utc_timestamp(qcol(ts).cast("timestamp"), tz)).withWatermark(ts, watermark)
     if neighbours is not None:
         s = s.join(prep.bounded_broadcast(prep.neighbour_pairs(neighbours)), "CELL", "left")
     else:
@@ -63,7 +66,7 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
         tot = F.col(f"_s{idx[sp.source]}").cast("double")
         val = tot if sp.agg == "sum" else tot / F.nullif(F.col(f"_c{idx[sp.source]}"), F.lit(0))
         outs.append(val.alias(sp.alias(suffix)))
-    start, end = F.col("w.start"), F.col("w.end")
+    start, end = F.to_utc_timestamp(F.col("w.start"), tz), F.to_utc_timestamp(F.col("w.end"), tz)
     if ntz_output:
         start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
     return g.select(start.alias("window_start"), end.alias("window_end"), "CELL", "N_CELL", *outs)
