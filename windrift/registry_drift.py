@@ -90,7 +90,7 @@ def q_j3(spark, d):
 def q_f5(spark, d):
     r, c = _split(spark, d)
     t = stats.compare_stat(r, c, FEATS, "mean", rounded=False)
-    return t.select("j", "feature", F.round("change_pct", 6).alias("change_pct"))
+    return t.select("j", "feature", (F.round("change_pct", 6) + F.lit(0.0)).alias("change_pct"))
 
 
 def q_f6(spark, d):
@@ -100,7 +100,7 @@ def q_f6(spark, d):
 def q_f12(spark, d):
     r, c = _split(spark, d)
     t = stats.mean_flags(r, c, FEATS)
-    return t.select("j", "feature", F.round("change_pct", 6).alias("change_pct"), "flagged")
+    return t.select("j", "feature", (F.round("change_pct", 6) + F.lit(0.0)).alias("change_pct"), "flagged")
 
 
 def q_f2(spark, d):
@@ -117,7 +117,8 @@ def q_f4(spark, d):
     li = _li(spark, d)
     mean, std, _ = det.scaler_stats(li.filter("is_ref"), FEATS)
     return li.select("l_orderkey", "l_linenumber",
-                     *[F.round(standardize(c, float(mean[j]), float(std[j])), 6).alias(c) for j, c in enumerate(FEATS)])
+                     *[(F.round(standardize(c, float(mean[j]), float(std[j])), 6) + F.lit(0.0)).alias(c)
+                       for j, c in enumerate(FEATS)])
 
 
 def _band_input(spark, d):
@@ -390,16 +391,16 @@ ORACLE["J3"] = f"WITH {LI_SQL} " + " UNION ALL ".join(
     f"ROUND((SELECT STDDEV_SAMP({c}) FROM li WHERE NOT is_ref), 6) AS cur_std" for j, c in enumerate(FEATS))
 _PCT = "((SELECT AVG({c}) FROM li WHERE NOT is_ref) - (SELECT AVG({c}) FROM li WHERE is_ref)) / NULLIF((SELECT AVG({c}) FROM li WHERE is_ref), 0) * 100"
 ORACLE["F5"] = f"WITH {LI_SQL} " + " UNION ALL ".join(
-    f"SELECT {j} AS j, '{c}' AS feature, ROUND({_PCT.format(c=c)}, 6) AS change_pct" for j, c in enumerate(FEATS))
+    f"SELECT {j} AS j, '{c}' AS feature, ROUND({_PCT.format(c=c)}, 6) + 0.0 AS change_pct" for j, c in enumerate(FEATS))
 ORACLE["F12"] = f"WITH {LI_SQL} " + " UNION ALL ".join(
-    f"SELECT {j} AS j, '{c}' AS feature, ROUND({_PCT.format(c=c)}, 6) AS change_pct, "
+    f"SELECT {j} AS j, '{c}' AS feature, ROUND({_PCT.format(c=c)}, 6) + 0.0 AS change_pct, "
     f"ABS({_PCT.format(c=c)}) > 10 AS flagged" for j, c in enumerate(FEATS))
 ORACLE["F2"] = f"WITH {LI_SQL} SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"ROUND(SIGN({c}) * POW(ABS({c}), 1.0 / 3.0), 9) AS {c}" for c in FEATS) + " FROM li"
 ORACLE["F3"] = (f"WITH {LI_SQL} SELECT l_orderkey, l_linenumber, "
                 f"LEAST(GREATEST(charge / 1000.0 - 10.0, 0.0), 100.0) AS clipped FROM li")
 ORACLE["F4"] = f"WITH {LI_SQL}, {REF_STATS_SQL} SELECT l_orderkey, l_linenumber, " + ", ".join(
-    f"ROUND({_z_sql(c)}, 6) AS {c}" for c in FEATS) + " FROM li, st"
+    f"ROUND({_z_sql(c)}, 6) + 0.0 AS {c}" for c in FEATS) + " FROM li, st"
 _BAND_COLS = ", ".join([
     f"{bands.policy_sql('score', 'dp')} AS band_dp", f"{bands.policy_sql('score', 'de')} AS band_de",
     f"{bands.policy_sql('score', 'printer')} AS advice_printer",

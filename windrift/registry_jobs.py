@@ -77,11 +77,13 @@ def _filled(spark, d):
 
 
 def q_m1(spark, d):
+    """Assembled vector, its positions spread to ``f0…`` columns."""
     from pyspark.ml.functions import vector_to_array
     w = _filled(spark, d)
     cols = prep.feature_columns(w)
+    arr = vector_to_array("features")
     return feat.assemble(w, cols, "features").select("window_start", "CELL", "N_CELL",
-                                                     vector_to_array("features").alias("features"))
+                                                     *[arr[i].alias(f"f{i}") for i in range(len(cols))])
 
 
 def q_m2(spark, d):
@@ -308,7 +310,8 @@ def _more_oracles() -> dict:
         f"SELECT {j} AS j, '{c}' AS feature, ROUND(VAR_SAMP({c}), 6) AS variance, COALESCE(VAR_SAMP({c}) > 0, false) AS kept FROM w"
         for j, c in enumerate(cols))
     allf = [a for a, _, _ in _FULL_ROWS]
-    out["M1"] = f"WITH w AS ({_P6_SQL}) SELECT window_start, CELL, N_CELL, [{', '.join(allf)}] AS features FROM w"
+    out["M1"] = (f"WITH w AS ({_P6_SQL}) SELECT window_start, CELL, N_CELL, "
+                 + ", ".join(f"{c} AS f{i}" for i, c in enumerate(allf)) + " FROM w")
     out["S1"] = (f"{BASE} SELECT strftime(date_trunc('second', DATETIME), '%Y-%m-%d %H:%M:%S') AS DATETIME, CELL, "
                  f"Traffic_Volume_Gbyte FROM kpi")
     out["S2"] = (f"{BASE} SELECT date_trunc('second', DATETIME) AS DATETIME, CELL, Traffic_Volume_Gbyte, ERAB_Drop_PC, "

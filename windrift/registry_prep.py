@@ -217,7 +217,8 @@ def q_p8(spark, d):
     li = fx.table(spark, d, "lineitem")
     feats, label = prep.numeric_columns(li)
     v = prep.project_features_label(assemble(li, feats, "features"), "features", label)
-    return v.select(vector_to_array("features").alias("features"), label)
+    arr = vector_to_array("features")
+    return v.select(*[arr[i].alias(f"f{i}") for i in range(len(feats))], label)
 
 
 def q_p12(spark, d):
@@ -287,7 +288,8 @@ SELECT CAST(SUM(CAST(Traffic_Volume_Gbyte AS DECIMAL(18,2))) AS DOUBLE) AS total
   COUNT(ERAB_Drop_PC) AS n_prb_util, MAX(Nof_Avg_SimRRC_ConnUsr) AS max_setup_rate FROM kpi GROUP BY CELL""",
     "P9": "SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
     "P13": f"{BASE} SELECT CELL, Traffic_Volume_Gbyte, ERAB_Drop_PC, Nof_Avg_SimRRC_ConnUsr FROM kpi",
-    "P8": "SELECT [CAST(l_linenumber AS DOUBLE), l_quantity, l_extendedprice, l_discount] AS features, l_tax FROM lineitem",
+    "P8": ("SELECT CAST(l_linenumber AS DOUBLE) AS f0, l_quantity AS f1, l_extendedprice AS f2, l_discount AS f3, "
+           "l_tax FROM lineitem"),
     "P12": f"""{BASE} SELECT time_bucket(INTERVAL '1 hour', DATETIME, TIMESTAMP '1970-01-01') AS window_start, CELL,
   COALESCE(AVG(ERAB_Drop_PC), 0.0) AS avg_drop_rate FROM kpi
   WHERE DATETIME IS NOT NULL GROUP BY 1, 2""",
