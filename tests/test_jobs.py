@@ -98,3 +98,27 @@ def test_scoring_stream_replay_adds_nothing(spark, tmp_dir):
     n1 = spark.read.parquet(hist).count()
     sink(batch, 0)  # replay of the same batch id
     assert spark.read.parquet(hist).count() == n1 > 0
+
+
+def test_stream_drops_late_rows(spark, tmp_dir):
+    """Two arrivals: the second holds events older than the watermark; they
+    change nothing, and windows already emitted are not emitted again."""
+    src = os.path.join(tmp_dir, "in")
+    ev = fx.table(spark, SF_SMALL, "events")
+    cut = ev.agg(F.expr("percentile_approx(ts, 0.8)").alias("c")).first()["c"]
+    ev.filter(F.col("ts") < F.lit(cut)).write.parquet(os.path.join(src, "part1"))
+    stream = sj.file_stream(spark, src + "/*", None)
+    out = sj.windowed_stream(fx.kpi_rows(stream), None, prep.BASIC_SPEC, "8 hours", "8 hours", exact_scale=2)
+    sink, ck = os.path.join(tmp_dir, "sink"), os.path.join(tmp_dir, "ck")
+    sj.run_to_parquet(out, sink, ck, state_partitions=4)
+    first = spark.read.parquet(sink).count()
+    # late: copies of the earliest 100 events, days behind the watermark
+    ev.orderBy("ts").limit(100).write.parquet(os.path.join(src, "part2"))
+    q = sj.run_to_parquet(out, sink, ck, state_partitions=4)
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 100          # the late rows were read ...
+    dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0)
+                  for p in q.recentProgress if p.get("stateOperators"))
+    assert dropped > 0                                                       # ... and dropped by the watermark
+    after = spark.read.parquet(sink)
+    assert after.count() == first
+    assert after.groupBy("window_start", "CELL").count().filter("count > 1").count() == 0
