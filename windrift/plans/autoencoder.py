@@ -177,8 +177,9 @@ def model_reps(model) -> int:
     return max(1, len(model.curves)) if getattr(model, "calibration", "") == "permute" else 3
 
 
-def reconstruction_mse_by_group(scaled: DataFrame, model, group: str | None) -> dict[str, float]:
-    """M13 pass: mean squared reconstruction error per group, one pass."""
+def reconstruction_error_table(scaled: DataFrame, model, group: str | None) -> DataFrame:
+    """M13 pass: ``(grp, mse_ae)``, mean squared reconstruction error per
+    group, as a DataFrame (one pass, per-task partial sums)."""
     ae = model.ae
     sizes, flat = ae["sizes"], np.asarray(ae["params"])
     d = model.d
@@ -202,10 +203,8 @@ def reconstruction_mse_by_group(scaled: DataFrame, model, group: str | None) ->
             yield pd.DataFrame([(g, a[0], a[1]) for g, a in acc.items()], columns=["grp", "sse", "cells"])
 
     schema = "grp string, sse double, cells double"
-    rows = sel.mapInPandas(run, schema).groupBy("grp").agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells")) \
-        .collect()
-    bc.unpersist()
-    return {r["grp"]: r["sse"] / r["cells"] for r in rows if r["cells"]}
+    sums = sel.mapInPandas(run, schema).groupBy("grp").agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells"))
+    return sums.select("grp", (F.col("sse") / F.nullif(F.col("cells"), F.lit(0.0))).alias("mse_ae"))
 
 
 def ae_score(model, mse: float) -> float | None:

@@ -3,9 +3,10 @@
 Data never leaves the executors: a fit is one G1 pass over the reference
 (count, mean and centred scatter, from which the scaler and the scaled
 covariance follow on the driver); a score is one G1 pass over the current
-data, grouped by batch or scenario key.  The driver only sees d-vectors and
-d×d matrices, does the eigen decomposition, and evaluates the ten 10-point
-calibration curves.
+data, grouped by batch or scenario key, after which the executors turn each
+group's packed moments into its scores (eigen decomposition, curve
+evaluation), so any number of groups can be scored.  The driver only ever
+sees one group's d×d matrix (the reference) and the ten 10-point curves.
 
 Scores follow the loading-based (dP) and reconstruction-based (dE) metrics:
 
@@ -272,7 +273,7 @@ def dp_score(model: DriftModel, cur: Moments) -> tuple[float, int, float]:
     cos = abs_cosines(model.pca.components, pc.components)
     denom = float(lam.sum())
     dp = 100.0 * (1.0 - float(np.sum(lam * cos[:k])) / denom) if denom > 0 else 0.0
-    return dp, pc.k, pc.min_gap
+    return max(dp, 0.0), pc.k, pc.min_gap   # |cos| ≤ 1: below 0 is rounding only
 
 
 def de_pca_score(model: DriftModel, cur: Moments) -> tuple[float | None, float]:
@@ -310,24 +311,46 @@ def score_moments(model: DriftModel, moments: dict[str, Moments], ae_mse: dict[s
     return rows
 
 
-def score(model: DriftModel, current: DataFrame, group: str | None = None, compat_zero: bool = False) -> DataFrame:
-    """All metrics for the current data, one row per group.
+def _score_rows(model: DriftModel, compat_zero: bool):
+    """Executor side of ``score``: packed moments of each group → its scores."""
+    import pandas as pd
+
+    from windrift.plans.moments import unpack_moments
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            moments = {g: unpack_moments(vec, model.d).scaled(model.mean, model.std)
+                       for g, vec in zip(pdf["grp"], pdf["g"])}
+            ae = None
+            if "mse_ae" in pdf.columns:
+                ae = {g: v for g, v in zip(pdf["grp"], pdf["mse_ae"]) if v is not None and v == v}
+            rows = score_moments(model, moments, ae, compat_zero)
+            yield pd.DataFrame(rows, columns=[f.name for f in SCORE_SCHEMA.fields])
+
+    return run
 
-    One G1 pass over the current data gives every group's raw moments, which
-    the reference scaler standardises on the driver; the autoencoder error,
-    when a model has one, is a second pass.
+
+def score(model: DriftModel, current: DataFrame, group: str | None = None, compat_zero: bool = False) -> DataFrame:
+    """All metrics for the current data, one row per group, as a
+    lazy DataFrame.
+
+    One G1 pass over the current data gives every group's packed moments;
+    the scores (reference scaling, eigen decomposition, curves) are computed
+    by the executors from those rows, so the number of groups is not bounded
+    by the driver.  The autoencoder error, when a model has one, is a second
+    pass joined on the group key.
     """
-    spark = current.sparkSession
-    keep = [group] if group else []
-    raw = group_moments(current, model.features, group)
-    moments = {g: m.scaled(model.mean, model.std) for g, m in raw.items()}
-    ae_mse = None
+    from windrift.plans.moments import moments_table
+
+    table = moments_table(current, model.features, group)
     if model.ae is not None:
+        from windrift.plans.autoencoder import reconstruction_error_table
+        keep = [group] if group else []
         scaled = scale_columns(current, model.features, model.mean, model.std, keep=keep)
-        from windrift.plans.autoencoder import reconstruction_mse_by_group
-        ae_mse = reconstruction_mse_by_group(scaled, model, group)
-    rows = score_moments(model, moments, ae_mse, compat_zero)
-    return spark.createDataFrame(rows, SCORE_SCHEMA)
+        table = table.join(reconstruction_error_table(scaled, model, group), "grp", "left")
+    return table.mapInPandas(_score_rows(model, compat_zero), SCORE_SCHEMA)
 
 
 def gram_table(df: DataFrame, cols: Sequence[str], group: str | None = None,

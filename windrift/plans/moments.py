@@ -175,6 +175,12 @@ def collect_moments(table: DataFrame, d: int) -> dict[str, Moments]:
     return out
 
 
+def unpack_moments(vec, d: int) -> Moments:
+    iu, ju = np.triu_indices(d)
+    n, mean, m2 = _unpack(np.asarray(vec, dtype=np.float64), d, iu, ju)
+    return Moments(n, mean, m2)
+
+
 def group_moments(df: DataFrame, cols: Sequence[str], group: str | None = None) -> dict[str, Moments]:
     return collect_moments(moments_table(df, cols, group), len(cols))
 
