@@ -250,11 +250,19 @@ def q_x2(spark, d):
 
 
 # ----------------------------------------------------------------- autoencoder
+_AE_MODELS: dict = {}
+
+
 def _ae_model(spark, d):
+    """One autoencoder fit per (application, folder), shared by the three
+    views M11-M13 (model shape, calibration curves, scores)."""
     li = fx.lineitem_features(spark, d)
-    ref, _ = fx.split_ref_current(li)
-    return det.fit(ref, fx.LINEITEM_FEATURES, row_key=fx.ROW_KEY, build_ae=True,
-                   ae_params={"hidden_layers": [32, 16], "epochs": 5}), li
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _AE_MODELS:
+        ref, _ = fx.split_ref_current(li)
+        _AE_MODELS[key] = det.fit(ref, fx.LINEITEM_FEATURES, row_key=fx.ROW_KEY, build_ae=True,
+                                  ae_params={"hidden_layers": [32, 16], "epochs": 5})
+    return _AE_MODELS[key], li
 
 
 def q_m11(spark, d):
