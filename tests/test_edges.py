@@ -100,3 +100,27 @@ def test_quality_counts(spark):
                                "t string, CELL int").select(F.col("t").cast("timestamp").alias("DATETIME"), "CELL")
     r = prep.kpi_quality(df).first()
     assert (r["n_rows"], r["null_time"], r["null_cell"], r["corrupt"]) == (3, 1, 1, 0)
+
+
+def test_readers_permissive_index_and_single_csv(spark, tmp_dir):
+    from pyspark.sql import types as T
+    path = os.path.join(tmp_dir, "kpi.csv")
+    with open(path, "w") as fh:
+        fh.write("DATETIME,CELL,Traffic_Volume_Gbyte\n2024-01-01 00:00:00,a,1.5\nnot-a-time,b,oops\n")
+    schema = T.StructType([T.StructField("DATETIME", T.TimestampType()), T.StructField("CELL", T.StringType()),
+                           T.StructField("Traffic_Volume_Gbyte", T.DoubleType()),
+                           T.StructField("_corrupt_record", T.StringType())])
+    df = readers.read_kpi_csv(spark, path, schema, keep_corrupt=True)
+    q = prep.kpi_quality(df).first()
+    assert q["n_rows"] == 2 and q["corrupt"] == 1 and q["null_time"] == 1
+    ov = os.path.join(tmp_dir, "ov.csv")
+    with open(ov, "w") as fh:
+        fh.write("Unnamed: 0,CELL,N_CELL,Overlap_Alan%\n0,a,b,55.0\n1,a,c,12.5\n")
+    sch = T.StructType([T.StructField("Unnamed: 0", T.IntegerType()), T.StructField("CELL", T.StringType()),
+                        T.StructField("N_CELL", T.StringType()), T.StructField("Overlap_Alan%", T.DoubleType())])
+    o = readers.read_overlap_csv(spark, ov, sch)
+    assert o.columns == ["CELL", "N_CELL", "Overlap_Alan%"]
+    assert [r["N_CELL"] for r in prep.filter_overlap(o, 40.0).collect()] == ["b"]
+    out = os.path.join(tmp_dir, "one")
+    readers.write_single_csv(prep.top_neighbours(o, 10), out)
+    assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 1

@@ -185,8 +185,9 @@ def q_p7(spark, d):
     w = q_p6(spark, d)
     feats = prep.feature_columns(w)
     from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
     return prep.project_ml_ready(assemble(w, feats, "features")) \
-        .withColumn("features", vector_to_array("features"))
+        .select("window_start", "window_end", "CELL", "N_CELL", *[arr[i].alias(f"f{i}") for i in range(len(feats))])
 
 
 def q_p9(spark, d):
@@ -314,4 +315,6 @@ def _p11_sql() -> str:
 
 
 ORACLE["P10"] = _p10_sql()
+ORACLE["P7"] = (f"WITH w AS ({_P6_SQL}) SELECT window_start, window_end, CELL, N_CELL, "
+                + ", ".join(f"{a} AS f{i}" for i, (a, _, _) in enumerate(_FULL_ROWS)) + " FROM w")
 ORACLE["P11"] = _p11_sql()
