@@ -77,7 +77,9 @@ def _ranked_moves(long: DataFrame, keys: Sequence[str], reps: int, seed: int,
                            F.lead("first_v").over(by_rep).alias("next_first"))
     first_by_rep = {r["rep"]: r["v0"] for r in
                     stats.groupBy("rep").agg(F.min_by("first_v", "b").alias("v0")).collect()}
-    w = Window.partitionBy("rep", "b").orderBy("h1")
+    # total order inside a bucket (hash, then row key and column as tie-breakers)
+    # so a recomputed task numbers its cells exactly as before
+    w = Window.partitionBy("rep", "b").orderBy("h1", *keys, "j")
     ranked = (lr.withColumn("_i", F.row_number().over(w) - 1)
               .withColumn("_lead", F.lead("v").over(w))
               .join(bounded_broadcast(offsets, known_rows=reps << bits), ["rep", "b"], "left")
