@@ -73,3 +73,10 @@ def test_autoencoder_small(spark):
     assert len(m.ae["curves"]) >= 1
     s = det.score(m, li, "is_ref").collect()
     assert all(r["de_ae"] is None or 0 <= r["de_ae"] <= 100 for r in s)
+    import tempfile
+    path = tempfile.mkdtemp(prefix="ae-model-")
+    m.save(spark, path)
+    back = det.DriftModel.load(spark, path)
+    a = {r["grp"]: r["de_ae"] for r in s}
+    b = {r["grp"]: r["de_ae"] for r in det.score(back, li, "is_ref").collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a if a[k] is not None)

@@ -189,6 +189,9 @@ class DriftModel:
         header = {"features": self.features, "n_ref": self.n_ref, "k": self.pca.k,
                   "pca_mean": self.pca.mean.tolist(), "m2_ref": self.m2_ref.tolist(), "s2_ref": self.s2_ref,
                   "calibration": self.calibration, "fraction": self.fraction}
+        if self.ae is not None:   # weights and curves: a few thousand numbers
+            header["ae"] = {"sizes": list(self.ae["sizes"]), "params": list(self.ae["params"]),
+                            "curves": [[list(c.mse), list(c.pct)] for c in self.ae.get("curves", [])]}
         spark.createDataFrame([(json.dumps(header),)], "header string").coalesce(1) \
             .write.mode("overwrite").parquet(os.path.join(path, "header"))
 
@@ -207,9 +210,13 @@ class DriftModel:
         cl = [Curve([m for _, m in sorted(v)], [p for p, _ in sorted(v)]) for _, v in sorted(curves.items())]
         pca = Pca(comps, np.array([r["lambda"] for r in eig]), np.array([r["ratio"] for r in eig]),
                   header["k"], np.array(header["pca_mean"]))
+        ae = None
+        if header.get("ae"):
+            a = header["ae"]
+            ae = {"sizes": a["sizes"], "params": a["params"], "curves": [Curve(m, p) for m, p in a["curves"]]}
         return DriftModel(header["features"], np.array([r["mean"] for r in sc]), np.array([r["std"] for r in sc]),
                           header["n_ref"], pca, np.array(header["m2_ref"]), header["s2_ref"], cl,
-                          header["calibration"], header["fraction"])
+                          header["calibration"], header["fraction"], ae)
 
 
 # --------------------------------------------------------------------------- M5
