@@ -162,6 +162,24 @@ def q_s5(spark, d):
     return back
 
 
+def q_weekly_flow(spark, d):
+    """The weekly-series analysis end to end: wide CSV (S5) → drop the date
+    from the features (P13) → row-mean imputation (P15) → first half of the
+    dates as reference (P16) → fit (M5) → score the second half (M14) →
+    verdict band (F11)."""
+    from windrift.functions import bands
+    from windrift.operators.ordering import ordered_split
+    from windrift.operators.reshape import row_mean_impute
+    wide = q_s5(spark, d)
+    series = prep.drop_first_column(wide).columns
+    filled = row_mean_impute(wide, series)
+    split = ordered_split(filled, ["date"], 0.5)
+    model = det.fit(split.filter("is_ref"), series)
+    res = det.score(model, split.filter(~F.col("is_ref")))
+    return res.select("n_rows", "dp", "de_pca", "k_ref", "k_cur", "degenerate",
+                      bands.band("de_pca", "verdict").alias("verdict"))
+
+
 def q_s6_s8(spark, d):
     base = _scratch(spark, "jobs")
     led = Ledger(spark, os.path.join(base, "ledger"))
@@ -286,7 +304,7 @@ def q_m13(spark, d):
 QUERIES = {
     "M18": q_m18, "M19": q_m19, "M20": q_m20, "M21": q_m21, "S14": q_s14,
     "M1": q_m1, "M2": q_m2, "M3": q_m3, "M4": q_m4,
-    "S6": q_s7, "S8": q_s6_s8,
+    "S6": q_s7, "S8": q_s6_s8, "WEEKLY_flow": q_weekly_flow,
     "S1": q_s1, "S2": q_s2, "S3": q_s3, "S4": q_s4, "S5": q_s5, "S6_S8": q_s6_s8, "S7": q_s7, "S9": q_s9,
     "S10": q_s10, "S12": q_s12, "S13": q_s13, "O1": q_o1, "O2": q_o2, "O3": q_o3,
     "X1": q_x1, "X2": q_x2, "M11": q_m11, "M12": q_m12, "M13": q_m13,
