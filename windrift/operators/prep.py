@@ -201,7 +201,7 @@ def resolve_spec(df: DataFrame, spec: Sequence[FeatureSpec], strict: bool = Fals
     return present, missing
 
 
-def _sum_expr(src: str, exact_scale: int | None) -> Column:
+def sum_expr(src: str, exact_scale: int | None) -> Column:
     c = qcol(src)
     if exact_scale is not None:
         return F.sum(c.cast(T.DecimalType(18, exact_scale)))
@@ -229,7 +229,7 @@ def windowed_features(kpi: DataFrame, neighbours: DataFrame | None, spec: Sequen
     def partials(df: DataFrame, keys: list[str]) -> DataFrame:
         aggs = []
         for s in sources:
-            aggs.append(_sum_expr(s, exact_scale).alias(src_id[s] + "_sum"))
+            aggs.append(sum_expr(s, exact_scale).alias(src_id[s] + "_sum"))
             aggs.append(F.count(qcol(s)).alias(src_id[s] + "_cnt"))
         return df.groupBy(*keys).agg(*aggs)
 
@@ -364,7 +364,7 @@ def fanout_totals(kpi: DataFrame, overlap: DataFrame, exact_scale: int | None =
     """
     srcs = ["Traffic_Volume_Gbyte", "ERAB_Drop_PC", "Nof_Avg_SimRRC_ConnUsr"]
     per_cell = kpi.groupBy("CELL").agg(*[x for s in srcs for x in (
-        _sum_expr(s, exact_scale).alias(f"{s}_sum"), F.count(qcol(s)).alias(f"{s}_cnt"))])
+        sum_expr(s, exact_scale).alias(f"{s}_sum"), F.count(qcol(s)).alias(f"{s}_cnt"))])
     mult = overlap.groupBy("CELL").agg(F.count(F.lit(1)).alias("_m"))
     j = (per_cell.join(bounded_broadcast(mult, broadcast_max_bytes), "CELL", "left")
          .withColumn("_m", F.coalesce(F.col("_m"), F.lit(1))))

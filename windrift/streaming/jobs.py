@@ -57,7 +57,7 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
     sources = sorted({sp.source for sp in present})
     aggs = []
     for i, src in enumerate(sources):
-        aggs.append(prep._sum_expr(src, exact_scale).alias(f"_s{i}"))
+        aggs.append(prep.sum_expr(src, exact_scale).alias(f"_s{i}"))
         aggs.append(F.count(qcol(src)).alias(f"_c{i}"))
     g = s.groupBy(F.window(qcol(ts), width).alias("w"), "CELL", "N_CELL").agg(*aggs)
     idx = {src: i for i, src in enumerate(sources)}
