@@ -80,3 +80,20 @@ def test_autoencoder_small(spark):
     a = {r["grp"]: r["de_ae"] for r in s}
     b = {r["grp"]: r["de_ae"] for r in det.score(back, li, "is_ref").collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a if a[k] is not None)
+
+
+def test_scores_for_many_small_groups(spark):
+    """Scoring runs on the executors per group; hundreds of groups (some of a
+    single row) all get a row with bounded scores."""
+    li = fx.lineitem_features(spark, SF_SMALL)
+    ref, _ = fx.split_ref_current(li)
+    m = det.fit(ref, FEATS)
+    keyed = fx.table(spark, SF_SMALL, "lineitem").select("l_partkey").distinct().count()
+    g = fx.lineitem_features(spark, SF_SMALL).join(
+        fx.table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").dropDuplicates(
+            ["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
+    res = det.score(m, g, "l_partkey")
+    rows = res.collect()
+    assert len(rows) == g.select("l_partkey").distinct().count() <= keyed
+    assert all(0.0 <= r["dp"] <= 100.0 for r in rows)
+    assert all(r["de_pca"] is None or 0.0 <= r["de_pca"] <= 100.0 for r in rows)
