@@ -122,3 +122,12 @@ def test_stream_drops_late_rows(spark, tmp_dir):
     after = spark.read.parquet(sink)
     assert after.count() == first
     assert after.groupBy("window_start", "CELL").count().filter("count > 1").count() == 0
+
+
+def test_weekly_flow_end_to_end(spark):
+    from windrift.registry_jobs import q_weekly_flow
+    r = q_weekly_flow(spark, SF_SMALL).collect()
+    assert len(r) == 1
+    row = r[0]
+    assert 0 <= row["dp"] <= 100 and row["verdict"] in ("confirmed", "medium", "high", None)
+    assert row["n_rows"] > 0
