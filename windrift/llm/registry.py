@@ -3,13 +3,30 @@ SQL expresses them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrift.llm import line_runs, quality, winnow
+from windrift.llm import fst, lattice, line_runs, odd_sketch, quality, winnow
 from windrift.llm.common import table
 
 
+def op1_token_counts(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fst.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_sentencepiece(spark, sf_dir) -> DataFrame:
+    """Ids of every text and whether they spell the text again (U+2581 reads as a blank)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), lattice.BLANK, " "), 256)
+    out = lattice.decode(lattice.encode(docs.withColumn("text_sha256", digest), path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                      (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     kept = line_runs.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -27,6 +44,11 @@ def op9_decontamination(spark, sf_dir) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op8_quality_rules, op9_decontamination)}
+def op10_near_dedup(spark, sf_dir) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op7_line_dedup, op8_quality_rules, op9_decontamination,
+                                   op10_near_dedup)}
 
 ORACLE: dict[str, str] = {}
