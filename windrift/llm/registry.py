@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrift.llm import fst, lattice, line_runs, odd_sketch, quality, winnow
+from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, quality, sharding, substring, winnow
 from windrift.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op1_token_counts(spark, sf_dir) -> DataFrame:
     return fst.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark, sf_dir) -> DataFrame:
+    """Per document the units removed, their joined spans (start:end code points) and what stays."""
+    out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"),
+                                                                    s["last"].cast("string"))), ",")
+    return out.select("doc_id", "n_units", "n_removed", spans.alias("spans"),
+                      F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_sentencepiece(spark, sf_dir) -> DataFrame:
     """Ids of every text and whether they spell the text again (U+2581 reads as a blank)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +36,19 @@ def op3_sentencepiece(spark, sf_dir) -> DataFrame:
                       (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op5_sharding(spark, sf_dir) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_language_id(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
+    out = langid.identify(docs.select("doc_id", "text", "lang", held), ~F.col("held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     kept = line_runs.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -48,7 +70,8 @@ def op10_near_dedup(spark, sf_dir) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op7_line_dedup, op8_quality_rules, op9_decontamination,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_sentencepiece,
+                                   op5_sharding, op6_language_id, op7_line_dedup, op8_quality_rules, op9_decontamination,
                                    op10_near_dedup)}
 
 ORACLE: dict[str, str] = {}
