@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, quality, sharding, substring, winnow
+from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, pii, quality, sharding, substring, winnow
 from windrift.llm.common import table
 
 
@@ -36,6 +36,19 @@ def op3_sentencepiece(spark, sf_dir) -> DataFrame:
                       (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op4_personal_data(spark, sf_dir) -> DataFrame:
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"),
+                                                                     s["last"].cast("string"))), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    out = pii.find(table(spark, sf_dir, "documents"))
+    counts = [number(k) for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_sharding(spark, sf_dir) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -71,7 +84,7 @@ def op10_near_dedup(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_sentencepiece,
-                                   op5_sharding, op6_language_id, op7_line_dedup, op8_quality_rules, op9_decontamination,
+                                   op4_personal_data, op5_sharding, op6_language_id, op7_line_dedup, op8_quality_rules, op9_decontamination,
                                    op10_near_dedup)}
 
 ORACLE: dict[str, str] = {}
