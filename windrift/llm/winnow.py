@@ -3,14 +3,14 @@
 Both sides are cut into k-gram hashes of words, and of every ``window - k + 1``
 consecutive hashes the smallest is kept as a fingerprint.  Any shared run of
 ``window`` words therefore shares a fingerprint.  Equal fingerprints are joined,
-each hit is extended word by word along its diagonal, and a run of ``window``
-words or more marks its document words.  An item shorter than ``window`` words
+the diagonals of the hits are compared word by word in the documents that have any,
+and a run of ``window`` words or more marks its document words.  An item shorter than ``window`` words
 is one window of its own length; such items are matched by all m-grams of that
 length m, of which there are at most ``window - 1`` kinds.
 
 Edge cases: a null or empty text has no words, no hits and no items; equal items
 count each; null item ids are ignored; repeated doc_id rows are told apart by
-their text and reported each; an empty benchmark or document table gives no hits
+their text, and equal rows are reported once; an empty benchmark or document table gives no hits
 or no rows; extra columns are kept, but for those named like an output.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrift.llm.common import ascii_lower, let, materialize, without, words_of
+from windrift.llm.common import ascii_lower, join_unique, materialize, without, words_of
 
 WINDOW = 10
 K = 5
@@ -57,32 +57,32 @@ def _benchmark(items: DataFrame, item_id: str, text: str) -> DataFrame:
         F.col(item_id).cast("string").alias("item_id"), words(F.col(text)).alias("iw")).filter(F.size("iw") > 0)
 
 
-def _run(dw: Column, iw: Column, p: Column, q: Column, k: int) -> Column:
-    """(first, end) of the document words that equal item words on the diagonal of
-    the hit p, q; empty (end = first) if the hit is a false one."""
-    shift = p - q
-    same = let(shift, lambda s: F.transform(iw, lambda x, i: F.coalesce(
-        F.when(i + s >= 0, F.get(dw, i + s)) == x, F.lit(False))))
-    zero = F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(False).alias("done"))
+def _runs(dw: Column, iw: Column, shift: Column, least: Column) -> Column:
+    """(first, end) of all runs of at least ``least`` document words that equal the
+    item's words ``shift`` places before."""
+    same = F.transform(iw, lambda x, i: F.struct((i + shift).alias("at"), F.coalesce(
+        F.when(i + shift >= 0, F.get(dw, i + shift)) == x, F.lit(False)).alias("ok")))
+    stop = F.array(F.struct((F.size(iw) + shift).alias("at"), F.lit(False).alias("ok")))
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    zero = F.struct(none.alias("out"), shift.alias("first"))
 
-    def step(a, i, ok):
-        return F.when(a["done"], a).when(ok, F.struct(a["first"].alias("first"), (i + 1).alias("end"),
-                                                        F.lit(False).alias("done"))).when(
-            i <= q, F.struct((i + 1).alias("first"), (i + 1).alias("end"), F.lit(False).alias("done"))).otherwise(
-            F.struct(a["first"].alias("first"), a["end"].alias("end"), F.lit(True).alias("done")))
+    def step(a, e):
+        run = F.array(F.struct(a["first"].alias("first"), e["at"].alias("end")))
+        return F.when(e["ok"], a).otherwise(F.struct(
+            F.when(e["at"] - a["first"] >= least, F.concat(a["out"], run)).otherwise(a["out"]).alias("out"),
+            (e["at"] + 1).alias("first")))
 
-    indexed = F.transform(same, lambda ok, i: F.struct(i.alias("i"), ok.alias("ok")))
-    run = F.aggregate(indexed, zero, lambda a, e: step(a, e["i"], e["ok"]))
-    return let(run, lambda r: F.struct((r["first"] + shift).alias("first"), (r["end"] + shift).alias("end")))
+    return F.aggregate(F.concat(same, stop), zero, step)["out"]
 
 
-def _hits(prints: DataFrame, items: DataFrame, k: int, small: bool, docs_words: DataFrame | None) -> DataFrame:
-    """All rows of ``prints`` that match, with the item's words, plus each
-    document's row p = -1; prints: rid, doc columns, dw, p, h."""
+def _join_items(prints: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """Rows of ``prints`` (rid, n, p, h) with equal fingerprints of items, and the row
+    p = -1 of each document."""
     if small:
         return prints.join(F.broadcast(items), "h", "left").filter((F.col("p") < 0) | F.col("q").isNotNull())
-    lean = prints.filter(F.col("p") >= 0).drop("dw").join(items, "h", "inner")
-    return lean.join(docs_words.select("rid", "dw"), "rid", "inner")
+    marks = prints.filter(F.col("p") < 0).select("h", "rid", "n", "p", F.lit(None).cast("string").alias("item_id"),
+                                                 F.lit(None).cast("int").alias("q"))
+    return prints.filter(F.col("p") >= 0).join(items, "h").unionByName(marks)
 
 
 def matched_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K,
@@ -93,38 +93,36 @@ def matched_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int
     n_words, short = bench.agg(F.coalesce(F.sum(F.size("iw")), F.lit(0)), F.sort_array(F.collect_set(
         F.when(F.size("iw") < window, F.size("iw"))))).first()
     small = n_words <= broadcast_words
-    split = docs.select("rid", words(F.col("text")).alias("dw"))
-    base = split.withColumn("n", F.size("dw").cast("long"))
+    base = docs.select("rid", words(F.col("text")).alias("dw")).withColumn("n", F.size("dw").cast("long"))
 
-    def prints(df: DataFrame, arr: str) -> DataFrame:
-        # the outer form: the plain one also filters on size(arr) below the projections that make it, by a second copy of them
-        return df.select("rid", "n", "dw", F.explode_outer(arr).alias("e")).select("rid", "n", "dw", "e.p", "e.h")
+    def prints(df: DataFrame) -> DataFrame:
+        # the outer form: the plain one also filters on size(fp) below the projections that make it, by a second copy of them
+        return df.select("rid", "n", F.explode_outer("fp").alias("e")).select("rid", "n", "e.p", "e.h")
 
     marker = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("h")))
     printed = fingerprints(base, "dw", "fp", window, k)
     long_items = fingerprints(bench.filter(F.size("iw") >= window), "iw", "fp", window, k).select(
-        "item_id", "iw", F.explode_outer("fp").alias("e")).select("item_id", "iw", F.col("e.p").alias("q"), "e.h")
-    parts = [(long_items, printed.withColumn("fp", F.concat(F.col("fp"), marker)), k)]
+        "item_id", F.explode_outer("fp").alias("e")).select("item_id", F.col("e.p").alias("q"), "e.h")
+    found = _join_items(prints(printed.withColumn("fp", F.concat(F.col("fp"), marker))), long_items, small)
     for m in short:
-        of_length = bench.filter(F.size("iw") == m).select("item_id", "iw", F.lit(0).alias("q"),
+        of_length = bench.filter(F.size("iw") == m).select("item_id", F.lit(0).alias("q"),
                                                            F.xxhash64(*[F.get("iw", j) for j in range(m)]).alias("h"))
-        grams = base.withColumn("fp", F.transform(_grams(F.col("dw"), m), lambda h, p: F.struct(
-            p.alias("p"), h.alias("h"))))
-        parts.append((of_length, grams, m))
-    found = None
-    for fp_items, fp_docs, size in parts:
-        hit = _hits(prints(fp_docs, "fp"), fp_items, size, small, split)
-        run = F.when(F.col("p") >= 0, _run(F.col("dw"), F.col("iw"), F.col("p"), F.col("q"), size))
-        rows = hit.select("rid", "n", "p", "item_id", F.size("iw").alias("m"), run.alias("run"))
-        if not small and found is None:
-            found = base.select("rid", "n", F.lit(-1).alias("p"), F.lit(None).cast("string").alias("item_id"),
-                                F.lit(None).cast("int").alias("m"),
-                                F.lit(None).cast("struct<first:int,end:int>").alias("run"))
-        rows = rows.filter((F.col("p") < 0) | (F.col("run.end") - F.col("run.first") >= F.least("m", F.lit(window))))
-        found = rows if found is None else found.unionByName(rows)
-    span = F.when(F.col("run").isNotNull(), F.struct("item_id", F.col("run.first").alias("first"),
-                                                     F.col("run.end").alias("end")))
-    return found.groupBy("rid").agg(F.max("n").alias("n_words"), F.collect_set(span).alias("runs"))
+        grams = F.transform(_grams(F.col("dw"), m), lambda h, p: F.struct(p.alias("p"), h.alias("h")))
+        found = found.unionByName(_join_items(prints(base.withColumn("fp", grams)), of_length, small).filter("p >= 0"))
+    # one row for each diagonal, and one of each document
+    lines = found.groupBy("rid", "n", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.lit(1).alias("one"))
+    lines = materialize(lines.drop("one"), "bench-lines")
+    met = lines.filter(F.col("item_id").isNotNull()).join(
+        F.broadcast(bench) if small else bench, "item_id").select("rid", F.struct("item_id", "iw", "shift").alias("hit"))
+    hits = materialize(met.groupBy("rid").agg(F.collect_list("hit").alias("hits"), F.count(F.lit(1)).alias("w")), "bench-hits")
+    texts = join_unique(docs, hits, ["rid"], "w").select("rid", "hits", words(F.col("text")).alias("dw"))
+    spans = F.flatten(F.transform("hits", lambda x: F.transform(
+        _runs(F.col("dw"), x["iw"], x["shift"], F.least(F.size(x["iw"]), F.lit(window))),
+        lambda r: F.struct(x["item_id"].alias("item_id"), r["first"].alias("first"), r["end"].alias("end")))))
+    runs = texts.select("rid", spans.alias("runs")).groupBy("rid").agg(F.max("runs").alias("runs"))
+    every = lines.filter(F.col("item_id").isNull()).select("rid", F.col("n").alias("n_words"))
+    none = F.array().cast("array<struct<item_id:string,first:int,end:int>>")
+    return every.join(runs, "rid", "left").select("rid", "n_words", F.coalesce("runs", none).alias("runs"))
 
 
 def covered(runs: Column) -> Column:
