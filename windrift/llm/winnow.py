@@ -10,7 +10,7 @@ length m, of which there are at most ``window - 1`` kinds.
 
 Edge cases: a null or empty text has no words, no hits and no items; equal items
 count each; null item ids are ignored; repeated doc_id rows are told apart by
-their text, and equal rows are reported once; an empty benchmark or document table gives no hits
+their text and reported each; an empty benchmark or document table gives no hits
 or no rows; extra columns are kept, but for those named like an output.
 """
 
@@ -110,8 +110,9 @@ def matched_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int
         grams = F.transform(_grams(F.col("dw"), m), lambda h, p: F.struct(p.alias("p"), h.alias("h")))
         found = found.unionByName(_join_items(prints(base.withColumn("fp", grams)), of_length, small).filter("p >= 0"))
     # one row for each diagonal, and one of each document
-    lines = found.groupBy("rid", "n", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.lit(1).alias("one"))
-    lines = materialize(lines.drop("one"), "bench-lines")
+    lines = found.groupBy("rid", "n", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(
+        F.count(F.lit(1)).cast("int").alias("copies"))
+    lines = materialize(lines, "bench-lines")
     met = lines.filter(F.col("item_id").isNotNull()).join(
         F.broadcast(bench) if small else bench, "item_id").select("rid", F.struct("item_id", "iw", "shift").alias("hit"))
     hits = materialize(met.groupBy("rid").agg(F.collect_list("hit").alias("hits"), F.count(F.lit(1)).alias("w")), "bench-hits")
@@ -120,7 +121,8 @@ def matched_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int
         _runs(F.col("dw"), x["iw"], x["shift"], F.least(F.size(x["iw"]), F.lit(window))),
         lambda r: F.struct(x["item_id"].alias("item_id"), r["first"].alias("first"), r["end"].alias("end")))))
     runs = texts.select("rid", spans.alias("runs")).groupBy("rid").agg(F.max("runs").alias("runs"))
-    every = lines.filter(F.col("item_id").isNull()).select("rid", F.col("n").alias("n_words"))
+    every = lines.filter(F.col("item_id").isNull()).select(
+        "rid", F.col("n").alias("n_words"), F.explode_outer(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     none = F.array().cast("array<struct<item_id:string,first:int,end:int>>")
     return every.join(runs, "rid", "left").select("rid", "n_words", F.coalesce("runs", none).alias("runs"))
 
@@ -137,7 +139,7 @@ def covered(runs: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K,
                   broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, n_words, n_hit, item_ids (sorted
+    """One row per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted
     strings), runs, contaminated, th (hash of the text)."""
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th")).alias("rid"),
                        F.col(text).alias("text"))
