@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, pii, quality, sharding, substring, winnow
+import corpus_pipeline
+from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, oracle, pii, quality, sharding, substring, winnow
 from windrift.llm.common import table
 
 
@@ -87,4 +88,8 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_se
                                    op4_personal_data, op5_sharding, op6_language_id, op7_line_dedup, op8_quality_rules, op9_decontamination,
                                    op10_near_dedup)}
 
-ORACLE: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
