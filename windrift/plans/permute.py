@@ -2,24 +2,24 @@
 
 The reference permutes a share ``p`` of all cells of the scaled matrix
 (across rows *and* columns, D31) and measures how badly the reference PCA
-reconstructs the permuted data.  On Spark:
-
-1. cells go to long form ``(rep, keys…, j, v)``;
-2. each repetition orders its cells by a seeded hash and numbers them
-   exactly: hash-prefix bucket offsets from one small grouped count plus a
-   row number inside each bucket (a window over one bucket);
-3. the first ``m = int(N·p)`` cells of that random order are the chosen ones;
-   chosen cell number ``r`` takes the value of chosen cell ``r+1`` and the
-   last takes the first (a uniformly random cyclic permutation of the chosen
-   values).  Because all ten levels are prefixes of one order, one ranking
-   per repetition serves every level;
-4. cells are put back into rows (one shuffle by row key) and each task sums
-   the squared reconstruction error per (repetition, level), so only
-   ``reps × levels`` scalars per task leave the executors.
+reconstructs the permuted data.  On Spark the
+whole reference is permuted, and every level is a prefix of one random order of
+the cells per repetition: of the first ``m = int(N·p)`` cells, number ``r`` takes the
+value of number ``r+1`` and the last takes the first one's, a uniformly random
+cyclic permutation of the chosen values.
+
+* M7 (one frame, one level) orders the cells by a seeded hash: bucket offsets from a
+  small grouped count plus a row number inside each bucket.
+* M8 (ten repetitions, ten levels) orders them by a seeded bijection that is
+  computed both ways, so each cell knows without any sort where its value goes;
+  values travel once, in packed arrays, and each task sums the squared
+  reconstruction error per (repetition, level).
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import Window
 
 from windrift.operators.ordering import HASH_BITS, row_hash
 from windrift.operators.prep import bounded_broadcast
-from windrift.session import cut_lineage
+from windrift.session import cut_lineage, scratch_path
 
 LEVELS = [0.01 + 0.1 * i for i in range(10)]
 
@@ -121,6 +121,73 @@ def permute_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pct:
 
 _SUM_SCHEMA = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("level", T.IntegerType()),
                             T.StructField("sse", T.DoubleType()), T.StructField("cells", T.DoubleType())])
+_PUSH = "part long, rep int, ids binary, vals binary"
+#: Cells (of all repetitions) that one part of the reassembly holds in memory at a time.
+PART_CELLS = 1 << 22
+
+
+class CellOrder:
+    """A seeded bijection of ``[0, n)``, forwards (cell to rank) and backwards:
+    four additive Feistel rounds over pairs ``(c // b, c % b)``, repeated until the
+    result lies below ``n``.  It needs no sort and no table."""
+
+    def __init__(self, n: int, seed: int):
+        self.n, self.a = n, max(1, int(np.ceil(np.sqrt(n))))
+        self.b = max(1, -(-n // self.a))
+        self.keys = np.random.default_rng(seed).integers(1, 1 << 62, 4, dtype=np.uint64)
+
+    def _mix(self, x: np.ndarray, i: int, mod: int) -> np.ndarray:
+        h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.keys[i]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return (h % np.uint64(mod)).astype(np.int64)
+
+    def _walk(self, x: np.ndarray, turn) -> np.ndarray:
+        out = turn(x)
+        while (far := np.flatnonzero(out >= self.n)).size:
+            out[far] = turn(out[far])
+        return out
+
+    def _forward(self, x):
+        left, right = x // self.b, x % self.b
+        for i in (0, 2):
+            left = (left + self._mix(right, i, self.a)) % self.a
+            right = (right + self._mix(left, i + 1, self.b)) % self.b
+        return left * self.b + right
+
+    def _backward(self, x):
+        left, right = x // self.b, x % self.b
+        for i in (2, 0):
+            right = (right - self._mix(left, i + 1, self.b)) % self.b
+            left = (left - self._mix(right, i, self.a)) % self.a
+        return left * self.b + right
+
+    def rank(self, cells: np.ndarray) -> np.ndarray:
+        return self._walk(cells, self._forward)
+
+    def cell(self, ranks: np.ndarray) -> np.ndarray:
+        return self._walk(ranks, self._backward)
+
+
+def _numbered(scaled: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
+    """Complete rows as ``(first, x0, x1, ...)`` with a dense row number, and how many.
+
+    The rows are written to the shared folder once; a row's number is its file's
+    offset plus its index there, so a repeated task numbers them as before."""
+    x = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
+    path = os.path.join(scratch_path(scaled.sparkSession, "calibration"), uuid.uuid4().hex[:12])
+    scaled.select(*x).dropna().write.parquet(path)
+    rows = scaled.sparkSession.read.schema(", ".join(f"x{j} double" for j in range(len(cols)))).parquet(path)
+    rows = rows.select("_metadata.file_name", "_metadata.row_index", *[f"x{j}" for j in range(len(cols))])
+    sizes = sorted((r["file_name"], r["n"]) for r in rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for name, n in sizes:
+        offsets.append((name, total))
+        total += n
+    table = scaled.sparkSession.createDataFrame(offsets or [("", 0)], "file_name string, off long")
+    return rows.join(F.broadcast(table), "file_name").select(
+        (F.col("off") + F.col("row_index")).alias("row"), *[f"x{j}" for j in range(len(cols))]), total
 
 
 def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str],
@@ -130,53 +197,90 @@ def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequ
     (PCA or autoencoder): error between the original scaled rows and the
     reconstruction of their permuted version, over the whole reference.
 
-    Rows are put back together without an aggregate: cells are hash
-    partitioned by (rep, row key) and sorted by (rep, row key, j), so each
-    row's d cells arrive consecutively and a task reshapes its stream into
-    ``rows × d`` blocks (carrying a split row to the next Arrow batch).  Each
-    task returns one ``(rep, level, sse, cells)`` row per pair.
+    Each repetition orders the cells by a bijection, so a cell knows the cell
+    that takes its value - the one before it in that order - and sends the
+    value there: one shuffle of packed arrays, keyed by ranges of rows.  All
+    levels are prefixes of the order; at each, the last chosen cell takes
+    the first one's value.  ``keys`` is kept for callers; rows are numbered by
+    their place in a written table.
     """
-    d = len(cols)
-    n_lv = len(levels)
-    long = _long_cells(scaled.dropna(subset=list(cols)), cols, keys)
-    moved, n_cells, first_by_rep = _ranked_moves(long, keys, repetitions, seed, levels, with_levels=False)
+    d, n_lv = len(cols), len(levels)
+    rows, n_rows = _numbered(scaled, cols)
+    n_cells = n_rows * d
+    span = max(1, PART_CELLS // (d * (repetitions + 1)))
     ms = np.array([int(n_cells * p) for p in levels], dtype=np.int64)
-    v0 = np.array([first_by_rep.get(r, np.nan) for r in range(repetitions)], dtype=float)
-    ordered = (moved.select("rep", *keys, "j", "v", "r", "v_next")
-               .repartition("rep", *keys)          # AQE sizes the partitions
-               .sortWithinPartitions("rep", *keys, "j")
-               .select("rep", "v", "r", "v_next"))
+    orders = [CellOrder(max(1, n_cells), seed * 1000 + r) for r in range(repetitions)]
+
+    def push(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            row = pdf["row"].to_numpy(dtype=np.int64)
+            cells = (row[:, None] * d + np.arange(d)).ravel()
+            vals = pdf.iloc[:, 1:].to_numpy(dtype=np.float64).ravel()
+            out = []
+            for rep in range(-1, repetitions):  # -1: the rows themselves
+                to, keep = cells, slice(None)
+                if rep >= 0:
+                    rank = orders[rep].rank(cells)
+                    to = orders[rep].cell(np.maximum(rank - 1, 0))
+                    keep = rank > 0  # the first of the order goes to the last chosen cell, another at each level
+                ids, v = to[keep], vals[keep]
+                part = ids // (span * d)
+                order = np.argsort(part, kind="stable")
+                ids, v, part = ids[order], v[order], part[order]
+                cut = np.flatnonzero(np.diff(part)) + 1
+                for i, w, p in zip(np.split(ids, cut), np.split(v, cut), part[np.concatenate([[0], cut])] if len(part) else []):
+                    out.append((int(p), rep, i.tobytes(), w.tobytes()))
+            yield pd.DataFrame(out, columns=["part", "rep", "ids", "vals"])
+
+    pushed = rows.mapInPandas(push, _PUSH)
+    # values of the first cell of each order: one small row each
+    firsts = [0.0] * repetitions
+    if n_cells:
+        head = np.array([o.cell(np.zeros(1, np.int64))[0] for o in orders])
+        wanted = rows.filter(F.col("row").isin([int(c) // d for c in head])).collect()
+        by_row = {r["row"]: r for r in wanted}
+        firsts = [float(by_row[int(c) // d][f"x{int(c) % d}"]) for c in head]
 
     def sums(batches):
         acc = np.zeros((repetitions, n_lv, 2))
-        carry = None
+        held: dict[int, list] = {}
+        current = None
+
+        def flush():
+            if current is None:
+                return
+            base = current * span * d
+            size = min(span * d, n_cells - base)
+            grid = np.empty((repetitions + 1, size))
+            for rep, parts in held.items():
+                for i, w in parts:
+                    grid[rep + 1, np.frombuffer(i, np.int64) - base] = np.frombuffer(w, np.float64)
+            u = grid[0].reshape(-1, d)
+            ids = np.arange(base, base + size)
+            for rep in range(repetitions):
+                r = orders[rep].rank(ids)
+                for lv in range(n_lv):
+                    w = np.where(r < ms[lv] - 1, grid[rep + 1], grid[0])
+                    w[r == ms[lv] - 1] = firsts[rep]
+                    acc[rep, lv, 0] += float(np.sum((u - reconstruct(w.reshape(-1, d))) ** 2))
+                    acc[rep, lv, 1] += size
+
         for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            full = (len(pdf) // d) * d
-            carry = pdf.iloc[full:]
-            if full == 0:
-                continue
-            block = pdf.iloc[:full]
-            rep_cells = block["rep"].to_numpy().astype(np.int64)
-            reps = rep_cells[::d]
-            v = block["v"].to_numpy(dtype=float)
-            r = block["r"].to_numpy(dtype=np.int64)
-            nxt = block["v_next"].to_numpy(dtype=float)
-            u = v.reshape(-1, d)
-            for i in range(n_lv):
-                m = ms[i]
-                cell = np.where(r < m - 1, nxt, np.where(r == m - 1, v0[rep_cells], v))
-                w = cell.reshape(-1, d)
-                err = np.sum((u - reconstruct(w)) ** 2, axis=1)
-                acc[:, i, 0] += np.bincount(reps, weights=err, minlength=repetitions)
-                acc[:, i, 1] += np.bincount(reps, minlength=repetitions) * d
+            for part, rep, i, w in zip(pdf["part"], pdf["rep"], pdf["ids"], pdf["vals"]):
+                if part != current:
+                    flush()
+                    held, current = {}, part
+                held.setdefault(rep, []).append((i, w))
+        flush()
         out = [(r, i, float(acc[r, i, 0]), float(acc[r, i, 1]))
                for r in range(repetitions) for i in range(n_lv) if acc[r, i, 1] > 0]
         if out:
             yield pd.DataFrame(out, columns=["rep", "level", "sse", "cells"])
 
-    tot = ordered.mapInPandas(sums, _SUM_SCHEMA).groupBy("rep", "level") \
+    parts = pushed.repartition("part").sortWithinPartitions("part")
+    tot = parts.mapInPandas(sums, _SUM_SCHEMA).groupBy("rep", "level") \
         .agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells"))
     pct_map = F.element_at(F.array(*[F.lit(float(p * 100)) for p in levels]), F.col("level") + 1)
     return tot.select("rep", pct_map.alias("perm_pct"), (F.col("sse") / F.col("cells")).alias("mse"))
