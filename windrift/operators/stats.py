@@ -1,8 +1,8 @@
 """Per-feature comparison of a reference and a current dataset
 (A10-A13, J3, F5, F6, F12).
 
-Each side is one aggregate pass over its pruned columns; the results are
-turned to long form with ``stack`` and aligned by feature name.
+Both sides are one aggregate over the union of their pruned columns; its single
+row is turned to one row per feature.
 """
 
 from __future__ import annotations
@@ -16,34 +16,47 @@ from windrift.functions.columns import qcol
 from windrift.functions.scalar import change_pct, mean_change_flag, round2
 
 
-def _long_stat(df: DataFrame, cols: Sequence[str], fn, name: str) -> DataFrame:
-    wide = df.agg(*[fn(qcol(c)).alias(f"_s{j}") for j, c in enumerate(cols)])
-    stack = ", ".join(f"{j}, '{c}', _s{j}" for j, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {stack}) as (j, feature, {name})")
+_STATS = {"mean": F.avg, "std": F.stddev_samp}
+
+
+def _stacked(df: DataFrame, cols: Sequence[str], made: dict) -> DataFrame:
+    """One aggregate row of ``made[name](column)`` per column, turned to one row
+    per feature: ``(j, feature, *made)``."""
+    wide = df.agg(*[fn(qcol(c)).alias(f"_{name}{j}") for j, c in enumerate(cols) for name, fn in made.items()])
+    rows = [F.struct(F.lit(j).alias("j"), F.lit(c).alias("feature"), *[F.col(f"_{n}{j}").alias(n) for n in made])
+            for j, c in enumerate(cols)]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def _both_sides(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """``(j, feature, ref_<stat>, cur_<stat>)``: both sides in one aggregate over
+    their union, of the columns compared only."""
+    sides = ref.select(*[qcol(c) for c in cols], F.lit(True).alias("_ref")).unionByName(
+        cur.select(*[qcol(c) for c in cols], F.lit(False).alias("_ref")))
+
+    def on(side, fn):
+        return lambda c: fn(F.when(F.col("_ref") == F.lit(side), c))
+
+    made = {f"{name}_{stat}": on(side, _STATS[stat]) for stat in stats for name, side in (("ref", True), ("cur", False))}
+    return _stacked(sides, cols, made)
 
 
 def compare_stat(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stat: str = "mean",
                  rounded: bool = True) -> DataFrame:
     """A10 (``mean``) / A11 (``std``, sample std, D38): reference, current and
     change % per feature (J3 aligns the two sides by feature)."""
-    fn = {"mean": F.avg, "std": F.stddev_samp}[stat]
-    r = _long_stat(ref, cols, fn, "reference")
-    c = _long_stat(cur, cols, fn, "current").drop("j")
-    j = r.join(c, "feature", "inner")
-    pct = change_pct("current", "reference")
-    out = j.select("j", "feature", "reference", "current", pct.alias("change_pct"))
+    both = _both_sides(ref, cur, cols, [stat])
+    out = both.select("j", "feature", F.col(f"ref_{stat}").alias("reference"), F.col(f"cur_{stat}").alias("current"))
+    out = out.withColumn("change_pct", change_pct("current", "reference"))
     if rounded:
         out = out.select("j", "feature", *[round2(x).alias(x) for x in ("reference", "current", "change_pct")])
     return out
 
 
 def align_stats(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean and std of both sides in one table, joined on feature."""
-    means = compare_stat(ref, cur, cols, "mean", rounded=False) \
-        .select("j", "feature", F.col("reference").alias("ref_mean"), F.col("current").alias("cur_mean"))
-    stds = compare_stat(ref, cur, cols, "std", rounded=False) \
-        .select("feature", F.col("reference").alias("ref_std"), F.col("current").alias("cur_std"))
-    return means.join(stds, "feature", "inner")
+    """Mean and std of both sides in one table, by feature."""
+    return _both_sides(ref, cur, cols, ["mean", "std"]).select(
+        "feature", "j", "ref_mean", "cur_mean", "ref_std", "cur_std")
 
 
 def mean_flags(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> DataFrame:
@@ -54,9 +67,7 @@ def mean_flags(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: f
 
 def scaler_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(j, feature, mean, std)`` with the population std."""
-    m = _long_stat(df, cols, F.avg, "mean")
-    s = _long_stat(df, cols, F.stddev_pop, "std").drop("feature")
-    return m.join(s, "j")
+    return _stacked(df, cols, {"mean": F.avg, "std": F.stddev_pop}).select("j", "feature", "mean", "std")
 
 
 def dataset_shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:

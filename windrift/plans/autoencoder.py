@@ -16,6 +16,8 @@ behaviour (bands over scenarios) can be compared.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from windrift.functions.columns import qcol
 from windrift.functions.scalar import gaussian
 from windrift.plans.moments import tree_sum
+from windrift.session import scratch_path
 
 DEFAULTS = {"hidden_layers": [64, 32], "epochs": 20, "batch_size": 32, "noise_factor": 0.1,
             "learning_rate": 0.001}
@@ -127,8 +130,12 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
     else:
         n_cols = [(qcol(c) + F.lit(cfg["noise_factor"]) * F.randn(seed + j)).alias(f"n{j}")
                   for j, c in enumerate(cols)]
-    train = scaled.select(F.spark_partition_id().alias("_pid"), *x_cols, *n_cols).dropna()
-    width = max(1, math.ceil(math.sqrt(train.rdd.getNumPartitions())))
+    spark = scaled.sparkSession
+    path = os.path.join(scratch_path(spark, "autoencoder"), uuid.uuid4().hex[:12])
+    scaled.select(*x_cols, *n_cols).dropna().write.parquet(path)  # scaled and noisy rows, once for all epochs
+    train = spark.read.schema(", ".join(f"{c}{j} double" for c in "xn" for j in range(d))).parquet(path).withColumn(
+        "_pid", F.spark_partition_id())
+    width = max(1, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
     for epoch in range(cfg["epochs"]):
@@ -137,19 +144,19 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
         ep_seed = seed * 1000 + epoch
 
         def run(batches, bc=bc, ep_seed=ep_seed):
-            pdfs = [p for p in batches if not p.empty]
-            if not pdfs:
-                return
-            pdf = pd.concat(pdfs, ignore_index=True)
-            salt = int(pdf["_pid"].iloc[0])
-            xc = pdf[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
-            xn = pdf[[f"n{j}" for j in range(d)]].to_numpy(dtype=float)
-            rng = np.random.default_rng([ep_seed, len(xc)])
-            p0 = unflatten(np.asarray(bc.value), sizes)
-            p1 = train_epoch(p0, xn, xc, cfg["batch_size"], cfg["learning_rate"], rng)
-            w = flatten(p1)
-            # one packed row per task: rows-weighted weights, then the row count
-            yield pd.DataFrame({"grp": ["w"], "salt": [salt], "g": [np.append(w * len(xc), float(len(xc)))]})
+            p1, seen, salt = unflatten(np.asarray(bc.value), sizes), 0, 0
+            for pdf in batches:  # a task holds one Arrow batch at a time
+                if pdf.empty:
+                    continue
+                salt = int(pdf["_pid"].iloc[0])
+                xc = pdf[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
+                xn = pdf[[f"n{j}" for j in range(d)]].to_numpy(dtype=float)
+                rng = np.random.default_rng([ep_seed, salt, seen])
+                p1 = train_epoch(p1, xn, xc, cfg["batch_size"], cfg["learning_rate"], rng)
+                seen += len(xc)
+            if seen:
+                # one packed row per task: rows-weighted weights, then the row count
+                yield pd.DataFrame({"grp": ["w"], "salt": [salt], "g": [np.append(flatten(p1) * seen, float(seen))]})
 
         rows = tree_sum(train.mapInPandas(run, schema), width).collect()
         bc.unpersist()
@@ -158,14 +165,14 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
             params = unflatten(total[:-1] / total[-1], sizes)
     out = {"sizes": sizes, "params": flatten(params).tolist(), "curves": []}
     if keys:
-        from windrift.plans.detector import Curve
+        from windrift.plans.detector import REPETITIONS, Curve
         from windrift.plans.permute import calibration_table_generic
         prm = params
 
         def rec(w):
             return forward(prm, w)
 
-        table = calibration_table_generic(scaled, cols, keys, rec, repetitions=model_reps(model), seed=seed + 7)
+        table = calibration_table_generic(scaled, cols, keys, rec, repetitions=REPETITIONS, seed=seed + 7)
         reps: dict[int, list] = {}
         for r in table.collect():
             reps.setdefault(r["rep"], []).append((r["perm_pct"], r["mse"]))
@@ -173,10 +180,6 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
     return out
 
 
-def model_reps(model) -> int:
-    return max(1, len(model.curves)) if getattr(model, "calibration", "") == "permute" else 3
-
-
 def reconstruction_error_table(scaled: DataFrame, model, group: str | None) -> DataFrame:
     """M13 pass: ``(grp, mse_ae)``, mean squared reconstruction error per
     group, as a DataFrame (one pass, per-task partial sums)."""
@@ -185,7 +188,8 @@ def reconstruction_error_table(scaled: DataFrame, model, group: str | None) -> D
     d = model.d
     bc = scaled.sparkSession.sparkContext.broadcast(flat)
     sel = scaled.select(*([F.col(group).cast("string").alias("grp")] if group else [F.lit("__all__").alias("grp")]),
-                        *[qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(model.features)]).dropna()
+                        *[qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(model.features)]).dropna(
+        subset=[f"x{j}" for j in range(d)])
 
     def run(batches):
         params = unflatten(np.asarray(bc.value), sizes)
@@ -193,7 +197,8 @@ def reconstruction_error_table(scaled: DataFrame, model, group: str | None) -> D
         for pdf in batches:
             if pdf.empty:
                 continue
-            for g, part in pdf.groupby("grp"):
+            for g, part in pdf.groupby("grp", dropna=False):
+                g = g if isinstance(g, str) else None
                 x = part[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
                 err = float(np.sum((x - forward(params, x)) ** 2))
                 a = acc.setdefault(g, [0.0, 0.0])

@@ -157,8 +157,8 @@ class DriftModel:
     m2_ref: np.ndarray             # second moment of the scaled reference about the PCA centre
     s2_ref: float                  # mean square of all scaled cells
     curves: list[Curve] = field(default_factory=list)
-    calibration: str = "expected"
-    fraction: float = 0.90
+    calibration: str = "permute"
+    fraction: float | int = 0.90
     ae: dict | None = None         # autoencoder weights and curves, when built
 
     @property
@@ -221,15 +221,15 @@ class DriftModel:
 
 # --------------------------------------------------------------------------- M5
 def fit(reference: DataFrame, cols: Sequence[str], fraction: float | int = 0.90,
-        calibration: str = "expected", repetitions: int = REPETITIONS, seed: int = 42,
+        calibration: str = "permute", repetitions: int = REPETITIONS, seed: int = 42,
         row_key: Sequence[str] | None = None, build_ae: bool = False, ae_params: dict | None = None) -> DriftModel:
     """M5: one G1 pass → scaler (A12) and scaled covariance → PCA by fraction
     (M6) → calibration curves (M8).
 
-    ``calibration="expected"`` uses the closed form (no extra pass; one curve,
-    since all repetitions share its expectation).  ``"permute"`` permutes the
-    cells of the whole reference ``repetitions`` times on Spark (M7), as the
-    reference does, and needs a stable ``row_key``.
+    ``calibration="permute"`` permutes the cells of the whole reference
+    ``repetitions`` times on Spark, which gives as many curves.  ``"expected"``
+    uses the closed form of their expectation: no extra pass, one curve, and
+    other scores than the ten curves outside the calibrated range.
     """
     cols = list(cols)
     # one pass: raw moments give the scaler (mean, population std) and, scaled
@@ -241,15 +241,13 @@ def fit(reference: DataFrame, cols: Sequence[str], fraction: float | int = 0.90,
     pca = pca_by_fraction(mom, fraction)
     m2 = mom.second_moment_about(pca.mean)
     s2 = float(np.trace(mom.second_moment_about(np.zeros(len(cols)))) / len(cols))
-    model = DriftModel(cols, mean, std, n, pca, m2, s2, calibration=calibration, fraction=float(fraction))
+    model = DriftModel(cols, mean, std, n, pca, m2, s2, calibration=calibration, fraction=fraction)
     if calibration == "expected":
         mses = [expected_calibration_mse(m2, s2, pca.components, p) for p in LEVELS]
         model.curves = [Curve(mses, [p * 100 for p in LEVELS])]
     elif calibration == "permute":
         from windrift.plans.permute import calibration_table
-        if not row_key:
-            raise ValueError("permute calibration needs a stable row key")
-        table = calibration_table(scaled, cols, list(row_key), pca.components, pca.mean,
+        table = calibration_table(scaled, cols, list(row_key or []), pca.components, pca.mean,
                                   repetitions=repetitions, seed=seed).collect()
         reps: dict[int, list] = {}
         for r in table:
@@ -274,7 +272,7 @@ def abs_cosines(ref: np.ndarray, cur: np.ndarray) -> np.ndarray:
 
 def dp_score(model: DriftModel, cur: Moments) -> tuple[float, int, float]:
     """M9: returns (dP, k of the current PCA, smallest eigen gap of current)."""
-    pc = pca_by_fraction(cur, model.fraction if model.fraction < 1 else int(model.fraction))
+    pc = pca_by_fraction(cur, model.fraction)
     k = min(model.pca.k, pc.k)
     lam = model.pca.eigenvalues[:k]
     cos = abs_cosines(model.pca.components, pc.components)
@@ -291,19 +289,30 @@ def de_pca_score(model: DriftModel, cur: Moments) -> tuple[float | None, float]:
     return score, mse
 
 
+def curve_spread(curves: Sequence[Curve], mse: float) -> tuple[int, float | None, float | None, bool]:
+    """(usable curves, their smallest and largest clipped value, whether ``mse``
+    lies outside the calibrated range of any curve)."""
+    vals = [v for c in curves if (v := curve_scores([c], mse)[0]) is not None]
+    outside = any(not (min(c.mse) <= mse <= max(c.mse)) for c in curves if c.mse)
+    return len(vals), min(vals, default=None), max(vals, default=None), outside
+
+
 SCORE_SCHEMA = T.StructType([
     T.StructField("grp", T.StringType()), T.StructField("n_rows", T.LongType()),
     T.StructField("dp", T.DoubleType()), T.StructField("de_pca", T.DoubleType()),
     T.StructField("de_ae", T.DoubleType()), T.StructField("mse_pca", T.DoubleType()),
     T.StructField("k_ref", T.IntegerType()), T.StructField("k_cur", T.IntegerType()),
     T.StructField("degenerate", T.BooleanType()), T.StructField("min_eigen_gap", T.DoubleType()),
+    T.StructField("n_curves", T.IntegerType()), T.StructField("curve_min", T.DoubleType()),
+    T.StructField("curve_max", T.DoubleType()), T.StructField("extrapolated", T.BooleanType()),
+    T.StructField("n_dropped", T.LongType()),
 ])
 
 
 def score_moments(model: DriftModel, moments: dict[str, Moments], ae_mse: dict[str, float] | None = None,
                   compat_zero: bool = False) -> list[tuple]:
     rows = []
-    for g in sorted(moments):
+    for g in sorted(moments, key=lambda g: (g is None, g)):
         m = moments[g]
         dp, k_cur, gap = dp_score(model, m)
         de, mse = de_pca_score(model, m)
@@ -313,8 +322,10 @@ def score_moments(model: DriftModel, moments: dict[str, Moments], ae_mse: dict[s
         if model.ae is not None and ae_mse is not None and g in ae_mse:
             from windrift.plans.autoencoder import ae_score
             de_ae = ae_score(model, ae_mse[g])
+        n_curves, low, high, outside = curve_spread(model.curves, mse)
         rows.append((g, int(round(m.n)), float(dp), de, de_ae, float(mse), model.pca.k, int(k_cur),
-                     model.degenerate, float(gap) if np.isfinite(gap) else None))
+                     model.degenerate, float(gap) if np.isfinite(gap) else None, n_curves, low, high, outside,
+                     int(round(m.dropped))))
     return rows
 
 
@@ -328,12 +339,14 @@ def _score_rows(model: DriftModel, compat_zero: bool):
         for pdf in batches:
             if pdf.empty:
                 continue
-            moments = {g: unpack_moments(vec, model.d).scaled(model.mean, model.std)
-                       for g, vec in zip(pdf["grp"], pdf["g"])}
+            moments = {g: m for g, vec in zip(pdf["grp"], pdf["g"])
+                       if (m := unpack_moments(vec, model.d).scaled(model.mean, model.std)).n > 0}
             ae = None
             if "mse_ae" in pdf.columns:
                 ae = {g: v for g, v in zip(pdf["grp"], pdf["mse_ae"]) if v is not None and v == v}
             rows = score_moments(model, moments, ae, compat_zero)
+            rows += [(g, 0, *[None] * 13, int(unpack_moments(vec, model.d).dropped))
+                     for g, vec in zip(pdf["grp"], pdf["g"]) if g not in moments]
             yield pd.DataFrame(rows, columns=[f.name for f in SCORE_SCHEMA.fields])
 
     return run
@@ -356,7 +369,8 @@ def score(model: DriftModel, current: DataFrame, group: str | None = None, compa
         from windrift.plans.autoencoder import reconstruction_error_table
         keep = [group] if group else []
         scaled = scale_columns(current, model.features, model.mean, model.std, keep=keep)
-        table = table.join(reconstruction_error_table(scaled, model, group), "grp", "left")
+        errors = reconstruction_error_table(scaled, model, group).withColumnRenamed("grp", "_ae_grp")
+        table = table.join(errors, F.col("grp").eqNullSafe(F.col("_ae_grp")), "left").drop("_ae_grp")
     return table.mapInPandas(_score_rows(model, compat_zero), SCORE_SCHEMA)
 
 
@@ -375,7 +389,7 @@ def gram_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
         base = raw[ref_group] if ref_group is not None else raw[GROUP_ALL]
         mean, std = base.mean, base.std_pop
     rows = []
-    for g, m in sorted(raw.items()):
+    for g, m in sorted(raw.items(), key=lambda x: (x[0] is None, x[0])):
         sums = m.scaled(mean, std).raw_sums()
         rows += [(g, i, j, float(sums[i, j])) for i in range(d + 1) for j in range(i, d + 1)]
     return spark.createDataFrame(rows, "grp string, i int, j int, v double")

@@ -15,7 +15,7 @@ The merge has three levels, none of which moves data rows:
 
 So a group holding a third of all rows costs no more than any other: its rows
 are reduced in the tasks that read them.  The driver receives one array of
-``1 + d + d(d+1)/2`` doubles per group.
+``2 + d + d(d+1)/2`` doubles per group.
 """
 
 from __future__ import annotations
@@ -35,39 +35,52 @@ from windrift.functions.columns import qcol
 GROUP_ALL = "__all__"
 
 
-def _pack(n: float, mean: np.ndarray, m2: np.ndarray, iu, ju) -> np.ndarray:
-    return np.concatenate([[n], mean, m2[iu, ju]])
+def _pack(n: float, mean: np.ndarray, m2: np.ndarray, dropped: float, iu, ju) -> np.ndarray:
+    return np.concatenate([[n], mean, m2[iu, ju], [dropped]])
 
 
-def _unpack(vec: np.ndarray, d: int, iu, ju) -> tuple[float, np.ndarray, np.ndarray]:
+def _unpack(vec: np.ndarray, d: int, iu, ju) -> tuple[float, np.ndarray, np.ndarray, float]:
     n = float(vec[0])
     mean = np.asarray(vec[1:1 + d], dtype=np.float64)
     m2 = np.zeros((d, d))
-    m2[iu, ju] = vec[1 + d:]
-    m2[ju, iu] = vec[1 + d:]
-    return n, mean, m2
+    m2[iu, ju] = vec[1 + d:-1]
+    m2[ju, iu] = vec[1 + d:-1]
+    return n, mean, m2, float(vec[-1])
 
 
 def _combine(a, b):
-    """Chan et al. pairwise update of (n, mean, M2)."""
-    na, ma, sa = a
-    nb, mb, sb = b
+    """Chan et al. pairwise update of (n, mean, M2, incomplete rows)."""
+    na, ma, sa, da = a
+    nb, mb, sb, db = b
     if na == 0:
-        return b
+        return nb, mb, sb, da + db
     if nb == 0:
-        return a
+        return na, ma, sa, da + db
     n = na + nb
     delta = mb - ma
     mean = ma + delta * (nb / n)
     m2 = sa + sb + np.outer(delta, delta) * (na * nb / n)
-    return n, mean, m2
+    return n, mean, m2, da + db
 
 
 def _block_moments(x: np.ndarray):
-    n = float(x.shape[0])
-    mean = x.mean(axis=0)
-    c = x - mean
-    return n, mean, c.T @ c
+    """Moments of the complete rows, and how many rows have a missing feature."""
+    whole = x[~np.isnan(x).any(axis=1)]
+    dropped = float(len(x) - len(whole))
+    d = x.shape[1]
+    if not len(whole):
+        return 0.0, np.zeros(d), np.zeros((d, d)), dropped
+    mean = whole.mean(axis=0)
+    c = whole - mean
+    return float(len(whole)), mean, c.T @ c, dropped
+
+
+#: Groups that a task holds before it puts its partial moments out; the later levels merge partials anyway.
+FLUSH_GROUPS = 4096
+
+
+def _rows(acc: dict, salt: int, iu, ju) -> pd.DataFrame:
+    return pd.DataFrame({"grp": list(acc), "salt": salt, "g": [_pack(*m, iu, ju) for m in acc.values()]})
 
 
 def _task_moments(d: int, has_group: bool):
@@ -82,16 +95,21 @@ def _task_moments(d: int, has_group: bool):
             salt = int(pdf["_pid"].iloc[0])
             x = pdf.iloc[:, 2 if has_group else 1:].to_numpy(dtype=np.float64, copy=False)
             if has_group:
-                keys = pdf["grp"].astype(str).to_numpy()
-                for g in pd.unique(keys):
-                    part = _block_moments(x[keys == g])
+                code, names = pd.factorize(pdf["grp"], use_na_sentinel=False)
+                order = np.argsort(code, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                    g = names[code[rows[0]]]
+                    g = g if isinstance(g, str) else None  # the NULL group is a group
+                    part = _block_moments(x[rows])
                     acc[g] = _combine(acc[g], part) if g in acc else part
+                if len(acc) >= FLUSH_GROUPS:
+                    yield _rows(acc, salt, iu, ju)
+                    acc = {}
             else:
                 part = _block_moments(x)
                 acc[GROUP_ALL] = _combine(acc[GROUP_ALL], part) if GROUP_ALL in acc else part
         if acc:
-            yield pd.DataFrame({"grp": list(acc), "salt": salt,
-                                "g": [_pack(*m, iu, ju) for m in acc.values()]})
+            yield _rows(acc, salt, iu, ju)
 
     return run
 
@@ -103,6 +121,7 @@ def _merge(d: int):
         acc: dict[str, tuple] = {}
         for pdf in batches:
             for g, vec in zip(pdf["grp"], pdf["g"]):
+                g = g if isinstance(g, str) else None
                 m = _unpack(np.asarray(vec, dtype=np.float64), d, iu, ju)
                 acc[g] = _combine(acc[g], m) if g in acc else m
         if acc:
@@ -113,14 +132,15 @@ def _merge(d: int):
 
 def moments_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
                   merge_width: int | None = None) -> DataFrame:
-    """G1 as ``(grp, g)``: one packed ``(n, mean, upper(M2))`` per group.
+    """G1 as ``(grp, g)``: one packed ``(n, mean, upper(M2), dropped)`` per group.
 
-    Rows with a NULL feature are left out (complete cases)."""
+    Rows with a NULL feature are left out of the moments (complete cases) and
+    counted in ``dropped``; a NULL group key is a group of its own."""
     d = len(cols)
     feats = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
     sel = df.select(F.spark_partition_id().alias("_pid"),
-                    *([F.col(group).cast("string").alias("grp")] if group else []), *feats).dropna()
-    width = merge_width or max(1, math.ceil(math.sqrt(sel.rdd.getNumPartitions())))
+                    *([F.col(group).cast("string").alias("grp")] if group else []), *feats)
+    width = merge_width or max(1, math.ceil(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     packed = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
     out = "grp string, g array<double>"
@@ -135,6 +155,7 @@ class Moments:
     n: float
     mean: np.ndarray      # d
     scatter: np.ndarray   # d×d, Σ (x-mean)(x-mean)ᵀ
+    dropped: float = 0.0  # rows with a missing feature, not in n
 
     @property
     def cov(self) -> np.ndarray:
@@ -152,7 +173,7 @@ class Moments:
     def scaled(self, mean: np.ndarray, std: np.ndarray) -> Moments:
         """Moments of ``(x - mean) / std`` (std 0 → 1), without another pass."""
         s = np.where(std == 0, 1.0, std)
-        return Moments(self.n, (self.mean - mean) / s, self.scatter / np.outer(s, s))
+        return Moments(self.n, (self.mean - mean) / s, self.scatter / np.outer(s, s), self.dropped)
 
     def raw_sums(self) -> np.ndarray:
         """``[1, x]ᵀ[1, x]`` summed over rows: n, Σx and Σxxᵀ."""
@@ -169,35 +190,21 @@ def collect_moments(table: DataFrame, d: int) -> dict[str, Moments]:
     iu, ju = np.triu_indices(d)
     out = {}
     for r in table.collect():
-        n, mean, m2 = _unpack(np.asarray(r["g"], dtype=np.float64), d, iu, ju)
+        n, mean, m2, dropped = _unpack(np.asarray(r["g"], dtype=np.float64), d, iu, ju)
         if n > 0:
-            out[r["grp"]] = Moments(n, mean, m2)
+            out[r["grp"]] = Moments(n, mean, m2, dropped)
     return out
 
 
 def unpack_moments(vec, d: int) -> Moments:
     iu, ju = np.triu_indices(d)
-    n, mean, m2 = _unpack(np.asarray(vec, dtype=np.float64), d, iu, ju)
-    return Moments(n, mean, m2)
+    return Moments(*_unpack(np.asarray(vec, dtype=np.float64), d, iu, ju))
 
 
 def group_moments(df: DataFrame, cols: Sequence[str], group: str | None = None) -> dict[str, Moments]:
     return collect_moments(moments_table(df, cols, group), len(cols))
 
 
-def gram(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
-    """G1 in long form ``(grp, i, j, v)``, index 0 the constant column:
-    ``v(0,0)=n``, ``v(0,j)=Σx_j``, ``v(i,j)=Σx_i·x_j`` (i ≤ j).  Built on the
-    driver from the per-group moments (``groups × (d+1)(d+2)/2`` rows)."""
-    spark = df.sparkSession
-    d = len(cols)
-    rows = []
-    for g, m in sorted(group_moments(df, cols, group).items()):
-        s = m.raw_sums()
-        rows += [(g, i, j, float(s[i, j])) for i in range(d + 1) for j in range(i, d + 1)]
-    return spark.createDataFrame(rows, "grp string, i int, j int, v double")
-
-
 def reconstruction_mse(m2: np.ndarray, loadings: np.ndarray) -> float:
     """Mean squared error of projecting onto the ``k×d`` loadings,
     from the second-moment matrix about the PCA mean:

@@ -268,19 +268,10 @@ def q_x2(spark, d):
 
 
 # ----------------------------------------------------------------- autoencoder
-_AE_MODELS: dict = {}
-
-
 def _ae_model(spark, d):
-    """One autoencoder fit per (application, folder), shared by the three
-    views M11-M13 (model shape, calibration curves, scores)."""
     li = fx.lineitem_features(spark, d)
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _AE_MODELS:
-        ref, _ = fx.split_ref_current(li)
-        _AE_MODELS[key] = det.fit(ref, fx.LINEITEM_FEATURES, row_key=fx.ROW_KEY, build_ae=True,
-                                  ae_params={"hidden_layers": [32, 16], "epochs": 5})
-    return _AE_MODELS[key], li
+    ref, _ = fx.split_ref_current(li)
+    return det.fit(ref, fx.LINEITEM_FEATURES, row_key=fx.ROW_KEY, build_ae=True), li
 
 
 def q_m11(spark, d):
@@ -310,12 +301,6 @@ QUERIES = {
     "X1": q_x1, "X2": q_x2, "M11": q_m11, "M12": q_m12, "M13": q_m13,
 }
 
-_REGR = """SELECT ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-  ROUND(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
-  ROUND(SQRT(AVG(POW(l_extendedprice - (regr_slope(l_extendedprice, l_quantity) OVER () * l_quantity
-       + regr_intercept(l_extendedprice, l_quantity) OVER ()), 2))), 4) AS rmse,
-  ROUND(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem"""
-
 ORACLE = {
     "M18": """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
   regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem)
