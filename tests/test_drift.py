@@ -139,3 +139,24 @@ def test_gram_identity_reconstruction():
     m2 = z.T @ z / len(z)
     rec = z @ p.T @ p
     assert reconstruction_mse(m2, p) == pytest.approx(np.mean((z - rec) ** 2))
+
+
+def test_cell_order_is_a_bijection_both_ways():
+    from windrift.plans.permute import CellOrder
+    for n in (1, 2, 7, 100, 4096, 10_007):
+        order = CellOrder(n, 5)
+        ranks = order.rank(np.arange(n))
+        assert sorted(ranks) == list(range(n)) and (order.cell(ranks) == np.arange(n)).all()
+
+
+def test_scores_say_when_they_extrapolate(data):
+    model = det.fit(data[1], FEATS)
+    rows = det.score(model, data[1].unionByName(data[1].selectExpr(*[
+        f"{c} * 9 as {c}" if c in FEATS else c for c in data[1].columns])).withColumn(
+        "half", F.monotonically_increasing_id() % 2), "half").collect()
+    assert len(model.curves) == 10 and all(len(c.mse) == 10 for c in model.curves)
+    far = [r for r in rows if r.extrapolated]
+    assert far and all(r.n_curves == 10 and r.curve_min <= r.de_pca <= r.curve_max for r in rows)
+    for r in rows:  # clip each curve, then the mean
+        vals = [min(max(float(c.spline()(r.mse_pca)), 0.0), 100.0) for c in model.curves]
+        assert abs(r.de_pca - sum(vals) / len(vals)) < 1e-9

@@ -97,3 +97,20 @@ def test_scores_for_many_small_groups(spark):
     assert len(rows) == g.select("l_partkey").distinct().count() <= keyed
     assert all(0.0 <= r["dp"] <= 100.0 for r in rows)
     assert all(r["de_pca"] is None or 0.0 <= r["de_pca"] <= 100.0 for r in rows)
+
+
+def test_null_group_and_dropped_rows_are_counted(spark, monkeypatch):
+    from windrift.plans import moments
+    monkeypatch.setattr(moments, "FLUSH_GROUPS", 3)
+    rows = [(None if i % 5 == 0 else f"g{i % 11}", float(i), None if i % 7 == 0 else float(i * i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+    got = moments.group_moments(df, ["x", "y"], "g")
+    want = {}
+    for g, x, y in rows:
+        want.setdefault(g, []).append((x, y))
+    assert set(got) == set(want) and None in got
+    for g, pairs in want.items():
+        whole = np.array([p for p in pairs if p[1] is not None])
+        assert got[g].n == len(whole) and got[g].dropped == len(pairs) - len(whole)
+        np.testing.assert_allclose(got[g].mean, whole.mean(0))
+        np.testing.assert_allclose(got[g].scatter, (whole - whole.mean(0)).T @ (whole - whole.mean(0)), atol=1e-6)

@@ -82,3 +82,14 @@ def test_ordered_split_fallback_matches_fast_path(spark):
     o2 = o.withColumn("k", F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     slow = {r["o_orderkey"]: r["is_ref"] for r in ordering.ordered_split(o2, ["o_orderdate", "k"], 0.3).collect()}
     assert fast == slow and sum(fast.values()) == int(len(fast) * 0.3)
+
+
+def test_ordered_split_is_exact_with_ties_and_nulls(spark):
+    rows = [(1, 5)] * 4 + [(1, None), (2, 7), (2, 7), (3, 1)]
+    df = spark.createDataFrame(rows, "d int, k int")
+    for fraction in (0.25, 0.5, 0.75):
+        out = ordering.ordered_split(df, ["d", "k"], fraction).collect()
+        assert len(out) == 8 and sum(r.is_ref for r in out) == int(8 * fraction)
+        assert all(r.is_ref is not None for r in out)
+    whole = spark.createDataFrame([(1, 5)] * 8, "d int, k int")
+    assert ordering.ordered_split(whole, ["d", "k"], 0.25).filter("is_ref").count() == 2

@@ -111,7 +111,8 @@ def test_top_neighbours_tie_break(spark):
     assert [r["N_CELL"] for r in prep.top_neighbours(ov, 2).collect()] == ["a", "b"]
 
 
-def test_bounded_broadcast_respects_bound(spark):
+def test_bounded_broadcast_needs_a_known_size(spark):
     df = spark.range(1000)
-    assert prep.bounded_broadcast(df, max_bytes=10) is df            # too big: no hint
-    assert prep.bounded_broadcast(df, max_bytes=1 << 30) is not df   # small: hinted copy
+    assert prep.bounded_broadcast(df) is df                                            # unknown: no hint, no job
+    assert prep.bounded_broadcast(df, max_bytes=10, known_rows=1000) is df             # too big
+    assert prep.bounded_broadcast(df, max_bytes=1 << 30, known_rows=1000) is not df    # small: hinted copy

@@ -40,14 +40,14 @@ VERSION_PRINTER: Policy = [
     (None, "Major version update recommended (X.0.0)"),
 ]
 
-# Version advice of the written guide, cuts 30/50.
+# Version advice of the written guide, cuts 30/50.
 VERSION_GUIDE: Policy = [
     (30.0, "minor update"),
     (50.0, "review: minor or major update"),
     (None, "major update"),
 ]
 
-# Action list, cuts 10/30/50.
+# Action list, cuts 10/30/50.
 ACTIONS: Policy = [
     (10.0, "very low drift: no action needed"),
     (30.0, "low to moderate drift: minor version update, monitor trends, document changes"),
@@ -55,7 +55,7 @@ ACTIONS: Policy = [
     (None, "high drift: major version update, investigate causes, retrain models, update data jobs"),
 ]
 
-# Verdict on dE_PCA, cuts 30/50.
+# Verdict on dE_PCA, cuts 30/50.
 VERDICT: Policy = [
     (30.0, "confirmed"),
     (50.0, "medium"),
@@ -89,17 +89,3 @@ def metric_band(metric: Column | str, value: Column | str) -> Column:
     reconstruction texts."""
     m = F.col(metric) if isinstance(metric, str) else metric
     return F.when(m == F.lit("dP"), band(value, DP_BANDS)).otherwise(band(value, DE_BANDS))
-
-
-def policy_sql(column: str, policy: Policy | str, missing_as_zero: bool = False) -> str:
-    """The same CASE as SQL text (used by the oracle and by SQL users)."""
-    pol = POLICIES[policy] if isinstance(policy, str) else policy
-    v = f"coalesce({column}, 0.0)" if missing_as_zero else column
-    parts = [f"CASE WHEN {v} IS NULL THEN NULL"]
-    for bound, text in pol:
-        t = text.replace("'", "''")
-        if bound is None:
-            parts.append(f"ELSE '{t}' END")
-        else:
-            parts.append(f"WHEN {v} < {bound} THEN '{t}'")
-    return " ".join(parts)

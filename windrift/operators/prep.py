@@ -80,14 +80,13 @@ def _row_bytes(schema: T.StructType) -> int:
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its measured size is below ``max_bytes``.
+    """Broadcast ``df`` only when its size is known to be below ``max_bytes``.
 
-    The row count is measured (or given), multiplied by the schema's row width.
-    Beyond the bound the frame is returned unhinted and Spark plans a shuffle
-    join (AQE may still convert it at run time from real shuffle sizes).
+    Without a known row count the frame is returned unhinted: nothing is run to
+    measure it, and AQE turns the join into a broadcast from the real size of
+    its shuffle.
     """
-    rows = df.count() if known_rows is None else known_rows
-    if rows * _row_bytes(df.schema) <= max_bytes:
+    if known_rows is not None and known_rows * _row_bytes(df.schema) <= max_bytes:
         return F.broadcast(df)
     return df
 

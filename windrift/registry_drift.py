@@ -14,6 +14,7 @@ from windrift.sources import fixtures as fx
 
 FEATS = fx.LINEITEM_FEATURES
 SEED = 42
+N_DIM = 64  # of the embeddings
 
 # ----------------------------------------------------------------- oracle snippets
 # SQL of the derived lineitem features, in FEATS order.
@@ -122,8 +123,10 @@ def q_f4(spark, d):
 
 
 def _band_input(spark, d):
-    li = fx.table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_discount") * 1000).alias("score")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Scores at every cut, just below it, and missing, with their row counts."""
+    score = F.col("l_discount") * 1000
+    li = fx.table(spark, d, "lineitem").select(F.explode(F.array(score, score - 0.01, F.lit(None).cast("double"))).alias("score"))
+    return li.groupBy("score").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def q_f7_f11(spark, d):
@@ -185,25 +188,25 @@ def q_i5(spark, d):
     return _li(spark, d).select(*chosen)
 
 
-def _emb5(spark, d):
+def _emb_nulls(spark, d):
     emb = fx.table(spark, d, "embeddings")
     cols = [F.when(F.col("vec_id") % 7 == j, F.lit(None).cast("double"))
-            .otherwise(F.col("embedding")[j].cast("double")).alias(f"e{j}") for j in range(5)]
+            .otherwise(F.col("embedding")[j].cast("double")).alias(f"e{j}") for j in range(N_DIM)]
     return emb.select("vec_id", *cols)
 
 
 def q_p14(spark, d):
-    return reshape.to_long(_emb5(spark, d), ["vec_id"], [f"e{j}" for j in range(5)])
+    return reshape.to_long(_emb_nulls(spark, d), ["vec_id"], [f"e{j}" for j in range(N_DIM)])
 
 
 def q_p14_back(spark, d):
-    e = _emb5(spark, d)
-    names = [f"e{j}" for j in range(5)]
+    e = _emb_nulls(spark, d)
+    names = [f"e{j}" for j in range(N_DIM)]
     return reshape.to_wide(reshape.to_long(e, ["vec_id"], names), ["vec_id"], names)
 
 
 def q_p15(spark, d):
-    return reshape.row_mean_impute(_emb5(spark, d), [f"e{j}" for j in range(5)])
+    return reshape.row_mean_impute(_emb_nulls(spark, d), [f"e{j}" for j in range(N_DIM)])
 
 
 def q_p16(spark, d):
@@ -409,13 +412,31 @@ ORACLE["F3"] = (f"WITH {LI_SQL} SELECT l_orderkey, l_linenumber, "
                 f"LEAST(GREATEST(charge / 1000.0 - 10.0, 0.0), 100.0) AS clipped FROM li")
 ORACLE["F4"] = f"WITH {LI_SQL}, {REF_STATS_SQL} SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"ROUND({_z_sql(c)}, 6) + 0.0 AS {c}" for c in FEATS) + " FROM li, st"
-_BAND_COLS = ", ".join([
-    f"{bands.policy_sql('score', 'dp')} AS band_dp", f"{bands.policy_sql('score', 'de')} AS band_de",
-    f"{bands.policy_sql('score', 'printer')} AS advice_printer",
-    f"{bands.policy_sql('score', 'guide')} AS advice_guide",
-    f"{bands.policy_sql('score', 'actions')} AS actions", f"{bands.policy_sql('score', 'verdict')} AS verdict"])
-ORACLE["F7_F11"] = (f"WITH b AS (SELECT l_discount * 1000 AS score, COUNT(*) AS n_rows FROM lineitem GROUP BY 1) "
-                    f"SELECT score, n_rows, {_BAND_COLS} FROM b")
+# Written by hand, apart from bands.POLICIES, so that a wrong cut there shows.
+_DP = """CASE WHEN score < 10 THEN 'Very Low Drift - Covariance structure highly similar'
+  WHEN score < 30 THEN 'Low Drift - Minor changes in covariance structure'
+  WHEN score < 50 THEN 'Moderate Drift - Noticeable changes detected'
+  WHEN score < 70 THEN 'High Drift - Significant structural changes'
+  WHEN score >= 70 THEN 'Very High Drift - Major version update recommended' END"""
+_DE = """CASE WHEN score < 10 THEN 'Very Low Drift - Data highly similar'
+  WHEN score < 30 THEN 'Low Drift - Minor changes in distribution'
+  WHEN score < 50 THEN 'Moderate Drift - Data still recognizable'
+  WHEN score < 70 THEN 'High Drift - Substantial differences'
+  WHEN score >= 70 THEN 'Very High Drift - Data drastically different (like random noise)' END"""
+_PRINTER = """CASE WHEN score < 30 THEN 'Minor version update (0.X.0)'
+  WHEN score < 70 THEN 'Consider minor version update, review changes'
+  WHEN score >= 70 THEN 'Major version update recommended (X.0.0)' END"""
+_GUIDE = """CASE WHEN score < 30 THEN 'minor update' WHEN score < 50 THEN 'review: minor or major update'
+  WHEN score >= 50 THEN 'major update' END"""
+_ACTIONS = """CASE WHEN score < 10 THEN 'very low drift: no action needed'
+  WHEN score < 30 THEN 'low to moderate drift: minor version update, monitor trends, document changes'
+  WHEN score < 50 THEN 'moderate drift: review data quality, consider retraining, update documentation'
+  WHEN score >= 50 THEN 'high drift: major version update, investigate causes, retrain models, update data jobs' END"""
+_VERDICT = "CASE WHEN score < 30 THEN 'confirmed' WHEN score < 50 THEN 'medium' WHEN score >= 50 THEN 'high' END"
+_B_IN = ("WITH b AS (SELECT score, COUNT(*) AS n_rows FROM (SELECT UNNEST([l_discount * 1000, l_discount * 1000 - 0.01, NULL]) "
+         "AS score FROM lineitem) GROUP BY score) ")
+ORACLE["F7_F11"] = _B_IN + (f"SELECT score, n_rows, {_DP} AS band_dp, {_DE} AS band_de, {_PRINTER} AS advice_printer, "
+                            f"{_GUIDE} AS advice_guide, {_ACTIONS} AS actions, {_VERDICT} AS verdict FROM b")
 
 
 def _inject_sql(kind: str, intensity: float, digits: int) -> str:
@@ -436,16 +457,16 @@ ORACLE["I1"] = _inject_sql("scale", 0.4, 9)
 ORACLE["I2"] = _inject_sql("shift", 0.3, 6)
 ORACLE["I5"] = f"WITH {LI_SQL} SELECT {', '.join(inject.choose_columns(FEATS, 0.4, SEED))} FROM li"
 
-EMB5_SQL = ("e5 AS (SELECT vec_id, " + ", ".join(
-    f"CASE WHEN vec_id % 7 = {j} THEN NULL ELSE CAST(embedding[{j + 1}] AS DOUBLE) END AS e{j}" for j in range(5))
+EMB_SQL = ("e64 AS (SELECT vec_id, " + ", ".join(
+    f"CASE WHEN vec_id % 7 = {j} THEN NULL ELSE CAST(embedding[{j + 1}] AS DOUBLE) END AS e{j}" for j in range(N_DIM))
     + " FROM embeddings)")
-ORACLE["P14"] = f"WITH {EMB5_SQL} " + " UNION ALL ".join(
-    f"SELECT vec_id, 'e{j}' AS feature, e{j} AS value FROM e5" for j in range(5))
-ORACLE["P14_back"] = f"WITH {EMB5_SQL} SELECT vec_id, e0, e1, e2, e3, e4 FROM e5"
-_present = " + ".join(f"(CASE WHEN e{j} IS NULL THEN 0 ELSE 1 END)" for j in range(5))
-_total = "0.0 + " + " + ".join(f"COALESCE(e{j}, 0.0)" for j in range(5))
-ORACLE["P15"] = (f"WITH {EMB5_SQL}, rm AS (SELECT *, CASE WHEN {_present} > 0 THEN ({_total}) / ({_present}) END AS m "
-                 f"FROM e5) SELECT vec_id, " + ", ".join(f"COALESCE(e{j}, m) AS e{j}" for j in range(5)) + " FROM rm")
+ORACLE["P14"] = f"WITH {EMB_SQL} " + " UNION ALL ".join(
+    f"SELECT vec_id, 'e{j}' AS feature, e{j} AS value FROM e64" for j in range(N_DIM))
+ORACLE["P14_back"] = f"WITH {EMB_SQL} SELECT * FROM e64"
+_present = " + ".join(f"(CASE WHEN e{j} IS NULL THEN 0 ELSE 1 END)" for j in range(N_DIM))
+_total = "0.0 + " + " + ".join(f"COALESCE(e{j}, 0.0)" for j in range(N_DIM))
+ORACLE["P15"] = (f"WITH {EMB_SQL}, rm AS (SELECT *, CASE WHEN {_present} > 0 THEN ({_total}) / ({_present}) END AS m "
+                 f"FROM e64) SELECT vec_id, " + ", ".join(f"COALESCE(e{j}, m) AS e{j}" for j in range(N_DIM)) + " FROM rm")
 ORACLE["P16"] = ("WITH o AS (SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rn, "
                  "COUNT(*) OVER () AS n FROM orders) "
                  "SELECT o_orderkey, rn < CAST(FLOOR(n * 0.5) AS BIGINT) AS is_ref FROM o")
@@ -477,11 +498,9 @@ z AS (SELECT l.vec_id, CAST(l.is_ref AS VARCHAR) AS grp, l.i,
 SELECT a.grp AS grp, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, ROUND(SUM(a.z * b.z), 6) + 0.0 AS v
 FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.grp, a.i, b.i"""
 
-_B_IN = "WITH b AS (SELECT l_discount * 1000 AS score, COUNT(*) AS n_rows FROM lineitem GROUP BY 1) "
-ORACLE["F7"] = (_B_IN + ", m AS (SELECT * FROM b, (VALUES ('dP'), ('dE_PCA')) t(metric)) "
-                "SELECT metric, score, n_rows, CASE WHEN metric = 'dP' THEN " + bands.policy_sql("score", "dp")
-                + " ELSE " + bands.policy_sql("score", "de") + " END AS band FROM m")
-ORACLE["F8"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'printer')} AS advice FROM b"
-ORACLE["F9"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'guide')} AS advice FROM b"
-ORACLE["F10"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'actions')} AS actions FROM b"
-ORACLE["F11"] = _B_IN + f"SELECT score, n_rows, {bands.policy_sql('score', 'verdict')} AS verdict FROM b"
+ORACLE["F7"] = _B_IN + (", m AS (SELECT * FROM b, (VALUES ('dP'), ('dE_PCA')) t(metric)) "
+                        f"SELECT metric, score, n_rows, CASE WHEN metric = 'dP' THEN {_DP} ELSE {_DE} END AS band FROM m")
+ORACLE["F8"] = _B_IN + f"SELECT score, n_rows, {_PRINTER} AS advice FROM b"
+ORACLE["F9"] = _B_IN + f"SELECT score, n_rows, {_GUIDE} AS advice FROM b"
+ORACLE["F10"] = _B_IN + f"SELECT score, n_rows, {_ACTIONS} AS actions FROM b"
+ORACLE["F11"] = _B_IN + f"SELECT score, n_rows, {_VERDICT} AS verdict FROM b"

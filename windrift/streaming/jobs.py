@@ -105,10 +105,7 @@ def scoring_sink(model: det.DriftModel, history_path: str, group: str | None = N
     (its cost does not grow with the number of batches seen)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.limit(1).count() == 0:
-            return
-        res = det.score(model, batch, group)
-        res.coalesce(1).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={int(batch_id)}")
+        det.score(model, batch, group).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={int(batch_id)}")
 
     return handle
 
