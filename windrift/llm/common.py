@@ -23,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it
-    back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(scratch_path(spark, "llm"), f"{name}-{uuid.uuid4().hex[:12]}")
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder of ``spark.checkpoint.dir``; returns the path."""
+    path = os.path.join(scratch_path(df.sparkSession, "llm"), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and
+    survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -8,9 +8,11 @@ high similarities closely; candidates far below the threshold go there, and the
 others are confirmed on their full sets.
 
 Equal sets are one class before any pairing.  Then each bucket links its members
-to one hub; buckets whose members are still in different components are compared
-again, in blocks of bounded size, and only pairs across components whose sketches
-agree are put out.  So no bucket emits all its pairs, and no link between
+to one hub.  Buckets whose members are still in different components are compared
+again, in blocks of bounded size: a spanning forest of the sketches that agree
+joins components into clusters, and in each cluster all members of different
+components are compared on their full sets, again in blocks, which put out a
+spanning forest of links.  So no bucket emits its pairs, and no link between
 components is lost to a cap.
 
 Edge cases: a text without words is linked with nothing; a text of fewer words than
@@ -38,8 +40,9 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.55
-#: Members of a bucket that are compared with each other in one group.
+#: Members of a bucket, and of a cluster of up to this squared, that meet in one group (of two blocks).
 BLOCK = 256
+CLUSTER_BLOCK = 64
 
 _SIG = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary"
 
@@ -132,51 +135,118 @@ def _confirmed(batches):
             yield part.select(["a", "b"]).filter(pa.array((100 * both >= PERCENT * union) & (both > 0)))
 
 
-def _across(batches):
-    """Pairs of one group (key, i, j; rows sorted by them) from different components
-    whose sketches agree.  A group has two blocks at most."""
+def _grouped(batches, names: list[str], solve):
+    """``solve`` for each run of rows that agree in ``names`` (sorted by them)."""
     held = None
     for batch in batches:
         held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if held.num_rows < 4 * BLOCK:
+        if not held.num_rows:
+            held = None
             continue
-        group = np.stack([held.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")])
-        last = int(np.flatnonzero((group != group[:, -1:]).any(0))[-1]) + 1 if (group != group[:, -1:]).any() else 0
-        if last:
-            yield from _pairs(held.slice(0, last))
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield from _pairs(held)
-
-
-def _pairs(batch: pa.RecordBatch):
-    key, i, j, block, rep, comp = (batch.column(c).to_numpy(zero_copy_only=False)
-                                   for c in ("key", "i", "j", "block", "rep", "comp"))
-    sketch = _bytes_matrix(batch.column("sketch"))
-    lag = 1
-    while lag < len(key):
-        same = (key[lag:] == key[:-lag]) & (i[lag:] == i[:-lag]) & (j[lag:] == j[:-lag])
-        if not same.any():
-            return
-        # a pair inside one block belongs to the group i = j
-        cross = same & (comp[lag:] != comp[:-lag]) & ((block[lag:] != block[:-lag]) | (i[lag:] == j[lag:]))
-        at = np.flatnonzero(cross)
-        at = at[estimate(sketch[at], sketch[at + lag]) >= LEAST_ESTIMATE]
-        if len(at):
-            a, b = np.minimum(rep[at], rep[at + lag]), np.maximum(rep[at], rep[at + lag])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        lag += 1
-
-
-def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, sketched: bool) -> DataFrame:
+        group = np.stack([held.column(c).to_numpy(zero_copy_only=False) for c in names])
+        cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+        if len(cuts):
+            yield from solve(held.slice(0, int(cuts[-1])), cuts[:-1].tolist())
+            held = held.slice(int(cuts[-1]))
+    if held is not None:
+        group = np.stack([held.column(c).to_numpy(zero_copy_only=False) for c in names])
+        yield from solve(held, (np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist())
+
+
+class _Forest:
+    """Union of the components ``comp`` of some rows; tells which unions were new."""
+
+    def __init__(self, comp: np.ndarray):
+        _, self.label = np.unique(comp, return_inverse=True)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Positions of the pairs (x, y) that join two parts."""
+        out = []
+        for k in np.flatnonzero(self.label[x] != self.label[y]).tolist():
+            a, b = self.label[x[k]], self.label[y[k]]
+            if a != b:
+                self.label[self.label == b] = a
+                out.append(k)
+        return out
+
+
+def _linked_by_sketch(batches):
+    """Pairs of components (a, b) with members in one bucket whose sketches agree: a
+    spanning forest for each group (key, i, j), which has two blocks at most."""
+    def solve(rows, cuts):
+        i, j, block, comp = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block", "comp"))
+        sketch, found = _bytes_matrix(rows.column("sketch")), []
+        for lo, hi in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+            forest = _Forest(comp[lo:hi])
+            for lag in range(1, hi - lo):
+                x = np.arange(lo, hi - lag)
+                # a pair inside one block belongs to the group i = j
+                x = x[(block[x] != block[x + lag]) | (i[lo] == j[lo])]
+                x = x[forest.label[x - lo] != forest.label[x + lag - lo]]
+                x = x[estimate(sketch[x], sketch[x + lag]) >= LEAST_ESTIMATE]
+                found += [(comp[x[k]], comp[x[k] + lag]) for k in forest.join(x - lo, x + lag - lo)]
+        yield _pairs(found)
+    yield from _grouped(batches, ["key", "i", "j"], solve)
+
+
+def _linked_by_sets(batches):
+    """Links (a, b) between components, from the full sets of all members of a
+    group (cluster, i, j): a spanning forest of them."""
+    def solve(rows, cuts):
+        i, j, block, rep, comp = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block", "rep", "comp"))
+        found = []
+        for lo, hi in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+            if (comp[lo:hi] == comp[lo]).all():
+                continue
+            inter, n = _intersections(rows.column("text").slice(lo, hi - lo))
+            near = 100 * inter >= PERCENT * (n[:, None] + n[None, :] - inter)
+            near &= (inter > 0) & (comp[lo:hi, None] != comp[None, lo:hi])
+            if i[lo] != j[lo]:
+                near &= block[lo:hi, None] != block[None, lo:hi]
+            x, y = np.nonzero(np.triu(near, 1))
+            found += [(rep[lo + x[k]], rep[lo + y[k]]) for k in _Forest(comp[lo:hi]).join(x, y)]
+        yield _pairs(found)
+    yield from _grouped(batches, ["cluster", "i", "j"], solve)
+
+
+def _pairs(found: list) -> pa.RecordBatch:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _intersections(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the pairwise intersections, set sizes) of the texts' shingle sets."""
+    sets, owners, sizes = [], [], []
+    for at, data, offsets in tv.slices(col):
+        hashes, _, _, counts = tv.words(data, offsets)
+        s, n = tv.shingles(hashes, counts, SHINGLE)
+        sets.append(s)
+        owners.append(np.repeat(np.arange(len(n)) + at, n))
+        sizes.append(n)
+    s, r, n = np.concatenate(sets), np.concatenate(owners), np.concatenate(sizes)
+    _, column, times = np.unique(s, return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[column]
+    column, r = (np.cumsum(shared) - 1)[column[keep]], r[keep]
+    order = np.argsort(column, kind="stable")
+    column, r = column[order], r[order]
+    inter, width = np.zeros((len(n), len(n))), 8192
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        table = np.zeros((len(n), width), np.float32)
+        table[r[a:b], column[a:b] - lo] = 1
+        inter += table @ table.T
+    return inter, n
+
+
+def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; ``texts``: (doc_id, text)."""
     pairs = materialize(pairs, "candidates")
-    if not sketched:
-        heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
-        hubs = materialize(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(heavy, "a"), "hubs")
-        signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        pairs = materialize(join_unique(signed, hubs, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(
-            _near_by_sketch, "a long, b long"), "near")
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
+    hubs = materialize(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(heavy, "a"), "hubs")
+    signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = materialize(join_unique(signed, hubs, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(
+        _near_by_sketch, "a long, b long"), "near")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).groupBy(
         "doc_id").agg(F.count(F.lit(1)).alias("w"))
     ids = materialize(ids, "pair-ids")
@@ -187,6 +257,26 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, sketched: bool)
     return materialize(whole.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "verified")
 
 
+def _resolve(clusters: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of each cluster (v: component, c: cluster), all
+    pairs of its members compared on their full sets, in blocks."""
+    grown = clusters.toDF("comp", "cluster")
+    member = reps.select("rep").join(labels.toDF("rep", "label"), "rep", "left").select(
+        "rep", F.coalesce("label", "rep").alias("comp")).join(grown, "comp")
+    member = materialize(member, "cluster-members")
+    sizes = materialize(member.groupBy("cluster").agg(F.count(F.lit(1)).alias("w")), "cluster-sizes")
+    ids = member.select(F.col("rep").alias("doc_id")).withColumn("w", F.lit(1))
+    used = join_unique(texts, materialize(ids, "cluster-ids"), ["doc_id"], "w", hot_keys=200_000)
+    blocks = F.ceil(F.col("w") / F.greatest(F.lit(CLUSTER_BLOCK), F.ceil(F.sqrt("w")))).cast("int")
+    dealt = join_unique(member, sizes, ["cluster"], "w").withColumn(
+        "block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("blocks", blocks)
+    read = dealt.drop("w").join(used.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = read.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                          "rep", "comp", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return materialize(grouped.mapInArrow(_linked_by_sets, "a long, b long").distinct(), "resolved")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -203,7 +293,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = materialize(join_unique(keyed, buckets, ["key"], "c"), "members")
     stars = members.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    links = _verify(stars, reps, texts, sketched=False)
+    links = _verify(stars, reps, texts)
     # rows of one doc_id with different sets are linked through it
     several = known.select("doc_id", "s1", "s2", "n").distinct().groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
@@ -224,10 +314,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
                          "rep", "comp").join(reps, "rep")
     grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = grouped.select("key", "i", "j", "block", "rep", "comp", "sketch").mapInArrow(_across, "a long, b long")
-    more = materialize(more.distinct(), "across")
-    if more.limit(1).count():
-        links = materialize(links.unionByName(_verify(more, reps, texts, sketched=True)), "links")
+    close = grouped.select("key", "i", "j", "block", "rep", "comp", "sketch").mapInArrow(_linked_by_sketch, "a long, b long")
+    close = materialize(close.distinct(), "close")
+    if close.limit(1).count():
+        links = materialize(links.unionByName(_resolve(components(close), labels, reps, texts)), "links")
         labels = components(links)
     final = classes.select("s1", "s2", "n", "size", "rep").join(labels.toDF("rep", "label"), "rep", "left").select(
         "s1", "s2", "n", "size", F.coalesce("label", "rep").alias("component_id"))
