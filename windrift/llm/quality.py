@@ -44,9 +44,9 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``q``: n_words, word_chars, n_symbols,
+    """``docs`` with ``_at`` (see below) and the struct column ``q``: n_words, word_chars, n_symbols,
     n_lines, n_dup_lines, n_repeat_words (long)."""
-    docs = without(docs, "q", "rejected_by", "kept", "_w", "_l", "_h")
+    docs = without(docs, "q", "rejected_by", "kept", "_w", "_l", "_h", "_at")
     t = F.coalesce(F.col(text), F.lit(""))
     split = docs.withColumn("_w", words_of(F.col(text), WS)).withColumn(
         "_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WS}]")))
@@ -54,7 +54,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array().cast("array<int>"))
     hashed = split.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(
         *[F.get(F.col("_w"), i + j) for j in range(WINDOW)])))
-    return hashed.select(*docs.columns, F.struct(
+    # a filter on the verdict must stay above this projection: pushed below, it would hold copies of the word
+    # arrays inside their own lambdas.  What refers to _at, which is never negative, cannot be pushed.
+    return hashed.select(*docs.columns, F.monotonically_increasing_id().alias("_at"), F.struct(
         F.size("_w").cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.char_length(t) - F.char_length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -134,4 +136,4 @@ def judge(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text",
     featured = features(docs, text)
     order = plan_cascade(featured, rules, text, sample_rows) if order is None else order
     out = featured.withColumn("rejected_by", cascade(order, rules, F.col(text), F.col("q")))
-    return out.withColumn("kept", F.col("rejected_by").isNull())
+    return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("_at") >= 0)).drop("_at")
