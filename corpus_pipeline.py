@@ -52,7 +52,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     path = public_tokenizers.path("piece_bpe_32k.model")
     digest = F.xxhash64(F.translate(F.coalesce("text", F.lit("")), lattice.BLANK, " "))
     lean = docs.select("doc_id", "lang", "source", "text", digest.alias("text_hash"))
-    out = lattice.decode(lattice.encode(lean, path), path)
+    out = lattice.encode(lean, path, spell=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 

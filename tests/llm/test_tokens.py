@@ -62,6 +62,7 @@ def test_sentencepiece(spark, docs, dictionary):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     rows = lattice.decode(lattice.encode(table, PIECES, dictionary=dictionary), PIECES).collect()
     assert len(rows) == len(texts)
+    assert sorted(rows) == sorted(lattice.encode(table, PIECES, dictionary=dictionary, spell=True).collect())
     for r in rows:
         t = texts[r.doc_id] or ""
         assert r.ids == library.encode(t) and r.decoded == t.replace("▁", " ")

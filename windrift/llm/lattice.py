@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrift.llm import textvec as tv
-from windrift.llm.common import materialize, without
+from windrift.llm.common import materialize, without, write_table
 
 BLANK = "▁"
 #: Characters of the longest segment that the lattice takes.
@@ -41,7 +41,11 @@ LONGEST = 40
 #: Entries of the segment dictionary that is broadcast (about 20 bytes each); rarer segments are joined by a shuffle.
 DICTIONARY = 4_000_000
 #: Distinct segments that a task counts before it puts them out.
-HELD = 400_000
+HELD = 150_000
+#: Segments whose edges a task groups in memory at a time, about 3 kB each.
+GROUPED = 20_000
+#: Ids that decoding takes at a time.
+SLICE_IDS = 200_000
 
 
 class Pieces:
@@ -54,6 +58,8 @@ class Pieces:
         self.byte0 = model.piece_to_id("<0x00>")
         if not model.is_byte(self.byte0):
             raise ValueError("a model with byte fallback is needed")
+        if n > 1 << 16:
+            raise ValueError("a vocabulary of at most 65,536 pieces is needed")
         self.ids = {model.id_to_piece(i): i for i in range(n)
                     if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))}
         order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in self.ids.values()}, reverse=True))}
@@ -123,6 +129,13 @@ def _prepared(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(col), 0), col, led)
 
 
+def _prepared_slices(col: pa.Array):
+    """``textvec.slices`` of the prepared texts, prepared one slice at a time."""
+    for at, _, offsets in tv.slices(col, limit=1 << 20):
+        data, own = tv.strings(_prepared(col.slice(at, len(offsets) - 1)))
+        yield at, data[own[0]:own[-1]], own - own[0]
+
+
 def segment_starts(model: Pieces, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First byte of every segment; the segments tile the texts."""
     if not len(data):
@@ -139,7 +152,7 @@ def _counting(path: str):
     def run(batches):
         model, held = pieces(path), {}
         for batch in batches:
-            for _, data, offsets in tv.slices(_prepared(batch.column(0))):
+            for _, data, offsets in _prepared_slices(batch.column(0)):
                 first = segment_starts(model, data, offsets)
                 if not len(first):
                     continue
@@ -180,38 +193,50 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def viterbi(edges):
-    """Ids on the best path over ``edges``: (end, start, ids, merges), sorted by end."""
+    """Ids on the best path over ``edges``: (place: end * 64 + start, id, merges), sorted by place."""
     far = F.array(F.lit((1 << 63) - 1))
     zero = F.array(F.struct(far.alias("cost"), F.array().cast("array<int>").alias("ids")))
 
     def step(best, e):
-        behind = F.get(best, e["start"])
-        place = e["start"].cast("long")
-        cost = F.sort_array(F.concat(behind["cost"], F.transform(e["merges"], lambda m: m + place)))
-        path = F.struct(cost.alias("cost"), F.concat(behind["ids"], e["ids"]).alias("ids"))
-        return F.when(F.size(best) == e["end"], F.concat(best, F.array(path))).otherwise(F.concat(
-            F.slice(best, 1, e["end"]), F.array(F.least(F.get(best, e["end"]), path))))
+        start = e["place"].bitwiseAND(F.lit(63))
+        behind = F.get(best, start)
+        cost = F.sort_array(F.concat(behind["cost"], F.transform(e["merges"], lambda m: m + start)))
+        path = F.struct(cost.alias("cost"), F.concat(behind["ids"], F.array(e["id"])).alias("ids"))
+        end = F.shiftright(e["place"], 6)
+        return F.when(F.size(best) == end, F.concat(best, F.array(path))).otherwise(F.concat(
+            F.slice(best, 1, end), F.array(F.least(F.get(best, end), path))))
 
     return F.aggregate(edges, zero, step, lambda best: F.get(best, F.size(best) - 1)["ids"])
 
 
 def encode_segments(counted: DataFrame, path: str) -> DataFrame:
-    """(segment, n, ids) for (segment, n)."""
+    """(segment, n, ids) for (segment, n), written.  The grouping of edges would fall back to sorting them after a few
+    groups; in a session of its own it keeps to hashing, with ``GROUPED`` segments a task."""
+    spark = counted.sparkSession
+    at, schema = write_table(counted, "segments-counted"), counted.schema
+    parts = spark.read.parquet(at).count() // GROUPED + spark.sparkContext.defaultParallelism
+    side = spark.newSession()
+    side.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(8 * GROUPED))
+    dealt = side.read.schema(schema).parquet(at).repartition(parts, "segment")
+    done = write_table(_encoded(dealt, path), "segments")
+    return spark.read.schema("segment string, n long, ids array<int>").parquet(done)
+
+
+def _encoded(counted: DataFrame, path: str) -> DataFrame:
+    """(segment, n, ids) for (segment, n).  A character that no piece joins to another is a segment by itself, so
+    those outside the vocabulary never meet the lattice."""
     model = pieces(path)
     table = piece_table(counted.sparkSession, path)
-    short = counted.filter(F.char_length("segment") <= LONGEST).withColumn("size", F.char_length("segment"))
+    size = F.char_length("segment")
+    short = counted.filter(size.between(2, LONGEST)).withColumn("size", size)
     at = short.withColumn("start", F.explode_outer(F.sequence(F.lit(0), F.col("size") - 1)))
     sub = at.withColumn("span", F.explode_outer(F.sequence(F.lit(1), F.least(
         F.lit(model.longest), F.col("size") - F.col("start")))))
-    sub = sub.withColumn("piece", F.expr("substring(segment, start + 1, span)"))
-    met = sub.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | (F.col("span") == 1))
-    digits = F.hex(F.encode("piece", "UTF-8"))
-    spelled = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda j: (
-        F.conv(F.substring(digits, j * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.lit(model.byte0)))
-    edge = F.struct((F.col("start") + F.col("span")).alias("end"), "start",
-                    F.when(F.col("id").isNull(), spelled).otherwise(F.array("id")).alias("ids"),
-                    F.coalesce("merges", F.array().cast("array<long>")).alias("merges"))
-    words = met.groupBy("segment").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    sub = sub.select("segment", "n", ((F.col("start") + F.col("span")) * 64 + F.col("start")).alias("place"),
+                     F.expr("substring(segment, start + 1, span)").alias("piece"))
+    met = sub.join(F.broadcast(table), "piece")
+    edges = F.sort_array(F.collect_list(F.struct("place", "id", "merges")))
+    words = met.groupBy("segment").agg(F.max("n").alias("n"), edges.alias("edges"))
     folded = words.select("segment", "n", viterbi(F.col("edges")).alias("ids"))
 
     def merged(batches):
@@ -221,20 +246,20 @@ def encode_segments(counted: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))],
                                              ["segment", "n", "ids"])
 
-    long = counted.filter(F.char_length("segment") > LONGEST).mapInArrow(merged, "segment string, n long, ids array<int>")
+    long = counted.filter(~size.between(2, LONGEST)).mapInArrow(merged, "segment string, n long, ids array<int>")
     return folded.unionByName(long)
 
 
 def _packed(batches):
-    """(hash, ids as bytes) of dictionary rows."""
+    """(hash, ids as 16-bit numbers) of dictionary rows."""
     for b in batches:
         data, offsets = tv.strings(b.column(0))
         data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
         ids = b.column(1)
         at = np.asarray(ids.offsets)
-        flat = np.asarray(ids.values)[at[0]:at[-1]].astype(np.int32)
+        flat = np.asarray(ids.values)[at[0]:at[-1]].astype(np.uint16)
         packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(
-            ((at - at[0]) * 4).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            ((at - at[0]) * 2).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
         yield pa.RecordBatch.from_arrays([pa.array(tv.span_hashes(data, offsets[:-1]).view(np.int64)), packed], ["h", "p"])
 
 
@@ -242,24 +267,24 @@ def _dictionary(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """(sorted hashes, first id, number of ids, ids) of at most DICTIONARY rows."""
     rows = table.select("segment", "ids").mapInArrow(_packed, "h long, p binary").toArrow().combine_chunks()
     if not rows.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint16), np.zeros(1, np.uint16)
     h = rows.column("h").to_numpy().view(np.uint64)
     p = rows.column("p").combine_chunks()
     p = p.chunk(0) if isinstance(p, pa.ChunkedArray) else p
-    at = np.frombuffer(p.buffers()[1], np.int32 if p.type == pa.binary() else np.int64)[p.offset:p.offset + len(p) + 1] // 4
+    at = np.frombuffer(p.buffers()[1], np.int32 if p.type == pa.binary() else np.int64)[p.offset:p.offset + len(p) + 1] // 2
     order = np.argsort(h, kind="stable")
-    return (h[order], at[:-1][order].astype(np.int32), np.diff(at)[order].astype(np.int32),
-            np.frombuffer(p.buffers()[2], np.int32))
+    return (h[order], at[:-1][order].astype(np.int32), np.diff(at)[order].astype(np.uint16),
+            np.frombuffer(p.buffers()[2], np.uint16))
 
 
-def _applying(path: str, shared, names: list[str]):
-    """Rows with ids; a segment outside the dictionary stands as -1 - its place in ``missing``."""
+def _applying(path: str, shared, names: list[str], spell: bool):
+    """Rows with ids; a segment outside the dictionary stands as -1 - its place in ``missing``.  ``spell``: also the
+    text that the ids spell, for a dictionary that holds all segments."""
     def run(batches):
         model = pieces(path)
         keys, at, size, flat = shared.value
         for batch in batches:
-            col = _prepared(batch.column(len(names)))
-            for row, data, offsets in tv.slices(col):
+            for row, data, offsets in _prepared_slices(batch.column(len(names))):
                 first = segment_starts(model, data, offsets)
                 n = len(offsets) - 1
                 per_row = np.diff(np.searchsorted(first, offsets))
@@ -270,7 +295,7 @@ def _applying(path: str, shared, names: list[str]):
                     uniq, back = np.unique(hashes, return_inverse=True)
                     place = np.minimum(np.searchsorted(keys, uniq), len(keys) - 1)
                     where, known = place[back], (keys[place] == uniq)[back]
-                lens = np.where(known, size[where] if len(keys) else 1, 1)
+                lens = np.where(known, size[where] if len(keys) else 1, 1).astype(np.int64)
                 ids = np.empty(int(lens.sum()), np.int32)
                 begin = np.cumsum(lens) - lens
                 ids[tv.ranges(begin[known], lens[known])] = flat[tv.ranges(at[where[known]], lens[known])]
@@ -282,9 +307,11 @@ def _applying(path: str, shared, names: list[str]):
                 last = np.append(first[1:], len(data))
                 raw = data.tobytes() if len(lost) else b""
                 missing = pa.array([raw[first[i]:last[i]].decode() for i in lost], pa.string())
+                lists = _lists(ids_per_row, pa.array(ids))
+                last_column = _spelled(model, lists) if spell else _lists(lost_per_row, missing)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(row, n) for i in range(len(names))), _lists(ids_per_row, pa.array(ids)),
-                     _lists(lost_per_row, missing)], [*names, "ids", "missing"])
+                    [*(batch.column(i).slice(row, n) for i in range(len(names))), lists, last_column],
+                    [*names, "ids", "decoded" if spell else "missing"])
     return run
 
 
@@ -292,11 +319,13 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
-    """``docs`` (less the text) with ``ids``: array<int>."""
-    docs = without(docs, "ids", "missing", "_row", "_place", "segment")
+def encode(docs: DataFrame, path: str, text: str = "text", dictionary: int = DICTIONARY,
+           spell: bool = False) -> DataFrame:
+    """``docs`` (less the text) with ``ids``: array<int>; with ``spell`` also ``decoded``, as ``decode`` gives it, from
+    the same task where that can be."""
+    docs = without(docs, "ids", "missing", "decoded", "_row", "_place", "segment")
     spark = docs.sparkSession
-    table = materialize(encode_segments(segments(docs, path, text), path), "segments")
+    table = encode_segments(segments(docs, path, text), path)
     # the most frequent segments, as many as the bound allows: at most total / n of them occur n times
     steps = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, taken = 10_001, 0
@@ -309,7 +338,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", dictionary: int = DIC
     names = [c for c in docs.columns if c != text]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text)
     out = docs.select(*names, F.col(text).cast("string").alias("_text")).mapInArrow(
-        _applying(path, shared, names), f"{fields}ids array<int>, missing array<string>")
+        _applying(path, shared, names, spell and not cold),
+        f"{fields}ids array<int>, " + ("decoded string" if spell and not cold else "missing array<string>"))
     if not cold:
         return out.drop("missing")
     out = materialize(out.withColumn("_row", F.expr("uuid()")), "encoded")
@@ -319,33 +349,45 @@ def encode(docs: DataFrame, path: str, text: str = "text", dictionary: int = DIC
     joined = out.join(found, "_row", "left")
     filled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(
         F.get(F.col("_found"), -1 - i)["_ids"])))
-    return joined.withColumn("ids", F.when(F.size("missing") > 0, filled).otherwise(F.col("ids"))).drop(
+    done = joined.withColumn("ids", F.when(F.size("missing") > 0, filled).otherwise(F.col("ids"))).drop(
         "_row", "missing", "_found")
+    return decode(done, path) if spell else done
+
+
+def _spelled(model: Pieces, col: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids spell."""
+    if col.null_count:
+        col = pc.if_else(col.is_null(), pa.scalar([], col.type), col)
+    at = np.asarray(col.offsets).astype(np.int64)
+    ids = np.asarray(col.values)[at[0]:at[-1]]
+    row = np.repeat(np.arange(len(col)), np.diff(at))
+    lens = model.spelled_len[ids]
+    data = model.spelled[tv.ranges(model.spelled_at[ids], lens)]
+    sizes = np.bincount(row, lens, len(col)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lead = np.flatnonzero(sizes > 0)  # the blank that was put in front goes
+    keep = np.ones(len(data), bool)
+    keep[ends[lead]] = data[ends[lead]] != 32
+    sizes[lead] -= ~keep[ends[lead]]
+    data = data[keep]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_string(), len(col), [None, pa.py_buffer(ends.tobytes()),
+                                                               pa.py_buffer(data.tobytes())]).cast(pa.string())
 
 
 def _spelling(path: str, names: list[str]):
     def run(batches):
         model = pieces(path)
         for batch in batches:
-            col = batch.column(len(names))
-            if col.null_count:
-                col = pc.if_else(col.is_null(), pa.scalar([], col.type), col)
-            at = np.asarray(col.offsets).astype(np.int64)
-            ids = np.asarray(col.values)[at[0]:at[-1]]
-            row = np.repeat(np.arange(len(col)), np.diff(at))
-            lens = model.spelled_len[ids]
-            data = model.spelled[tv.ranges(model.spelled_at[ids], lens)]
-            sizes = np.bincount(row, lens, len(col)).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            lead = np.flatnonzero(sizes > 0)  # the blank that was put in front goes
-            keep = np.ones(len(data), bool)
-            keep[ends[lead]] = data[ends[lead]] != 32
-            sizes[lead] -= ~keep[ends[lead]]
-            data = data[keep]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            texts = pa.Array.from_buffers(pa.large_string(), len(col), [None, pa.py_buffer(ends.tobytes()),
-                                                                        pa.py_buffer(data.tobytes())]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), texts], [*names, "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(len(names))), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:  # some 200,000 ids at a time
+                done = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + SLICE_IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))),
+                                                  _spelled(model, part.column(len(names)))], [*names, "decoded"])
+                lo = hi
     return run
 
 

@@ -31,7 +31,7 @@ def op3_sentencepiece(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), lattice.BLANK, " "), 256)
-    out = lattice.decode(lattice.encode(docs.withColumn("text_sha256", digest), path), path)
+    out = lattice.encode(docs.withColumn("text_sha256", digest), path, spell=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                       (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
