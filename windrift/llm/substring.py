@@ -33,7 +33,10 @@ SPAN = 16
 STEP = 10
 MIN_CHARS = 40
 
-_UNIT = "doc_id long, th long, h1 long, h2 long, first int, last int"
+#: Rows and spans up to which the removals are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_000_000
+
+_UNIT = "doc_id long, th int, h1 long, h2 int, first int, last int"
 
 
 def _cut(batches):
@@ -73,7 +76,7 @@ def _cut(batches):
             unit, a, b, owner = unit[big], a[big], b[big], owner[big]
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(owner + row)), marks.take(pa.array(owner + row)), pa.array(one[unit].view(np.int64)),
-                 pa.array(two[unit].view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+                 pa.array((two[unit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
                 ["doc_id", "th", "h1", "h2", "first", "last"])
 
 
@@ -101,14 +104,17 @@ def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.nd
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, n_units, spans: array of (first, last)): the repeats to remove;
-    th is a hash of the text."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
+    th is a hash of the text.  Digests have 96 bits."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("th"),
                        F.col(text).alias("text"))
     units = materialize(rows.mapInArrow(_cut, _UNIT), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th", "first")
-    groups = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups.filter(F.col("n") > 1), "unit-groups")
-    met = join_unique(units, groups, ["h1", "h2"], "n").filter(F.col("kept") != rank)
+    # most units occur once: they are counted alone, without their places, and go no further
+    times = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    times = materialize(times.filter(F.col("n") > 1), "unit-counts")
+    found = materialize(join_unique(units, times, ["h1", "h2"], "n"), "units-repeated")
+    groups = materialize(found.groupBy("h1", "h2", "n").agg(F.min(rank).alias("kept")), "unit-groups")
+    met = join_unique(found.drop("n"), groups, ["h1", "h2"], "n").filter(F.col("kept") != rank)
     gone = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"),
                                            F.count_distinct("first").alias("n_units"))
     zero = F.array().cast("array<struct<first:int,last:int>>")
@@ -127,9 +133,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with ``kept_text``, ``spans`` (removed, of the original text),
     ``n_units`` (removed) and ``n_removed`` (code points)."""
     docs = without(docs, "kept_text", "spans", "n_units", "n_removed", "_id", "_th", "_spans", "_n")
-    gone = repeated_spans(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"),
-                                                     F.col("spans").alias("_spans"), F.col("n_units").alias("_n"))
-    met = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left")
+    gone = materialize(repeated_spans(docs, doc_id, text).select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"),
+        F.col("n_units").alias("_n")), "unit-spans")
+    n, spans = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
+    small = n <= BROADCAST_DOCS and spans <= BROADCAST_SPANS
+    met = docs.join(F.broadcast(gone) if small else gone,
+                    F.col(doc_id).eqNullSafe(F.col("_id")) & (F.hash(F.col(text)) == F.col("_th")), "left")
     t = F.coalesce(F.col(text), F.lit(""))
     ends = F.concat(F.transform("_spans", lambda s: s["first"]), F.array(F.char_length(t)))
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["last"]))
