@@ -1,7 +1,11 @@
 """Near copies, substring dedup and shards."""
 
+import collections
+import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
@@ -78,6 +82,82 @@ def test_substring_dedup(docs, empty):
     assert substring.dedup(empty).count() == 0
 
 
+def repeats_docs():
+    """(doc_id, text): words that occur once, and planted lines, paragraphs, copies and passages of 25 words or more."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    lines = [fresh(n) for n in (1, 2, 5, 12, 16, 17, 20, 24, 70)]
+    passages = [fresh(n) for n in (25, 26, 34, 50, 51, 73)]
+    paragraph = fresh(30)
+    out = [(0, None), (1, ""), (2, " \n\t\n ")]
+    for k in range(3, 60):
+        body = []
+        for _ in range(rng.randint(1, 3)):
+            body += [" ".join(fresh(rng.randint(1, 40)))]
+            body += [rng.choice(["  ", ""]) + "\t ".join(rng.choice(lines)).upper()] * rng.randint(0, 1)
+            body += [""] * rng.randint(0, 1)
+        if k % 3 == 0:  # inside a line, at its start or its end
+            body.append(" ".join(["\u00e9"] + fresh(rng.randint(0, 9)) + rng.choice(passages) + fresh(rng.randint(0, 9))))
+        if k % 5 == 0:  # one paragraph, broken differently
+            at = rng.randint(1, 29)
+            body += ["", " ".join(paragraph[:at]), " ".join(paragraph[at:]), " \t"]
+        out.append((k, "\n".join(body)))
+    out += [(60 + j, out[k][1]) for j, k in enumerate((3, 9, 10, 21, 50))]
+    out += [(70 + j, " ".join(fresh(n))) for j, n in enumerate((1, 7, 15, 16, 17, 24, 25, 26))]
+    out += [(80 + j, t) for j, (_, t) in enumerate(out[-8:])]
+    return out
+
+
+def brute_spans(docs, windows=True):
+    """{doc_id: joined spans of the units that occur earlier}"""
+    at = collections.defaultdict(list)
+    for i, t in docs:
+        words = [(m.start(), m.end(), m.group().translate(ref.UP)) for m in re.finditer(ref.WORD, t or "")]
+        cuts = [list(re.finditer(r"[^\n]+", t or "")), [], []]
+        cuts[1] = list(re.finditer(r"[^\n]*[^\s][^\n]*(\n[^\n]*[^\s][^\n]*)*", t or ""))
+        units = [[w for w in words if m.start() <= w[0] < m.end()] for c in cuts for m in c] + [words]
+        kinds = [("block", u) for u in units if u]
+        kinds += [("window", words[k:k + 25]) for k in range(len(words) - 24)] if windows else []
+        for kind, u in kinds:
+            at[kind, tuple(w[2] for w in u)].append((i, u[0][0], u[-1][1]))
+    spans = collections.defaultdict(set)
+    for places in at.values():
+        for i, a, b in set(places) - {min(places)}:
+            spans[i].add((a, b))
+    return spans
+
+
+def joined(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def test_lines_and_paragraphs_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = collections.defaultdict(set)
+    for i, a, b in con.execute(substring.LINE_SQL).fetchall():
+        want[i].add((a, b))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated_spans(docs, passages=False).collect()}
+    assert got == {i: joined(s) for i, s in want.items()} and got
+    con.execute("CREATE TABLE planted (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO planted VALUES (?, ?)", repeats_docs())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM planted")
+    spans = collections.defaultdict(set)
+    for i, a, b in con.execute(substring.LINE_SQL).fetchall():
+        spans[i].add((a, b))
+    assert spans == brute_spans(repeats_docs(), windows=False)
+
+
 def test_shards(docs, empty):
     rows = sharding.assign(docs, 7).collect()
     assert len(rows) == len(DOCS)

@@ -1,16 +1,15 @@
-"""Substring dedup by paragraph hashing.
+"""Substring dedup by line and paragraph hashing.
 
-Units are passages of ``SPAN`` words of the running text (line breaks and other white
-space between words are normalised away, A-Z folded).  A unit starts wherever its
-hash is the smallest among ``STEP`` neighbouring ones, so equal passages of
-``SPAN + STEP - 1`` words or more are cut alike wherever they stand in a line or
-paragraph; a text of up to ``SPAN`` words is one unit.  Digests are grouped
-globally, the earliest occurrence in the order (doc_id, offset) is kept, and the
-others are removed; spans of overlapping units are joined and refer to code points
-of the original text.
+Units are every line, every paragraph (lines without a blank one between them) and
+every whole text that has a word, of any length, normalised: white space between words
+is one blank, A-Z folded.  Digests are grouped globally, the earliest occurrence in the
+order (doc_id, offset) is kept, and the others are removed; spans of overlapping units
+are joined and refer to code points of the original text, from the first word of a unit
+to the end of its last.
 
-Shorter repeats, such as common lines of a few words, are not units and stay, as do
-units of fewer than ``MIN_CHARS`` characters.
+In addition, repeats that follow no line or paragraph: a passage of ``SPAN`` words is
+chosen wherever its hash is the smallest among ``STEP`` neighbouring ones, and removed
+like the units above.
 
 Edge cases: null and empty texts have no units; units repeated inside one document
 go there, too, but for the first; rows with a null doc_id come last in the order;
@@ -31,7 +30,6 @@ from windrift.llm.common import join_unique, materialize, without
 
 SPAN = 16
 STEP = 10
-MIN_CHARS = 40
 
 #: Rows and spans up to which the removals are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_000_000
@@ -39,50 +37,82 @@ BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_000_000
 _UNIT = "doc_id long, th int, h1 long, h2 int, first int, last int"
 
 
-def _cut(batches):
-    for batch in batches:
-        ids, marks = batch.column(0), batch.column(1)
-        for row, data, offsets in tv.slices(batch.column(2)):
-            hashes, first, last, n = tv.words(data, offsets)
-            if not len(hashes):
-                continue
-            at = (np.cumsum(n) - n)[n > 0]  # first word and words of each text that has some
-            n = n[n > 0]
-            short = n <= SPAN
-            padded = np.concatenate([hashes, np.zeros(SPAN, np.uint64)])
-            text_at, text_n = np.repeat(at, n), np.repeat(n, n)
-            place = np.arange(len(hashes)) - text_at
-            # two sums over the words of each unit: SPAN words, or those of a shorter text
-            one, two = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
-            own = np.where(text_n <= SPAN, text_n - place, SPAN)
-            for j in range(SPAN):
-                w = np.where(j < own, padded[j:j + len(hashes)], np.uint64(0))
-                one += w * tv.COEF[j + 1]
-                two += (w ^ (w >> np.uint64(29))) * tv.COEF[j + 20]
-            one, two = tv.mix(one), tv.mix(two)
-            start = np.zeros(len(hashes), bool)
-            start[at[short]] = True
-            fits = (text_n > SPAN) & (place <= text_n - SPAN)
-            if fits.any():
-                start |= _winnowed(one, fits, text_at, place)
-            unit = np.flatnonzero(start)
-            size = np.where(text_n[unit] <= SPAN, text_n[unit], SPAN)
-            begin, end = first[unit], last[unit + size - 1]
-            owner = np.searchsorted(offsets, begin, "right") - 1
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            base = points[offsets[owner]]
-            a, b = points[begin] - base, points[end] - base
-            big = b - a >= MIN_CHARS
-            unit, a, b, owner = unit[big], a[big], b[big], owner[big]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner + row)), marks.take(pa.array(owner + row)), pa.array(one[unit].view(np.int64)),
-                 pa.array((two[unit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                ["doc_id", "th", "h1", "h2", "first", "last"])
-
-
-def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Passages whose hash is the smallest of a window of STEP starts in their text
-    (of all starts, if the text has fewer)."""
+def _words(col):
+    """Per slice of texts: (first row, bytes, offsets, word hashes, first and last byte of each word,
+    first word of its text, words of its text, code points before each byte)."""
+    for row, data, offsets in tv.slices(col):
+        hashes, first, last, n = tv.words(data, offsets)
+        if len(hashes):
+            at = np.repeat((np.cumsum(n) - n)[n > 0], n[n > 0])
+            yield row, data, offsets, hashes, first, last, at, np.repeat(n, n), np.concatenate(
+                [[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def _sums(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``size`` words from each of ``at`` on (past the end: of the words left)."""
+    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(size):
+        w = padded[at + j]
+        one += w * tv.COEF[j + 1]
+        two += (w ^ (w >> np.uint64(29))) * tv.COEF[j + 30]
+    return tv.mix(one), tv.mix(two)
+
+
+def _blocks(data: np.ndarray, hashes: np.ndarray, first: np.ndarray, text_at: np.ndarray):
+    """(first word, words, two hashes) of every line, of the paragraphs of several lines
+    and of the texts of several paragraphs."""
+    breaks = np.diff(np.cumsum(data == 10)[first], prepend=0)  # line breaks before each word
+    text = text_at == np.arange(len(hashes))
+    starts = [np.flatnonzero(text | (breaks > k)) for k in (0, 1)] + [np.flatnonzero(text)]
+    out = []
+    for k, at in enumerate(starts):
+        size = np.diff(np.append(at, len(hashes)))
+        place = np.arange(len(hashes)) - np.repeat(at, size)
+        power = tv._powers(int(size.max()))[place]
+        length = size.astype(np.uint64) * tv.COEF[0]
+        one = tv.mix(np.add.reduceat(hashes * power, at) ^ length)
+        two = tv.mix(np.add.reduceat((hashes ^ (hashes >> np.uint64(29))) * power, at) ^ length)
+        new = np.ones(len(at), bool)
+        if k:  # those of one part are that part
+            parts = np.diff(np.append(np.searchsorted(starts[k - 1], at), len(starts[k - 1])))
+            new = parts > 1
+        out.append((at[new], size[new], one[new], two[new]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _units(ids, marks, row, offsets, points, begin, end, one, two, passage):
+    """The rows of units; ``passage``: the lowest bit of h2 is 0, else 1."""
+    owner = np.searchsorted(offsets, begin, "right") - 1
+    base = points[offsets[owner]]
+    h2 = (two >> np.uint64(32)).astype(np.uint32)
+    h2 = np.where(passage, h2 & np.uint32(0xFFFFFFFE), h2 | np.uint32(1)).astype(np.uint32)
+    a, b, owner = points[begin] - base, points[end] - base, pa.array(owner + row)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(owner), marks.take(owner), pa.array(one.view(np.int64)), pa.array(h2.view(np.int32)),
+         pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+        ["doc_id", "th", "h1", "h2", "first", "last"])
+
+
+def _cut(passages: bool):
+    def run(batches):
+        for batch in batches:
+            ids, marks = batch.column(0), batch.column(1)
+            for row, data, offsets, hashes, first, last, text_at, text_n, points in _words(batch.column(2)):
+                at, size, one, two = _blocks(data, hashes, first, text_at)
+                yield _units(ids, marks, row, offsets, points, first[at], last[at + size - 1], one, two, False)
+                place = np.arange(len(hashes)) - text_at
+                fits = place <= text_n - SPAN
+                if passages and fits.any():
+                    one, two = _sums(hashes, np.arange(len(hashes)), SPAN)
+                    at = np.flatnonzero(_winnowed(one, fits, text_at, place)[0])
+                    yield _units(ids, marks, row, offsets, points, first[at], last[at + SPAN - 1], one[at], two[at], True)
+    return run
+
+
+def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.ndarray):
+    """(passages whose hash is the smallest of a window of STEP starts in their text, or of
+    all starts, if the text has fewer; hash of each start; smallest of the window from it on)."""
     far = np.uint64(0xFFFFFFFFFFFFFFFF)
     v = np.where(fits, h, far)
     n = len(v)
@@ -99,24 +129,44 @@ def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.nd
         w = np.zeros(n, bool)
         w[j:] = whole[:n - j] & (text_at[:n - j] == text_at[j:]) & (low[:n - j] == v[j:])
         chosen |= w
-    return chosen & fits
+    return chosen & fits, v, low
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, n_units, spans: array of (first, last)): the repeats to remove;
-    th is a hash of the text.  Digests have 96 bits."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("th"),
-                       F.col(text).alias("text"))
-    units = materialize(rows.mapInArrow(_cut, _UNIT), "units")
+def _later(found: DataFrame, name: str) -> DataFrame:
+    """(doc_id, th, first, last) of the occurrences of the units of ``found`` (n: how often
+    each occurs) but for the earliest of each."""
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th", "first")
+    groups = materialize(found.groupBy("h1", "h2", "n").agg(F.min(rank).alias("kept")), name)
+    return join_unique(found.drop("n"), groups, ["h1", "h2"], "n").filter(F.col("kept") != rank).select(
+        "doc_id", "th", "first", "last")
+
+
+def _repeated(units: DataFrame, name: str) -> DataFrame:
+    """``units`` that occur twice, with their number n, as a table."""
     # most units occur once: they are counted alone, without their places, and go no further
     times = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    times = materialize(times.filter(F.col("n") > 1), "unit-counts")
-    found = materialize(join_unique(units, times, ["h1", "h2"], "n"), "units-repeated")
-    groups = materialize(found.groupBy("h1", "h2", "n").agg(F.min(rank).alias("kept")), "unit-groups")
-    met = join_unique(found.drop("n"), groups, ["h1", "h2"], "n").filter(F.col("kept") != rank)
-    gone = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"),
-                                           F.count_distinct("first").alias("n_units"))
+    times = materialize(times.filter(F.col("n") > 1), f"{name}-counts")
+    return materialize(join_unique(units, times, ["h1", "h2"], "n"), f"{name}-repeated")
+
+
+def _beside(texts: DataFrame, doc_id, th, table: DataFrame, entries: str, how: str) -> DataFrame:
+    """``texts`` joined to ``table`` (_id, _th and an array ``entries``): broadcast if it is small."""
+    n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()
+    small = n <= BROADCAST_DOCS and total <= BROADCAST_SPANS
+    return texts.join(F.broadcast(table) if small else table,
+                      doc_id.eqNullSafe(F.col("_id")) & (th == F.col("_th")), how)
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+    """(doc_id, th, n_units, spans: array of (first, last)): the repeats to remove;
+    th is a hash of the text.  Digests have 95 bits.  ``passages``: whether repeats that
+    follow no line or paragraph count."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("th"),
+                       F.col(text).alias("text"))
+    found = _repeated(materialize(rows.mapInArrow(_cut(passages), _UNIT), "units"), "units")
+    later = _later(found, "unit-groups")
+    gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans")) \
+        .withColumn("n_units", F.size("spans").cast("long"))
     zero = F.array().cast("array<struct<first:int,last:int>>")
 
     def join_up(done, s):
@@ -136,10 +186,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     gone = materialize(repeated_spans(docs, doc_id, text).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"),
         F.col("n_units").alias("_n")), "unit-spans")
-    n, spans = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
-    small = n <= BROADCAST_DOCS and spans <= BROADCAST_SPANS
-    met = docs.join(F.broadcast(gone) if small else gone,
-                    F.col(doc_id).eqNullSafe(F.col("_id")) & (F.hash(F.col(text)) == F.col("_th")), "left")
+    met = _beside(docs, F.col(doc_id), F.hash(F.col(text)), gone, "_spans", "left")
     t = F.coalesce(F.col(text), F.lit(""))
     ends = F.concat(F.transform("_spans", lambda s: s["first"]), F.array(F.char_length(t)))
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["last"]))
@@ -150,3 +197,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return met.select(*[F.col(c) for c in docs.columns], F.when(F.col("_spans").isNull(), t).otherwise(cut).alias("kept_text"),
                       F.coalesce("_spans", none).alias("spans"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_units"),
                       size.alias("n_removed"))
+
+
+#: DuckDB: (doc_id, first, last) of the lines, paragraphs and texts of ``documents`` that occur
+#: earlier; equal to the spans of ``repeated_spans`` without passages before they are joined.
+LINE_SQL = r"""WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, no, line,
+    COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+', ' ', 'g'), ' ') AS key
+  FROM cut),
+numbered AS (SELECT *, SUM(CASE WHEN key = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS para FROM placed),
+lines AS (SELECT doc_id, no, para, key, CAST(before + length(line) - length(regexp_replace(line, '^[ \x09-\x0D]+', '')) AS BIGINT) AS first,
+    CAST(before + length(regexp_replace(line, '[ \x09-\x0D]+$', '')) AS BIGINT) AS last FROM numbered WHERE key <> ''),
+units AS (SELECT doc_id, key, first, last FROM lines
+  UNION SELECT doc_id, string_agg(key, ' ' ORDER BY no), MIN(first), MAX(last) FROM lines GROUP BY doc_id, para
+  UNION SELECT doc_id, string_agg(key, ' ' ORDER BY no), MIN(first), MAX(last) FROM lines GROUP BY doc_id),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY doc_id, first) AS k FROM units)
+SELECT DISTINCT doc_id, first, last FROM ranked WHERE k > 1"""
