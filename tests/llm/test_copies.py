@@ -140,6 +140,23 @@ def joined(spans):
     return out
 
 
+def test_repeats_equal_brute_force(spark, monkeypatch):
+    rows = repeats_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for windows in (True, False):
+        want = {i: joined(s) for i, s in brute_spans(rows, windows).items()}
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated_spans(df, passages=windows).collect()}
+        assert got == want
+    assert len(want) > 30
+    monkeypatch.setattr(substring, "BROADCAST_DOCS", 0)  # joined by a shuffle
+    for r in substring.dedup(df).collect():
+        left = dict(rows)[r.doc_id] or ""
+        for a, b in reversed(joined(brute_spans(rows)[r.doc_id])):
+            left = left[:a] + left[b:]
+        assert r.kept_text == left
+        assert r.doc_id not in (60, 61, 62, 63, 64, *range(80, 88)) or not r.kept_text.split()
+
+
 def test_lines_and_paragraphs_equal_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")

@@ -9,7 +9,11 @@ to the end of its last.
 
 In addition, repeats that follow no line or paragraph: a passage of ``SPAN`` words is
 chosen wherever its hash is the smallest among ``STEP`` neighbouring ones, and removed
-like the units above.
+like the units above.  Any ``WINDOW = SPAN + STEP - 1`` equal words choose the same
+passage, so the runs of ``WINDOW`` words around a chosen passage that occurs twice are
+compared, too, wherever they reach a word that no other unit removes: each word of a later
+occurrence of ``WINDOW`` words or more goes, up to both ends.  Shorter repeats inside a line stay, but for the passages of ``SPAN`` words that
+happen to be chosen in both places.
 
 Edge cases: null and empty texts have no units; units repeated inside one document
 go there, too, but for the first; rows with a null doc_id come last in the order;
@@ -30,6 +34,7 @@ from windrift.llm.common import join_unique, materialize, without
 
 SPAN = 16
 STEP = 10
+WINDOW = SPAN + STEP - 1
 
 #: Rows and spans up to which the removals are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_000_000
@@ -110,6 +115,51 @@ def _cut(passages: bool):
     return run
 
 
+def _open(batches):
+    """The digests of removed passages chosen by a run of WINDOW words that ``spans`` do not cover."""
+    for batch in batches:
+        for row, data, offsets, hashes, first, _, text_at, text_n, points in _words(batch.column(2)):
+            place = np.arange(len(hashes)) - text_at
+            one, two = _sums(hashes, np.arange(len(hashes)), SPAN)
+            _, v, low = _winnowed(one, place <= text_n - SPAN, text_at, place)
+            held = batch.column(3).slice(row, len(offsets) - 1)
+            base = np.repeat(points[offsets[:-1]], held.value_lengths().to_numpy(zero_copy_only=False))
+            lead, spans, depth = np.append(np.flatnonzero(np.diff(points)), len(data)), held.flatten(), np.zeros(len(hashes) + 1, int)
+            for k, step in ((0, 1), (1, -1)):
+                np.add.at(depth, np.searchsorted(first, lead[spans.field(k).to_numpy() + base]), step)
+            gone = np.concatenate([[0], np.cumsum(np.cumsum(depth)[:-1] > 0)])
+            at = np.flatnonzero(place <= text_n - WINDOW)
+            at = at[gone[at + WINDOW] - gone[at] < WINDOW]
+            found = np.zeros(len(hashes), bool)
+            for j in range(STEP):
+                p = at + j
+                found[p[(v[p] == low[at]) & (gone[p + SPAN] - gone[p] == SPAN)]] = True
+            h2 = (two[found] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+            yield pa.RecordBatch.from_arrays([pa.array(one[found].view(np.int64)), pa.array(h2.view(np.int32))], ["h1", "h2"])
+
+
+def _windows(batches):
+    """The runs of WINDOW words whose chosen passage is among those of ``starts``."""
+    for batch in batches:
+        ids, marks, starts = batch.column(0), batch.column(1), batch.column(3)
+        for row, _, offsets, hashes, first, last, text_at, text_n, points in _words(batch.column(2)):
+            place = np.arange(len(hashes)) - text_at
+            fits = place <= text_n - SPAN
+            one, _ = _sums(hashes, np.arange(len(hashes)), SPAN)
+            _, v, low = _winnowed(one, fits, text_at, place)
+            held = starts.slice(row, len(offsets) - 1)
+            lens = held.value_lengths().to_numpy(zero_copy_only=False)
+            byte = np.flatnonzero(np.diff(points))[held.flatten().to_numpy() + np.repeat(points[offsets[:-1]], lens)]
+            again = np.concatenate([np.isin(first, byte) & fits, np.zeros(STEP, bool)])
+            v = np.concatenate([v, np.zeros(STEP, np.uint64)])
+            found = np.zeros(len(hashes), bool)
+            for j in range(STEP):
+                found |= again[j:j + len(hashes)] & (v[j:j + len(hashes)] == low)
+            at = np.flatnonzero(found & (place <= text_n - WINDOW))
+            one, two = _sums(hashes, at, WINDOW)
+            yield _units(ids, marks, row, offsets, points, first[at], last[at + WINDOW - 1], one, two, False)
+
+
 def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.ndarray):
     """(passages whose hash is the smallest of a window of STEP starts in their text, or of
     all starts, if the text has fewer; hash of each start; smallest of the window from it on)."""
@@ -141,12 +191,33 @@ def _later(found: DataFrame, name: str) -> DataFrame:
         "doc_id", "th", "first", "last")
 
 
-def _repeated(units: DataFrame, name: str) -> DataFrame:
-    """``units`` that occur twice, with their number n, as a table."""
+def _repeated(units: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``units`` that occur twice, with their number n, and (h1, h2, n), as tables."""
     # most units occur once: they are counted alone, without their places, and go no further
     times = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     times = materialize(times.filter(F.col("n") > 1), f"{name}-counts")
-    return materialize(join_unique(units, times, ["h1", "h2"], "n"), f"{name}-repeated")
+    return materialize(join_unique(units, times, ["h1", "h2"], "n"), f"{name}-repeated"), times
+
+
+def _joined(spans):
+    """An array of spans, those that meet or overlap joined."""
+    zero = F.array().cast("array<struct<first:int,last:int>>")
+
+    def join_up(done, s):
+        end = F.get(done, F.size(done) - 1)
+        return F.when((F.size(done) > 0) & (s["first"] <= end["last"]), F.concat(
+            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+            F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))))).otherwise(
+            F.concat(done, F.array(s)))
+
+    return F.aggregate(F.sort_array(spans), zero, join_up)
+
+
+def _by_text(later: DataFrame) -> DataFrame:
+    """(_id, _th, _spans, _n): the joined spans of each text, and of how many units."""
+    spans = later.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
+        F.collect_set(F.struct("first", "last")).alias("spans"))
+    return spans.select("_id", "_th", _joined("spans").alias("_spans"), F.size("spans").cast("long").alias("_n"))
 
 
 def _beside(texts: DataFrame, doc_id, th, table: DataFrame, entries: str, how: str) -> DataFrame:
@@ -163,29 +234,30 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     follow no line or paragraph count."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("th"),
                        F.col(text).alias("text"))
-    found = _repeated(materialize(rows.mapInArrow(_cut(passages), _UNIT), "units"), "units")
-    later = _later(found, "unit-groups")
-    gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans")) \
-        .withColumn("n_units", F.size("spans").cast("long"))
-    zero = F.array().cast("array<struct<first:int,last:int>>")
-
-    def join_up(done, s):
-        end = F.get(done, F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (s["first"] <= end["last"]), F.concat(
-            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))))).otherwise(
-            F.concat(done, F.array(s)))
-
-    return gone.select("doc_id", "th", "n_units", F.aggregate(F.sort_array("spans"), zero, join_up).alias("spans"))
+    found, times = _repeated(materialize(rows.mapInArrow(_cut(passages), _UNIT), "units"), "units")
+    gone = materialize(_by_text(_later(found, "unit-groups")), "unit-spans")
+    if passages:
+        texts = _beside(rows, F.col("doc_id"), F.col("th"), gone, "_spans", "inner")
+        sought = texts.select("doc_id", "th", "text", "_spans").mapInArrow(_open, "h1 long, h2 int").distinct()
+        sought = materialize(times.join(sought, ["h1", "h2"]), "passages-sought")
+        held = join_unique(found.drop("n"), sought, ["h1", "h2"], "n").groupBy(
+            F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("first").alias("_starts"))
+        texts = _beside(rows, F.col("doc_id"), F.col("th"), materialize(held, "passages"), "_starts", "inner")
+        windows = materialize(texts.select("doc_id", "th", "text", "_starts").mapInArrow(_windows, _UNIT), "windows")
+        wider = _by_text(_later(_repeated(windows, "windows")[0], "window-groups")).withColumn("_n", F.lit(0).cast("long"))
+        gone = gone.unionByName(wider).groupBy("_id", "_th").agg(
+            _joined(F.flatten(F.collect_list("_spans"))).alias("_spans"), F.sum("_n").alias("_n"))
+    return gone.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), F.col("_n").alias("n_units"),
+                       F.col("_spans").alias("spans"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``spans`` (removed, of the original text),
-    ``n_units`` (removed) and ``n_removed`` (code points)."""
+    ``n_units`` (removed lines, paragraphs, texts and passages) and ``n_removed`` (code points)."""
     docs = without(docs, "kept_text", "spans", "n_units", "n_removed", "_id", "_th", "_spans", "_n")
     gone = materialize(repeated_spans(docs, doc_id, text).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"),
-        F.col("n_units").alias("_n")), "unit-spans")
+        F.col("n_units").alias("_n")), "spans")
     met = _beside(docs, F.col(doc_id), F.hash(F.col(text)), gone, "_spans", "left")
     t = F.coalesce(F.col(text), F.lit(""))
     ends = F.concat(F.transform("_spans", lambda s: s["first"]), F.array(F.char_length(t)))
