@@ -70,6 +70,20 @@ def test_linear_regression_matches_closed_form(spark):
     assert res.model.intercept == pytest.approx(a, rel=1e-6, abs=1e-6)
 
 
+def test_linear_regression_of_all_columns_equals_normal_equations(spark):
+    import duckdb
+    from windrift.registry_jobs import ORACLE, QUERIES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF_SMALL}/lineitem.parquet')")
+    for k in ("M18_all", "S14_all"):
+        got = QUERIES[k](spark, SF_SMALL)
+        res = con.execute(ORACLE[k])
+        assert got.columns == [x[0] for x in res.description]
+        want = {r[0]: r[1:] for r in res.fetchall()}
+        assert set(want) == {"l_linenumber", "l_quantity", "l_discount", "l_tax"}
+        assert {r[0]: tuple(r[1:]) for r in got.collect()} == {f: pytest.approx(v, abs=2e-4) for f, v in want.items()}
+
+
 def test_stream_closed_windows_equal_batch(spark, tmp_dir):
     ev = sj.file_stream(spark, SF_SMALL, "events.parquet")
     nb = prep.neighbour_pairs(prep.filter_overlap(fx.overlap_from_events(spark, SF_SMALL), 40.0))

@@ -36,6 +36,17 @@ def regression_table(spark: SparkSession, res: RegressionResult) -> DataFrame:
     return spark.createDataFrame(rows, "slope double, intercept double, rmse double, r2 double")
 
 
+def numeric_features(df: DataFrame, label: str) -> list[str]:
+    """The int, double and float columns but the label (bigint keys are none)."""
+    return [c for c, t in df.dtypes if t in ("int", "double", "float") and c != label]
+
+
+def coefficient_table(spark: SparkSession, features: Sequence[str], model: LinearRegressionModel) -> DataFrame:
+    """One ``(feature, coefficient, intercept)`` row per feature."""
+    rows = [(f, float(c), float(model.intercept)) for f, c in zip(features, model.coefficients, strict=True)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, intercept double")
+
+
 def fit_forest(train: DataFrame, features_col: str, label: str, trees: int = 100, seed: int = 42
                ) -> RandomForestClassificationModel:
     """Random forest, 100 trees, fixed seed."""

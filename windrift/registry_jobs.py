@@ -36,6 +36,20 @@ def q_m18(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*[F.round(c, 4).alias(c) for c in ("slope", "intercept", "rmse")], F.round("r2", 6).alias("r2"))
 
 
+def _fit_all(spark, d):
+    """All numeric columns of lineitem but the label, as the reference fits them."""
+    li = fx.table(spark, d, "lineitem")
+    cols = models.numeric_features(li, "l_extendedprice")
+    return cols, models.fit_linear(li, cols, "l_extendedprice")
+
+
+def q_m18_all(spark, d):
+    cols, res = _fit_all(spark, d)
+    return models.coefficient_table(spark, cols, res.model).select(
+        "feature", *[F.round(c, 4).alias(c) for c in ("coefficient", "intercept")],
+        F.round(F.lit(res.rmse), 4).alias("rmse"), F.round(F.lit(res.r2), 6).alias("r2"))
+
+
 def _emb_vectors(spark, d):
     e = fx.table(spark, d, "embeddings")
     return e.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
@@ -71,6 +85,14 @@ def q_s14(spark, d):
         .select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+def q_s14_all(spark, d):
+    cols, res = _fit_all(spark, d)
+    path = _scratch(spark, "linear-model")
+    models.save_model(res.model, path)
+    return models.coefficient_table(spark, cols, models.load_linear(path)).select(
+        "feature", *[F.round(c, 4).alias(c) for c in ("coefficient", "intercept")])
+
+
 # ----------------------------------------------------------------- features M1-M4
 def _filled(spark, d):
     return q_p6(spark, d)
@@ -294,6 +316,7 @@ def q_m13(spark, d):
 
 QUERIES = {
     "M18": q_m18, "M19": q_m19, "M20": q_m20, "M21": q_m21, "S14": q_s14,
+    "M18_all": q_m18_all, "S14_all": q_s14_all,
     "M1": q_m1, "M2": q_m2, "M3": q_m3, "M4": q_m4,
     "S6": q_s7, "S8": q_s6_s8, "WEEKLY_flow": q_weekly_flow,
     "S1": q_s1, "S2": q_s2, "S3": q_s3, "S4": q_s4, "S5": q_s5, "S6_S8": q_s6_s8, "S7": q_s7, "S9": q_s9,
@@ -312,6 +335,31 @@ SELECT ROUND(b, 4) AS slope, ROUND(a, 4) AS intercept,
 }
 
 
+def _normal_equations(features: list[str], label: str) -> str:
+    """CTEs of the normal equations of centred columns, solved by Gauss-Jordan elimination;
+    ``fit``: b0, b1, ... and intercept, rmse, r2."""
+    n, x = range(len(features)), [*features, label]
+    cells = [(i, j) for i in n for j in range(len(x))]
+    steps = ["m AS (SELECT " + ", ".join([f"covar_pop({x[i]}, {x[j]}) AS a{i}_{j}" for i, j in cells]
+             + [f"avg({c}) AS mean{i}" for i, c in enumerate(x)] + [f"var_pop({label}) AS var"]) + " FROM lineitem)", "g0 AS (FROM m)"]
+    for k in n:
+        steps.append(f"g{k + 1} AS (SELECT " + ", ".join(
+            f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i != k else f"a{i}_{j}" for i, j in cells) + f" FROM g{k})")
+    y = len(features)
+    steps.append("b AS (SELECT " + ", ".join(f"a{i}_{y} / a{i}_{i} AS b{i}" for i in n) + f" FROM g{y})")
+    held = " + ".join(f"b{i} * a{i}_{y}" for i in n)
+    steps.append(f"fit AS (SELECT b.*, mean{y} - ({' + '.join(f'b{i} * mean{i}' for i in n)}) AS intercept, "
+                 f"sqrt(var - ({held})) AS rmse, ({held}) / var AS r2 FROM b, m)")
+    return "WITH " + ",\n".join(steps) + "\n"
+
+
+_ALL = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+for _id, _more in (("M18_all", ", ROUND(rmse, 4) AS rmse, ROUND(r2, 6) AS r2"), ("S14_all", "")):
+    ORACLE[_id] = _normal_equations(_ALL, "l_extendedprice") + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, ROUND(b{i}, 4) AS coefficient, ROUND(intercept, 4) AS intercept{_more} FROM fit"
+        for i, c in enumerate(_ALL))
+
+
 def _more_oracles() -> dict:
     from windrift.registry_prep import BASE, _P6_SQL, _FULL_ROWS
     out = {}
