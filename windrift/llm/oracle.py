@@ -67,5 +67,29 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d
        d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
 
-ORACLE = {"op7_line_dedup": LINE_DEDUP, "op8_quality_rules": QUALITY, "op9_decontamination": DECONTAMINATION,
+# CRC-32 of the decimal conv_id, bit by bit; the polynomial is a fixed value.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])),
+  lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, {_CRC} % 6 AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(p.ts[1:h], []), h.ts[h + 1:]) AS ts
+      FROM h LEFT JOIN o AS p ON p.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT conv_id, d, md5(CAST(ts[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(ts[1:d - 1] AS VARCHAR)) END AS up,
+             d = len(ts) AS ends, CASE WHEN d > 0 THEN length(ts[d].t) ELSE 0 END AS size, [md5(CAST(ts[1:x] AS VARCHAR)) FOR x IN range(d + 1)] AS path
+      FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM b)),
+g AS (SELECT k, d, any_value(up) AS up, any_value(path) AS path, any_value(size) AS size, min(conv_id) AS c, count(*) AS n,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM n GROUP BY k, d),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS kids FROM g WHERE d > 0 GROUP BY up, d),
+t AS (SELECT g.*, coalesce(kids, 0) AS kids FROM g LEFT JOIN kids USING (k, d)),
+s AS (SELECT a AS k, i AS d, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * size) AS saved
+      FROM (SELECT kids, n, size, unnest(path) AS a, unnest(range(d + 1)) AS i FROM t) GROUP BY a, i)
+SELECT t.c AS conv_id, t.d AS depth, p.c AS parent_conv_id, t.n AS n_convs, t.kids AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, t.e AS ends_sha256
+FROM t JOIN s USING (k, d) LEFT JOIN g AS p ON p.k = t.up AND p.d = t.d - 1"""
+
+ORACLE = {"op13_prefix_trie": PREFIX_TRIE, "op7_line_dedup": LINE_DEDUP, "op8_quality_rules": QUALITY, "op9_decontamination": DECONTAMINATION,
           "op10_near_dedup": NEAR_DEDUP}

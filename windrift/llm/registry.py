@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windrift.llm import fst, langid, lattice, line_runs, odd_sketch, oracle, pii, quality, sharding, substring, winnow
-from windrift.llm.common import table
+from windrift.llm import (
+    crosswalk,
+    fst,
+    langid,
+    lattice,
+    line_runs,
+    odd_sketch,
+    oracle,
+    pii,
+    quality,
+    sharding,
+    stream_bpe,
+    substring,
+    trie,
+    winnow,
+)
+from windrift.llm.common import materialize, table
 
 
 def op1_token_counts(spark, sf_dir) -> DataFrame:
@@ -84,9 +99,29 @@ def op10_near_dedup(spark, sf_dir) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    lean = crosswalk.align(docs, *paths, detail=False).select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "pair_times")
+    return crosswalk.score(materialize(lean, "aligned")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_word_bpe(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = stream_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), spell=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark, sf_dir) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_sentencepiece,
                                    op4_personal_data, op5_sharding, op6_language_id, op7_line_dedup, op8_quality_rules, op9_decontamination,
-                                   op10_near_dedup)}
+                                   op10_near_dedup, op11_alignment, op12_word_bpe, op13_prefix_trie)}
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
