@@ -82,7 +82,7 @@ def test_stream_windows_in_non_utc_session(spark, tmp_dir):
         spark.conf.set("spark.sql.session.timeZone", "Europe/Istanbul")
         ev = sj.file_stream(spark, SF_SMALL, "events.parquet")
         out = sj.windowed_stream(fx.kpi_rows(ev), None, prep.BASIC_SPEC, "8 hours", "8 hours", exact_scale=2)
-        sj.run_to_parquet(out, os.path.join(tmp_dir, "s"), os.path.join(tmp_dir, "c"), state_partitions=4)
+        sj.run_to_parquet(out, os.path.join(tmp_dir, "s"), os.path.join(tmp_dir, "c"))
         streamed = spark.read.parquet(os.path.join(tmp_dir, "s"))
         hours = {r["h"] for r in streamed.select(F.hour("window_start").alias("h")).distinct().collect()}
         assert hours <= {0, 8, 16}

@@ -124,11 +124,11 @@ def test_stream_drops_late_rows(spark, tmp_dir):
     stream = sj.file_stream(spark, src + "/*", None)
     out = sj.windowed_stream(fx.kpi_rows(stream), None, prep.BASIC_SPEC, "8 hours", "8 hours", exact_scale=2)
     sink, ck = os.path.join(tmp_dir, "sink"), os.path.join(tmp_dir, "ck")
-    sj.run_to_parquet(out, sink, ck, state_partitions=4)
+    sj.run_to_parquet(out, sink, ck)
     first = spark.read.parquet(sink).count()
     # late: copies of the earliest 100 events, days behind the watermark
     ev.orderBy("ts").limit(100).write.parquet(os.path.join(src, "part2"))
-    q = sj.run_to_parquet(out, sink, ck, state_partitions=4)
+    q = sj.run_to_parquet(out, sink, ck)
     assert sum(p["numInputRows"] for p in q.recentProgress) == 100          # the late rows were read ...
     dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0)
                   for p in q.recentProgress if p.get("stateOperators"))

@@ -16,20 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrift.functions.columns import qcol
+from windrift.operators.prep import width_suffix
 
 # The feature list the PCA stage asks for.  Seven of them are
-# not produced by the windowed stage and are skipped.
-PCA_FEATURES = [
-    "avg_traffic_volume_gbyte_8h", "sum_traffic_volume_gbyte_8h",
-    "avg_erab_drop_rate_8h", "avg_erab_estab_attempts_8h", "avg_erab_setup_success_rate_8h",
-    "avg_rrc_users_8h", "avg_rrc_estab_success_rate_8h", "avg_rrc_attempts_8h",
-    "avg_sim_rrc_conn_count_8h", "avg_pusch_rrc_count_8h", "sum_pusch_rrc_count_8h",
-    "avg_dl_prb_utilization_8h", "avg_ul_prb_utilization_8h",
-    "avg_ul_interference_8h", "max_ul_interference_8h", "min_ul_interference_8h",
-    "avg_ul_rssi_dbm_8h", "avg_ul_rssi_pusch_dbm_8h",
-    "avg_volte_traffic_erl_8h", "avg_ho_success_rate_8h", "avg_mac_dl_ibler_8h",
-    "avg_mac_ul_ibler_8h", "avg_rsrp_pusch_8h", "avg_rsrp_pucch_8h", "avg_cqi_8h",
+# not produced by the windowed stage and are skipped (D12).  Stems, without the
+# suffix of the window width.
+PCA_STEMS = [
+    "avg_traffic_volume_gbyte", "sum_traffic_volume_gbyte",
+    "avg_erab_drop_rate", "avg_erab_estab_attempts", "avg_erab_setup_success_rate",
+    "avg_rrc_users", "avg_rrc_estab_success_rate", "avg_rrc_attempts",
+    "avg_sim_rrc_conn_count", "avg_pusch_rrc_count", "sum_pusch_rrc_count",
+    "avg_dl_prb_utilization", "avg_ul_prb_utilization",
+    "avg_ul_interference", "max_ul_interference", "min_ul_interference",
+    "avg_ul_rssi_dbm", "avg_ul_rssi_pusch_dbm",
+    "avg_volte_traffic_erl", "avg_ho_success_rate", "avg_mac_dl_ibler",
+    "avg_mac_ul_ibler", "avg_rsrp_pusch", "avg_rsrp_pucch", "avg_cqi",
 ]
+
+
+def pca_features(width: str = "8 hours") -> list[str]:
+    """The features the PCA stage asks for, named for a window width."""
+    return [f"{stem}_{width_suffix(width)}" for stem in PCA_STEMS]
+
+
+PCA_FEATURES = pca_features()
 PCA_K = 2
 
 

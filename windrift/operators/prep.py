@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,15 +92,35 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20, known_rows: int
 
 
 # --------------------------------------------------------------------------- J1, J2
-def join_neighbours(kpi: DataFrame, neighbours: DataFrame, broadcast_max_bytes: int = 64 << 20) -> DataFrame:
+def _left_join(kpi: DataFrame, right: DataFrame, how: str, salts: int, max_bytes: int) -> DataFrame:
+    """``kpi ⟕ right`` on CELL, where ``right`` has a bounded number of rows a cell.
+
+    ``auto``: Spark plans the join, AQE splits partitions that turn out skewed.  ``merge``: a sort-merge join.
+    ``salted``: the rows of every cell are dealt to ``salts`` tasks by a hash of the row, and the bounded right side is
+    repeated for each, so a cell that holds a third of all rows is spread without counting cells first.
+    """
+    if how == "auto":
+        return kpi.join(bounded_broadcast(right, max_bytes), "CELL", "left")
+    if how == "merge":
+        return kpi.join(right.hint("merge"), "CELL", "left")
+    if how == "salted":
+        salt = F.pmod(F.xxhash64(*[qcol(c) for c in kpi.columns]), F.lit(salts)).cast("int")
+        spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return kpi.withColumn("_salt", salt).join(spread.hint("merge"), ["CELL", "_salt"], "left").drop("_salt")
+    raise ValueError(f"unknown join {how!r}")
+
+
+def join_neighbours(kpi: DataFrame, neighbours: DataFrame, broadcast_max_bytes: int = 64 << 20, how: str = "auto",
+                    salts: int = 16) -> DataFrame:
     """``kpi ⟕ neighbours`` on CELL; fans out one row per neighbour, cells
     without any keep ``N_CELL = NULL`` (D3)."""
-    return kpi.join(bounded_broadcast(neighbour_pairs(neighbours), broadcast_max_bytes), "CELL", "left")
+    return _left_join(kpi, neighbour_pairs(neighbours), how, salts, broadcast_max_bytes)
 
 
-def join_overlap_whole(kpi: DataFrame, overlap: DataFrame, broadcast_max_bytes: int = 64 << 20) -> DataFrame:
+def join_overlap_whole(kpi: DataFrame, overlap: DataFrame, broadcast_max_bytes: int = 64 << 20, how: str = "auto",
+                       salts: int = 16) -> DataFrame:
     """``kpi ⟕ overlap`` on CELL with every overlap column, no threshold."""
-    return kpi.join(bounded_broadcast(overlap, broadcast_max_bytes), "CELL", "left")
+    return _left_join(kpi, overlap, how, salts, broadcast_max_bytes)
 
 
 # --------------------------------------------------------------------------- W1
@@ -200,6 +220,25 @@ def resolve_spec(df: DataFrame, spec: Sequence[FeatureSpec], strict: bool = Fals
     return present, missing
 
 
+def watch_sources(kpi: DataFrame, spec: Sequence[FeatureSpec], observation: Observation) -> DataFrame:
+    """``kpi`` that counts, in the pass that reads it anyway, its rows and the values of every source it has."""
+    sources = sorted({s.source for s in spec} & set(kpi.columns))
+    return kpi.observe(observation, F.count(F.lit(1)).alias("rows"), *[F.count(qcol(s)).alias(f"s{i}") for i, s in enumerate(sources)])
+
+
+def feature_report(spark: SparkSession, columns: Sequence[str], spec: Sequence[FeatureSpec], suffix: str,
+                   observation: Observation | None = None) -> DataFrame:
+    """``(feature, source, present, n_values)`` of every feature of the spec.  ``n_values`` counts the non-null
+    values that ``watch_sources`` has seen (0 of an absent source, NULL if nothing was watched); it is there once an
+    action has read the rows."""
+    have = set(columns)
+    order = {s: i for i, s in enumerate(sorted({x.source for x in spec} & have))}
+    seen = observation.get if observation is not None else None
+    rows = [(x.alias(suffix), x.source, x.source in have,
+             None if seen is None else int(seen[f"s{order[x.source]}"]) if x.source in order else 0) for x in spec]
+    return spark.createDataFrame(rows, "feature string, source string, present boolean, n_values long")
+
+
 def sum_expr(src: str, exact_scale: int | None) -> Column:
     c = qcol(src)
     if exact_scale is not None:
@@ -210,15 +249,19 @@ def sum_expr(src: str, exact_scale: int | None) -> Column:
 def windowed_features(kpi: DataFrame, neighbours: DataFrame | None, spec: Sequence[FeatureSpec] = FULL_SPEC,
                       width: str = "8 hours", ts: str = "DATETIME", start_time: str | None = None,
                       mode: str = "eager", exact_scale: int | None = None, strict: bool = False,
-                      broadcast_max_bytes: int = 64 << 20) -> DataFrame:
+                      broadcast_max_bytes: int = 64 << 20, observation: Observation | None = None) -> DataFrame:
     """A1 / A2: per ``(window, CELL, N_CELL)`` aggregates named by the spec.
 
     ``neighbours`` is the filtered ``(CELL, N_CELL)`` relation (P3 + P4), or
     None for no neighbour key.  ``exact_scale`` sums fixed-point measurements
     as decimals (order-independent, bit-identical across engines and retries).
-    Output: ``window_start, window_end, CELL, N_CELL, <aliases>`` unfilled.
+    Output: ``window_start, window_end, CELL, N_CELL, <aliases>`` unfilled.  Features
+    without a source are left out; ``feature_report`` names them, with the values
+    counted by ``observation`` in the same pass.
     """
     present, _ = resolve_spec(kpi, spec, strict)
+    if observation is not None:
+        kpi = watch_sources(kpi, spec, observation)
     suffix = width_suffix(width)
     sources = sorted({s.source for s in present})
     bucketed = add_time_bucket(kpi.select(qcol(ts).alias("_ts"), "CELL", *[qcol(s) for s in sources]),
@@ -378,9 +421,10 @@ def fanout_totals(kpi: DataFrame, overlap: DataFrame, exact_scale: int | None =
     )
 
 
-def drift_means(windowed: DataFrame, traffic: str = "avg_traffic_volume_gbyte_8h",
-                drop: str = "avg_erab_drop_rate_8h") -> DataFrame:
+def drift_means(windowed: DataFrame, width: str = "8 hours") -> DataFrame:
     """A4: global means of two windowed features; NULL → 0.0."""
+    suffix = width_suffix(width)
+    traffic, drop = f"avg_traffic_volume_gbyte_{suffix}", f"avg_erab_drop_rate_{suffix}"
     return windowed.agg(F.avg(qcol(traffic)).alias("traffic"), F.avg(qcol(drop)).alias("drop")) \
         .select(or_zero("traffic").alias("traffic"), or_zero("drop").alias("drop"))
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrift.functions.columns import qcol
 from windrift.operators import features as feat
 from windrift.operators import models, prep
 from windrift.plans import detector as det
@@ -19,6 +20,7 @@ from windrift.registry_prep import EXACT, THRESHOLD, WIDTH, q_p6
 from windrift.session import scratch_path
 from windrift.sources import fixtures as fx
 from windrift.sources import readers
+from windrift.sources.schemas import kpi_schema
 from windrift.streaming import jobs as sj
 
 SEED = 42
@@ -112,7 +114,7 @@ def q_m2(spark, d):
     w = _filled(spark, d)
     cols = [c for c in feat.PCA_FEATURES if c in w.columns]
     t = feat.variance_table(w, cols, 0.0)
-    return t.select("j", "feature", F.round("variance", 6).alias("variance"), "kept")
+    return t.select("j", "feature", F.round("variance", 1).alias("variance"), "kept")
 
 
 def q_m3(spark, d):
@@ -127,58 +129,90 @@ def q_m4(spark, d):
 
 
 # ----------------------------------------------------------------- sources and sinks
-def _kpi_csv(spark, d) -> tuple[str, str]:
-    """Write the fixture KPI rows and overlap as CSV with the raw header
-    variants (``SectorID``, ``Traffic Volume Gbyte``) and an index column."""
-    base = _scratch(spark, "csv")
+def _kpi_csv(spark, d) -> str:
+    """The fixture KPI rows as CSV with the raw header variants (``SectorID``, ``Traffic Volume Gbyte``)."""
+    path = _scratch(spark, "kpi-csv")
     kpi = fx.kpi_from_events(spark, d).withColumn("DATETIME", F.date_format("DATETIME", "yyyy-MM-dd HH:mm:ss")) \
         .withColumnRenamed("CELL", "SectorID").withColumnRenamed("Traffic_Volume_Gbyte", "Traffic Volume Gbyte")
-    kpi.write.option("header", True).csv(os.path.join(base, "kpi"))
-    ov = fx.overlap_from_events(spark, d).withColumn("_c0", F.monotonically_increasing_id())
-    ov.select("_c0", "CELL", "N_CELL", "Overlap_Alan%").write.option("header", True).csv(os.path.join(base, "overlap"))
-    return os.path.join(base, "kpi"), os.path.join(base, "overlap")
+    kpi.write.option("header", True).csv(path)
+    return path
+
+
+def _overlap_csv(spark, d) -> str:
+    """The overlap relation as CSV with a leading index column."""
+    path = _scratch(spark, "overlap-csv")
+    ov = fx.overlap_from_events(spark, d)
+    index = F.pmod(F.xxhash64("CELL", "N_CELL"), F.lit(1 << 30)).alias("_c0")
+    ov.select(index, "CELL", "N_CELL", "Overlap_Alan%").write.option("header", True).csv(path)
+    return path
+
+
+#: Every so manyth event becomes a line with a wrong time, or with a measure that is no number.
+BAD_TIME, BAD_VALUE = 101, 97
+
+
+def _declared_csv(spark, d) -> str:
+    """Events as lines of the declared 145 columns, some of them malformed: all columns are written as text."""
+    path = _scratch(spark, "declared-csv")
+    ev = fx.table(spark, d, "events")
+    kpi = fx.kpi_rows(ev).columns
+    made = dict(zip(kpi, fx.kpi_columns(), strict=True)) | {
+        "DATETIME": F.when(F.col("event_id") % BAD_TIME == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        "Traffic_Volume_Gbyte": F.when(F.col("event_id") % BAD_VALUE == 0, "n/a").otherwise(F.col("value").cast("string")),
+        "NUM_OF_RRC_Att": F.col("event_id")}
+    none = F.lit(None).cast("string")
+    ev.select(*[made.get(f.name, none).cast("string").alias(f.name) for f in kpi_schema().fields]) \
+        .write.option("header", True).csv(path)
+    return path
 
 
 def q_s1(spark, d):
-    kpi_path, _ = _kpi_csv(spark, d)
-    k = prep.harmonize_names(readers.read_kpi_csv_inferred(spark, kpi_path))
+    k = prep.harmonize_names(readers.read_kpi_csv_inferred(spark, _kpi_csv(spark, d)))
     return k.select(F.col("DATETIME").cast("string").alias("DATETIME"), "CELL", "Traffic_Volume_Gbyte")
 
 
 def q_s2(spark, d):
-    from pyspark.sql import types as T
-    kpi_path, _ = _kpi_csv(spark, d)
-    schema = T.StructType([T.StructField("DATETIME", T.TimestampType()), T.StructField("SectorID", T.IntegerType()),
-                           T.StructField("Traffic Volume Gbyte", T.DoubleType()),
-                           T.StructField("ERAB_Drop_PC", T.DoubleType()),
-                           T.StructField("Nof_Avg_SimRRC_ConnUsr", T.DoubleType())])
-    k = prep.harmonize_names(readers.read_kpi_csv(spark, kpi_path, schema))
-    return k.select(F.col("DATETIME").cast("timestamp_ntz").alias("DATETIME"), "CELL", "Traffic_Volume_Gbyte",
-                    "ERAB_Drop_PC", "Nof_Avg_SimRRC_ConnUsr")
+    """The declared 145 columns; a malformed field is NULL, the rest of its line stays."""
+    k = readers.read_kpi_csv(spark, _declared_csv(spark, d))
+    return k.select(F.col("DATETIME").cast("timestamp_ntz").alias("DATETIME"), *[qcol(f.name) for f in kpi_schema().fields[1:]])
+
+
+def q_s2_corrupt(spark, d):
+    """The malformed lines as they were read, with what could be kept of them."""
+    k = readers.read_kpi_csv(spark, _declared_csv(spark, d), keep_corrupt=True)
+    bad = k.filter(F.col("_corrupt_record").isNotNull())
+    return bad.select("CELL", F.col("NUM_OF_RRC_Att").alias("event_id"), F.col("DATETIME").isNull().alias("bad_time"),
+                      F.col("Traffic_Volume_Gbyte").isNull().alias("bad_value"),
+                      F.size(F.split("_corrupt_record", ",")).alias("n_fields"),
+                      F.split("_corrupt_record", ",")[0].alias("first_field"))
+
+
+def q_d6(spark, d):
+    return prep.kpi_quality(readers.read_kpi_csv(spark, _declared_csv(spark, d), keep_corrupt=True))
 
 
 def q_s3(spark, d):
-    from pyspark.sql import types as T
-    _, ov_path = _kpi_csv(spark, d)
-    schema = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("CELL", T.IntegerType()),
-                           T.StructField("N_CELL", T.IntegerType()), T.StructField("Overlap_Alan%", T.DoubleType())])
-    return readers.read_overlap_csv(spark, ov_path, schema)
+    return readers.read_overlap_csv(spark, _overlap_csv(spark, d))
 
 
 def q_s4(spark, d):
-    kpi_path, _ = _kpi_csv(spark, d)
-    df = readers.read_kpi_csv_inferred(spark, kpi_path, None)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))
+    """Inferred columns, their types and their numbers of values."""
+    df = readers.read_kpi_csv_inferred(spark, _kpi_csv(spark, d), None)
+    counts = df.agg(*[F.count(qcol(c)).alias(f"n{j}") for j, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(j).alias("j"), F.lit(c).alias("name"), F.lit(t).alias("type"), F.col(f"n{j}").alias("n_values"))
+            for j, (c, t) in enumerate(df.dtypes)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def q_s5(spark, d):
-    """Weekly-cases shape: a date column then one numeric column per cell."""
+    """Weekly-cases shape: a date column then one numeric column per series."""
     base = _scratch(spark, "wide")
     kpi = fx.kpi_from_events(spark, d)
-    wide = (kpi.groupBy(F.to_date("DATETIME").alias("date")).pivot("CELL", list(range(fx.N_CELLS)))
+    kpi = kpi.withColumn("series", F.col("CELL") % fx.N_SERIES)
+    wide = (kpi.groupBy(F.to_date("DATETIME").alias("date")).pivot("series", list(range(fx.N_SERIES)))
             .agg(F.sum(F.col("Traffic_Volume_Gbyte").cast("decimal(18,2)")).cast("double")))
     wide = wide.select(F.date_format("date", "dd/MM/yyyy").alias("date"),
-                       *[F.col(str(i)).alias(f"c{i}") for i in range(fx.N_CELLS)])
+                       *[F.col(str(i)).alias(f"c{i}") for i in range(fx.N_SERIES)])
     readers.write_single_csv(wide, base)
     back = readers.read_wide_series_csv(spark, base, date_format="dd/MM/yyyy")
     return back
@@ -205,7 +239,7 @@ def q_weekly_flow(spark, d):
 def q_s6_s8(spark, d):
     base = _scratch(spark, "jobs")
     led = Ledger(spark, os.path.join(base, "ledger"))
-    rid = windowed_job(spark, fx.kpi_from_events(spark, d), fx.overlap_from_events(spark, d),
+    rid = windowed_job(spark, fx.kpi_wide(spark, d), fx.overlap_from_events(spark, d),
                        os.path.join(base, "windowed"), led, THRESHOLD, WIDTH, exact_scale=EXACT)
     ml_ready_job(spark, os.path.join(base, "windowed"), os.path.join(base, "ml_ready"), led, parent_run_id=rid)
     return spark.read.parquet(os.path.join(base, "ml_ready"))
@@ -235,7 +269,7 @@ def q_s10(spark, d):
 def _ledger_run(spark, d):
     base = _scratch(spark, "ledger")
     led = Ledger(spark, base)
-    rid = windowed_job(spark, fx.kpi_from_events(spark, d), fx.overlap_from_events(spark, d),
+    rid = windowed_job(spark, fx.kpi_wide(spark, d), fx.overlap_from_events(spark, d),
                        os.path.join(base, "windowed"), led, THRESHOLD, WIDTH, exact_scale=EXACT)
     ml_ready_job(spark, os.path.join(base, "windowed"), os.path.join(base, "ml_ready"), led, parent_run_id=rid)
     try:
@@ -246,13 +280,28 @@ def _ledger_run(spark, d):
     return led
 
 
+def _steady(value, name):
+    """A value as it is, but for times, of which only that they were taken."""
+    return F.when(F.col(name) == "job_duration_seconds", (value > 0).cast("double")).otherwise(F.round(value, 6))
+
+
 def q_s12(spark, d):
-    return _ledger_run(spark, d).latest_gauges().select("job", "metric")
+    return _ledger_run(spark, d).latest_gauges().select("job", "metric", _steady(F.col("value"), "metric").alias("value"))
 
 
 def q_s13(spark, d):
+    """Everything that was logged, long: params as text, metrics as numbers, artifacts by the last part of their path.  Of
+    the explained variances, how many they are."""
     led = _ledger_run(spark, d)
-    return led.read("params").select("key", "value").filter(~F.col("key").isin("pca_explained_variance"))
+    jobs = led.read("runs").select("run_id", "job")
+    text = F.when(F.col("key") == "pca_explained_variance", F.size(F.split("value", ",")).cast("string")).otherwise(F.col("value"))
+    nothing = F.lit(None).cast("double")
+    params = led.read("params").select("run_id", F.lit("param").alias("kind"), "key", text.alias("text"), nothing.alias("number"))
+    metrics = led.read("metrics").select("run_id", F.lit("metric").alias("kind"), "key", F.lit(None).cast("string").alias("text"),
+                                         _steady(F.col("value"), "key").alias("number"))
+    kept = led.read("artifacts").select("run_id", F.lit("artifact").alias("kind"), F.col("name").alias("key"),
+                                        F.substring_index("path", "/", -1).alias("text"), nothing.alias("number"))
+    return params.unionByName(metrics).unionByName(kept).join(jobs, "run_id").select("job", "kind", "key", "text", "number")
 
 
 def q_o1(spark, d):
@@ -260,7 +309,13 @@ def q_o1(spark, d):
 
 
 def q_o2(spark, d):
-    return _ledger_run(spark, d).read("runs").select("job", (F.col("duration_s") >= 0).alias("has_duration"))
+    """Duration of every run: it is the one logged as its metric, and lies within the run's start and end."""
+    led = _ledger_run(spark, d)
+    logged = led.read("metrics").filter("key = 'job_duration_seconds'").select("run_id", "value")
+    between = F.unix_micros(F.to_utc_timestamp("ended_at", "UTC")) - F.unix_micros(F.to_utc_timestamp("started_at", "UTC"))
+    return led.read("runs").join(logged, "run_id", "left").select(
+        "job", (F.col("duration_s") > 0).alias("has_duration"), (F.col("duration_s") == F.col("value")).alias("is_logged"),
+        (F.abs(between / 1e6 - F.col("duration_s")) < 30).alias("fits"))
 
 
 def q_o3(spark, d):
@@ -270,11 +325,11 @@ def q_o3(spark, d):
 # ----------------------------------------------------------------- streaming
 def q_x1(spark, d):
     base = _scratch(spark, "stream-x1")
-    ev = sj.file_stream(spark, d, "events.parquet")
-    kpi = fx.kpi_rows(ev)
-    nb = prep.neighbour_pairs(prep.filter_overlap(fx.overlap_from_events(spark, d), THRESHOLD))
+    side = sj.state_session(spark, 8)
+    kpi = fx.kpi_rows(sj.file_stream(side, d, "events.parquet"))
+    nb = prep.neighbour_pairs(prep.filter_overlap(fx.overlap_from_events(side, d), THRESHOLD))
     out = sj.windowed_stream(kpi, nb, prep.BASIC_SPEC, WIDTH, "8 hours", exact_scale=EXACT)
-    sj.run_to_parquet(out, os.path.join(base, "sink"), os.path.join(base, "ckpt"), state_partitions=8)
+    sj.run_to_parquet(out, os.path.join(base, "sink"), os.path.join(base, "ckpt"))
     return spark.read.parquet(os.path.join(base, "sink"))
 
 
@@ -319,6 +374,7 @@ QUERIES = {
     "M18_all": q_m18_all, "S14_all": q_s14_all,
     "M1": q_m1, "M2": q_m2, "M3": q_m3, "M4": q_m4,
     "S6": q_s7, "S8": q_s6_s8, "WEEKLY_flow": q_weekly_flow,
+    "S2_corrupt": q_s2_corrupt, "D6_quality": q_d6,
     "S1": q_s1, "S2": q_s2, "S3": q_s3, "S4": q_s4, "S5": q_s5, "S6_S8": q_s6_s8, "S7": q_s7, "S9": q_s9,
     "S10": q_s10, "S12": q_s12, "S13": q_s13, "O1": q_o1, "O2": q_o2, "O3": q_o3,
     "X1": q_x1, "X2": q_x2, "M11": q_m11, "M12": q_m12, "M13": q_m13,
@@ -361,24 +417,61 @@ for _id, _more in (("M18_all", ", ROUND(rmse, 4) AS rmse, ROUND(r2, 6) AS r2"),
 
 
 def _more_oracles() -> dict:
-    from windrift.registry_prep import BASE, _P6_SQL, _FULL_ROWS
+    from windrift.registry_prep import BASE, _P6_SQL, _FULL_ROWS, _pca_stems
     out = {}
-    cols = [a for a, _, _ in _FULL_ROWS if a in feat.PCA_FEATURES]
-    cols = [c for c in feat.PCA_FEATURES if c in cols]
+    cols = [f"{c}_8h" for c in _pca_stems()]
     out["M2"] = f"WITH w AS ({_P6_SQL}) " + " UNION ALL ".join(
-        f"SELECT {j} AS j, '{c}' AS feature, ROUND(VAR_SAMP({c}), 6) AS variance, COALESCE(VAR_SAMP({c}) > 0, false) AS kept FROM w"
+        f"SELECT {j} AS j, '{c}' AS feature, ROUND(VAR_SAMP({c}), 1) AS variance, COALESCE(VAR_SAMP({c}) > 0, false) AS kept FROM w"
         for j, c in enumerate(cols))
     allf = [a for a, _, _ in _FULL_ROWS]
     out["M1"] = (f"WITH w AS ({_P6_SQL}) SELECT window_start, CELL, N_CELL, "
                  + ", ".join(f"{c} AS f{i}" for i, c in enumerate(allf)) + " FROM w")
     out["S1"] = (f"{BASE} SELECT strftime(date_trunc('second', DATETIME), '%Y-%m-%d %H:%M:%S') AS DATETIME, CELL, "
                  f"Traffic_Volume_Gbyte FROM kpi")
-    out["S2"] = (f"{BASE} SELECT date_trunc('second', DATETIME) AS DATETIME, CELL, Traffic_Volume_Gbyte, ERAB_Drop_PC, "
-                 f"Nof_Avg_SimRRC_ConnUsr FROM kpi")
-    out["S3"] = f'{BASE} SELECT CELL, N_CELL, "Overlap_Alan%" FROM overlap'
-    out["S4"] = f"{BASE} SELECT COUNT(*) AS n_rows FROM kpi"
-    piv = ", ".join(f"CAST(SUM(CASE WHEN CELL = {i} THEN CAST(Traffic_Volume_Gbyte AS DECIMAL(18,2)) END) AS DOUBLE) AS c{i}"
-                    for i in range(fx.N_CELLS))
+    time = f"CASE WHEN event_id % {BAD_TIME} <> 0 THEN date_trunc('second', ts) END"
+    value = f"CASE WHEN event_id % {BAD_VALUE} <> 0 THEN value END"
+    kpi = {"DATETIME": time, "CELL": "CAST(user_id AS VARCHAR)", "Traffic_Volume_Gbyte": value, "NUM_OF_RRC_Att": "CAST(event_id AS INTEGER)",
+           "ERAB_Drop_PC": "CASE WHEN event_type = 'error' THEN CAST(100 AS DOUBLE) WHEN event_type <> 'view' THEN CAST(0 AS DOUBLE) END",
+           "Nof_Avg_SimRRC_ConnUsr": "CAST(json_extract_string(props, '$.k') AS DOUBLE)"}
+    out["S2"] = "SELECT " + ", ".join(f'{kpi.get(f.name, "NULL")} AS "{f.name}"' for f in kpi_schema().fields) + " FROM events"
+    bad = f"event_id % {BAD_TIME} = 0 OR event_id % {BAD_VALUE} = 0"
+    out["S2_corrupt"] = (f"SELECT CAST(user_id AS VARCHAR) AS CELL, CAST(event_id AS INTEGER) AS event_id, event_id % {BAD_TIME} = 0 AS bad_time, "
+                         f"event_id % {BAD_VALUE} = 0 AS bad_value, 145 AS n_fields, CASE WHEN event_id % {BAD_TIME} = 0 THEN 'no time' "
+                         f"ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS first_field FROM events WHERE {bad}")
+    out["D6_quality"] = (f"SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE event_id % {BAD_TIME} = 0) AS null_time, "
+                         f"COUNT(*) FILTER (WHERE user_id IS NULL) AS null_cell, COUNT(*) FILTER (WHERE {bad}) AS corrupt FROM events")
+    out["S3"] = f'{BASE} SELECT CAST(CELL AS VARCHAR) AS CELL, CAST(N_CELL AS VARCHAR) AS N_CELL, "Overlap_Alan%" FROM overlap'
+    inferred = [("DATETIME", "timestamp", "DATETIME"), ("SectorID", "int", "CELL"), ("Traffic Volume Gbyte", "double", "Traffic_Volume_Gbyte"),
+                ("ERAB_Drop_PC", "double", "ERAB_Drop_PC"), ("Nof_Avg_SimRRC_ConnUsr", "double", "Nof_Avg_SimRRC_ConnUsr")]
+    out["S4"] = f"{BASE} " + " UNION ALL ".join(f"SELECT {j} AS j, '{n}' AS name, '{t}' AS type, COUNT({c}) AS n_values FROM kpi"
+                                                for j, (n, t, c) in enumerate(inferred))
+    means = ("(SELECT ROUND(COALESCE(AVG(avg_traffic_volume_gbyte_8h), 0), 6) FROM w)", "(SELECT ROUND(COALESCE(AVG(avg_erab_drop_rate_8h), 0), 6) FROM w)")
+    both = ("windowed_features", "ml_ready")
+    gauges = [(j, m, v) for j in (*both, "failing_job") for m, v in (("job_duration_seconds", "1"), ("job_success", str(int(j in both))))]
+    gauges += [("ml_ready", m, v) for m, v in (("feature_count", "18"), ("pca_features_count", "2"), ("avg_traffic_8h", means[0]),
+                                               ("avg_erab_drop_rate_8h", means[1]))]
+    out["S12"] = f"WITH w AS ({_P6_SQL}) " + " UNION ALL ".join(
+        f"SELECT '{j}' AS job, '{m}' AS metric, CAST({v} AS DOUBLE) AS value" for j, m, v in gauges)
+    not_made = [c for c in feat.PCA_FEATURES if c not in cols]
+    first, second = both
+    kept = [(first, "param", k, v) for k, v in (("overlap_threshold_pct", "40.0"), ("window_width", "8 hours"), ("fill", "zero"),
+            ("missing_sources", "[]"), ("success", "yes"), ("total_metrics_count", "29"))]
+    kept += [(second, "param", "missing_features", str(not_made)), (second, "param", "pca_explained_variance", "2")]
+    kept += [(first, "artifact", "windowed_features", "windowed"), (first, "artifact", "feature_report", "windowed_report"),
+             (second, "artifact", "ml_ready", "ml_ready")]
+    numbers = [(first, "features_present", "25"), (first, "features_missing", "0"), (second, "drift_avg_traffic", means[0]),
+               (second, "drift_avg_drop_rate", means[1]), *[(j, "job_duration_seconds", "1") for j in (*both, "failing_job")]]
+    out["S13"] = f"WITH w AS ({_P6_SQL}) " + " UNION ALL ".join(
+        ["SELECT '{}' AS job, '{}' AS kind, '{}' AS key, '{}' AS text, CAST(NULL AS DOUBLE) AS number".format(*(x.replace("'", "''") for x in r))
+         for r in kept] + [f"SELECT '{j}', 'metric', '{k}', NULL, CAST({v} AS DOUBLE)" for j, k, v in numbers])
+    wrong = "ValueError: no valid feature found in the input"
+    out["O1"] = (f"SELECT * FROM (VALUES ('{first}', true, NULL), ('{second}', true, NULL), ('failing_job', false, '{wrong}')) "
+                 "t(job, success, error)")
+    out["O2"] = " UNION ALL ".join(f"SELECT '{j}' AS job, true AS has_duration, true AS is_logged, true AS fits" for j in (*both, "failing_job"))
+    out["O3"] = (f"SELECT * FROM (VALUES ('{first}', NULL, true), ('{second}', '{first}', true), ('failing_job', '{first}', false)) "
+                 "t(job, parent_job, success)")
+    piv = ", ".join(f"CAST(SUM(CASE WHEN CELL % 20 = {i} THEN CAST(Traffic_Volume_Gbyte AS DECIMAL(18,2)) END) AS DOUBLE) AS c{i}"
+                    for i in range(fx.N_SERIES))
     out["S5"] = f"{BASE} SELECT CAST(DATETIME AS DATE) AS date, {piv} FROM kpi GROUP BY 1"
     out["S7"] = _P6_SQL
     from windrift.registry_prep import _BASIC_ROWS, _windowed_sql

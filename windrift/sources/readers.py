@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from windrift.functions.columns import qcol
 from windrift.sources.schemas import (
     INDEX_COLUMNS, KPI_TIMESTAMP_FORMAT, kpi_schema, overlap_schema,
 )
 
 
+CORRUPT = "_corrupt_record"
+
+
 def drop_index_columns(df: DataFrame) -> DataFrame:
     """Drop an unnamed leading index column under either of its names."""
     return df.drop(*[c for c in INDEX_COLUMNS if c in df.columns])
@@ -41,9 +45,12 @@ def read_kpi_csv(spark: SparkSession, path: str, schema: T.StructType | None = N
     schema = schema or kpi_schema(with_corrupt=keep_corrupt)
     reader = (spark.read.schema(schema).option("header", True)
               .option("mode", "PERMISSIVE").option("timestampFormat", timestamp_format))
-    if keep_corrupt:
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.csv(path)
+    if not keep_corrupt:
+        return reader.csv(path)
+    df = reader.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    # a field is converted, and found malformed, only if the query reads it: the record stands on all of them
+    every = F.hash(*[qcol(c) for c in df.columns if c != CORRUPT])
+    return df.withColumn(CORRUPT, F.when(F.pmod(every, F.lit(2)) < 2, F.col(CORRUPT)))
 
 
 def read_overlap_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -104,7 +111,7 @@ def write_vectors_parquet(df: DataFrame, path: str, vector_cols: Sequence[str] =
 
 def write_single_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with header (no trip through the driver)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)  # coalesce(1) would compute it in one task
 
 
 def frame_from_rows(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str] | str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
 X1 computes the windowed KPI features on an unbounded file stream: the
-neighbour relation is a static, size-checked broadcast side of a stateless
-stream-static join, the aggregation keeps per-window state bounded by the
-watermark, and append mode emits each window once, after it has closed.
+aggregation keeps state per (window, CELL), bounded by the watermark, append mode
+emits each window once, after it has closed, and only then is it joined to the
+static neighbour relation.  So the fan-out never enters the state.
 
 X2 scores each micro-batch against a saved drift model inside
 ``foreachBatch``; each batch overwrites its own ``batch_id`` partition of the
@@ -50,21 +50,24 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
     # wall-clock time as a UTC instant, so windows align as in the batch job
     # whatever the session zone
     s = kpi_stream.withColumn(ts, F.from_utc_timestamp(qcol(ts).cast("timestamp"), tz)).withWatermark(ts, watermark)
-    if neighbours is not None:
-        s = s.join(prep.bounded_broadcast(prep.neighbour_pairs(neighbours)), "CELL", "left")
-    else:
-        s = s.withColumn("N_CELL", F.lit(None).cast("string"))
     sources = sorted({sp.source for sp in present})
     aggs = []
     for i, src in enumerate(sources):
         aggs.append(prep.sum_expr(src, exact_scale).alias(f"_s{i}"))
         aggs.append(F.count(qcol(src)).alias(f"_c{i}"))
-    g = s.groupBy(F.window(qcol(ts), width).alias("w"), "CELL", "N_CELL").agg(*aggs)
+    # state is kept per (window, CELL); a closed window meets its neighbours afterwards
+    g = s.groupBy(F.window(qcol(ts), width).alias("w"), "CELL").agg(*aggs)
+    if neighbours is not None:
+        mult = prep.neighbour_pairs(neighbours).groupBy("CELL", "N_CELL").agg(F.count(F.lit(1)).alias("_m"))
+        g = g.join(prep.bounded_broadcast(mult), "CELL", "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+    else:
+        g = g.withColumn("N_CELL", F.lit(None).cast("string")).withColumn("_m", F.lit(1))
     idx = {src: i for i, src in enumerate(sources)}
     outs = []
-    for sp in present:
-        tot = F.col(f"_s{idx[sp.source]}").cast("double")
-        val = tot if sp.agg == "sum" else tot / F.nullif(F.col(f"_c{idx[sp.source]}"), F.lit(0))
+    for sp in present:  # duplicate pairs multiply sums; means stay
+        tot = F.col(f"_s{idx[sp.source]}") * F.col("_m")
+        cnt = F.col(f"_c{idx[sp.source]}") * F.col("_m")
+        val = tot.cast("double") if sp.agg == "sum" else tot.cast("double") / F.nullif(cnt, F.lit(0))
         outs.append(val.alias(sp.alias(suffix)))
     start, end = F.to_utc_timestamp(F.col("w.start"), tz), F.to_utc_timestamp(F.col("w.end"), tz)
     if ntz_output:
@@ -72,24 +75,23 @@ def windowed_stream(kpi_stream: DataFrame, neighbours: DataFrame | None, spec: S
     return g.select(start.alias("window_start"), end.alias("window_end"), "CELL", "N_CELL", *outs)
 
 
+def state_session(spark: SparkSession, state_partitions: int) -> SparkSession:
+    """A session for a stream with so many state-store partitions, apart from the caller's shuffles.  The number is
+    recorded in the checkpoint and cannot change later; size it to the state volume."""
+    side = spark.newSession()
+    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        side.conf.set(k, spark.conf.get(k))
+    side.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return side
+
+
 def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-                   mode: str = "append", state_partitions: int | None = None):
+                   mode: str = "append"):
     """Start the stream into a Parquet sink and, with ``availableNow``, wait
-    until everything present has been processed.
-
-    ``state_partitions`` fixes the number of state-store partitions of a new
-    query (it is recorded in the checkpoint and cannot change later); size it
-    to the state volume, not to the batch shuffle setting."""
-    spark = stream.sparkSession
+    until everything present has been processed."""
     w = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
         .outputMode(mode)
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:  # the stream clones the session conf when it starts
-        q = w.trigger(availableNow=True).start() if available_now else w.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    q = w.trigger(availableNow=True).start() if available_now else w.start()
     if available_now:
         q.awaitTermination()
     return q
