@@ -46,8 +46,7 @@ def test_scenario_matrix_one_scan(spark):
     li = fx.lineitem_features(spark, SF_SMALL)
     ref, _ = fx.split_ref_current(li)
     m = det.fit(ref, FEATS)
-    frame = inject.scenario_frame(ref, FEATS, fx.ROW_KEY)
-    res = {r["grp"]: r for r in det.score(m, frame, "scenario").collect()}
+    res = {r["grp"]: r for r in det.score_scenarios(m, ref, fx.ROW_KEY).collect()}
     n = ref.count()
     assert res["No Drift"]["dp"] == pytest.approx(0.0, abs=1e-9)
     assert res["20% Data Deletion"]["n_rows"] == int(n * 0.8)

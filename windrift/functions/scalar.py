@@ -64,9 +64,3 @@ def gaussian(seed: int, *keys: Column | str) -> Column:
     u1 = (F.shiftrightunsigned(F.xxhash64(*ks, F.lit(seed), F.lit("u1")), 11).cast("double") + 1.0) / (scale + 1.0)
     u2 = F.shiftrightunsigned(F.xxhash64(*ks, F.lit(seed), F.lit("u2")), 11).cast("double") / scale
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
-
-
-def uniform_hash(seed: int, *keys: Column | str) -> Column:
-    """Stable uniform in [0, 1) from row keys and a seed."""
-    ks = [_c(k) for k in keys]
-    return F.shiftrightunsigned(F.xxhash64(*ks, F.lit(seed)), 11).cast("double") / F.lit(float(2 ** 53))

@@ -30,12 +30,6 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, handle_invali
     return RegressionResult(model, float(model.summary.rootMeanSquaredError), float(model.summary.r2))
 
 
-def regression_table(spark: SparkSession, res: RegressionResult) -> DataFrame:
-    rows = [(float(res.model.coefficients[0]) if len(res.model.coefficients) == 1 else None,
-             float(res.model.intercept), res.rmse, res.r2)]
-    return spark.createDataFrame(rows, "slope double, intercept double, rmse double, r2 double")
-
-
 def numeric_features(df: DataFrame, label: str) -> list[str]:
     """The int, double and float columns but the label (bigint keys are none)."""
     return [c for c, t in df.dtypes if t in ("int", "double", "float") and c != label]
@@ -86,7 +80,3 @@ def save_model(model, path: str) -> None:
 
 def load_linear(path: str) -> LinearRegressionModel:
     return LinearRegressionModel.load(path)
-
-
-def load_forest(path: str) -> RandomForestClassificationModel:
-    return RandomForestClassificationModel.load(path)

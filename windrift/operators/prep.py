@@ -389,13 +389,6 @@ def kpi_quality(kpi: DataFrame, ts: str = "DATETIME", corrupt: str = "_corrupt_r
 
 
 # --------------------------------------------------------------------------- A3-A9, T1
-def totals(kpi: DataFrame) -> DataFrame:
-    """A3 without fan-out: global sum of traffic, mean drop rate, mean users."""
-    return kpi.agg(F.sum("Traffic_Volume_Gbyte").alias("total_traffic"),
-                   F.avg("ERAB_Drop_PC").alias("avg_drop_rate"),
-                   F.avg("Nof_Avg_SimRRC_ConnUsr").alias("avg_users"))
-
-
 def fanout_totals(kpi: DataFrame, overlap: DataFrame, exact_scale: int | None = None,
                   broadcast_max_bytes: int = 64 << 20) -> DataFrame:
     """A3 as produced (D4): totals over ``kpi ⟕ overlap``, each KPI row counted

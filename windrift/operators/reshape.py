@@ -46,11 +46,6 @@ def hash_split(df: DataFrame, keys: Sequence[str], train_share: float = 0.8, see
     return df.withColumn(flag, bucket < F.lit(int(round(train_share * 10_000))))
 
 
-def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2), seed: int = 42) -> list[DataFrame]:
-    """P17 (Spark's own seeded split)."""
-    return df.randomSplit(list(weights), seed)
-
-
 def keep_first_share(df: DataFrame, share: float, keys: Sequence[str], seed: int = 42,
                      n: int | None = None) -> DataFrame:
     """Exactly ``int(n·share)`` rows, first in seeded hash order."""

@@ -1,7 +1,7 @@
 """Per-feature comparison of a reference and a current dataset
 (A10-A13, J3, F5, F6, F12).
 
-Both sides are one aggregate over the union of their pruned columns; its single
+Both sides are one aggregate over the table that holds them, by a flag; its single
 row is turned to one row per feature.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrift.functions.columns import qcol
@@ -28,11 +28,9 @@ def _stacked(df: DataFrame, cols: Sequence[str], made: dict) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _both_sides(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """``(j, feature, ref_<stat>, cur_<stat>)``: both sides in one aggregate over
-    their union, of the columns compared only."""
-    sides = ref.select(*[qcol(c) for c in cols], F.lit(True).alias("_ref")).unionByName(
-        cur.select(*[qcol(c) for c in cols], F.lit(False).alias("_ref")))
+def _both_sides(df: DataFrame, is_ref: Column, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """``(j, feature, ref_<stat>, cur_<stat>)``: both sides in one aggregate over the table that holds them."""
+    sides = df.select(*[qcol(c) for c in cols], is_ref.alias("_ref"))
 
     def on(side, fn):
         return lambda c: fn(F.when(F.col("_ref") == F.lit(side), c))
@@ -41,11 +39,16 @@ def _both_sides(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stats: Sequ
     return _stacked(sides, cols, made)
 
 
-def compare_stat(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stat: str = "mean",
-                 rounded: bool = True) -> DataFrame:
+def two_sides(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Two datasets as one table with ``is_ref``; a single table that has both needs only its flag."""
+    return ref.select(*[qcol(c) for c in cols], F.lit(True).alias("is_ref")).unionByName(
+        cur.select(*[qcol(c) for c in cols], F.lit(False).alias("is_ref")))
+
+
+def compare_stat(df: DataFrame, cols: Sequence[str], stat: str = "mean", rounded: bool = True, is_ref: str = "is_ref") -> DataFrame:
     """A10 (``mean``) / A11 (``std``, sample std, D38): reference, current and
     change % per feature (J3 aligns the two sides by feature)."""
-    both = _both_sides(ref, cur, cols, [stat])
+    both = _both_sides(df, F.col(is_ref), cols, [stat])
     out = both.select("j", "feature", F.col(f"ref_{stat}").alias("reference"), F.col(f"cur_{stat}").alias("current"))
     out = out.withColumn("change_pct", change_pct("current", "reference"))
     if rounded:
@@ -53,15 +56,15 @@ def compare_stat(ref: DataFrame, cur: DataFrame, cols: Sequence[str], stat: str
     return out
 
 
-def align_stats(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
+def align_stats(df: DataFrame, cols: Sequence[str], is_ref: str = "is_ref") -> DataFrame:
     """Mean and std of both sides in one table, by feature."""
-    return _both_sides(ref, cur, cols, ["mean", "std"]).select(
+    return _both_sides(df, F.col(is_ref), cols, ["mean", "std"]).select(
         "feature", "j", "ref_mean", "cur_mean", "ref_std", "cur_std")
 
 
-def mean_flags(ref: DataFrame, cur: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> DataFrame:
+def mean_flags(df: DataFrame, cols: Sequence[str], threshold: float = 10.0, is_ref: str = "is_ref") -> DataFrame:
     """features whose mean moved by more than ``threshold`` percent."""
-    cmp = compare_stat(ref, cur, cols, "mean", rounded=False)
+    cmp = compare_stat(df, cols, "mean", False, is_ref)
     return cmp.select("j", "feature", "change_pct", mean_change_flag("change_pct", threshold).alias("flagged"))
 
 

@@ -8,7 +8,8 @@ Training is parameter mixing: every epoch the driver broadcasts the weights,
 each task runs one epoch of mini-batch Adam over its own rows, and the task
 results are averaged (weighted by rows): each task emits one packed array,
 summed in two salted levels, so only one parameter vector reaches the driver
-per epoch.
+per epoch.  The same pass measures the loss of the epoch's weights on the training
+rows and on those held out (``history``: epoch, training loss, held-out loss).
 This is not the single-process trajectory of a Keras fit; only the score
 behaviour (bands over scenarios) can be compared.
 """
@@ -31,6 +32,9 @@ from windrift.functions.scalar import gaussian
 from windrift.plans.moments import tree_sum
 from windrift.session import scratch_path
 
+#: One row in so many is held out of training; its loss is measured in the same passes.
+HELD_OUT = 10
+
 DEFAULTS = {"hidden_layers": [64, 32], "epochs": 20, "batch_size": 32, "noise_factor": 0.1,
             "learning_rate": 0.001}
 
@@ -132,38 +136,49 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
                   for j, c in enumerate(cols)]
     spark = scaled.sparkSession
     path = os.path.join(scratch_path(spark, "autoencoder"), uuid.uuid4().hex[:12])
-    scaled.select(*x_cols, *n_cols).dropna().write.parquet(path)  # scaled and noisy rows, once for all epochs
-    train = spark.read.schema(", ".join(f"{c}{j} double" for c in "xn" for j in range(d))).parquet(path).withColumn(
+    held = (F.pmod(F.xxhash64(*(keys or cols), F.lit(seed)), F.lit(HELD_OUT)) == 0).alias("held")
+    scaled.select(*x_cols, *n_cols, held).dropna().write.parquet(path)  # scaled and noisy rows, once for all epochs
+    train = spark.read.schema(", ".join(f"{c}{j} double" for c in "xn" for j in range(d)) + ", held boolean").parquet(path).withColumn(
         "_pid", F.spark_partition_id())
     width = max(1, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
-    for epoch in range(cfg["epochs"]):
-        flat = flatten(params)
+    history = []
+    for epoch in range(cfg["epochs"] + 1):  # the last pass only measures the final weights
+        flat, last = flatten(params), epoch == cfg["epochs"]
         bc = scaled.sparkSession.sparkContext.broadcast(flat)
         ep_seed = seed * 1000 + epoch
 
-        def run(batches, bc=bc, ep_seed=ep_seed):
-            p1, seen, salt = unflatten(np.asarray(bc.value), sizes), 0, 0
+        def run(batches, bc=bc, ep_seed=ep_seed, last=last):
+            p0 = unflatten(np.asarray(bc.value), sizes)
+            p1, seen, salt, loss = p0, 0, 0, np.zeros(4)  # squared error and cells of training rows, then of held-out ones
             for pdf in batches:  # a task holds one Arrow batch at a time
                 if pdf.empty:
                     continue
                 salt = int(pdf["_pid"].iloc[0])
                 xc = pdf[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
                 xn = pdf[[f"n{j}" for j in range(d)]].to_numpy(dtype=float)
+                out = pdf["held"].to_numpy(dtype=bool)
+                err = ((xc - forward(p0, xc)) ** 2).sum(axis=1)
+                loss += [err[~out].sum(), d * (~out).sum(), err[out].sum(), d * out.sum()]
+                xc, xn = xc[~out], xn[~out]
                 rng = np.random.default_rng([ep_seed, salt, seen])
-                p1 = train_epoch(p1, xn, xc, cfg["batch_size"], cfg["learning_rate"], rng)
+                if not last and len(xc):
+                    p1 = train_epoch(p1, xn, xc, cfg["batch_size"], cfg["learning_rate"], rng)
                 seen += len(xc)
-            if seen:
-                # one packed row per task: rows-weighted weights, then the row count
-                yield pd.DataFrame({"grp": ["w"], "salt": [salt], "g": [np.append(flatten(p1) * seen, float(seen))]})
+            if loss[1] + loss[3] > 0:
+                # one packed row per task: rows-weighted weights, the row count, and the losses of the weights it began with
+                yield pd.DataFrame({"grp": ["w"], "salt": [salt], "g": [np.concatenate([flatten(p1) * seen, [float(seen)], loss])]})
 
         rows = tree_sum(train.mapInPandas(run, schema), width).collect()
         bc.unpersist()
-        if rows and rows[0]["g"][-1] > 0:
+        if rows:
             total = np.asarray(rows[0]["g"], dtype=np.float64)
-            params = unflatten(total[:-1] / total[-1], sizes)
-    out = {"sizes": sizes, "params": flatten(params).tolist(), "curves": []}
+            weights, seen, loss = total[:-5], total[-5], total[-4:]
+            history.append((epoch, float(loss[0] / max(loss[1], 1.0)), float(loss[2] / max(loss[3], 1.0))))
+            if seen > 0 and not last:
+                params = unflatten(weights / seen, sizes)
+    out = {"sizes": sizes, "params": flatten(params).tolist(), "curves": [], "history": history}
     if keys:
         from windrift.plans.detector import REPETITIONS, Curve
         from windrift.plans.permute import calibration_table_generic
@@ -180,36 +195,16 @@ def fit_autoencoder(scaled: DataFrame, cols: Sequence[str], model, ae_params: di
     return out
 
 
-def reconstruction_error_table(scaled: DataFrame, model, group: str | None) -> DataFrame:
-    """M13 pass: ``(grp, mse_ae)``, mean squared reconstruction error per
-    group, as a DataFrame (one pass, per-task partial sums)."""
-    ae = model.ae
-    sizes, flat = ae["sizes"], np.asarray(ae["params"])
-    d = model.d
-    bc = scaled.sparkSession.sparkContext.broadcast(flat)
-    sel = scaled.select(*([F.col(group).cast("string").alias("grp")] if group else [F.lit("__all__").alias("grp")]),
-                        *[qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(model.features)]).dropna(
-        subset=[f"x{j}" for j in range(d)])
-
-    def run(batches):
-        params = unflatten(np.asarray(bc.value), sizes)
-        acc: dict[str, list] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for g, part in pdf.groupby("grp", dropna=False):
-                g = g if isinstance(g, str) else None
-                x = part[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
-                err = float(np.sum((x - forward(params, x)) ** 2))
-                a = acc.setdefault(g, [0.0, 0.0])
-                a[0] += err
-                a[1] += x.size
-        if acc:
-            yield pd.DataFrame([(g, a[0], a[1]) for g, a in acc.items()], columns=["grp", "sse", "cells"])
-
-    schema = "grp string, sse double, cells double"
-    sums = sel.mapInPandas(run, schema).groupBy("grp").agg(F.sum("sse").alias("sse"), F.sum("cells").alias("cells"))
-    return sums.select("grp", (F.col("sse") / F.nullif(F.col("cells"), F.lit(0.0))).alias("mse_ae"))
+def error_sums(model):
+    """M13 for ``moments_table``: a block of raw rows → (sum of squared errors, cells), after the model's scaling."""
+    params = unflatten(np.asarray(model.ae["params"]), model.ae["sizes"])
+    mean, std = model.mean, np.where(model.std == 0, 1.0, model.std)
+
+    def sums(x):
+        z = (x - mean) / std
+        return np.array([float(np.sum((z - forward(params, z)) ** 2)), float(z.size)])
+
+    return sums
 
 
 def ae_score(model, mse: float) -> float | None:

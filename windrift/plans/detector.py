@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,15 @@ from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
 from windrift.functions.scalar import standardize
-from windrift.plans.moments import GROUP_ALL, Moments, group_moments, reconstruction_mse
+from windrift.plans.moments import (
+    GROUP_ALL,
+    Moments,
+    collect_moments,
+    group_moments,
+    moments_table,
+    reconstruction_mse,
+    unpack_moments,
+)
 from windrift.plans.spline import fit_not_a_knot, make_increasing
 
 # Calibration levels 1 %, 11 %, …, 91 % (ten levels, D24) and
@@ -333,17 +341,13 @@ def _score_rows(model: DriftModel, compat_zero: bool):
     """Executor side of ``score``: packed moments of each group → its scores."""
     import pandas as pd
 
-    from windrift.plans.moments import unpack_moments
-
     def run(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             moments = {g: m for g, vec in zip(pdf["grp"], pdf["g"])
                        if (m := unpack_moments(vec, model.d).scaled(model.mean, model.std)).n > 0}
-            ae = None
-            if "mse_ae" in pdf.columns:
-                ae = {g: v for g, v in zip(pdf["grp"], pdf["mse_ae"]) if v is not None and v == v}
+            ae = {g: float(m.sums[1] / m.sums[2]) for g, m in moments.items() if len(m.sums) == 3 and m.sums[2] > 0}
             rows = score_moments(model, moments, ae, compat_zero)
             rows += [(g, 0, *[None] * 13, int(unpack_moments(vec, model.d).dropped))
                      for g, vec in zip(pdf["grp"], pdf["g"]) if g not in moments]
@@ -359,37 +363,60 @@ def score(model: DriftModel, current: DataFrame, group: str | None = None, compa
     One G1 pass over the current data gives every group's packed moments;
     the scores (reference scaling, eigen decomposition, curves) are computed
     by the executors from those rows, so the number of groups is not bounded
-    by the driver.  The autoencoder error, when a model has one, is a second
-    pass joined on the group key.
+    by the driver.  The autoencoder error, when a model has one, is summed in
+    that same pass.
     """
-    from windrift.plans.moments import moments_table
-
-    table = moments_table(current, model.features, group)
-    if model.ae is not None:
-        from windrift.plans.autoencoder import reconstruction_error_table
-        keep = [group] if group else []
-        scaled = scale_columns(current, model.features, model.mean, model.std, keep=keep)
-        errors = reconstruction_error_table(scaled, model, group).withColumnRenamed("grp", "_ae_grp")
-        table = table.join(errors, F.col("grp").eqNullSafe(F.col("_ae_grp")), "left").drop("_ae_grp")
+    table = moments_table(current, model.features, group, more=_ae_sums(model))
     return table.mapInPandas(_score_rows(model, compat_zero), SCORE_SCHEMA)
 
 
+def _ae_sums(model: DriftModel):
+    if model.ae is None:
+        return None
+    from windrift.plans.autoencoder import error_sums
+    return error_sums(model)
+
+
+def score_scenarios(model: DriftModel, df: DataFrame, keys: Sequence[str], scenarios=None, seed: int = 42) -> DataFrame:
+    """All metrics of every scenario's version of ``df``, one row per scenario.  One pass over the rows: the task makes
+    the versions of a block and sums the moments and the autoencoder's errors of each."""
+    from windrift.operators.inject import SCENARIOS, scenario_variants
+    variants, given = scenario_variants(df, model.features, keys, scenarios or SCENARIOS, seed)
+    table = moments_table(df, model.features, more=_ae_sums(model), variants=variants, given=given)
+    return table.mapInPandas(_score_rows(model, False), SCORE_SCHEMA)
+
+
 def gram_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
                mean: np.ndarray | None = None, std: np.ndarray | None = None,
                ref_group: str | None = None) -> DataFrame:
     """G1 as a table ``(grp, i, j, v)`` of sums over standardised features.
 
-    One grouped moments pass over the raw data; the scaler is either given,
-    or taken from the ``ref_group`` group of that same pass (so a reference
-    inside the table costs no extra pass), and applied on the driver."""
-    spark = df.sparkSession
+    One grouped moments pass over the raw data, whose small table is kept; the scaler
+    is either given, or taken from the ``ref_group`` group of it (the only row that
+    reaches the driver).  The executors turn every group's row to its sums."""
+    import pandas as pd
+
+    from windrift.session import cut_lineage
+
     d = len(cols)
-    raw = group_moments(df, cols, group)
+    table = cut_lineage(moments_table(df, cols, group))
     if mean is None or std is None:
-        base = raw[ref_group] if ref_group is not None else raw[GROUP_ALL]
+        base = collect_moments(table.filter(F.col("grp") == F.lit(ref_group if ref_group is not None else GROUP_ALL)), d)
+        base = base[ref_group if ref_group is not None else GROUP_ALL]
         mean, std = base.mean, base.std_pop
-    rows = []
-    for g, m in sorted(raw.items(), key=lambda x: (x[0] is None, x[0])):
-        sums = m.scaled(mean, std).raw_sums()
-        rows += [(g, i, j, float(sums[i, j])) for i in range(d + 1) for j in range(i, d + 1)]
-    return spark.createDataFrame(rows, "grp string, i int, j int, v double")
+    i, j = np.triu_indices(d + 1)
+
+    def rows(batches):
+        for pdf in batches:
+            for g, vec in zip(pdf["grp"], pdf["g"], strict=True):
+                m = unpack_moments(vec, d)
+                if m.n > 0:
+                    yield pd.DataFrame({"grp": g, "i": i, "j": j, "v": m.scaled(mean, std).raw_sums()[i, j]})
+
+    return table.mapInPandas(rows, "grp string, i int, j int, v double")
+
+
+def with_loadings(model: DriftModel, components: np.ndarray, curves: Sequence[Curve] | None = None) -> DriftModel:
+    """The model with given unit loadings (k × d), and curves, in place of the fitted ones; its scaler stays."""
+    pca = Pca(np.asarray(components, float), model.pca.eigenvalues, model.pca.ratios, len(components), model.pca.mean)
+    return replace(model, pca=pca, curves=list(model.curves if curves is None else curves))

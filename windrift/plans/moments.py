@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +35,21 @@ from windrift.functions.columns import qcol
 GROUP_ALL = "__all__"
 
 
-def _pack(n: float, mean: np.ndarray, m2: np.ndarray, dropped: float, iu, ju) -> np.ndarray:
-    return np.concatenate([[n], mean, m2[iu, ju], [dropped]])
+def _pack(n: float, mean: np.ndarray, m2: np.ndarray, sums: np.ndarray, iu, ju) -> np.ndarray:
+    return np.concatenate([[n], mean, m2[iu, ju], sums])
 
 
-def _unpack(vec: np.ndarray, d: int, iu, ju) -> tuple[float, np.ndarray, np.ndarray, float]:
+def _unpack(vec: np.ndarray, d: int, iu, ju) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     n = float(vec[0])
     mean = np.asarray(vec[1:1 + d], dtype=np.float64)
     m2 = np.zeros((d, d))
-    m2[iu, ju] = vec[1 + d:-1]
-    m2[ju, iu] = vec[1 + d:-1]
-    return n, mean, m2, float(vec[-1])
+    m2[iu, ju] = vec[1 + d:1 + d + len(iu)]
+    m2[ju, iu] = m2[iu, ju]
+    return n, mean, m2, np.asarray(vec[1 + d + len(iu):], dtype=np.float64)
 
 
 def _combine(a, b):
-    """Chan et al. pairwise update of (n, mean, M2, incomplete rows)."""
+    """Chan et al. pairwise update of (n, mean, M2, plain sums)."""
     na, ma, sa, da = a
     nb, mb, sb, db = b
     if na == 0:
@@ -63,16 +63,16 @@ def _combine(a, b):
     return n, mean, m2, da + db
 
 
-def _block_moments(x: np.ndarray):
-    """Moments of the complete rows, and how many rows have a missing feature."""
+def _block_moments(x: np.ndarray, more=None):
+    """Moments of the complete rows; sums: how many rows have a missing feature, then what ``more`` sums over the rest."""
     whole = x[~np.isnan(x).any(axis=1)]
-    dropped = float(len(x) - len(whole))
+    sums = np.append(float(len(x) - len(whole)), [] if more is None else more(whole))
     d = x.shape[1]
     if not len(whole):
-        return 0.0, np.zeros(d), np.zeros((d, d)), dropped
+        return 0.0, np.zeros(d), np.zeros((d, d)), sums
     mean = whole.mean(axis=0)
     c = whole - mean
-    return float(len(whole)), mean, c.T @ c, dropped
+    return float(len(whole)), mean, c.T @ c, sums
 
 
 #: Groups that a task holds before it puts its partial moments out; the later levels merge partials anyway.
@@ -83,31 +83,37 @@ def _rows(acc: dict, salt: int, iu, ju) -> pd.DataFrame:
     return pd.DataFrame({"grp": list(acc), "salt": salt, "g": [_pack(*m, iu, ju) for m in acc.values()]})
 
 
-def _task_moments(d: int, has_group: bool):
+def _task_moments(d: int, has_group: bool, more=None, variants=None):
     iu, ju = np.triu_indices(d)
 
     def run(batches):
         acc: dict[str, tuple] = {}
         salt = 0
+
+        def add(g, x):
+            part = _block_moments(x, more)
+            acc[g] = _combine(acc[g], part) if g in acc else part
+
         for pdf in batches:
             if pdf.empty:
                 continue
             salt = int(pdf["_pid"].iloc[0])
-            x = pdf.iloc[:, 2 if has_group else 1:].to_numpy(dtype=np.float64, copy=False)
-            if has_group:
+            first = 2 if has_group else 1
+            x = pdf.iloc[:, first:first + d].to_numpy(dtype=np.float64, copy=False)
+            if variants is not None:
+                for name, changed in variants(x, pdf.iloc[:, first + d:]):
+                    add(name, changed)
+            elif has_group:
                 code, names = pd.factorize(pdf["grp"], use_na_sentinel=False)
                 order = np.argsort(code, kind="stable")
                 for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
                     g = names[code[rows[0]]]
-                    g = g if isinstance(g, str) else None  # the NULL group is a group
-                    part = _block_moments(x[rows])
-                    acc[g] = _combine(acc[g], part) if g in acc else part
+                    add(g if isinstance(g, str) else None, x[rows])  # the NULL group is a group
                 if len(acc) >= FLUSH_GROUPS:
                     yield _rows(acc, salt, iu, ju)
-                    acc = {}
+                    acc.clear()
             else:
-                part = _block_moments(x)
-                acc[GROUP_ALL] = _combine(acc[GROUP_ALL], part) if GROUP_ALL in acc else part
+                add(GROUP_ALL, x)
         if acc:
             yield _rows(acc, salt, iu, ju)
 
@@ -131,20 +137,23 @@ def _merge(d: int):
 
 
 def moments_table(df: DataFrame, cols: Sequence[str], group: str | None = None,
-                  merge_width: int | None = None) -> DataFrame:
-    """G1 as ``(grp, g)``: one packed ``(n, mean, upper(M2), dropped)`` per group.
+                  merge_width: int | None = None, more=None, variants=None, given: Sequence[Column] = ()) -> DataFrame:
+    """G1 as ``(grp, g)``: one packed ``(n, mean, upper(M2), dropped, *sums)`` per group.
 
     Rows with a NULL feature are left out of the moments (complete cases) and
-    counted in ``dropped``; a NULL group key is a group of its own."""
+    counted in ``dropped``; a NULL group key is a group of its own.  ``more`` sums
+    further numbers over the same rows (a block of complete rows → an array), in the
+    same pass.  ``variants`` makes the groups inside the task: (block, its ``given``
+    columns) → (group, changed block) pairs, so each row is sent once."""
     d = len(cols)
     feats = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
     sel = df.select(F.spark_partition_id().alias("_pid"),
-                    *([F.col(group).cast("string").alias("grp")] if group else []), *feats)
+                    *([F.col(group).cast("string").alias("grp")] if group else []), *feats, *given)
     width = merge_width or max(1, math.ceil(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     packed = T.StructType([T.StructField("grp", T.StringType()), T.StructField("salt", T.IntegerType()),
                            T.StructField("g", T.ArrayType(T.DoubleType()))])
     out = "grp string, g array<double>"
-    level1 = sel.mapInPandas(_task_moments(d, group is not None), packed)
+    level1 = sel.mapInPandas(_task_moments(d, group is not None, more, variants), packed)
     level2 = level1.repartition(width, "grp", F.pmod(F.col("salt"), F.lit(width))).mapInPandas(_merge(d), out)
     return level2.repartition(width, "grp").mapInPandas(_merge(d), out)
 
@@ -155,7 +164,11 @@ class Moments:
     n: float
     mean: np.ndarray      # d
     scatter: np.ndarray   # d×d, Σ (x-mean)(x-mean)ᵀ
-    dropped: float = 0.0  # rows with a missing feature, not in n
+    sums: np.ndarray | tuple = (0.0,)  # rows with a missing feature, not in n; then what else was summed
+
+    @property
+    def dropped(self) -> float:
+        return float(self.sums[0])
 
     @property
     def cov(self) -> np.ndarray:
@@ -173,7 +186,7 @@ class Moments:
     def scaled(self, mean: np.ndarray, std: np.ndarray) -> Moments:
         """Moments of ``(x - mean) / std`` (std 0 → 1), without another pass."""
         s = np.where(std == 0, 1.0, std)
-        return Moments(self.n, (self.mean - mean) / s, self.scatter / np.outer(s, s), self.dropped)
+        return Moments(self.n, (self.mean - mean) / s, self.scatter / np.outer(s, s), self.sums)
 
     def raw_sums(self) -> np.ndarray:
         """``[1, x]ᵀ[1, x]`` summed over rows: n, Σx and Σxxᵀ."""
@@ -190,9 +203,9 @@ def collect_moments(table: DataFrame, d: int) -> dict[str, Moments]:
     iu, ju = np.triu_indices(d)
     out = {}
     for r in table.collect():
-        n, mean, m2, dropped = _unpack(np.asarray(r["g"], dtype=np.float64), d, iu, ju)
+        n, mean, m2, sums = _unpack(np.asarray(r["g"], dtype=np.float64), d, iu, ju)
         if n > 0:
-            out[r["grp"]] = Moments(n, mean, m2, dropped)
+            out[r["grp"]] = Moments(n, mean, m2, sums)
     return out
 
 

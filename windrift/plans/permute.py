@@ -8,12 +8,12 @@ the cells per repetition: of the first ``m = int(N·p)`` cells, number ``r`` tak
 value of number ``r+1`` and the last takes the first one's, a uniformly random
 cyclic permutation of the chosen values.
 
-* M7 (one frame, one level) orders the cells by a seeded hash: bucket offsets from a
-  small grouped count plus a row number inside each bucket.
-* M8 (ten repetitions, ten levels) orders them by a seeded bijection that is
-  computed both ways, so each cell knows without any sort where its value goes;
-  values travel once, in packed arrays, and each task sums the squared
-  reconstruction error per (repetition, level).
+Cells are ordered by a seeded bijection that is computed both ways, so each cell
+knows without any sort where its value goes.
+
+* M7 (one frame, one level) sends the chosen values to the rows that take them.
+* M8 (ten repetitions, ten levels) lets values travel once, in packed arrays, and each
+  task sums the squared reconstruction error per (repetition, level).
 """
 
 from __future__ import annotations
@@ -29,94 +29,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.functions.columns import qcol
-from pyspark.sql import Window
-
-from windrift.operators.ordering import HASH_BITS, row_hash
-from windrift.operators.prep import bounded_broadcast
-from windrift.session import cut_lineage, scratch_path
+from windrift.session import scratch_path
 
 LEVELS = [0.01 + 0.1 * i for i in range(10)]
 
 
-def _long_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), qcol(c).cast("double").alias("v")) for j, c in enumerate(cols)])
-    return df.select(*[qcol(k) for k in keys], F.inline(cells))
-
-
-def _bucket_bits(n_cells: int, target: int = 1 << 20) -> int:
-    """Hash-prefix buckets per repetition so one bucket holds about
-    ``target`` cells (at least 64 buckets)."""
-    bits = 6
-    while (n_cells >> bits) > target and bits < 40:
-        bits += 1
-    return bits
-
-
-def _ranked_moves(long: DataFrame, keys: Sequence[str], reps: int, seed: int,
-                  levels: Sequence[float], with_levels: bool = True) -> tuple[DataFrame, int, dict[int, float]]:
-    """Cells with their permuted value at every level: ``(rep, keys…, j, v,
-    p0…)``, plus the cell count per repetition.
-
-    The rank of a cell in its repetition's hash order is the number of cells
-    in earlier hash-prefix buckets (a small grouped count) plus its row number
-    inside its bucket (a window over one bucket, sorted by hash).  Its
-    successor is the next cell in the bucket (``lead``) or, for the last cell
-    of a bucket, the first cell of the next non-empty bucket (from the same
-    small aggregate).  No global sort, no self-join.
-    """
-    n_cells = long.count()
-    bits = _bucket_bits(n_cells)
-    lr = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    lr = lr.withColumn("h1", row_hash(seed, "rep", *keys, "j")) \
-        .withColumn("b", F.shiftright(F.col("h1"), HASH_BITS - bits))
-    # per (rep, bucket): size and first value; reps × 2^bits rows, kept in Spark
-    stats = cut_lineage(lr.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"),
-                                                   F.min_by("v", "h1").alias("first_v")))
-    by_rep = Window.partitionBy("rep").orderBy("b")
-    offsets = stats.select("rep", "b", (F.sum("n").over(by_rep) - F.col("n")).alias("off"),
-                           F.lead("first_v").over(by_rep).alias("next_first"))
-    first_by_rep = {r["rep"]: r["v0"] for r in
-                    stats.groupBy("rep").agg(F.min_by("first_v", "b").alias("v0")).collect()}
-    # total order inside a bucket (hash, then row key and column as tie-breakers)
-    # so a recomputed task numbers its cells exactly as before
-    w = Window.partitionBy("rep", "b").orderBy("h1", *keys, "j")
-    ranked = (lr.withColumn("_i", F.row_number().over(w) - 1)
-              .withColumn("_lead", F.lead("v").over(w))
-              .join(bounded_broadcast(offsets, known_rows=reps << bits), ["rep", "b"], "left")
-              .withColumn("r", F.col("off") + F.col("_i"))
-              .withColumn("v_next", F.coalesce(F.col("_lead"), F.col("next_first"))))
-    ranked = ranked.drop("_i", "_lead", "off", "next_first", "h1", "b")
-    if not with_levels:
-        return ranked, n_cells, first_by_rep
-    ms = [int(n_cells * p) for p in levels]
-    v0 = _rep_value(first_by_rep)
-    return ranked.withColumns({f"p{i}": _level_value(m, v0) for i, m in enumerate(ms)}), n_cells, first_by_rep
-
-
-def _rep_value(by_rep: dict[int, float]) -> F.Column:
-    if not by_rep:
-        return F.lit(None).cast("double")
-    return F.element_at(F.create_map(*[x for k, v in by_rep.items() for x in (F.lit(k), F.lit(float(v)))]),
-                        F.col("rep"))
-
-
-def _level_value(m: int, v0: F.Column) -> F.Column:
-    """Chosen cells (rank < m) take their successor's value, the last chosen
-    cell takes the first one's: a cyclic shift along the random order."""
-    return (F.when(F.col("r") < F.lit(m - 1), F.col("v_next"))
-            .when(F.col("r") == F.lit(m - 1), v0)
-            .otherwise(F.col("v")))
-
-
 def permute_cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pct: float, seed: int = 42) -> DataFrame:
-    """M7: the frame with exactly ``int(n·d·pct)`` cells moved (same keys, same
-    columns); the multiset of cell values is unchanged."""
-    long = _long_cells(df, cols, keys)
-    moved, n_cells, _ = _ranked_moves(long, keys, 1, seed, [pct])
-    if int(n_cells * pct) < 2:
-        return df.select(*[qcol(k) for k in keys], *[qcol(c) for c in cols])
-    aggs = [F.first(F.when(F.col("j") == j, F.col("p0")), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
-    return moved.groupBy(*keys).agg(*aggs)
+    """M7: the frame with exactly ``int(n·d·pct)`` cells moved (same keys, same columns, NULLs are values); the multiset of
+    cell values is unchanged.
+
+    The cells' order is the bijection that M8 uses, so a cell knows without any sort where its value goes: only the
+    chosen values travel, to the row that takes them."""
+    d = len(cols)
+    rows, n_rows = _numbered(df, cols, keys, whole=False)
+    m = int(n_rows * d * pct)
+    names = {f"x{j}": c for j, c in enumerate(cols)}
+    if m < 2:
+        return rows.select(*[qcol(k) for k in keys], *[F.col(x).alias(c) for x, c in names.items()])
+    order = CellOrder(n_rows * d, seed * 1000)
+
+    def send(batches):
+        for pdf in batches:
+            cells = (pdf["row"].to_numpy(dtype=np.int64)[:, None] * d + np.arange(d)).ravel()
+            rank = order.rank(cells)
+            chosen = rank < m
+            to = order.cell(np.where(rank[chosen] > 0, rank[chosen] - 1, m - 1))  # number r+1 to r, the first to the last
+            vals = pdf[list(names)].to_numpy(dtype=np.float64).ravel()[chosen]
+            yield pd.DataFrame({"row": to // d, "j": (to % d).astype(np.int32), "v": vals})
+
+    sent = rows.select("row", *names).mapInPandas(send, "row long, j int, v double")
+    takes = sent.groupBy("row").agg(*[F.count(F.when(F.col("j") == j, 1)).alias(f"t{j}") for j in range(d)],
+                                    *[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"y{j}") for j in range(d)])
+    both = rows.join(takes, "row", "left")
+    out = [F.when(F.col(f"t{j}") > 0, F.col(f"y{j}")).otherwise(F.col(f"x{j}")).alias(c) for j, c in enumerate(cols)]
+    return both.select(*[qcol(k) for k in keys], *out)
 
 
 _SUM_SCHEMA = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("level", T.IntegerType()),
@@ -170,16 +116,18 @@ class CellOrder:
         return self._walk(ranks, self._backward)
 
 
-def _numbered(scaled: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
-    """Complete rows as ``(first, x0, x1, ...)`` with a dense row number, and how many.
+def _numbered(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), whole: bool = True) -> tuple[DataFrame, int]:
+    """Rows (``whole``: complete ones) as ``(row, keys, x0, x1, ...)`` with a dense row number, and how many.
 
     The rows are written to the shared folder once; a row's number is its file's
     offset plus its index there, so a repeated task numbers them as before."""
     x = [qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)]
     path = os.path.join(scratch_path(scaled.sparkSession, "calibration"), uuid.uuid4().hex[:12])
-    scaled.select(*x).dropna().write.parquet(path)
-    rows = scaled.sparkSession.read.schema(", ".join(f"x{j} double" for j in range(len(cols)))).parquet(path)
-    rows = rows.select("_metadata.file_name", "_metadata.row_index", *[f"x{j}" for j in range(len(cols))])
+    taken = scaled.select(*[qcol(k) for k in keys], *x)
+    (taken.dropna() if whole else taken).write.parquet(path)
+    names = [*[f"`{k}`" for k in keys], *[f"x{j}" for j in range(len(cols))]]
+    rows = scaled.sparkSession.read.schema(taken.schema).parquet(path)
+    rows = rows.select("_metadata.file_name", "_metadata.row_index", *names)
     sizes = sorted((r["file_name"], r["n"]) for r in rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for name, n in sizes:
@@ -187,7 +135,7 @@ def _numbered(scaled: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
         total += n
     table = scaled.sparkSession.createDataFrame(offsets or [("", 0)], "file_name string, off long")
     return rows.join(F.broadcast(table), "file_name").select(
-        (F.col("off") + F.col("row_index")).alias("row"), *[f"x{j}" for j in range(len(cols))]), total
+        (F.col("off") + F.col("row_index")).alias("row"), *names), total
 
 
 def calibration_table_generic(scaled: DataFrame, cols: Sequence[str], keys: Sequence[str],

@@ -6,14 +6,15 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrift.functions.columns import qcol
 from windrift.operators import features as feat
 from windrift.operators import models, prep
+from windrift import registry_drift as rd
 from windrift.plans import detector as det
+from windrift.plans import report
 from windrift.plans.feature_jobs import ml_ready_job, windowed_job
 from windrift.plans.ledger import Ledger
 from windrift.registry_prep import EXACT, THRESHOLD, WIDTH, q_p6
@@ -34,8 +35,9 @@ def _scratch(spark, name):
 def q_m18(spark: SparkSession, d: str) -> DataFrame:
     li = fx.table(spark, d, "lineitem")
     res = models.fit_linear(li, ["l_quantity"], "l_extendedprice")
-    t = models.regression_table(spark, res)
-    return t.select(*[F.round(c, 4).alias(c) for c in ("slope", "intercept", "rmse")], F.round("r2", 6).alias("r2"))
+    return models.coefficient_table(spark, ["l_quantity"], res.model).select(
+        F.round("coefficient", 4).alias("slope"), F.round("intercept", 4).alias("intercept"),
+        F.round(F.lit(res.rmse), 4).alias("rmse"), F.round(F.lit(res.r2), 6).alias("r2"))
 
 
 def _fit_all(spark, d):
@@ -52,29 +54,37 @@ def q_m18_all(spark, d):
         F.round(F.lit(res.rmse), 4).alias("rmse"), F.round(F.lit(res.r2), 6).alias("r2"))
 
 
-def _emb_vectors(spark, d):
-    e = fx.table(spark, d, "embeddings")
-    return e.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
-                    F.col("label").cast("double").alias("label"))
+#: The columns and the cuts of the class that the forests learn.
+CLASS_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CLASS_CUTS = (30_000, 60_000)
 
 
-def q_m19(spark, d):
-    data = _emb_vectors(spark, d)
+def _classed(spark, d):
+    """Line items with the class of their discounted price: it follows from two of the features, by a curved boundary."""
+    li = fx.table(spark, d, "lineitem")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    label = sum((price >= c).cast("double") for c in CLASS_CUTS)
+    return feat.assemble(li.select(*fx.row_key_columns(), *CLASS_FEATURES).withColumn("label", label), CLASS_FEATURES, "features")
+
+
+def _split_forest(spark, d):
     from windrift.operators.reshape import hash_split
-    split = hash_split(data, ["vec_id"], 0.8, SEED)
-    m = models.fit_forest(split.filter("is_train"), "features", "label", 100, SEED)
-    return m.transform(split.filter(~F.col("is_train"))).select("vec_id", "label", "prediction")
+    split = hash_split(_classed(spark, d), fx.ROW_KEY, 0.8, SEED)
+    return models.fit_forest(split.filter("is_train"), "features", "label", 100, SEED), split.filter(~F.col("is_train"))
+
+
+def q_m19(spark, d):
+    m, test = _split_forest(spark, d)
+    return m.transform(test).select(*fx.ROW_KEY, "label", "prediction")
 
 
 def q_m20(spark, d):
-    from windrift.operators.reshape import hash_split
-    split = hash_split(_emb_vectors(spark, d), ["vec_id"], 0.8, SEED)
-    m = models.fit_forest(split.filter("is_train"), "features", "label", 100, SEED)
-    return models.accuracy(m, split.filter(~F.col("is_train")), "label")
+    m, test = _split_forest(spark, d)
+    return models.accuracy(m, test, "label")
 
 
 def q_m21(spark, d):
-    return models.retrain_comparison(_emb_vectors(spark, d), "features", "label", ["vec_id"], 0.7, 100, SEED)
+    return models.retrain_comparison(_classed(spark, d), "features", "label", fx.ROW_KEY, 0.7, 100, SEED)
 
 
 def q_s14(spark, d):
@@ -117,6 +127,22 @@ def q_m2(spark, d):
     return t.select("j", "feature", F.round("variance", 1).alias("variance"), "kept")
 
 
+#: Two windowed features, whose covariance has a closed form.
+TWO_WINDOWED = ["avg_traffic_volume_gbyte_8h", "avg_rrc_users_8h"]
+
+
+def q_m3_two(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    res = feat.ml_ready(_filled(spark, d), TWO_WINDOWED)
+    v = vector_to_array("features")
+    return res.frame.select("window_start", "CELL", "N_CELL", *[(F.round(v[i], 4) + F.lit(0.0)).alias(f"f{i}") for i in range(2)])
+
+
+def q_m4_two(spark, d):
+    res = feat.ml_ready(_filled(spark, d), TWO_WINDOWED)
+    return feat.explained_variance_table(spark, res.pca).select("component", F.round("ratio", 6).alias("ratio"))
+
+
 def q_m3(spark, d):
     from pyspark.ml.functions import vector_to_array
     res = feat.ml_ready(_filled(spark, d))
@@ -245,6 +271,16 @@ def q_s6_s8(spark, d):
     return spark.read.parquet(os.path.join(base, "ml_ready"))
 
 
+def q_s8(spark, d):
+    """Both jobs through Parquet; the second on two features, whose projection has a closed form."""
+    base = _scratch(spark, "jobs")
+    windowed_job(spark, fx.kpi_wide(spark, d), fx.overlap_from_events(spark, d), os.path.join(base, "windowed"),
+                 threshold=THRESHOLD, width=WIDTH, exact_scale=EXACT)
+    ml_ready_job(spark, os.path.join(base, "windowed"), os.path.join(base, "ml_ready"), wanted=TWO_WINDOWED)
+    back = spark.read.parquet(os.path.join(base, "ml_ready"))
+    return back.select("window_start", "CELL", "N_CELL", *[(F.round(F.col("features")[i], 4) + F.lit(0.0)).alias(f"f{i}") for i in range(2)])
+
+
 def q_s7(spark, d):
     base = _scratch(spark, "windowed")
     readers.write_windowed_parquet(q_p6(spark, d), base)
@@ -333,15 +369,31 @@ def q_x1(spark, d):
     return spark.read.parquet(os.path.join(base, "sink"))
 
 
-def q_x2(spark, d):
-    base = _scratch(spark, "stream-x2")
-    li = fx.lineitem_features(spark, d)
-    ref, _ = fx.split_ref_current(li)
-    model = det.fit(ref, fx.LINEITEM_FEATURES)
+def _stream_scores(spark, d, model, history):
     stream = fx.lineitem_feature_rows(sj.file_stream(spark, d, "lineitem.parquet"), with_keys=True)
-    hist = os.path.join(base, "history")
-    sj.run_scoring_stream(stream, model, hist, os.path.join(base, "ckpt"), "batch")
-    return spark.read.parquet(hist)
+    sj.run_scoring_stream(stream, model, history, _scratch(spark, "stream-ckpt"), "batch")
+
+
+def q_x2(spark, d):
+    """Micro-batches of line items scored against the two-feature model."""
+    hist = _scratch(spark, "history")
+    _stream_scores(spark, d, rd.two_model(spark, d), hist)
+    return report.read_history(spark, hist).select("run_id", "grp", "n_rows", F.round("mse_pca", 9).alias("mse_pca"))
+
+
+def q_x2_full(spark, d):
+    hist = _scratch(spark, "history")
+    _stream_scores(spark, d, det.fit(fx.lineitem_features(spark, d).filter("is_ref"), fx.LINEITEM_FEATURES), hist)
+    return report.read_history(spark, hist)
+
+
+def q_u1(spark, d):
+    """One history of the yearly batches and of the stream; both runs are replayed, which adds nothing."""
+    hist, model = _scratch(spark, "history"), rd.two_model(spark, d)
+    for _ in range(2):
+        report.write_history(rd.yearly_scores(spark, d), hist, "batches")
+        _stream_scores(spark, d, model, hist)
+    return report.read_history(spark, hist).select("run_id", "grp", "n_rows", F.round("mse_pca", 9).alias("mse_pca"))
 
 
 # ----------------------------------------------------------------- autoencoder
@@ -352,6 +404,19 @@ def _ae_model(spark, d):
 
 
 def q_m11(spark, d):
+    """Loss of the weights that each epoch began with, on the training rows and on those held out; the last row is of the
+    final weights."""
+    m, _ = _ae_model(spark, d)
+    return spark.createDataFrame(m.ae["history"], "epoch int, train_loss double, held_out_loss double")
+
+
+def q_m17(spark, d):
+    """The scenario matrix with both errors, in one pass over the reference."""
+    m, li = _ae_model(spark, d)
+    return det.score_scenarios(m, li.filter("is_ref"), fx.ROW_KEY, seed=SEED)
+
+
+def q_m11_layers(spark, d):
     m, _ = _ae_model(spark, d)
     sizes = m.ae["sizes"]
     return spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:]))],
@@ -372,12 +437,12 @@ def q_m13(spark, d):
 QUERIES = {
     "M18": q_m18, "M19": q_m19, "M20": q_m20, "M21": q_m21, "S14": q_s14,
     "M18_all": q_m18_all, "S14_all": q_s14_all,
-    "M1": q_m1, "M2": q_m2, "M3": q_m3, "M4": q_m4,
-    "S6": q_s7, "S8": q_s6_s8, "WEEKLY_flow": q_weekly_flow,
+    "M1": q_m1, "M2": q_m2, "M3": q_m3_two, "M4": q_m4_two, "M3_full": q_m3, "M4_full": q_m4,
+    "S6": q_s7, "S8": q_s8, "WEEKLY_flow": q_weekly_flow,
     "S2_corrupt": q_s2_corrupt, "D6_quality": q_d6,
     "S1": q_s1, "S2": q_s2, "S3": q_s3, "S4": q_s4, "S5": q_s5, "S6_S8": q_s6_s8, "S7": q_s7, "S9": q_s9,
     "S10": q_s10, "S12": q_s12, "S13": q_s13, "O1": q_o1, "O2": q_o2, "O3": q_o3,
-    "X1": q_x1, "X2": q_x2, "M11": q_m11, "M12": q_m12, "M13": q_m13,
+    "X1": q_x1, "X2": q_x2, "X2_full": q_x2_full, "U1": q_u1, "M11": q_m11, "M11_layers": q_m11_layers, "M17": q_m17, "M12": q_m12, "M13": q_m13,
 }
 
 ORACLE = {
@@ -445,6 +510,20 @@ def _more_oracles() -> dict:
                 ("ERAB_Drop_PC", "double", "ERAB_Drop_PC"), ("Nof_Avg_SimRRC_ConnUsr", "double", "Nof_Avg_SimRRC_ConnUsr")]
     out["S4"] = f"{BASE} " + " UNION ALL ".join(f"SELECT {j} AS j, '{n}' AS name, '{t}' AS type, COUNT({c}) AS n_values FROM kpi"
                                                 for j, (n, t, c) in enumerate(inferred))
+    out["X2"] = rd.two_sql("CAST(batch AS VARCHAR)", "TRUE") + " SELECT 'stream-0' AS run_id, grp, n_rows, ROUND(mse, 9) AS mse_pca FROM s"
+    yearly = rd.two_sql("CAST(batch AS VARCHAR)", rd.LATER, rd.FIRST)
+    out["U1"] = (f"SELECT * FROM ({out['X2']}) UNION ALL SELECT * FROM ({yearly} SELECT 'batches' AS run_id, grp, n_rows, "
+                 "ROUND(mse, 9) AS mse_pca FROM s)")
+    x, y = TWO_WINDOWED
+    pca = (f"WITH w AS ({_P6_SQL}), c AS (SELECT VAR_SAMP({x}) AS a, COVAR_SAMP({x}, {y}) AS b, VAR_SAMP({y}) AS d FROM w), "
+           "e AS (SELECT *, (a + d) / 2 + SQRT(POW((a - d) / 2, 2) + b * b) AS l FROM c), "
+           "v AS (SELECT *, a + d - l AS m, (l - d) / SQRT(POW(l - d, 2) + b * b) AS p, b / SQRT(POW(l - d, 2) + b * b) AS q FROM e), "
+           "u AS (SELECT l, m, CASE WHEN GREATEST(p, q) >= -LEAST(p, q) THEN 1 ELSE -1 END AS s1, "
+           "CASE WHEN GREATEST(-q, p) >= -LEAST(-q, p) THEN 1 ELSE -1 END AS s2, p, q FROM v)")
+    out["M4"] = pca + " SELECT 1 AS component, ROUND(l / (l + m), 6) AS ratio FROM u UNION ALL SELECT 2, ROUND(m / (l + m), 6) FROM u"
+    out["M3"] = pca + (f" SELECT window_start, CELL, N_CELL, ROUND(s1 * (p * {x} + q * {y}), 4) + 0.0 AS f0, "
+                       f"ROUND(s2 * (p * {y} - q * {x}), 4) + 0.0 AS f1 FROM w, u")
+    out["S8"] = out["M3"]
     means = ("(SELECT ROUND(COALESCE(AVG(avg_traffic_volume_gbyte_8h), 0), 6) FROM w)", "(SELECT ROUND(COALESCE(AVG(avg_erab_drop_rate_8h), 0), 6) FROM w)")
     both = ("windowed_features", "ml_ready")
     gauges = [(j, m, v) for j in (*both, "failing_job") for m, v in (("job_duration_seconds", "1"), ("job_success", str(int(j in both))))]

@@ -6,8 +6,8 @@ emits each window once, after it has closed, and only then is it joined to the
 static neighbour relation.  So the fan-out never enters the state.
 
 X2 scores each micro-batch against a saved drift model inside
-``foreachBatch``; each batch overwrites its own ``batch_id`` partition of the
-history, so a replayed batch adds nothing.
+``foreachBatch``; each batch overwrites its own partition of the history, so a
+replayed batch adds nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from windrift.functions.columns import qcol
 from windrift.operators import prep
 from windrift.plans import detector as det
+from windrift.plans import report
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -100,14 +101,12 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, available_now:
 def scoring_sink(model: det.DriftModel, history_path: str, group: str | None = None
                  ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that scores one micro-batch and writes
-    its rows to the history partition ``batch_id=<id>`` in overwrite mode.
-
-    A replayed batch rewrites its own partition with the same rows, so the
-    history never holds a batch twice, and no history is read per batch
-    (its cost does not grow with the number of batches seen)."""
+    its rows as the run ``stream-<batch id>`` of the history (``report.write_history``),
+    which other jobs may share.  A replayed batch replaces its own rows, and no history
+    is read per batch (its cost does not grow with the number of batches seen)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        det.score(model, batch, group).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={int(batch_id)}")
+        report.write_history(det.score(model, batch, group), history_path, f"stream-{int(batch_id)}")
 
     return handle
 
