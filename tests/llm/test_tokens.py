@@ -89,6 +89,17 @@ def test_language(spark, empty):
     assert langid.identify(empty, F.lit(True)).count() == 0
 
 
+def test_language_with_clashing_columns(spark):
+    rows = [(i, "the and with" if i % 2 else "und nicht über", "en" if i % 2 else "de") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("_l", "_has", "_text", "l", "n", "i", "t", "count", "score", "accepted", "lang_pred"):
+        table = table.withColumn(name, F.lit("clash"))
+    out = langid.identify(table, F.col("doc_id") < 150).collect()
+    assert len(out) == 200 and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in out)
+    twice = langid.identify(table.unionByName(table), F.lit(True))  # repeated rows: each predicted, and alike
+    assert twice.count() == 400 and twice.select("doc_id", "lang_pred", "score").distinct().count() == 200
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -118,3 +129,56 @@ def test_personal_data(spark, empty):
     done = {r.doc_id: r.redacted for r in pii.redact(table.withColumn("spans", F.lit("clash"))).collect()}
     assert len(done) == len(texts) and not any("a@b.c" in v for v in done.values() if len(v) < 1000)
     assert pii.find(empty).count() == 0
+
+
+def planted(n=600):
+    """(texts, the loose spans that were planted in each): digits that are no data, spelled-out addresses, secrets."""
+    rng = random.Random(9)
+
+    def words(k):
+        return " ".join("".join(rng.choice("abdeginorst") for _ in range(rng.randint(2, 9))) for _ in range(k))
+
+    texts, added = [], []
+    for i in range(n):
+        own, spans, text = [], [], words(rng.randint(3, 20)) + " "
+        kind = i % 6
+        name = f"{words(1)}.{i}"
+        if kind == 0:
+            own = [f"mail {name}@{words(1)}.example.com"]
+        elif kind == 1:
+            own = [("email", f"{name} (at) {words(1)} (dot) com")]
+        elif kind in (2, 5):
+            own = [("secret", "".join(rng.choice("0123456789abcdef") for _ in range(40)))]
+            text += 'token = "'
+        elif kind == 3:
+            own = [f"call +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", f"host 10.0.{i % 250}.7"]
+        else:
+            own = ["".join(rng.choice("abcdefgh") for _ in range(30)), f"version 1.2.{i}.999"]
+        for x in own:
+            if isinstance(x, tuple):
+                spans.append((x[0], len(text), len(text) + len(x[1])))
+                x = x[1]
+            text += x + ('" ' if kind in (2, 5) else " ") + words(4) + " "
+        texts.append(text)
+        added.append(spans)
+    return texts, added
+
+
+def test_added_spans_have_precision_and_recall(spark):
+    texts, want = planted()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(table).collect()}
+    got = {(i, *s) for i, r in rows.items() for s in (tuple(s) for s in r.spans) if s not in {tuple(b) for b in r.base}}
+    secrets = {(i, *s) for i, own in enumerate(want) for s in own if s[0] == "secret"}
+    assert len(got & secrets) >= 0.95 * len(secrets)
+    assert len({x for x in got if x[1] == "secret"} - secrets) <= 0.05 * len(secrets)
+    report = {r.kind: r for r in pii.measure(table).collect()}
+    assert report["secret"].precision >= pii.PRECISION and report["secret"].recall > 0.9
+    assert report["secret"].n_added == sum(x[1] == "secret" for x in got)
+    assert set(report) == set(pii.ALL)
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    rows = [(None, "write a@b.com"), (1, "write a@b.com"), (1, "write a@b.com"), (1, "token = \"0123456789abcdef0123\""), (None, None)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and sorted(len(r.base) for r in out) == [0, 0, 1, 1, 1]

@@ -163,18 +163,18 @@ def _predicting(shared, names: list[str]):
 def sample(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
            rows: int = TRAIN_ROWS) -> tuple[list[str], list[str]]:
     """Texts and labels of about ``rows`` rows a language, chosen by a hash of doc_id."""
-    able = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= TRAIN_BYTES))
-    share = F.pmod(F.xxhash64(F.lit("train"), F.col(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_l")).count()
-    picked = able.join(F.broadcast(counts), F.col(lang) == F.col("_l")).filter(share * F.col("count") < rows)
-    got = picked.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).collect()
+    rows_of = labelled.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL")
+    able = rows_of.filter(F.col("t").rlike(r"\p{L}") & (F.octet_length("t") <= TRAIN_BYTES))
+    share = F.pmod(F.xxhash64(F.lit("train"), F.col("i")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = rows_of.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    got = able.join(F.broadcast(counts), "l").filter(share * F.col("n") < rows).select("i", "t", "l").collect()
     got = sorted(got, key=lambda r: (r.l, str(r.i), r.t))
     return [r.t for r in got], [r.l for r in got]
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` (less the text) with lang_pred, score and accepted."""
-    docs = without(docs, "lang_pred", "score", "accepted")
+    docs = without(docs, "lang_pred", "score", "accepted", "_has", "_text")
     names = [c for c in docs.columns if c != text]
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),

@@ -62,7 +62,9 @@ def op4_personal_data(spark, sf_dir) -> DataFrame:
 
     out = pii.find(table(spark, sf_dir, "documents"))
     counts = [number(k) for k in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"))
 
 
 def op5_sharding(spark, sf_dir) -> DataFrame:
