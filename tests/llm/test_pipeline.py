@@ -36,6 +36,6 @@ def test_pipeline(spark, docs, tmp_dir):
 
 def test_registry():
     names = [n for n in registry.QUERIES if n != "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in registry.QUERIES
     assert set(registry.ORACLE) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]

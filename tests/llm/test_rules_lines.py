@@ -43,13 +43,28 @@ def test_runs_are_levelled_and_know_the_first_seen(spark):
     runs = line_runs.LineRuns(fanout=2)
     for b in range(5):
         batch = spark.createDataFrame([(b * 10 + d, h, h) for d in range(2) for h in range(b, b + 3)], "doc_id long, h1 long, h2 long")
-        run = runs.add(batch)
-        fresh = {r.h1 for r in run.filter("first_seen").collect()}
+        fresh = {r.h1 for r in runs.add(batch).collect()}
         assert fresh == set(range(b, b + 3)) - set(range(b + 2))  if b else fresh == {0, 1, 2}
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {r.h1: r.n_docs for r in runs.totals().collect()} == {0: 2, 1: 4, 2: 6, 3: 6, 4: 6, 5: 4, 6: 2}
 
 
+def test_totals_stand_on_the_anti_join(spark, monkeypatch):
+    """Each hash opens one entry; batches that repeat it send increments.  Without the anti-join it would stand twice."""
+    frame = type(spark.range(1))
+
+    def totals():
+        runs = line_runs.LineRuns(fanout=3)
+        for b in range(4):
+            runs.add(spark.createDataFrame([(b, h, h) for h in (1, 2)], "doc_id long, h1 long, h2 long"))
+        return sorted((r.h1, r.n_docs, r.top_doc) for r in runs.totals().collect())
+
+    assert totals() == [(1, 4, 3), (2, 4, 3)]
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how="inner": self if how == "left_anti" else join(self, other, on, how))
+    assert totals() != [(1, 4, 3), (2, 4, 3)]
+
+
 @pytest.mark.parametrize("broadcast_words", [winnow.BROADCAST_WORDS, 0])
 def test_decontamination(docs, spark, broadcast_words):
     body = [t for i, t in DOCS if i in (22, 23, 24, 28, 61)]

@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs, top_doc, first_seen), sorted by hash.  A
-batch of documents is reduced to its own hashes and merge-anti-joined with the
-runs: hashes that no run holds are marked as first seen here.  Its rows become a
-run of level 0.  ``fanout`` runs of one level are compacted into one of the next
-by adding counts, so that a lookup meets few runs however many batches came.
+A run is a table of (h1, h2, n_docs, top_doc), sorted by hash; a hash stands in one
+run only.  A batch of documents is reduced to its own hashes and merge-anti-joined with
+the runs: hashes that no run holds open an entry in a new run of level 0, the others
+send an increment to the run that holds them.  ``fanout`` runs of one level are
+compacted into one of the next, which folds their increments in, so that a lookup
+meets few runs however many batches came.
 
 Edge cases: null and empty texts are one empty line; lines shorter than
 ``min_chars`` are never dropped; a line twice in one document counts one document
@@ -15,6 +16,8 @@ columns are kept, but for those named like an output.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,60 +48,77 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     return keyed.select("doc_id", "th", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
+@dataclass
+class Run:
+    """Entries of hashes that were new when the run was opened, and what later batches add to them."""
+    entries: DataFrame
+    increments: list[DataFrame] = field(default_factory=list)
+
+    def folded(self) -> DataFrame:
+        if not self.increments:
+            return self.entries
+        more = self.increments[0]
+        for x in self.increments[1:]:
+            more = more.unionByName(x)
+        more = more.groupBy(*KEY).agg(F.sum("n_docs").alias("_n"), F.max("top_doc").alias("_top"))
+        return self.entries.join(more, KEY, "left").select(
+            *KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("top_doc", "_top").alias("top_doc"))
+
+
 class LineRuns:
     """The levelled runs; ``levels[i]`` holds the runs of level i, newest last."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[Run]] = []
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
-    def _held(self) -> DataFrame | None:
-        out = None
-        for r in self.runs():
-            keys = r.select(*KEY)
-            out = keys if out is None else out.unionByName(keys)
+    def _held(self) -> DataFrame:
+        """(h1, h2, _run): every hash of the runs, and which of them has it."""
+        parts = [r.entries.select(*KEY, F.lit(i).alias("_run")) for i, r in enumerate(self.runs())]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
         return out
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add the batch ``lines`` (doc_id, h1, h2, ...) as a run; returns that run."""
+        """Add the batch ``lines`` (doc_id, h1, h2, ...); returns the entries it opens."""
         once = lines.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
         own = once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
-        held = self._held()
-        if held is None:
-            fresh = own.withColumn("first_seen", F.lit(True))
-        else:
+        runs = self.runs()
+        if runs:
             own = materialize(own, "line-batch")
-            new = own.join(held, KEY, "left_anti").withColumn("first_seen", F.lit(True))
-            old = own.join(held, KEY, "left_semi").withColumn("first_seen", F.lit(False))
-            fresh = new.unionByName(old)
-        run = materialize(fresh.sortWithinPartitions(*KEY), "line-run")
-        self._push(0, run)
-        return run
-
-    def _push(self, level: int, run: DataFrame) -> None:
+            held = self._held()
+            known = materialize(own.join(held, KEY), "line-increments")
+            for i, r in enumerate(runs):
+                r.increments.append(known.filter(F.col("_run") == i).drop("_run"))
+            own = own.join(held, KEY, "left_anti")
+        opened = materialize(own.sortWithinPartitions(*KEY), "line-run")
+        self._push(0, Run(opened))
+        return opened
+
+    def _push(self, level: int, run: Run) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = _merge(self.levels[level])
+            merged = self._together(self.levels[level])
             self.levels[level] = []
-            self._push(level + 1, materialize(merged.sortWithinPartitions(*KEY), "line-run"))
+            self._push(level + 1, Run(materialize(merged.sortWithinPartitions(*KEY), "line-run")))
+
+    @staticmethod
+    def _together(runs: list[Run]) -> DataFrame:
+        """The entries of several runs with their increments; no hash is in two of them."""
+        out = runs[0].folded()
+        for r in runs[1:]:
+            out = out.unionByName(r.folded())
+        return out
 
     def totals(self) -> DataFrame | None:
         """(h1, h2, n_docs, top_doc) over all batches."""
-        runs = self.runs()
-        return _merge(runs).drop("first_seen") if runs else None
-
-
-def _merge(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"),
-                                 F.max("first_seen").alias("first_seen"))
+        return self._together(self.runs()) if self.runs() else None
 
 
 def dropped_lines(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
