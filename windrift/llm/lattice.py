@@ -3,8 +3,9 @@
 Texts are cut into segments at the places that no piece spans (neither the blanks
 nor a pair of neighbouring characters that occurs in a piece), the distinct
 segments are counted, and each is encoded once: its substrings of bounded length are
-exploded, equi-joined to the piece table, grouped by segment, and folded left to
-right by a Viterbi step in ``aggregate``.
+exploded - those that rolling hashes of the table's prefixes let pass -, equi-joined to
+the piece table, grouped by segment, and folded left to right by a Viterbi step in
+``aggregate``.
 
 The models in use are BPE models.  Their encoding is the best path under a cost that
 adds up along the path: the merges (priority, place) of its pieces, compared
@@ -48,6 +49,13 @@ GROUPED = 20_000
 SLICE_IDS = 200_000
 
 
+_STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _char_hash(points: np.ndarray) -> np.ndarray:
+    return tv.mix(points.astype(np.uint64) + np.uint64(0x51_7C_C1))
+
+
 class Pieces:
     """The piece table of a model file."""
 
@@ -65,6 +73,7 @@ class Pieces:
         order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[model.get_score(i)] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.reach: list[tuple[np.ndarray, np.ndarray]] | None = None
         chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
         self.char_class = np.zeros(0x110000, np.uint16)
         self.char_class[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -81,6 +90,48 @@ class Pieces:
         self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
+    def _reach(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length in characters: the sorted hashes of all prefixes of reached pieces, and which of them are pieces."""
+        heads: list[dict[int, bool]] = [{} for _ in range(self.longest)]
+        chars = sorted({c for p in self.ids for c in p})
+        own = dict(zip(chars, _char_hash(np.array([ord(c) for c in chars])).tolist(), strict=True))
+        for p in self.ids:
+            if len(self.merge(p)[0]) > 1:
+                continue
+            h = 0
+            for k, c in enumerate(p):
+                h = (h * _STEP + own[c]) & _MASK
+                heads[k][h] = heads[k].get(h, False) or k == len(p) - 1
+        out = []
+        for found in heads:
+            keys = np.array(sorted(found), np.uint64)
+            out.append((keys, np.array([found[h] for h in keys.tolist()], bool)))
+        return out
+
+    def spans(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last + 1) of every substring that is a reached piece, by last, then first.  ``ends``: for each code
+        point, where its segment ends."""
+        if self.reach is None:
+            self.reach = self._reach()
+        own = _char_hash(points)
+        start = np.arange(len(points))
+        h = np.zeros(len(points), np.uint64)
+        firsts, lasts = [], []
+        for k, (keys, whole) in enumerate(self.reach):
+            inside = start + k < ends[start]
+            start, h = start[inside], h[inside]
+            if not len(start) or not len(keys):
+                break
+            h = h * np.uint64(_STEP) + own[start + k]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[at] == h
+            start, h, at = start[known], h[known], at[known]
+            firsts.append(start[whole[at]])
+            lasts.append(firsts[-1] + k + 1)
+        first, last = np.concatenate(firsts), np.concatenate(lasts)
+        order = np.lexsort((first, last))
+        return first[order], last[order]
+
     def merge(self, segment: str) -> tuple[list[str], list[tuple[int, int]]]:
         """The pieces of a segment and its merges (priority, place), by a heap."""
         part = list(segment)
@@ -213,7 +264,8 @@ def encode_segments(counted: DataFrame, path: str) -> DataFrame:
     """(segment, n, ids) for (segment, n), written.  The grouping of edges would fall back to sorting them after a few
     groups; in a session of its own it keeps to hashing, with ``GROUPED`` segments a task."""
     spark = counted.sparkSession
-    at, schema = write_table(counted, "segments-counted"), counted.schema
+    schema = "segment string, n long, places array<short>"
+    at = write_table(counted.mapInArrow(_placing(path), schema), "segments-counted")
     parts = spark.read.parquet(at).count() // GROUPED + spark.sparkContext.defaultParallelism
     side = spark.newSession()
     side.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(8 * GROUPED))
@@ -222,18 +274,41 @@ def encode_segments(counted: DataFrame, path: str) -> DataFrame:
     return spark.read.schema("segment string, n long, ids array<int>").parquet(done)
 
 
+def _placing(path: str):
+    """Segments with ``places``: end * 64 + start of their substrings that the piece table has, found by rolling hashes of
+    its prefixes; the join holds them against the table.  Segments that the lattice does not take have none."""
+    def run(batches):
+        model = pieces(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50_000):
+                part = batch.slice(at, 50_000)
+                data, offsets = tv.strings(part.column(0))
+                data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+                points, lead = tv.code_points(data)
+                bounds = np.searchsorted(lead, offsets)
+                size = np.diff(bounds)
+                taken = np.repeat((size >= 2) & (size <= LONGEST), size)
+                owner = np.repeat(np.arange(len(size)), size)[taken]
+                inner = (np.arange(len(points)) - bounds[:-1].repeat(size))[taken]
+                ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1 if len(owner) else np.zeros(0, np.int64)
+                ends = ends.repeat(np.diff(np.concatenate([[0], ends])))
+                first, last = model.spans(points[taken], ends) if len(owner) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                place = ((inner[last - 1] + 1) * 64 + inner[first]).astype(np.int16)
+                per = np.bincount(owner[first], minlength=len(size))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(per, pa.array(place, pa.int16()))],
+                                                 ["segment", "n", "places"])
+    return run
+
+
 def _encoded(counted: DataFrame, path: str) -> DataFrame:
-    """(segment, n, ids) for (segment, n).  A character that no piece joins to another is a segment by itself, so
+    """(segment, n, ids) for (segment, n, places).  A character that no piece joins to another is a segment by itself, so
     those outside the vocabulary never meet the lattice."""
-    model = pieces(path)
     table = piece_table(counted.sparkSession, path)
     size = F.char_length("segment")
-    short = counted.filter(size.between(2, LONGEST)).withColumn("size", size)
-    at = short.withColumn("start", F.explode_outer(F.sequence(F.lit(0), F.col("size") - 1)))
-    sub = at.withColumn("span", F.explode_outer(F.sequence(F.lit(1), F.least(
-        F.lit(model.longest), F.col("size") - F.col("start")))))
-    sub = sub.select("segment", "n", ((F.col("start") + F.col("span")) * 64 + F.col("start")).alias("place"),
-                     F.expr("substring(segment, start + 1, span)").alias("piece"))
+    short = counted.filter(size.between(2, LONGEST))
+    sub = short.select("segment", "n", F.explode_outer("places").alias("p")).withColumn("place", F.col("p").cast("int"))
+    sub = sub.select("segment", "n", "place", F.expr(
+        "substring(segment, (place & 63) + 1, shiftright(place, 6) - (place & 63))").alias("piece"))
     met = sub.join(F.broadcast(table), "piece")
     edges = F.sort_array(F.collect_list(F.struct("place", "id", "merges")))
     words = met.groupBy("segment").agg(F.max("n").alias("n"), edges.alias("edges"))
