@@ -243,21 +243,23 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, merges array<long>")
 
 
-def viterbi(edges):
-    """Ids on the best path over ``edges``: (place: end * 64 + start, id, merges), sorted by place."""
+def viterbi(edges, size):
+    """Ids on the best path over ``edges``: (place: end * 64 + start, id, merges); one step for each of ``size`` ends, over
+    the edges that end there."""
     far = F.array(F.lit((1 << 63) - 1))
     zero = F.array(F.struct(far.alias("cost"), F.array().cast("array<int>").alias("ids")))
 
-    def step(best, e):
+    def reached(best, e):
         start = e["place"].bitwiseAND(F.lit(63))
         behind = F.get(best, start)
         cost = F.sort_array(F.concat(behind["cost"], F.transform(e["merges"], lambda m: m + start)))
-        path = F.struct(cost.alias("cost"), F.concat(behind["ids"], F.array(e["id"])).alias("ids"))
-        end = F.shiftright(e["place"], 6)
-        return F.when(F.size(best) == end, F.concat(best, F.array(path))).otherwise(F.concat(
-            F.slice(best, 1, end), F.array(F.least(F.get(best, end), path))))
+        return F.struct(cost.alias("cost"), F.concat(behind["ids"], F.array(e["id"])).alias("ids"))
 
-    return F.aggregate(edges, zero, step, lambda best: F.get(best, F.size(best) - 1)["ids"])
+    def step(best, end):
+        here = F.filter(edges, lambda e: F.shiftright(e["place"], 6) == end)
+        return F.concat(best, F.array(F.array_min(F.transform(here, lambda e: reached(best, e)))))
+
+    return F.aggregate(F.sequence(F.lit(1), size), zero, step, lambda best: F.get(best, size)["ids"])
 
 
 def encode_segments(counted: DataFrame, path: str) -> DataFrame:
@@ -310,9 +312,9 @@ def _encoded(counted: DataFrame, path: str) -> DataFrame:
     sub = sub.select("segment", "n", "place", F.expr(
         "substring(segment, (place & 63) + 1, shiftright(place, 6) - (place & 63))").alias("piece"))
     met = sub.join(F.broadcast(table), "piece")
-    edges = F.sort_array(F.collect_list(F.struct("place", "id", "merges")))
+    edges = F.collect_list(F.struct("place", "id", "merges"))
     words = met.groupBy("segment").agg(F.max("n").alias("n"), edges.alias("edges"))
-    folded = words.select("segment", "n", viterbi(F.col("edges")).alias("ids"))
+    folded = words.select("segment", "n", viterbi(F.col("edges"), F.char_length("segment")).alias("ids"))
 
     def merged(batches):
         own = pieces(path)
