@@ -7,14 +7,18 @@ exploded - those that rolling hashes of the table's prefixes let pass -, equi-jo
 the piece table, grouped by segment, and folded left to right by a Viterbi step in
 ``aggregate``.
 
-The models in use are BPE models.  Their encoding is the best path under a cost that
-adds up along the path: the merges (priority, place) of its pieces, compared
-smallest first; a merge set that continues where another ends is better.  So the fold
-keeps sorted merge lists instead of sums of log-probabilities and gives the
-library's ids.
+The models in use are BPE models.  Their encoding is the path whose merges (priority,
+place), compared smallest first, come first; a merge set that continues where another
+ends is better.  A merge makes a piece, which is an edge of the lattice too, so the
+merges of a segment are numbered by its edges and each is worth a power of two, the
+first one most.  The score of a piece is the sum of its merges, the score of a path adds
+up along it as log-probabilities would, and the best sum gives the library's ids.
 
-The cost of a path grows with the segment, so segments of more than ``LONGEST``
-characters (runs without any break) are merged by a heap instead.
+Single characters cost nothing, so they take no part in the join: a step starts from the
+character before its end, and the joined edges of two or more characters compete with it.
+
+A score has ``MERGES`` bits, so segments with more edges of two or more characters, or of
+more than ``LONGEST`` characters (runs without any break), are merged by a heap instead.
 
 Edge cases: a null or empty text has no ids; characters outside the vocabulary are
 encoded as their bytes; U+2581 in a text reads as a blank, as in the library;
@@ -34,11 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrift.llm import textvec as tv
-from windrift.llm.common import materialize, without, write_table
+from windrift.llm.common import let, materialize, without, write_table
 
 BLANK = "▁"
-#: Characters of the longest segment that the lattice takes.
+#: Characters of the longest segment that the lattice takes, and its edges of two or more characters (bits of a score).
 LONGEST = 40
+MERGES = 63
+#: Stands first among the places of a segment; its row carries what the segment has once.
+NO_PLACE = -1
 #: Entries of the segment dictionary that is broadcast (about 20 bytes each); rarer segments are joined by a shuffle.
 DICTIONARY = 4_000_000
 #: Distinct segments that a task counts before it puts them out.
@@ -73,6 +80,9 @@ class Pieces:
         order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[model.get_score(i)] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.char_id = np.full(0x110000, -1, np.int32)
+        singles = [p for p in self.ids if len(p) == 1]
+        self.char_id[[ord(p) for p in singles]] = [self.ids[p] for p in singles]
         self.reach: list[tuple[np.ndarray, np.ndarray]] | None = None
         chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
         self.char_class = np.zeros(0x110000, np.uint16)
@@ -233,7 +243,8 @@ def segments(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, merges): merges are priority << 20 | place, sorted.  As long as the model's vocabulary."""
+    """(piece, id, merges): merges are priority << 20 | place, sorted; the last one makes the piece.  As long as the
+    model's vocabulary."""
     model = pieces(path)
     rows = []
     for p, i in model.ids.items():
@@ -243,30 +254,45 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, merges array<long>")
 
 
-def viterbi(edges, size):
-    """Ids on the best path over ``edges``: (place: end * 64 + start, id, merges); one step for each of ``size`` ends, over
-    the edges that end there."""
-    far = F.array(F.lit((1 << 63) - 1))
-    zero = F.array(F.struct(far.alias("cost"), F.array().cast("array<int>").alias("ids")))
+def scores(edges):
+    """The scores of ``edges``: (end, start, id, made: the merge that makes the piece, merges)."""
+    # descending: the first merge has the highest number
+    order = F.sort_array(F.transform(edges, lambda e: e["made"]), asc=False)
+    return let(order, lambda made: F.transform(edges, lambda e: F.aggregate(
+        e["merges"], F.lit(0).cast("long"), lambda a, m: a + F.call_function(
+            "shiftleft", F.lit(1).cast("long"), (F.array_position(made, m + e["start"]) - 1).cast("int")))))
+
 
-    def reached(best, e):
-        start = e["place"].bitwiseAND(F.lit(63))
-        behind = F.get(best, start)
-        cost = F.sort_array(F.concat(behind["cost"], F.transform(e["merges"], lambda m: m + start)))
-        return F.struct(cost.alias("cost"), F.concat(behind["ids"], F.array(e["id"])).alias("ids"))
+def viterbi(edges, worth, singles):
+    """Ids on the best path over ``edges`` with the scores ``worth`` and over ``singles``, the ids of the characters.
 
+    One step for each end appends the best score and the number of the edge taken (-1: the character); plain longs, as
+    making structs is what an interpreted fold spends its time on.  Then the path is read from its end."""
     def step(best, end):
-        here = F.filter(edges, lambda e: F.shiftright(e["place"], 6) == end)
-        return F.concat(best, F.array(F.array_min(F.transform(here, lambda e: reached(best, e)))))
+        before = F.get(best, 2 * end - 2)
+        sums = F.transform(edges, lambda e, i: F.when(e["end"] == end, F.get(best, 2 * e["start"]) + F.get(worth, i)))
+        return let(sums, lambda s: let(F.greatest(F.array_max(s), before), lambda top: F.concat(
+            best, F.array(top, F.array_position(s, top) - 1))))
 
-    return F.aggregate(F.sequence(F.lit(1), size), zero, step, lambda best: F.get(best, size)["ids"])
+    def back(best, path, end):
+        def through(k):
+            e = F.get(edges, k)
+            taken = F.when(k < 0, F.array(F.get(singles, end - 1), end - 1)).otherwise(F.array(e["id"], e["start"]))
+            return F.concat(F.slice(path, 1, F.size(path) - 1), taken)
+        return F.when(F.element_at(path, -1) == end, let(F.get(best, 2 * end + 1).cast("int"), through)).otherwise(path)
+
+    n = F.size(singles)
+    start = F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))
+    return let(F.aggregate(F.sequence(F.lit(1), n), start, step), lambda best: F.aggregate(
+        F.sequence(n, F.lit(1), F.lit(-1)), F.array(n), lambda path, end: back(best, path, end),
+        lambda path: F.reverse(F.slice(path, 1, F.size(path) - 1))))
 
 
 def encode_segments(counted: DataFrame, path: str) -> DataFrame:
     """(segment, n, ids) for (segment, n), written.  The grouping of edges would fall back to sorting them after a few
     groups; in a session of its own it keeps to hashing, with ``GROUPED`` segments a task."""
     spark = counted.sparkSession
-    schema = "segment string, n long, places array<short>"
+    schema = "segment string, n long, places array<short>, singles array<int>"
     at = write_table(counted.mapInArrow(_placing(path), schema), "segments-counted")
     parts = spark.read.parquet(at).count() // GROUPED + spark.sparkContext.defaultParallelism
     side = spark.newSession()
@@ -277,8 +303,9 @@ def encode_segments(counted: DataFrame, path: str) -> DataFrame:
 
 
 def _placing(path: str):
-    """Segments with ``places``: end * 64 + start of their substrings that the piece table has, found by rolling hashes of
-    its prefixes; the join holds them against the table.  Segments that the lattice does not take have none."""
+    """Segments with ``places``: NO_PLACE, then end * 64 + start of their substrings of two or more characters that the
+    piece table has, found by rolling hashes of its prefixes; the join holds them against the table.  ``singles``: the ids
+    of the characters.  Both are null for segments that the lattice does not take."""
     def run(batches):
         model = pieces(path)
         for batch in batches:
@@ -289,32 +316,49 @@ def _placing(path: str):
                 points, lead = tv.code_points(data)
                 bounds = np.searchsorted(lead, offsets)
                 size = np.diff(bounds)
-                taken = np.repeat((size >= 2) & (size <= LONGEST), size)
-                owner = np.repeat(np.arange(len(size)), size)[taken]
+                row = np.repeat(np.arange(len(size)), size)
+                unknown = np.bincount(row[model.char_id[points] < 0], minlength=len(size)) > 0
+                fits = (size >= 2) & (size <= LONGEST) & ~unknown
+                taken = fits[row]
+                owner = row[taken]
                 inner = (np.arange(len(points)) - bounds[:-1].repeat(size))[taken]
-                ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1 if len(owner) else np.zeros(0, np.int64)
-                ends = ends.repeat(np.diff(np.concatenate([[0], ends])))
-                first, last = model.spans(points[taken], ends) if len(owner) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                place = ((inner[last - 1] + 1) * 64 + inner[first]).astype(np.int16)
+                first = last = np.zeros(0, np.int64)
+                if len(owner):
+                    ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
+                    first, last = model.spans(points[taken], ends.repeat(np.diff(np.concatenate([[0], ends]))))
+                    first, last = first[last - first > 1], last[last - first > 1]
+                place = (inner[last - 1] + 1) * 64 + inner[first]
                 per = np.bincount(owner[first], minlength=len(size))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(per, pa.array(place, pa.int16()))],
-                                                 ["segment", "n", "places"])
+                fits &= per <= MERGES
+                keep = fits[owner[first]]
+                place, per = place[keep], np.where(fits, per, 0)
+                marked = np.insert(place, (np.cumsum(per) - per)[fits], NO_PLACE)
+                ids = model.char_id[points[fits[row]]]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), _lists(per + fits, pa.array(marked, pa.int16()), ~fits),
+                     _lists(np.where(fits, size, 0), pa.array(ids, pa.int32()), ~fits)],
+                    ["segment", "n", "places", "singles"])
     return run
 
 
 def _encoded(counted: DataFrame, path: str) -> DataFrame:
-    """(segment, n, ids) for (segment, n, places).  A character that no piece joins to another is a segment by itself, so
-    those outside the vocabulary never meet the lattice."""
+    """(segment, n, ids) for (segment, n, places, singles).  A character that no piece joins to another is a segment by
+    itself, so those outside the vocabulary never meet the lattice."""
     table = piece_table(counted.sparkSession, path)
-    size = F.char_length("segment")
-    short = counted.filter(size.between(2, LONGEST))
-    sub = short.select("segment", "n", F.explode_outer("places").alias("p")).withColumn("place", F.col("p").cast("int"))
-    sub = sub.select("segment", "n", "place", F.expr(
-        "substring(segment, (place & 63) + 1, shiftright(place, 6) - (place & 63))").alias("piece"))
-    met = sub.join(F.broadcast(table), "piece")
-    edges = F.collect_list(F.struct("place", "id", "merges"))
-    words = met.groupBy("segment").agg(F.max("n").alias("n"), edges.alias("edges"))
-    folded = words.select("segment", "n", viterbi(F.col("edges"), F.char_length("segment")).alias("ids"))
+    fits = F.col("places").isNotNull()
+    own = F.when(F.col("place") == NO_PLACE, F.col("singles")).alias("singles")
+    sub = counted.filter(fits).select("segment", "n", "singles", F.explode("places").alias("p")).withColumn(
+        "place", F.col("p").cast("int"))
+    sub = sub.select("segment", "n", own, "place", F.expr(
+        f"if(place = {NO_PLACE}, null, substring(segment, (place & 63) + 1, shiftright(place, 6) - (place & 63)))").alias("piece"))
+    met = sub.join(F.broadcast(table), "piece", "left")
+    start = F.col("place").bitwiseAND(F.lit(63))
+    made = F.get("merges", F.size("merges") - 1) + start
+    edge = F.struct(F.shiftright("place", 6).alias("end"), start.alias("start"), "id", made.alias("made"), "merges")
+    words = met.groupBy("segment").agg(F.max("n").alias("n"), F.any_value("singles", F.lit(True)).alias("singles"),
+                                       F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    ids = let(scores(F.col("edges")), lambda worth: viterbi(F.col("edges"), worth, F.col("singles")))
+    folded = words.select("segment", "n", ids.alias("ids"))
 
     def merged(batches):
         own = pieces(path)
@@ -323,7 +367,7 @@ def _encoded(counted: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))],
                                              ["segment", "n", "ids"])
 
-    long = counted.filter(~size.between(2, LONGEST)).mapInArrow(merged, "segment string, n long, ids array<int>")
+    long = counted.filter(~fits).select("segment", "n").mapInArrow(merged, "segment string, n long, ids array<int>")
     return folded.unionByName(long)
 
 
@@ -392,8 +436,9 @@ def _applying(path: str, shared, names: list[str], spell: bool):
     return run
 
 
-def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+def _lists(sizes: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values,
+                                    mask=None if null is None else pa.array(null))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", dictionary: int = DICTIONARY,
