@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Most keys that a join broadcasts; each is a few dozen bytes.
 HOT_KEYS = 50_000
+#: A key with more than one in SLICES of the rows is dealt to several tasks.
+SLICES = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +83,22 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], weight: str, h
     near = left.join(F.broadcast(hot), on, "inner")
     rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     return near.unionByName(rest)
+
+
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[str],
+                slices: int = SLICES) -> DataFrame:
+    """Inner join of ``left`` to ``right``, whose rows may be of any size and share keys;
+    ``weight`` counts the left rows of a key.
+
+    Nothing but the names of heavy keys is broadcast, and at most ``slices`` of them can
+    exist: their left rows are dealt by a hash of ``spread`` to as many tasks as their
+    weight asks for, and the right rows are copied to each, at most ``slices`` copies in all.
+    """
+    total = right.select(*on, weight).distinct().agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    most = int(total) // slices + 1
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    heavy = right.filter(F.col(weight) > most).select(*on, parts.alias("_parts")).distinct()
+    dealt = left.join(F.broadcast(heavy), on, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copied, [*on, "_slice"]).drop("_slice")
