@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrift.llm import textvec as tv
-from windrift.llm.common import join_unique, materialize, without
+from windrift.llm.common import join_salted, join_unique, materialize, without
 from windrift.llm.components import components
 
 SHINGLE = 5
@@ -252,8 +252,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     ids = materialize(ids, "pair-ids")
     used = materialize(join_unique(texts, ids, ["doc_id"], "w", hot_keys=200_000), "pair-texts")
     first = pairs.join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    whole = join_unique(first, used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), "w"), ["a"], "w",
-                        hot_keys=500)
+    whole = join_salted(first, used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), "w"), ["a"], "w", ["b"])
     return materialize(whole.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "verified")
 
 
