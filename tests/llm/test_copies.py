@@ -70,6 +70,7 @@ def test_substring_dedup(docs, empty):
             assert at <= first < last
             kept, at = kept + t[at:first], last
         assert r.kept_text == kept + (t or "")[at:] and r.n_removed == sum(b - a for a, b in r.spans)
+        assert r.n_units == r.n_blocks + r.n_passages + r.n_windows and (r.n_units > 0) == bool(r.spans)
     carriers = [k for k in range(20, 60) if k % 7 == 0]  # the passage of 60 words; the earliest keeps it
     assert rows[carriers[0], dict(DOCS)[carriers[0]]].n_removed == 0
     text = dict(DOCS)
@@ -111,7 +112,7 @@ def repeats_docs():
     return out
 
 
-def brute_spans(docs, windows=True):
+def brute_spans(docs, windows=True, run=25, min_chars=1):
     """{doc_id: joined spans of the units that occur earlier}"""
     at = collections.defaultdict(list)
     for i, t in docs:
@@ -119,8 +120,8 @@ def brute_spans(docs, windows=True):
         cuts = [list(re.finditer(r"[^\n]+", t or "")), [], []]
         cuts[1] = list(re.finditer(r"[^\n]*[^\s][^\n]*(\n[^\n]*[^\s][^\n]*)*", t or ""))
         units = [[w for w in words if m.start() <= w[0] < m.end()] for c in cuts for m in c] + [words]
-        kinds = [("block", u) for u in units if u]
-        kinds += [("window", words[k:k + 25]) for k in range(len(words) - 24)] if windows else []
+        kinds = [("block", u) for u in units if u and len(" ".join(w[2] for w in u)) >= min_chars]
+        kinds += [("window", words[k:k + run]) for k in range(len(words) - run + 1)] if windows else []
         for kind, u in kinds:
             at[kind, tuple(w[2] for w in u)].append((i, u[0][0], u[-1][1]))
     spans = collections.defaultdict(set)
@@ -157,6 +158,20 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         assert r.doc_id not in (60, 61, 62, 63, 64, *range(80, 88)) or not r.kept_text.split()
 
 
+def test_exact_passages_and_least_length_equal_brute_force(spark):
+    rows = repeats_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: joined(s) for i, s in brute_spans(rows, run=substring.SPAN, min_chars=60).items()}
+    got = {r.doc_id: r for r in substring.repeated_spans(df, min_chars=60, exact=True).collect()}
+    assert {i: [tuple(s) for s in r.spans] for i, r in got.items()} == want
+    for i, r in got.items():
+        blocks, windows = (brute_spans(rows, w, substring.SPAN, c)[i] for w, c in ((False, 60), (True, 10**9)))
+        assert (r.n_units.blocks, r.n_units.passages, r.n_units.windows) == (len(blocks), len(windows), 0)
+    short = {i: joined(s) for i, s in brute_spans(rows, False, min_chars=60).items()}
+    left = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated_spans(df, passages=False, min_chars=60).collect()}
+    assert left == short != {i: joined(s) for i, s in brute_spans(rows, False).items()}
+
+
 def test_lines_and_paragraphs_equal_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")

@@ -37,7 +37,7 @@ def op2_substring_dedup(spark, sf_dir) -> DataFrame:
     out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"),
                                                                     s["last"].cast("string"))), ",")
-    return out.select("doc_id", "n_units", "n_removed", spans.alias("spans"),
+    return out.select("doc_id", "n_units", "n_blocks", "n_passages", "n_windows", "n_removed", spans.alias("spans"),
                       F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

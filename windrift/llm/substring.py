@@ -13,7 +13,10 @@ like the units above.  Any ``WINDOW = SPAN + STEP - 1`` equal words choose the s
 passage, so the runs of ``WINDOW`` words around a chosen passage that occurs twice are
 compared, too, wherever they reach a word that no other unit removes: each word of a later
 occurrence of ``WINDOW`` words or more goes, up to both ends.  Shorter repeats inside a line stay, but for the passages of ``SPAN`` words that
-happen to be chosen in both places.
+happen to be chosen in both places, unless ``exact`` makes every passage of ``SPAN`` words a unit.
+
+Short lines repeat everywhere; ``min_chars`` is the least length, in normalised code points, of
+a line, paragraph or text that is a unit (1: all of them).
 
 Edge cases: null and empty texts have no units; units repeated inside one document
 go there, too, but for the first; rows with a null doc_id come last in the order;
@@ -39,7 +42,9 @@ WINDOW = SPAN + STEP - 1
 #: Rows and spans up to which the removals are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_000_000
 
-_UNIT = "doc_id long, th int, h1 long, h2 int, first int, last int"
+_UNIT = "doc_id long, th long, h1 long, h2 int, first int, last int"
+#: The kinds that removals are counted by.
+KINDS = ("blocks", "passages", "windows")
 
 
 def _words(col):
@@ -99,18 +104,22 @@ def _units(ids, marks, row, offsets, points, begin, end, one, two, passage):
         ["doc_id", "th", "h1", "h2", "first", "last"])
 
 
-def _cut(passages: bool):
+def _cut(passages: bool, min_chars: int = 1, exact: bool = False):
     def run(batches):
         for batch in batches:
             ids, marks = batch.column(0), batch.column(1)
             for row, data, offsets, hashes, first, last, text_at, text_n, points in _words(batch.column(2)):
                 at, size, one, two = _blocks(data, hashes, first, text_at)
+                if min_chars > 1:  # the words and the blanks between them
+                    chars = np.concatenate([[0], np.cumsum(points[last] - points[first])])
+                    long = chars[at + size] - chars[at] + size - 1 >= min_chars
+                    at, size, one, two = at[long], size[long], one[long], two[long]
                 yield _units(ids, marks, row, offsets, points, first[at], last[at + size - 1], one, two, False)
                 place = np.arange(len(hashes)) - text_at
                 fits = place <= text_n - SPAN
                 if passages and fits.any():
                     one, two = _sums(hashes, np.arange(len(hashes)), SPAN)
-                    at = np.flatnonzero(_winnowed(one, fits, text_at, place)[0])
+                    at = np.flatnonzero(fits if exact else _winnowed(one, fits, text_at, place)[0])
                     yield _units(ids, marks, row, offsets, points, first[at], last[at + SPAN - 1], one[at], two[at], True)
     return run
 
@@ -183,12 +192,12 @@ def _winnowed(h: np.ndarray, fits: np.ndarray, text_at: np.ndarray, place: np.nd
 
 
 def _later(found: DataFrame, name: str) -> DataFrame:
-    """(doc_id, th, first, last) of the occurrences of the units of ``found`` (n: how often
+    """(doc_id, th, h2, first, last) of the occurrences of the units of ``found`` (n: how often
     each occurs) but for the earliest of each."""
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th", "first")
     groups = materialize(found.groupBy("h1", "h2", "n").agg(F.min(rank).alias("kept")), name)
     return join_unique(found.drop("n"), groups, ["h1", "h2"], "n").filter(F.col("kept") != rank).select(
-        "doc_id", "th", "first", "last")
+        "doc_id", "th", "h2", "first", "last")
 
 
 def _repeated(units: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -213,11 +222,23 @@ def _joined(spans):
     return F.aggregate(F.sort_array(spans), zero, join_up)
 
 
-def _by_text(later: DataFrame) -> DataFrame:
-    """(_id, _th, _spans, _n): the joined spans of each text, and of how many units."""
+def _by_text(later: DataFrame, windows: bool = False) -> DataFrame:
+    """(_id, _th, _spans, _n): the joined spans of each text, and the number of its units by kind."""
+    kind = F.lit(2) if windows else F.when(F.col("h2").bitwiseAND(1) == 1, 0).otherwise(1)
     spans = later.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.collect_set(F.struct("first", "last")).alias("spans"))
-    return spans.select("_id", "_th", _joined("spans").alias("_spans"), F.size("spans").cast("long").alias("_n"))
+        F.collect_set(F.struct("first", "last", kind.alias("kind"))).alias("spans"))
+
+    def of(k: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    number = [of(k).alias(c) for k, c in enumerate(KINDS)]
+    return spans.select("_id", "_th", _joined(F.transform("spans", lambda s: F.struct(s["first"], s["last"]))).alias("_spans"),
+                        F.struct(*number).alias("_n"))
+
+
+def _mark(doc_id, text):
+    """What tells rows of one doc_id apart: a short hash, or a long one where all rows without doc_id share theirs."""
+    return F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
 
 
 def _beside(texts: DataFrame, doc_id, th, table: DataFrame, entries: str, how: str) -> DataFrame:
@@ -228,15 +249,19 @@ def _beside(texts: DataFrame, doc_id, th, table: DataFrame, entries: str, how: s
                       doc_id.eqNullSafe(F.col("_id")) & (th == F.col("_th")), how)
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
-    """(doc_id, th, n_units, spans: array of (first, last)): the repeats to remove;
-    th is a hash of the text.  Digests have 95 bits.  ``passages``: whether repeats that
-    follow no line or paragraph count."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("th"),
-                       F.col(text).alias("text"))
-    found, times = _repeated(materialize(rows.mapInArrow(_cut(passages), _UNIT), "units"), "units")
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passages: bool = True,
+                   min_chars: int = 1, exact: bool = False) -> DataFrame:
+    """(doc_id, th, n_units: struct of KINDS, spans: array of (first, last)): the repeats to remove;
+    th is a hash of the text.  Digests have 95 bits.
+
+    ``passages``: whether repeats that follow no line or paragraph count.  ``min_chars``: least normalised length
+    of lines, paragraphs and texts.  ``exact``: every SPAN words are a passage, in place of the chosen ones and the
+    runs around them, so any repeat of SPAN words or more goes, at a unit for each word."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(
+        "doc_id", _mark(F.col("doc_id"), F.col("text")).alias("th"), "text")
+    found, times = _repeated(materialize(rows.mapInArrow(_cut(passages, min_chars, exact), _UNIT), "units"), "units")
     gone = materialize(_by_text(_later(found, "unit-groups")), "unit-spans")
-    if passages:
+    if passages and not exact:
         texts = _beside(rows, F.col("doc_id"), F.col("th"), gone, "_spans", "inner")
         sought = texts.select("doc_id", "th", "text", "_spans").mapInArrow(_open, "h1 long, h2 int").distinct()
         sought = materialize(times.join(sought, ["h1", "h2"]), "passages-sought")
@@ -244,21 +269,25 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("first").alias("_starts"))
         texts = _beside(rows, F.col("doc_id"), F.col("th"), materialize(held, "passages"), "_starts", "inner")
         windows = materialize(texts.select("doc_id", "th", "text", "_starts").mapInArrow(_windows, _UNIT), "windows")
-        wider = _by_text(_later(_repeated(windows, "windows")[0], "window-groups")).withColumn("_n", F.lit(0).cast("long"))
+        wider = _by_text(_later(_repeated(windows, "windows")[0], "window-groups"), True)
         gone = gone.unionByName(wider).groupBy("_id", "_th").agg(
-            _joined(F.flatten(F.collect_list("_spans"))).alias("_spans"), F.sum("_n").alias("_n"))
+            _joined(F.flatten(F.collect_list("_spans"))).alias("_spans"),
+            F.struct(*[F.sum(f"_n.{c}").alias(c) for c in KINDS]).alias("_n"))
     return gone.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), F.col("_n").alias("n_units"),
                        F.col("_spans").alias("spans"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``spans`` (removed, of the original text),
-    ``n_units`` (removed lines, paragraphs, texts and passages) and ``n_removed`` (code points)."""
-    docs = without(docs, "kept_text", "spans", "n_units", "n_removed", "_id", "_th", "_spans", "_n")
-    gone = materialize(repeated_spans(docs, doc_id, text).select(
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, exact: bool = False) -> DataFrame:
+    """``docs`` with ``kept_text``, ``spans`` (removed, of the original text), ``n_blocks`` (removed lines, paragraphs and
+    texts), ``n_passages``, ``n_windows`` (removed runs of WINDOW words; they overlap), ``n_units`` (all three) and
+    ``n_removed`` (code points)."""
+    counts = [f"n_{c}" for c in KINDS]
+    docs = without(docs, "kept_text", "spans", "n_units", "n_removed", *counts, "_id", "_th", "_spans", "_n")
+    gone = materialize(repeated_spans(docs, doc_id, text, min_chars=min_chars, exact=exact).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"),
         F.col("n_units").alias("_n")), "spans")
-    met = _beside(docs, F.col(doc_id), F.hash(F.col(text)), gone, "_spans", "left")
+    key = F.col(doc_id).cast("long")
+    met = _beside(docs, key, _mark(key, F.col(text)), gone, "_spans", "left")
     t = F.coalesce(F.col(text), F.lit(""))
     ends = F.concat(F.transform("_spans", lambda s: s["first"]), F.array(F.char_length(t)))
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["last"]))
@@ -266,9 +295,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     none = F.array().cast("array<struct<first:int,last:int>>")
     size = F.aggregate(F.coalesce("_spans", none), F.lit(0).cast("long"),
                        lambda n, s: n + (s["last"] - s["first"]).cast("long"))
+    by_kind = [F.coalesce(f"_n.{c}", F.lit(0).cast("long")) for c in KINDS]
     return met.select(*[F.col(c) for c in docs.columns], F.when(F.col("_spans").isNull(), t).otherwise(cut).alias("kept_text"),
-                      F.coalesce("_spans", none).alias("spans"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_units"),
-                      size.alias("n_removed"))
+                      F.coalesce("_spans", none).alias("spans"), *[n.alias(c) for n, c in zip(by_kind, counts)],
+                      (by_kind[0] + by_kind[1] + by_kind[2]).alias("n_units"), size.alias("n_removed"))
 
 
 #: DuckDB: (doc_id, first, last) of the lines, paragraphs and texts of ``documents`` that occur
