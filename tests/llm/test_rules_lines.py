@@ -30,6 +30,21 @@ def test_cascade_order_never_changes_the_verdict(docs):
     assert sorted(quality.plan_cascade(quality.features(docs))) == names
 
 
+def test_the_sample_is_random_and_bounded(spark, docs, empty):
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.when(
+        F.col("id") % 10 == 0, 9000).otherwise(20).cast("int")).alias("text"))
+    got = quality.sampled(many, rows=100, most_bytes=100_000).collect()
+    assert 20 < len(got) <= 100 and max(len(r.text) for r in got) <= 1000 and max(r.doc_id for r in got) > 500
+    assert quality.sampled(docs).count() <= len(DOCS) and quality.sampled(empty).count() == 0
+
+
+def test_cheap_rules_that_reject_come_first(spark):
+    rows = spark.range(300).select(F.repeat(F.lit("some words of a text "), 40).alias("text"))
+    dear = lambda t, q: F.length(F.regexp_replace(F.repeat(t, 60), "[^a-z]+", "")) < 0
+    rules = {"a_dear_and_idle": dear, "b_cheap_and_idle": lambda t, q: q["n_words"] < 0, "c_rejects": lambda t, q: q["n_words"] > 3}
+    assert quality.plan_cascade(quality.features(rows), rules) == ["c_rejects", "b_cheap_and_idle", "a_dear_and_idle"]
+
+
 def test_line_dedup(docs):
     want = ref.line_dedup(DOCS)
     rows = line_runs.dedup(docs).collect()
