@@ -178,6 +178,19 @@ def test_added_spans_have_precision_and_recall(spark):
     assert set(report) == set(pii.ALL)
 
 
+def test_trees_and_thresholds_take_every_labelled_candidate(spark):
+    n = 24_000
+    label = (F.col("id") % 2).cast("double")
+    known = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.col("id").alias("th"), F.lit("secret").alias("kind"), F.lit(0).alias("first"), F.lit(20).alias("last"),
+        F.lpad(F.hex("id"), 20, "a1").alias("value"), F.when(label > 0, "token = ").otherwise("words ").alias("before"),
+        F.lit(" more").alias("after"), F.lit(False).alias("strict"), F.lit(True).alias("able"), label.alias("label"))
+    held = known.filter(F.pmod(F.xxhash64("doc_id", "kind", "first", "value"), F.lit(4)) == 0).count()
+    _, cut, report = pii.fit(known)
+    assert {r[0]: r[1] for r in report} == {k: held if k == "secret" else 0 for k in pii.ALL}
+    assert held > 5_500 and set(cut) == {"secret"}
+
+
 def test_repeated_rows_and_missing_ids(spark):
     rows = [(None, "write a@b.com"), (1, "write a@b.com"), (1, "write a@b.com"), (1, "token = \"0123456789abcdef0123\""), (None, None)]
     out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()

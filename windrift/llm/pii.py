@@ -6,17 +6,17 @@ parts, Luhn, digit counts); what passes is always redacted.  The loose ones are
 for recall - spelled-out addresses, other separators, phones without a plus, and
 secrets, runs of letters and digits - and overlap freely.  *Boosted trees* score the
 loose candidates from format features and from the words around them.  They are
-trained on loose candidates of a bounded sample: positive where one overlaps a strict
-span of its kind (a secret: where it is assigned to a name like token or key), negative
+trained on all loose candidates with a known label, but for those held back (one in four by
+their hash): positive where one overlaps a strict span of its kind (a secret: where it is assigned to a name like token or key), negative
 where it fails the check of its kind or overlaps a strict span of another; the numbers
-that the checks stand on are no features.  A *threshold* per kind, calibrated on the
+that the checks stand on are no features.  A *threshold* per kind, calibrated on all
 loose candidates held back, selects the spans to add: where it cannot reach
 ``PRECISION``, nothing is added.  ``measure`` reports precision and recall.
 
 Edge cases: null and empty texts have no spans; ties between overlapping loose spans
 go to the likelier, then the earlier, then the longer; repeated rows get the same
-spans each; rows of one doc_id are told apart by their text; without both labels in
-the sample only the strict spans are found; an empty table gives no rows; extra
+spans each; rows of one doc_id are told apart by their text; without both labels among
+the candidates only the strict spans are found; an empty table gives no rows; extra
 columns are kept by ``redact`` but for those named like an output.
 """
 
@@ -63,8 +63,8 @@ CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card"
            "phone": "phone|tel|call|fax|mobile|cell", "secret": "token|secret|passw|pwd|key|auth|credential"}
 #: What stands before a value that is assigned to a name.
 ASSIGNED = r"[A-Za-z_]\w*[\"']? ?[:=] ?[\"']?$"
-#: Labelled candidates of the training sample at most, trees, depth, precision of the calibrated thresholds.
-SAMPLE, TREES, DEPTH, PRECISION = 20_000, 8, 3, 0.98
+#: Trees, depth, precision of the calibrated thresholds.
+TREES, DEPTH, PRECISION = 8, 3, 0.98
 AROUND = 24
 
 _EMPTY = "array<struct<kind:string,first:int,last:int,value:string,before:string,after:string,strict:boolean>>"
@@ -184,28 +184,28 @@ def labelled(flat: DataFrame) -> DataFrame:
     return seen.withColumn("able", able).withColumn("label", F.when(yes, 1.0).when(~able | F.col("any"), 0.0)).drop("same", "any")
 
 
-def fit(known: DataFrame, sample: int = SAMPLE):
-    """(model, threshold of each kind, report) from loose candidates with a known ``label``, or None if the sample lacks one
-    of the labels.  report: (kind, n_held, precision, recall) of the threshold on the held-out candidates."""
+def fit(known: DataFrame):
+    """(model, threshold of each kind, report) from all loose candidates with a known ``label``, or None if those to train on
+    lack one of the labels.  report: (kind, n_held, precision, recall) of the threshold on the held-out candidates."""
     order = F.xxhash64("doc_id", "kind", "first", "value")
-    few = materialize(known.orderBy(order, "th", "last").limit(sample), "pii-sample")
-    rows = _features(few.withColumn("held", F.pmod(order, F.lit(4)) == 0))
-    if rows.filter(~F.col("held")).agg(F.count_distinct("label")).first()[0] < 2:
+    split = _features(known.withColumn("held", F.pmod(order, F.lit(4)) == 0)).select("kind", "label", "held", "features")
+    rows = materialize(split, "pii-known")
+    train = rows.filter(~F.col("held"))
+    if train.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7,
-                          stepSize=0.3).fit(rows.filter(~F.col("held")))
-    scored = model.transform(rows.filter("held")).select(
-        "kind", "label", vector_to_array("probability")[1].alias("p")).orderBy("kind", F.desc("p")).collect()
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(train)
+    scored = model.transform(rows.filter("held")).select("kind", "label", vector_to_array("probability")[1].alias("p"))
+    # trees of bounded depth give few distinct scores: one row each reaches the driver
+    levels = scored.groupBy("kind", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).orderBy("kind", F.desc("p")).collect()
     cut, report = {}, []
     for k in ALL:
-        own = [r for r in scored if r["kind"] == k]
-        right, kept, total = 0, (0, 0), sum(r["label"] for r in own)
-        for n, r in enumerate(own, 1):
-            right += r["label"]
-            last_of_ties = n == len(own) or own[n]["p"] < r["p"]
-            if last_of_ties and right >= PRECISION * n:
+        own = [r for r in levels if r["kind"] == k]
+        n, right, kept, total = 0, 0, (0, 0), sum(r["right"] for r in own)
+        for r in own:
+            n, right = n + r["n"], right + r["right"]
+            if right >= PRECISION * n:
                 cut[k], kept = r["p"], (right, n)
-        report.append((k, len(own), kept[0] / kept[1] if kept[1] else None, kept[0] / total if total else None))
+        report.append((k, n, kept[0] / kept[1] if kept[1] else None, kept[0] / total if total else None))
     return model, cut, report
 
 
@@ -218,11 +218,11 @@ def _apart(spans: Column, held: Column) -> Column:
     return F.aggregate(lean, held, step)
 
 
-def _added(every: DataFrame, sample: int):
+def _added(every: DataFrame):
     """(the loose candidates that the trees select, report), or None."""
     flat = every.select("doc_id", "th", F.explode("spans").alias("s")).select("doc_id", "th", "s.*").distinct()
     loose = materialize(labelled(flat), "pii-loose")
-    fitted = fit(loose.filter("label IS NOT NULL"), sample)
+    fitted = fit(loose.filter("label IS NOT NULL"))
     if fitted is None:
         return None
     model, cut, report = fitted
@@ -233,20 +233,20 @@ def _added(every: DataFrame, sample: int):
     return scored.filter(F.col("p") >= floor), report
 
 
-def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(kind, n_held, precision, recall, n_added): the thresholds on the candidates held back, and the spans they add to the
     strict ones."""
     schema = "kind string, n_held int, precision double, recall double"
-    out = _added(materialize(candidates(docs, doc_id, text), "pii-candidates"), sample)
+    out = _added(materialize(candidates(docs, doc_id, text), "pii-candidates"))
     if out is None:
         return docs.sparkSession.createDataFrame([(k, 0, None, None) for k in ALL], schema).withColumn("n_added", F.lit(0).cast("long"))
     n = F.size(F.filter("spans", lambda s: s["kind"] == F.col("kind"))) - F.size(F.filter("base", lambda s: s["kind"] == F.col("kind")))
-    found = find(docs, doc_id, text, sample).select("base", "spans", F.explode(F.array(*[F.lit(k) for k in ALL])).alias("kind"))
+    found = find(docs, doc_id, text).select("base", "spans", F.explode(F.array(*[F.lit(k) for k in ALL])).alias("kind"))
     counts = found.groupBy("kind").agg(F.sum(n).alias("n_added"))
     return docs.sparkSession.createDataFrame(out[1], schema).join(counts, "kind", "left")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, base, spans) for every row: ``base`` the strict spans, ``spans``
     all, as arrays of (kind, first, last) in the order of ALL, then first."""
     every = materialize(candidates(docs, doc_id, text), "pii-candidates")
@@ -254,7 +254,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
     strict = F.filter("spans", lambda s: s["strict"] & checked(s))
     based = every.select("doc_id", "th", F.transform(strict, lambda s: F.struct(
         s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"))).alias("base"))
-    found = _added(every, sample)
+    found = _added(every)
     if found is None:
         return based.withColumn("spans", F.col("base"))
     added = found[0].groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct(
