@@ -188,8 +188,8 @@ def fit(known: DataFrame):
     """(model, threshold of each kind, report) from all loose candidates with a known ``label``, or None if those to train on
     lack one of the labels.  report: (kind, n_held, precision, recall) of the threshold on the held-out candidates."""
     order = F.xxhash64("doc_id", "kind", "first", "value")
-    split = _features(known.withColumn("held", F.pmod(order, F.lit(4)) == 0)).select("kind", "label", "held", "features")
-    rows = materialize(split, "pii-known")
+    split = _features(known.withColumn("held", F.pmod(order, F.lit(4)) == 0).orderBy(order, "th", "last"))  # sums in one order
+    rows = materialize(split.select("kind", "label", "held", "features"), "pii-known")
     train = rows.filter(~F.col("held"))
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         return None
