@@ -202,38 +202,61 @@ def segment_starts(model: Pieces, data: np.ndarray, offsets: np.ndarray) -> np.n
     if not len(data):
         return np.zeros(0, np.int64)
     points, lead = tv.code_points(data)
-    kind = model.char_class[points]
+    kind = model.char_class[points].astype(np.int32)
     cut = np.ones(len(points), bool)
-    cut[1:] = ~model.joins[kind[:-1], kind[1:]]
+    cut[1:] = ~model.joins.ravel()[kind[:-1] * len(model.joins) + kind[1:]]
     cut[np.searchsorted(lead, offsets[:-1][np.diff(offsets) > 0])] = True
     return lead[cut]
 
 
 def _counting(path: str):
     def run(batches):
-        model, held = pieces(path), {}
+        model, held, n = pieces(path), [], 0
         for batch in batches:
             for _, data, offsets in _prepared_slices(batch.column(0)):
                 first = segment_starts(model, data, offsets)
                 if not len(first):
                     continue
-                _, at, n = np.unique(tv.span_hashes(data, first), return_index=True, return_counts=True)
-                last = np.append(first[1:], len(data))
-                raw = data.tobytes()
-                for a, b, k in zip(first[at].tolist(), last[at].tolist(), n.tolist(), strict=True):
-                    s = raw[a:b]
-                    held[s] = held.get(s, 0) + k
-                if len(held) > HELD:
-                    yield _counted(held)
-                    held = {}
+                held.append(_distinct(data, first))
+                n += len(held[-1][0])
+                if n > 2 * HELD:
+                    held, n = [_together(held)], 0
+                    if len(held[0][0]) > HELD:
+                        yield _counted(held[0])
+                        held = []
+                    else:
+                        n = len(held[0][0])
         if held:
-            yield _counted(held)
+            yield _counted(_together(held))
     return run
 
 
-def _counted(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()),
-                                       pa.array(held.values(), pa.int64())], ["segment", "n"])
+def _distinct(data: np.ndarray, first: np.ndarray, hashes: np.ndarray | None = None, counts: np.ndarray | None = None):
+    """(hashes, counts, lengths, bytes) of the distinct segments of ``data``, which start at ``first``; ``counts``: how often
+    each stands for."""
+    known = tv.span_hashes(data, first) if hashes is None else hashes
+    if counts is None:
+        own, at, total = np.unique(known, return_index=True, return_counts=True)
+    else:
+        own, at, back = np.unique(known, return_index=True, return_inverse=True)
+        total = np.bincount(back, counts, len(own)).astype(np.int64)
+    lens = np.diff(np.append(first, len(data)))[at]
+    return own, total, lens, data[tv.ranges(first[at], lens)]
+
+
+def _together(held: list[tuple]):
+    """Distinct segments of several slices as one such tuple."""
+    if len(held) == 1:
+        return held[0]
+    hashes, counts, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
+    return _distinct(data, np.cumsum(lens) - lens, hashes, counts)
+
+
+def _counted(distinct: tuple) -> pa.RecordBatch:
+    _, counts, lens, data = distinct
+    ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    names = pa.Array.from_buffers(pa.string(), len(lens), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([names, pa.array(counts, pa.int64())], ["segment", "n"])
 
 
 def segments(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -254,45 +277,52 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, merges array<long>")
 
 
-def scores(edges):
-    """The scores of ``edges``: (end, start, id, made: the merge that makes the piece, merges)."""
+def scored(edges):
+    """(end, start, score) of ``edges``: (place, id, merges); the last of its merges makes a piece."""
+    def start(e):
+        return e["place"].bitwiseAND(F.lit(63))
     # descending: the first merge has the highest number
-    order = F.sort_array(F.transform(edges, lambda e: e["made"]), asc=False)
-    return let(order, lambda made: F.transform(edges, lambda e: F.aggregate(
-        e["merges"], F.lit(0).cast("long"), lambda a, m: a + F.call_function(
-            "shiftleft", F.lit(1).cast("long"), (F.array_position(made, m + e["start"]) - 1).cast("int")))))
+    order = F.sort_array(F.transform(edges, lambda e: F.element_at(e["merges"], -1) + start(e)), asc=False)
+    return let(order, lambda made: F.transform(edges, lambda e: F.struct(
+        F.shiftright(e["place"], 6).alias("end"), start(e).alias("start"), F.aggregate(
+            e["merges"], F.lit(0).cast("long"), lambda a, m: a + F.call_function(
+                "shiftleft", F.lit(1).cast("long"), (F.array_position(made, m + start(e)) - 1).cast("int"))).alias("score"))))
+
 
+def viterbi(edges, singles):
+    """Ids on the best path over ``edges`` and over ``singles``, the ids of the characters.
 
-def viterbi(edges, worth, singles):
-    """Ids on the best path over ``edges`` with the scores ``worth`` and over ``singles``, the ids of the characters.
+    One step for each end appends the best score, of an edge or of the character before it; plain longs, as making structs
+    and looking up places is what an interpreted fold spends its time on.  Then the path is read from its end: there alone
+    the edge that gave the score is looked for."""
+    def sums(best, own):
+        return F.transform(own, lambda e: F.get(best, e["start"]) + e["score"])
 
-    One step for each end appends the best score and the number of the edge taken (-1: the character); plain longs, as
-    making structs is what an interpreted fold spends its time on.  Then the path is read from its end."""
-    def step(best, end):
-        before = F.get(best, 2 * end - 2)
-        sums = F.transform(edges, lambda e, i: F.when(e["end"] == end, F.get(best, 2 * e["start"]) + F.get(worth, i)))
-        return let(sums, lambda s: let(F.greatest(F.array_max(s), before), lambda top: F.concat(
-            best, F.array(top, F.array_position(s, top) - 1))))
+    def forward(lines):
+        return F.aggregate(F.sequence(F.lit(1), F.size(singles)), F.array(F.lit(0).cast("long")), lambda best, end: F.concat(
+            best, F.array(F.greatest(F.array_max(sums(best, F.filter(lines, lambda e: e["end"] == end))), F.element_at(best, -1)))))
 
-    def back(best, path, end):
+    def back(lines, best, path, end):
         def through(k):
             e = F.get(edges, k)
-            taken = F.when(k < 0, F.array(F.get(singles, end - 1), end - 1)).otherwise(F.array(e["id"], e["start"]))
+            taken = F.when(k < 0, F.array(F.get(singles, end - 1), (end - 1).cast("long"))).otherwise(
+                F.array(e["id"], e["place"].bitwiseAND(F.lit(63)).cast("long")))
             return F.concat(F.slice(path, 1, F.size(path) - 1), taken)
-        return F.when(F.element_at(path, -1) == end, let(F.get(best, 2 * end + 1).cast("int"), through)).otherwise(path)
+        worth = F.transform(lines, lambda e: F.when(e["end"] == end, F.get(best, e["start"]) + e["score"]))
+        at = let(F.array_position(worth, F.get(best, end)).cast("int") - 1, through)
+        return F.when(F.element_at(path, -1) == end, at).otherwise(path)
 
     n = F.size(singles)
-    start = F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))
-    return let(F.aggregate(F.sequence(F.lit(1), n), start, step), lambda best: F.aggregate(
-        F.sequence(n, F.lit(1), F.lit(-1)), F.array(n), lambda path, end: back(best, path, end),
-        lambda path: F.reverse(F.slice(path, 1, F.size(path) - 1))))
+    return let(scored(edges), lambda lines: let(forward(lines), lambda best: F.aggregate(
+        F.sequence(n, F.lit(1), F.lit(-1)), F.array(n.cast("long")), lambda path, end: back(lines, best, path, end),
+        lambda path: F.reverse(F.slice(path, 1, F.size(path) - 1))))).cast("array<int>")
 
 
 def encode_segments(counted: DataFrame, path: str) -> DataFrame:
     """(segment, n, ids) for (segment, n), written.  The grouping of edges would fall back to sorting them after a few
     groups; in a session of its own it keeps to hashing, with ``GROUPED`` segments a task."""
     spark = counted.sparkSession
-    schema = "segment string, n long, places array<short>, singles array<int>"
+    schema = "segment string, n long, places array<short>, singles array<long>"
     at = write_table(counted.mapInArrow(_placing(path), schema), "segments-counted")
     parts = spark.read.parquet(at).count() // GROUPED + spark.sparkContext.defaultParallelism
     side = spark.newSession()
@@ -336,7 +366,7 @@ def _placing(path: str):
                 ids = model.char_id[points[fits[row]]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), _lists(per + fits, pa.array(marked, pa.int16()), ~fits),
-                     _lists(np.where(fits, size, 0), pa.array(ids, pa.int32()), ~fits)],
+                     _lists(np.where(fits, size, 0), pa.array(ids, pa.int64()), ~fits)],
                     ["segment", "n", "places", "singles"])
     return run
 
@@ -346,19 +376,20 @@ def _encoded(counted: DataFrame, path: str) -> DataFrame:
     itself, so those outside the vocabulary never meet the lattice."""
     table = piece_table(counted.sparkSession, path)
     fits = F.col("places").isNotNull()
-    own = F.when(F.col("place") == NO_PLACE, F.col("singles")).alias("singles")
+    head = F.col("place") == NO_PLACE
     sub = counted.filter(fits).select("segment", "n", "singles", F.explode("places").alias("p")).withColumn(
         "place", F.col("p").cast("int"))
-    sub = sub.select("segment", "n", own, "place", F.expr(
+    sub = sub.select("segment", F.when(head, F.col("n")).alias("n"), F.when(head, F.col("singles")).alias("singles"), "place", F.expr(
         f"if(place = {NO_PLACE}, null, substring(segment, (place & 63) + 1, shiftright(place, 6) - (place & 63)))").alias("piece"))
     met = sub.join(F.broadcast(table), "piece", "left")
-    start = F.col("place").bitwiseAND(F.lit(63))
-    made = F.get("merges", F.size("merges") - 1) + start
-    edge = F.struct(F.shiftright("place", 6).alias("end"), start.alias("start"), "id", made.alias("made"), "merges")
-    words = met.groupBy("segment").agg(F.max("n").alias("n"), F.any_value("singles", F.lit(True)).alias("singles"),
-                                       F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
-    ids = let(scores(F.col("edges")), lambda worth: viterbi(F.col("edges"), worth, F.col("singles")))
-    folded = words.select("segment", "n", ids.alias("ids"))
+    # one list for each segment, its own row first: n and the ids of its characters stand where edges have id and merges
+    entry = F.struct("place", F.when(head, F.col("n")).otherwise(F.col("id").cast("long")).alias("id"),
+                     F.when(head, F.col("singles")).otherwise(F.col("merges")).alias("merges"))
+    entries = met.groupBy("segment").agg(
+        F.sort_array(F.collect_list(F.when(head | F.col("id").isNotNull(), entry))).alias("entries"))
+    words = entries.select("segment", F.col("entries")[0]["id"].alias("n"), F.col("entries")[0]["merges"].alias("singles"),
+                           F.slice("entries", 2, F.size("entries")).alias("edges"))
+    folded = words.select("segment", "n", viterbi(F.col("edges"), F.col("singles")).alias("ids"))
 
     def merged(batches):
         own = pieces(path)

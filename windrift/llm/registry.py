@@ -45,7 +45,7 @@ def op3_sentencepiece(spark, sf_dir) -> DataFrame:
     """Ids of every text and whether they spell the text again (U+2581 reads as a blank)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), lattice.BLANK, " "), 256)
+    digest = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit(lattice.BLANK), F.lit(" ")), 256)
     out = lattice.encode(docs.withColumn("text_sha256", digest), path, spell=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -13,6 +13,9 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 COEF = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _POW = np.ones(1, np.uint64)
+#: Bytes whose spans are hashed together, and the inverse powers of the base at their starts.
+_BLOCK = 1 << 16
+_INVERSE = np.cumprod(np.append(np.uint64(1), np.full(_BLOCK - 1, pow(int(_BASE), -1, 1 << 64), np.uint64)), dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,12 +61,22 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
 
 
 def span_hashes(kept: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs of ``kept`` that start at ``first``."""
+    """64-bit hashes of the byte runs of ``kept`` that start at ``first``; they tile it."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    lens = np.diff(np.append(first, len(kept)))
-    pos = np.arange(len(kept)) - np.repeat(first, lens)
-    h = np.add.reduceat(_BYTE[kept] * _powers(int(lens.max()))[pos], first)
+    ends = np.append(first[1:], len(kept))
+    lens = ends - first
+    if not lens.all():
+        pos = np.arange(len(kept)) - np.repeat(first, lens)
+        h = np.add.reduceat(_BYTE[kept] * _powers(int(lens.max()))[pos], first)
+        return mix(h ^ (lens.astype(np.uint64) * COEF[0]))
+    h, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):  # powers go on through a block; dividing by that of its start makes a span's begin at 1
+        lo = int(first[i])
+        j = max(i + 1, int(np.searchsorted(first, lo + _BLOCK)))
+        part, at = kept[lo:int(ends[j - 1])], first[i:j] - lo
+        h[i:j] = np.add.reduceat(_BYTE[part] * _powers(len(part))[:len(part)], at) * _INVERSE[at]
+        i = j
     return mix(h ^ (lens.astype(np.uint64) * COEF[0]))
 
 
@@ -119,7 +132,11 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, first byte of each) of valid UTF-8 bytes."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = np.flatnonzero(data.view(np.int8) >= -64)
+    try:
+        return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.int32).copy(), lead
+    except UnicodeDecodeError:
+        pass
     b = data[lead].astype(np.int32)
     out = b.copy()
     padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
