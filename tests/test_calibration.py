@@ -1,10 +1,14 @@
 """Permutation calibration and autoencoder training at scale: same results with less work and fewer bytes."""
 
+import os
+import pickle
+
 import numpy as np
 import pytest
 
 from windrift.plans import autoencoder as ae
 from windrift.plans import permute
+from windrift.session import scratch_path
 
 
 def _brute(x, reconstruct, repetitions, seed, levels):
@@ -61,3 +65,47 @@ def test_step_makes_no_arrays_as_long_as_the_weights(monkeypatch):
     slope = np.array([(loss(flat + e) - loss(flat - e)) / (2 * eps) for e in np.eye(len(flat)) * eps])
     moved = np.abs(slope) > 1e-4  # the first step of Adam goes by the learning rate, against the slope
     assert np.allclose((ae.flatten(made) - flat)[moved], -0.01 * np.sign(slope[moved]), atol=1e-4)
+
+
+def test_order_works_by_tables_as_long_as_the_root(monkeypatch):
+    """The rounds' functions are worked out for every half once, not for every cell, and tables do not travel with the order."""
+    n, worked = 40_000, []
+    mix = permute.CellOrder._mix
+    monkeypatch.setattr(permute.CellOrder, "_mix", lambda self, x, i, mod: worked.append(len(x)) or mix(self, x, i, mod))
+    order = permute.CellOrder(n, 5)
+    cells = np.arange(n)
+    ranks = order.rank(cells)
+    assert np.array_equal(np.sort(ranks), cells) and np.array_equal(order.cell(ranks), cells)
+    assert sum(worked) <= 4 * 201
+    assert len(pickle.dumps(order)) < 2000
+    left, right = cells // order.b, cells % order.b  # the plain rounds
+    for i in (0, 2):
+        left = (left + mix(order, right, i, order.a).astype(np.int64)) % order.a
+        right = (right + mix(order, left, i + 1, order.b).astype(np.int64)) % order.b
+    plain = left * order.b + right
+    assert np.array_equal(ranks[plain < n], plain[plain < n]) and (plain < n).mean() > 0.9
+
+
+def test_training_rows_are_read_as_blocks(spark):
+    """A pass over the training rows takes whole blocks over, with the same losses as training on the rows at hand."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 3))
+    x[5, 1] = np.nan  # an incomplete row is left out
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double").coalesce(1)
+    base = scratch_path(spark, "autoencoder").removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    made = ae.fit_autoencoder(frame, ["a", "b", "c"], None, {"hidden_layers": [4, 2], "epochs": 2, "noise_factor": 0.0})
+    (path,) = set(os.listdir(base)) - before
+    written = spark.read.parquet(os.path.join(base, path))
+    assert written.columns == ["block"] and written.count() == 1
+    block = np.frombuffer(written.first()["block"], np.float64).reshape(7, -1)
+    assert np.array_equal(block[:3].T, np.delete(x, 5, axis=0)) and np.array_equal(block[:3], block[3:6])
+    rows, held = block[:3].T, block[6] > 0
+    sizes = ae.layer_sizes(3, [4, 2])
+    params, history = ae.init_params(sizes, 42), []
+    for epoch in range(3):
+        err = np.mean((rows - ae.forward(params, rows)) ** 2, axis=1)
+        history.append((epoch, err[~held].mean(), err[held].mean()))
+        if epoch < 2:
+            params = ae.train_epoch(params, rows[~held], rows[~held], 32, 0.001, np.random.default_rng([42_000 + epoch, 0, 0]))
+    assert np.allclose(np.array(made["history"]), np.array(history), rtol=1e-9)
