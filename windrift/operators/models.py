@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrift.operators import forest
 from windrift.operators.features import assemble
 from windrift.operators.reshape import hash_split, keep_first_share
 
@@ -43,9 +44,8 @@ def coefficient_table(spark: SparkSession, features: Sequence[str], model: Linea
 
 def fit_forest(train: DataFrame, features_col: str, label: str, trees: int = 100, seed: int = 42
                ) -> RandomForestClassificationModel:
-    """Random forest, 100 trees, fixed seed."""
-    rf = RandomForestClassifier(featuresCol=features_col, labelCol=label, numTrees=trees, seed=seed)
-    return rf.fit(train)
+    """Random forest, 100 trees, fixed seed; the trees of Spark ML, grown over counted cells (``forest``)."""
+    return forest.fit_forest(train, features_col, label, trees, seed)
 
 
 def accuracy(model, test: DataFrame, label: str) -> DataFrame:
